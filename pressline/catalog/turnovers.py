@@ -60,7 +60,7 @@ LIMITS = {"within_1h": 3600.0, "within_6h": 21600.0, "within_24h": 86400.0}
 WITH g AS (SELECT (loss_t_us - lag(loss_t_us) OVER (PARTITION BY match_id, period_id ORDER BY loss_t_us, loss_frame))
                   / 1000000.0::DOUBLE AS gap FROM fx_candidates)
 SELECT count(gap) AS n, round(avg(gap), 6) AS mean, round(stddev_samp(gap), 6) AS std, min(gap) AS min, max(gap) AS max,
-       count_if(gap <= 3600) AS within_1h, count_if(gap <= 21600) AS within_6h, count_if(gap <= 86400) AS within_24h,
+       count(*) FILTER (WHERE gap <= 3600) AS within_1h, count(*) FILTER (WHERE gap <= 21600) AS within_6h, count(*) FILTER (WHERE gap <= 86400) AS within_24h,
        round(quantile_cont(gap, 0.25), 6) AS q25, round(quantile_cont(gap, 0.5), 6) AS q50,
        round(quantile_cont(gap, 0.75), 6) AS q75, round(quantile_cont(gap, 0.9), 6) AS q90,
        round(quantile_cont(gap, 0.95), 6) AS q95
@@ -71,8 +71,8 @@ def _(s):
 
 
 @query("regain_distribution", """
-SELECT match_id, count(*) AS changes, count_if(regain_found) AS regained, count_if(NOT regain_found) AS not_regained,
-       round(100.0::DOUBLE * count_if(regain_found) / count(*), 6) AS regain_pct
+SELECT match_id, count(*) AS changes, count(*) FILTER (WHERE regain_found) AS regained, count(*) FILTER (WHERE NOT regain_found) AS not_regained,
+       round(100.0::DOUBLE * count(*) FILTER (WHERE regain_found) / count(*), 6) AS regain_pct
 FROM fx_candidates GROUP BY match_id""")
 def _(s):
     return turnover.regain_distribution(s.candidates).withColumn("regain_pct", F.round("regain_pct", 6))
@@ -80,8 +80,8 @@ def _(s):
 
 @query("match_summary", """
 SELECT match_id, count(*) AS candidates, sum(label_regain_5s)::BIGINT AS positives,
-       count_if(loss_frame % 4 <> 0) AS strict_valid,
-       round(count_if(loss_frame % 4 <> 0)::DOUBLE / count(*), 6) AS strict_valid_rate,
+       count(*) FILTER (WHERE loss_frame % 4 <> 0) AS strict_valid,
+       round(count(*) FILTER (WHERE loss_frame % 4 <> 0)::DOUBLE / count(*), 6) AS strict_valid_rate,
        round(sum(label_regain_5s)::DOUBLE / count(*), 6) AS regain_rate
 FROM fx_candidates GROUP BY match_id""")
 def _(s):
@@ -91,10 +91,10 @@ def _(s):
 
 @query("possession_quantity", """
 WITH f AS (SELECT match_id, count(*) AS frames, count(owner) AS owned_frames,
-                  count_if(owner <> prev_owner) AS all_changes,
-                  count_if(owner <> prev_owner AND ball_state = 'alive') AS alive_changes
+                  count(*) FILTER (WHERE owner <> prev_owner) AS all_changes,
+                  count(*) FILTER (WHERE owner <> prev_owner AND ball_state = 'alive') AS alive_changes
            FROM fx_prev GROUP BY match_id),
-     r AS (SELECT match_id, count_if(regain_found) AS regains FROM fx_candidates GROUP BY match_id)
+     r AS (SELECT match_id, count(*) FILTER (WHERE regain_found) AS regains FROM fx_candidates GROUP BY match_id)
 SELECT CASE WHEN grouping(match_id) = 1 THEN 'TOTAL' ELSE match_id END AS match_id, sum(frames)::BIGINT AS frames,
        sum(owned_frames)::BIGINT AS owned_frames, sum(all_changes)::BIGINT AS all_changes,
        sum(alive_changes)::BIGINT AS alive_changes, coalesce(sum(regains), 0)::BIGINT AS regains

@@ -195,3 +195,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         frac = F.max(at - low)
         aggs.append((pick[0] + (pick[1] - pick[0]) * frac).alias(name))
     return ranked.groupBy(*keys).agg(*aggs) if keys else ranked.agg(*aggs)
+
+
+def text_slices(c: Column | str) -> list[Column]:
+    """Slices of a byte-wise text order: the leading 7 and 4 bytes as numbers."""
+    raw = F.encode(F.col(c) if isinstance(c, str) else c, "UTF-8")
+    return [
+        F.conv(F.hex(F.rpad(F.substring(raw, 1, n), n, b"\x00")), 16, 10).cast("bigint") for n in (7, 4)
+    ]
+
+
+def number_slices(c: Column | str, fine: int = 1 << 14, coarse: int = 1 << 24) -> list[Column]:
+    """Slices of an integer order with roughly one row per value."""
+    return time_slices(c, [fine, coarse])
