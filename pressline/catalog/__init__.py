@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import views  # noqa: F401
-from . import labelling, scoring, tracking, turnovers  # noqa: F401
+from . import labelling, modelling, scans, scoring, tracking, turnovers  # noqa: F401
 from .bindings import Tables
 from .registry import ORACLES, QUERIES, expand
 

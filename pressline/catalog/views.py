@@ -46,7 +46,7 @@ SELECT 'G' || (vec_id // 230) AS match_id, 1 AS period_id, ((vec_id // 23) % 10)
        (((vec_id // 23) % 10) * 100 + i) * 40000 AS t_us, vec_id // 23 AS episode, vec_id % 23 AS node, vec_id, i,
        CASE WHEN NOT bad THEN ex END AS x, CASE WHEN NOT bad THEN ey END AS y,
        CASE WHEN (vec_id + i) % 11 <> 0 THEN sqrt(ex * ex + ey * ey) * 10 END AS speed
-FROM (SELECT vec_id, i, (vec_id % 17 = 0 AND i % 4 = 1) OR (vec_id % 41 = 3 AND i = 15) AS bad,
+FROM (SELECT vec_id, i, (vec_id % 17 = 0 AND i % 4 = 1 AND (vec_id // 23) % 3 = 0) OR (vec_id % 41 = 3 AND i = 15 AND (vec_id // 23) % 4 = 1) AS bad,
              CAST(embedding[2 * i + 1] AS DOUBLE) AS ex, CAST(embedding[2 * i + 2] AS DOUBLE) AS ey
       FROM embeddings, range(0, 32) r(i))
 WHERE NOT ((vec_id // 23) % 5 = 0 AND i = 20)""")
