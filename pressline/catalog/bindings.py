@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..conf import HOUR, EpisodeConfig, TimeSlices
+from ..session import stage
 
 
 # The event stream is far sparser than 25 Hz tracking: hours take the place of seconds.
@@ -337,6 +338,26 @@ class Tables:
 
         return metrics.predict(self.scores, metrics.validation_threshold(self.scores))
 
+    @cached_property
+    def prediction_files(self) -> DataFrame:
+        """The same predictions as files, the way several checks read them."""
+        return stage(self.predictions, "predictions")
+
+    @cached_property
+    def graph_nodes(self) -> DataFrame:
+        """Node table of all candidates, written once like a graph cache."""
+        from ..operators import roster, windows
+
+        window = windows.episode_window(self.track_candidates, self.track_frames, TRACK_CFG)
+        seats = roster.active_roster(self.track_candidates, self.positions, roster.player_team(self.track_events))
+        return stage(roster.node_table(window, seats, self.positions), "nodes")
+
+    @cached_property
+    def graph_edges(self) -> DataFrame:
+        from ..operators import graph
+
+        return stage(graph.knn_edges(self.graph_nodes, TRACK_CFG.k_neighbors), "edges")
+
     @cached_property
     def feature_rows(self) -> DataFrame:
         """Rows for the classifiers: three position sums per vector, target = high label class."""

@@ -438,7 +438,7 @@ SELECT count(DISTINCT model) >= 2 AS at_least_two_models, bool_or(split = 'test'
        (SELECT bool_and(k = 2) FROM (SELECT count(DISTINCT model) AS k FROM fx_predictions GROUP BY candidate_id, split, match_id, y_true)) AS identical_candidate_records
 FROM fx_predictions""")
 def _(s):
-    return gates.prediction_checks(s.predictions)
+    return gates.prediction_checks(s.prediction_files)
 
 
 @query("gate_readiness", """
@@ -471,7 +471,7 @@ SELECT bool_and(NOT known OR coalesce(y_true = l, false)) AS labels_aligned, boo
        (SELECT bool_and(m.gegenpressing_label IS NOT DISTINCT FROM a.is_gegenpressing) FROM fx_manifest m LEFT JOIN fx_annotations a USING (candidate_id)) AS labels_equal_annotations,
        bool_and(known) AND count(*) = 2 * (SELECT count(*) FROM fx_manifest) AS episodes_complete FROM j""")
 def _(s):
-    return gates.report_checks(s.predictions, s.manifest, s.annotations)
+    return gates.report_checks(s.prediction_files, s.manifest, s.annotations)
 
 
 @query("gate_protocol", """

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..operators import graph, labels
 from ..plans import models
 from ..session import shared_folder, stage
-from . import tracking
 from .bindings import doc_id_key
 from .registry import query, view
 from .scoring import R9
@@ -82,16 +81,14 @@ def _(s):
 
 @query("train_graph_model")
 def _(s):
-    nodes = stage(tracking._nodes(s), "nodes")
-    edges = stage(graph.knn_edges(nodes), "edges")
-    pooled = graph.temporal_pooling(graph.frame_embedding(graph.propagate(nodes, edges)))
+    pooled = graph.temporal_pooling(graph.frame_embedding(graph.propagate(s.graph_nodes, s.graph_edges)))
     frame = F.col("loss_frame")
     rows = s.track_candidates.select(
         "candidate_id", "match_id", F.col("label_regain_5s").alias("gegenpressing_label"),
         F.when(frame % 500 == 215, "validation").when(frame % 500 == 415, "test").otherwise("train").alias("split"),
     )
     names = [f"{c}_{p}" for c in ("x", "y", "speed") for p in ("mean", "last", "slope", "max")]
-    return models.train_logistic(pooled.join(rows, "candidate_id"), names, name="graph_model")
+    return models.train_logistic(stage(pooled.join(rows, "candidate_id"), "pooled"), names, name="graph_model")
 
 
 view("fx_eval", """
@@ -102,7 +99,7 @@ FROM fx_match_counts c LEFT JOIN fx_match_rank r USING (model, match_id) LEFT JO
 
 @query("evaluate", "SELECT * FROM fx_eval")
 def _(s):
-    out = models.evaluate(s.predictions).select("model", "split", "match_id", "n", "accuracy", "f1", "roc_auc", "average_precision")
+    out = models.evaluate(s.prediction_files).select("model", "split", "match_id", "n", "accuracy", "f1", "roc_auc", "average_precision")
     return R9(out, "accuracy", "f1", "roc_auc", "average_precision")
 
 

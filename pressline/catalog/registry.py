@@ -25,12 +25,18 @@ def _closure(text: str, seen: list[str]) -> None:
             seen.append(name)
 
 
+def _unsigned_zero(sql: str) -> str:
+    """Rounding may leave a negative zero in one engine only; adding zero clears the sign."""
+    return re.sub(r"\bround\(", "0.0::DOUBLE + round(", sql)
+
+
 def expand(sql: str) -> str:
     """Prefix ``sql`` with the views it names, in dependency order."""
     sql = sql.strip()
     seen: list[str] = []
     _closure(sql, seen)
-    parts = [f"{n} AS (\n{VIEWS[n]}\n)" for n in seen]
+    parts = [f"{n} AS (\n{_unsigned_zero(VIEWS[n])}\n)" for n in seen]
+    sql = _unsigned_zero(sql)
     if re.match(r"(?i)with\s", sql):
         return "WITH " + ",\n".join([*parts, sql[4:].strip()]) if parts else sql
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql

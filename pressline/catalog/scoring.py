@@ -207,7 +207,7 @@ SELECT c.model, c.split, c.match_id, c.n, round((tp + tn) / c.n, 9) AS accuracy,
 FROM fx_match_counts c JOIN fx_threshold t USING (model) LEFT JOIN fx_match_rank r USING (model, match_id)
 LEFT JOIN fx_match_ap a USING (model, match_id)""")
 def _(s):
-    out = metrics.classification_metrics(s.predictions, ["model", "split", "match_id"])
+    out = metrics.classification_metrics(s.prediction_files, ["model", "split", "match_id"])
     cols = ["model", "split", "match_id", "n", "accuracy", "f1", "roc_auc", "average_precision", "threshold", "confusion_matrix"]
     return R9(out.select(*cols), "accuracy", "f1", "roc_auc", "average_precision")
 
@@ -217,7 +217,7 @@ SELECT s.match_id, s.model, n, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS
        round(r0, 9) AS recall_0, round(r1, 9) AS recall_1, round(macro_f1, 9) AS macro_f1, round(roc_auc, 9) AS roc_auc
 FROM fx_match_scores s LEFT JOIN fx_match_rank r USING (model, match_id)""")
 def _(s):
-    return R9(metrics.match_comparison(s.predictions), "recall_0", "recall_1", "macro_f1", "roc_auc")
+    return R9(metrics.match_comparison(s.prediction_files), "recall_0", "recall_1", "macro_f1", "roc_auc")
 
 
 @query("paired_delta", """
@@ -241,4 +241,4 @@ SELECT model, match_id, n, coalesce(printf('%.4f', accuracy), 'n/a') AS accuracy
        coalesce(printf('%.4f', recall), 'n/a') AS recall, coalesce(printf('%.4f', f1), 'n/a') AS f1,
        coalesce(printf('%.4f', roc_auc), 'n/a') AS roc_auc, coalesce(printf('%.4f', average_precision), 'n/a') AS average_precision FROM a""")
 def _(s):
-    return metrics.test_report(s.predictions)
+    return metrics.test_report(s.prediction_files)

@@ -113,10 +113,6 @@ def _nodes(s):
     return roster.node_table(_window(s), _roster(s), s.positions)
 
 
-def _edges(s):
-    return graph.knn_edges(_nodes(s), TRACK_CFG.k_neighbors)
-
-
 def _distances(s):
     return pressure.player_distances(_decision(s), _roster(s), s.positions, CFG)
 
@@ -172,7 +168,7 @@ def _(s):
 
 @query("knn_edges", "SELECT candidate_id, frame_id, src, dst, round(distance, 6) AS distance FROM fx_edges")
 def _(s):
-    return R6(_edges(s), "distance")
+    return R6(graph.knn_edges(s.graph_nodes, TRACK_CFG.k_neighbors), "distance")
 
 
 view("fx_audit", """
@@ -238,7 +234,7 @@ LEFT JOIN (SELECT candidate_id, frame_id, count(*) AS k FROM fx_edges GROUP BY A
 
 @query("graph_shape", "SELECT * FROM fx_shape")
 def _(s):
-    return graph.graph_shape(_nodes(s), _edges(s))
+    return graph.graph_shape(s.graph_nodes, s.graph_edges)
 
 
 @query("gate_graph", """
@@ -248,13 +244,13 @@ SELECT count(*) = count(DISTINCT candidate_id) AS candidate_id_unique,
        bool_and(edges_per_frame_min = 92 AND edges_per_frame_max = 92) AS all_edges_per_frame, bool_and(invalid_node_observations = 0) AS all_nodes_valid
 FROM fx_shape""")
 def _(s):
-    return gates.graph_checks(graph.graph_shape(_nodes(s), _edges(s)), s.track_candidates, SHAPE)
+    return gates.graph_checks(graph.graph_shape(s.graph_nodes, s.graph_edges), s.track_candidates, SHAPE)
 
 
 @query("graph_tables", """
 SELECT candidate_id, frame_id, src, dst, round(distance, 6) AS distance FROM fx_edges WHERE candidate_id IN (SELECT candidate_id FROM fx_audit WHERE strict_valid)""")
 def _(s):
-    nodes = graph.only_valid(_nodes(s), _audit(s))
+    nodes = graph.only_valid(s.graph_nodes, _audit(s))
     return R6(graph.knn_edges(nodes, TRACK_CFG.k_neighbors), "distance")
 
 
@@ -278,7 +274,7 @@ SELECT avg(x) AS mean_x, avg(y) AS mean_y, avg(speed) AS mean_speed, greatest(st
 
 
 def _norm(s):
-    return graph.feature_normalizer(_nodes(s).where(F.substring("match_id", 2, 9).cast("int") % 3 != 2))
+    return graph.feature_normalizer(s.graph_nodes.where(F.substring("match_id", 2, 9).cast("int") % 3 != 2))
 
 
 @query("feature_normalizer", "SELECT round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y, round(mean_speed, 6) AS mean_speed, round(std_x, 6) AS std_x, round(std_y, 6) AS std_y, round(std_speed, 6) AS std_speed FROM fx_norm")
@@ -294,7 +290,7 @@ SELECT candidate_id, frame_id, node_idx, valid, CASE WHEN valid THEN (x - mean_x
 
 @query("normalize_nodes", "SELECT candidate_id, frame_id, node_idx, valid, round(x, 5) AS x, round(y, 5) AS y, round(speed, 5) AS speed, is_ball, is_losing, is_opponent FROM fx_normed")
 def _(s):
-    out = graph.normalize_nodes(_nodes(s), _norm(s)).drop("match_id", "relative_time_s", "player_id")
+    out = graph.normalize_nodes(s.graph_nodes, _norm(s)).drop("match_id", "relative_time_s", "player_id")
     return out.withColumns({c: F.round(c, 5) for c in ("x", "y", "speed")})
 
 
@@ -314,7 +310,7 @@ view("fx_embed", "SELECT candidate_id, frame_id, " + ", ".join(f"coalesce(avg({c
 
 
 def _embedding(s):
-    return graph.frame_embedding(graph.propagate(_nodes(s), _edges(s)))
+    return graph.frame_embedding(graph.propagate(s.graph_nodes, s.graph_edges))
 
 
 @query("graph_propagation", "SELECT candidate_id, frame_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in FEATS) + " FROM fx_embed")

@@ -4,8 +4,8 @@
 of a model would send a whole group to one task, and one group may hold a large
 part of the table. Here the order axis is cut into slices. Each slice is
 summarised with a map-side combined aggregate, the summaries are scanned level
-by level (fine, then coarse), and what a slice inherits enters it as one extra
-row in front. The heavy window is then partitioned by (group, slice).
+by level (fine, then coarse), and what a slice inherits is handed down to it. The
+heavy window is then partitioned by (group, slice).
 
 ``slices`` lists integer columns, finest first. Each one must be monotone in
 the order, and each coarser one a function of the finer one.
@@ -18,7 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_S = "_slice"
+def with_scalars(df: DataFrame, single: DataFrame) -> DataFrame:
+    """Columns of a one-row aggregate on every row, as a scalar subquery: no join."""
+    names = single.columns
+    row = single.select(F.struct(*names)).scalar()
+    return df.withColumns({n: row[n] for n in names})
 
 
 def time_slices(t: Column | str, widths: Sequence[int]) -> list[Column]:
@@ -26,21 +30,29 @@ def time_slices(t: Column | str, widths: Sequence[int]) -> list[Column]:
     return [F.floor(c / F.lit(w)).cast("bigint") for w in widths]
 
 
-def _sliced(df: DataFrame, slices: Sequence[Column]) -> tuple[DataFrame, list[str]]:
-    names = [f"{_S}{i}" for i in range(len(slices))]
-    return df.withColumns(dict(zip(names, slices))), names
+def _lagged(rows: DataFrame, keys: list[str], order: list[str], slices: list[Column]) -> DataFrame:
+    """Adds ``_prev``, the ``_value`` of the row before.
 
-
-def _latest_before(tails: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
-    """Per (keys, levels[0]) the ``_tail`` of the nearest earlier slice as ``_carry``."""
-    level, rest = levels[0], levels[1:]
-    w = Window.partitionBy(*keys, *rest).orderBy(level)
-    own = tails.withColumn("_carry", F.lag("_tail").over(w))
-    if not rest:
-        return own
-    upper = tails.groupBy(*keys, *rest).agg(F.max_by("_tail", level).alias("_tail"))
-    above = _latest_before(upper, keys, rest).select(*keys, *rest, F.col("_carry").alias("_above"))
-    return own.join(above, [*keys, *rest], "left").withColumn("_carry", F.coalesce("_carry", "_above")).drop("_above")
+    Inside a slice the window finds it. Only the first row of a slice has to
+    look further back, and only the last rows of earlier slices can answer:
+    these edge rows alone go to the next, coarser level. Both parts read the
+    same shuffle, so the input is scanned and exchanged once.
+    """
+    if not slices:
+        return rows.withColumn("_prev", F.lag("_value").over(Window.partitionBy(*keys).orderBy(*order)))
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    mark = f"_open{len(slices)}"
+    tagged = rows.withColumn("_slice", slices[0]).withColumns(
+        {
+            "_prev": F.lag("_value").over(w),
+            "_first": F.lag(F.lit(1)).over(w).isNull(),
+            "_last": F.lead(F.lit(1)).over(w).isNull(),
+        }
+    )
+    inside = tagged.where(~F.col("_first")).drop("_first", "_last", "_slice")
+    edges = tagged.where(F.col("_first") | F.col("_last")).select(*rows.columns, F.col("_first").alias(mark))
+    found = _lagged(edges, keys, order, slices[1:]).where(mark).drop(mark)
+    return inside.unionByName(found)
 
 
 def previous_row(
@@ -52,40 +64,40 @@ def previous_row(
     prefix: str = "prev_",
 ) -> DataFrame:
     """``lag(cols)`` within ``keys``; a null in the previous row stays null."""
-    keys, order = list(keys), list(order)
-    rows, levels = _sliced(df, slices)
-    value = F.struct(*[F.col(c) for c in cols])
-    tails = rows.groupBy(*keys, *levels).agg(F.max_by(value, F.struct(*order)).alias("_tail"))
-    carry = (
-        _latest_before(tails, keys, levels)
-        .where(F.col("_carry").isNotNull())
-        .select(*keys, levels[0], F.col("_carry").alias("_value"), F.lit(0).alias("_real"))
-    )
-    both = rows.drop(*levels[1:]).withColumns({"_value": value, "_real": F.lit(1)}).unionByName(
-        carry, allowMissingColumns=True
-    )
-    w = Window.partitionBy(*keys, levels[0]).orderBy("_real", *order)
-    return (
-        both.withColumn("_prev", F.lag("_value").over(w))
-        .where(F.col("_real") == 1)
-        .select(*df.columns, *[F.col(f"_prev.{c}").alias(f"{prefix}{c}") for c in cols])
-    )
+    rows = df.withColumn("_value", F.struct(*[F.col(c) for c in cols]))
+    lagged = _lagged(rows, list(keys), list(order), list(slices))
+    return lagged.select(*df.columns, *[F.col(f"_prev.{c}").alias(f"{prefix}{c}") for c in cols])
+
 
+def _running(rows: DataFrame, keys: list[str], order: list[str], slices: list[Column], names: list[str]) -> DataFrame:
+    """Adds ``_r_<name>``, the inclusive running sum of ``_v_<name>``.
 
-def _sum_before(parts: DataFrame, keys: list[str], levels: list[str], cols: list[str]) -> DataFrame:
-    """Per (keys, levels[0]) the sums over all earlier slices."""
-    level, rest = levels[0], levels[1:]
-    w = Window.partitionBy(*keys, *rest).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-    own = parts.select(
-        *keys, *levels, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in cols]
+    Slice sums are scanned the same way on the next level; what a slice
+    inherits enters it as one extra row in front.
+    """
+    w = Window.partitionBy(*keys)
+    if not slices:
+        w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(w) for n in names})
+    levels = [f"_s{i}" for i in range(len(slices))]
+    placed = rows.withColumns(dict(zip(levels, slices)))
+    parts = placed.groupBy(*keys, *levels).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in names])
+    upto = _running(parts, keys, levels[:1], [F.col(c) for c in levels[1:]], names)
+    carry = upto.select(
+        *keys,
+        F.col("_s0").alias("_slice"),
+        *[(F.col(f"_r_{n}") - F.col(f"_v_{n}")).alias(f"_v_{n}") for n in names],
+        F.lit(0).alias("_real"),
     )
-    if not rest:
-        return own
-    upper = parts.groupBy(*keys, *rest).agg(*[F.sum(c).alias(c) for c in cols])
-    above = _sum_before(upper, keys, rest, cols).select(*keys, *rest, *[F.col(c).alias(f"_up_{c}") for c in cols])
-    return own.join(above, [*keys, *rest], "left").select(
-        *keys, *levels, *[(F.col(c) + F.coalesce(f"_up_{c}", F.lit(0))).alias(c) for c in cols]
+    here = rows.withColumns({"_slice": slices[0], "_real": F.lit(1)})
+    both = here.unionByName(carry, allowMissingColumns=True)
+    w = (
+        Window.partitionBy(*keys, "_slice")
+        .orderBy("_real", *order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    summed = both.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(w) for n in names})
+    return summed.where(F.col("_real") == 1).drop("_real", "_slice")
 
 
 def running_sums(
@@ -96,25 +108,9 @@ def running_sums(
     sums: dict[str, Column],
 ) -> DataFrame:
     """Inclusive running sums in ``order`` (which must be total within ``keys``)."""
-    keys, order = list(keys), list(order)
-    rows, levels = _sliced(df, slices)
-    names = list(sums)
-    rows = rows.withColumns({f"_v_{n}": e for n, e in sums.items()})
-    parts = rows.groupBy(*keys, *levels).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
-    carry = _sum_before(parts, keys, levels, names).select(
-        *keys, levels[0], *[F.col(n).alias(f"_v_{n}") for n in names], F.lit(0).alias("_real")
-    )
-    both = rows.drop(*levels[1:]).withColumn("_real", F.lit(1)).unionByName(carry, allowMissingColumns=True)
-    w = (
-        Window.partitionBy(*keys, levels[0])
-        .orderBy("_real", *order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        both.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(w) for n in names})
-        .where(F.col("_real") == 1)
-        .select(*df.columns, *[F.col(f"_r_{n}").alias(n) for n in names])
-    )
+    rows = df.withColumns({f"_v_{n}": e for n, e in sums.items()})
+    out = _running(rows, list(keys), list(order), list(slices), list(sums))
+    return out.select(*df.columns, *[F.col(f"_r_{n}").alias(n) for n in sums])
 
 
 def row_numbers(df, keys, order, slices, name="rn") -> DataFrame:
@@ -122,9 +118,14 @@ def row_numbers(df, keys, order, slices, name="rn") -> DataFrame:
 
 
 def digest_slices(digest: Column | str) -> list[Column]:
-    """Slices of a hex digest order: the digest spreads evenly by construction."""
+    """Slices of a hex digest order: at most 16^5, filled evenly by construction."""
     c = F.col(digest) if isinstance(digest, str) else digest
-    return [F.conv(F.substring(c, 1, n), 16, 10).cast("bigint") for n in (5, 2)]
+    return [F.conv(F.substring(c, 1, 5), 16, 10).cast("bigint")]
+
+
+def unit_slices(v: Column | str) -> list[Column]:
+    """Slices of numbers in [-1, 1]: at most 2^17."""
+    return [F.floor((F.col(v) if isinstance(v, str) else v) * (1 << 16)).cast("bigint")]
 
 
 def recent_rows(
@@ -162,11 +163,13 @@ def recent_rows(
 
 
 def magnitude_slices(v: Column | str) -> list[Column]:
-    """Order-preserving slices of any finite number: signed logarithmic bins."""
+    """Order-preserving slices of any finite number: signed logarithmic bins.
+
+    64 bins per power of two; a double has fewer than 2^18 of them in all.
+    """
     c = (F.col(v) if isinstance(v, str) else v).cast("double")
     size = F.floor(F.log2(F.abs(c)) * 64).cast("bigint") + F.lit(100_000)
-    fine = F.when(c == 0, F.lit(0)).when(c > 0, size).otherwise(-size).cast("bigint")
-    return [fine, F.floor(fine / 64).cast("bigint")]
+    return [F.when(c == 0, F.lit(0)).when(c > 0, size).otherwise(-size).cast("bigint")]
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -180,9 +183,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     total = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     ranked = running_sums(hist, keys, [value], magnitude_slices(value), {"_upto": F.col("_n")})
     if keys:
-        ranked = ranked.join(total, keys)
+        # Null-safe, so no null filter is pushed into one side and the count is shared.
+        names = {k: f"_total_{k}" for k in keys}
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+        ranked = ranked.join(total.withColumnsRenamed(names), same)
     else:
-        ranked = ranked.join(F.broadcast(total), F.lit(True))
+        ranked = with_scalars(ranked, total)
     first = F.col("_upto") - F.col("_n")
     aggs = []
     for name, p in probs.items():

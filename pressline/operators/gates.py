@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..conf import SPLITS, GraphShape
 from ..functions.columns import all_true, coerce_double, coerce_int, count_where, has_text, require_columns, truth
+from ..functions.ordered import with_scalars
 from .keys import identical_records, one_row, set_compare
 
 
@@ -298,7 +299,7 @@ def complete_prediction_checks(preds: DataFrame, expected: DataFrame) -> DataFra
         F.count(F.lit(1)).alias("_ids"),
     )
     total = ids.agg(F.count(F.lit(1)).alias("_total"))
-    return per_model.join(F.broadcast(total), F.lit(True)).select(
+    return with_scalars(per_model, total).select(
         "model", "unique", (F.col("_known") & (F.col("_ids") == F.col("_total"))).alias("complete")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where
+from ..functions.ordered import with_scalars
 
 FRAME = ["candidate_id", "frame_id"]
 CONTINUOUS = ("x", "y", "speed")
@@ -89,32 +90,37 @@ def normalize_nodes(nodes: DataFrame, stats: DataFrame) -> DataFrame:
         c: F.when(F.col("valid"), (F.col(c) - F.col(f"mean_{c}")) / F.col(f"std_{c}")).otherwise(0.0)
         for c in CONTINUOUS
     }
-    return nodes.join(F.broadcast(stats), F.lit(True)).withColumns(scaled).select(*nodes.columns)
+    return with_scalars(nodes, stats).withColumns(scaled).select(*nodes.columns)
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, features: Sequence[str] = NODE_FEATURES, hops: int = 2) -> DataFrame:
     """Features after ``hops`` steps of D^-1/2 (A + I) D^-1/2, degrees counted at the target.
 
-    Each edge carries features from ``src`` to ``dst``; each node also keeps itself.
+    Each edge carries features from ``src`` to ``dst``; each node also keeps
+    itself. The link table knows the degree of its target, so one hop is one
+    join and one aggregate on the target.
     """
-    key = [*FRAME, "node_idx"]
-    ids = nodes.select(*FRAME, F.col("node_idx").alias("src"), F.col("node_idx").alias("dst"))
-    links = edges.select(*FRAME, "src", "dst").unionByName(ids)
-    degree = links.groupBy(*FRAME, F.col("dst").alias("node_idx")).agg(F.count(F.lit(1)).alias("_deg"))
-    state = nodes.select(*key, "valid", *features).join(degree, key)
+    target = Window.partitionBy(*FRAME, "dst")
+    loops = nodes.select(*FRAME, F.col("node_idx").alias("src"), F.col("node_idx").alias("dst"))
+    links = edges.select(*FRAME, "src", "dst").unionByName(loops).withColumn("_deg_dst", F.count(F.lit(1)).over(target))
+    own = links.where(F.col("src") == F.col("dst")).select(*FRAME, F.col("dst").alias("node_idx"), F.col("_deg_dst").alias("_deg"))
+    state = nodes.select(*FRAME, "node_idx", "valid", *features).join(own, [*FRAME, "node_idx"])
     for _ in range(hops):
         out = state.select(
-            *FRAME, F.col("node_idx").alias("src"), *[(F.col(c) / F.sqrt("_deg")).alias(c) for c in features]
+            *FRAME,
+            F.col("node_idx").alias("src"),
+            "valid",
+            *[(F.col(c) / F.sqrt("_deg")).alias(c) for c in features],
         )
-        sums = (
+        scale = F.sqrt(F.max("_deg_dst"))
+        state = (
             links.join(out, [*FRAME, "src"])
             .groupBy(*FRAME, F.col("dst").alias("node_idx"))
-            .agg(*[F.sum(c).alias(f"_s_{c}") for c in features])
-        )
-        state = (
-            state.drop(*features)
-            .join(sums, key)
-            .select(*key, "valid", "_deg", *[(F.col(f"_s_{c}") / F.sqrt("_deg")).alias(c) for c in features])
+            .agg(
+                F.bool_or((F.col("src") == F.col("dst")) & F.col("valid")).alias("valid"),
+                F.max("_deg_dst").alias("_deg"),
+                *[(F.sum(c) / scale).alias(c) for c in features],
+            )
         )
     return state.drop("_deg")
 

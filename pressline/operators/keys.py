@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import with_scalars
+
 
 def one_row(*tables: DataFrame) -> DataFrame:
-    """Put single-row aggregates side by side; each side has exactly one row."""
-    return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), tables)
+    """Put single-row aggregates side by side; the later ones enter as scalar subqueries."""
+    return reduce(with_scalars, tables)
 
 
 def checked_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -179,7 +179,7 @@ def preserve_upsert(source: DataFrame, existing: DataFrame) -> DataFrame:
         "_n",
     )
     top = old.agg(F.coalesce(F.max("annotation_order"), F.lit(0)).alias("_top"))
-    appended = numbers.select("candidate_id", "_n").join(F.broadcast(top), F.lit(True))  # one row
+    appended = ordered.with_scalars(numbers.select("candidate_id", "_n"), top)
     out = joined.join(appended, "candidate_id", "left")
     cols = [c for c in source_cols if c not in kept]
     rest = [c for c in kept if c != "annotation_order"]

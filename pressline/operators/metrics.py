@@ -26,8 +26,7 @@ def score_curve(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
         .agg(count_where(y).alias("pos"), count_where(~y).alias("neg"))
         .withColumn("_down", -F.col("probability"))
     )
-    slices = [F.floor(F.col("_down") * n).cast("bigint") for n in (65_536, 256)]
-    return ordered.running_sums(hist, keys, ["_down"], slices, {"tp": F.col("pos"), "fp": F.col("neg")}).drop("_down")
+    return ordered.running_sums(hist, keys, ["_down"], ordered.unit_slices("_down"), {"tp": F.col("pos"), "fp": F.col("neg")}).drop("_down")
 
 
 def rank_scores(preds: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -238,8 +238,8 @@ def _last(c: str) -> Column:
     return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("relative_time_s")))
 
 
-def player_response(rates: DataFrame) -> DataFrame:
-    out = rates.groupBy(*PLAYER).agg(
+def _response() -> list[Column]:
+    return [
         _first("distance_norm").alias("distance_t0"),
         _last("distance_norm").alias("distance_t1"),
         F.min("distance_norm").alias("min_distance"),
@@ -247,48 +247,63 @@ def player_response(rates: DataFrame) -> DataFrame:
         F.max("speed").alias("max_speed"),
         F.max("rate").alias("max_approach_rate"),
         F.avg("rate").alias("mean_approach_rate"),
-    )
-    return out.withColumns(
-        {
-            "distance_change": F.col("distance_t1") - F.col("distance_t0"),
-            "distance_reduction": F.col("distance_t0") - F.col("min_distance"),
-        }
-    )
+    ]
 
 
-def player_temporal(rates: DataFrame) -> DataFrame:
+def _changes() -> dict[str, Column]:
+    return {
+        "distance_change": F.col("distance_t1") - F.col("distance_t0"),
+        "distance_reduction": F.col("distance_t0") - F.col("min_distance"),
+    }
+
+
+def _temporal() -> list[Column]:
     frames = F.count("frame_id")
     toward = count_where(F.col("rate") > 0)
-    return rates.groupBy(*PLAYER).agg(
+    return [
         frames.alias("observed_frames"),
         F.avg("speed").alias("mean_speed"),
         _last("speed").alias("speed_t1"),
         toward.alias("positive_approach_frames"),
         F.coalesce(F.sum(F.abs("delta_distance")), F.lit(0.0)).alias("total_distance_movement"),
         share(toward, frames).alias("approach_frame_share"),
-    )
+    ]
+
+
+def player_response(rates: DataFrame) -> DataFrame:
+    return rates.groupBy(*PLAYER).agg(*_response()).withColumns(_changes())
+
+
+def player_temporal(rates: DataFrame) -> DataFrame:
+    return rates.groupBy(*PLAYER).agg(*_temporal())
 
 
 def player_extrema(rates: DataFrame) -> DataFrame:
-    """All response features of a player, with the time of the least distance and first approach."""
-    nearest = F.min_by(
-        F.struct("relative_time_s", "frame_id"), F.struct("distance_norm", "relative_time_s")
+    """All response features of a player, with the time of the least distance and first approach.
+
+    One aggregate per player: the three feature groups need no join.
+    """
+    nearest = F.min_by(F.struct("relative_time_s", "frame_id"), F.struct("distance_norm", "relative_time_s"))
+    players = rates.groupBy(*PLAYER).agg(
+        *_response(),
+        *_temporal(),
+        nearest.alias("_at"),
+        F.min(F.when(F.col("rate") > 0, F.col("relative_time_s"))).alias("first_approach_time"),
     )
-    extra = rates.groupBy(*PLAYER).agg(
-        nearest.alias("_at"), F.min(F.when(F.col("rate") > 0, F.col("relative_time_s"))).alias("first_approach_time")
+    ratio = F.when(F.col("distance_t0") > 0, F.col("distance_reduction") / F.col("distance_t0"))
+    return (
+        players.withColumns(_changes())
+        .withColumns(
+            {
+                "time_to_min_distance": F.col("_at.relative_time_s"),
+                "min_distance_frame": F.col("_at.frame_id"),
+                "distance_reduction_ratio": ratio,
+                "speed_change": F.col("speed_t1") - F.col("speed_t0"),
+                "approached_ball": truth(F.col("distance_change") < 0),
+            }
+        )
+        .drop("_at")
     )
-    joined = player_response(rates).join(player_temporal(rates), PLAYER).join(extra, PLAYER)
-    return joined.withColumns(
-        {
-            "time_to_min_distance": F.col("_at.relative_time_s"),
-            "min_distance_frame": F.col("_at.frame_id"),
-            "distance_reduction_ratio": F.when(
-                F.col("distance_t0") > 0, F.col("distance_reduction") / F.col("distance_t0")
-            ),
-            "speed_change": F.col("speed_t1") - F.col("speed_t0"),
-            "approached_ball": truth(F.col("distance_change") < 0),
-        }
-    ).drop("_at")
 
 
 def best_response(players: DataFrame, n: int = 1) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions.columns import bucket_of, count_where, seeded_key, truth
+from . import keys
 
 
 def seeded_top(df: DataFrame, strata: Sequence[str], n: int, seed: int, name: str = "pick") -> DataFrame:
@@ -124,8 +125,8 @@ def pilot_selection(queue: DataFrame, target: int = 28, seed: int = 42) -> DataF
     free = matches.where(F.col("_has_done") == 0)
     n_free = free.agg(F.count(F.lit(1)).alias("_n_free"))
     n_all = matches.agg(F.count(F.lit(1)).alias("_n_all"))
-    joined = matches.join(F.broadcast(totals), F.lit(True)).join(F.broadcast(n_free), F.lit(True))
-    joined = joined.join(F.broadcast(n_all), F.lit(True)).where((F.col("_has_done") == 0) | (F.col("_n_free") == 0))
+    joined = ordered.with_scalars(matches, keys.one_row(totals, n_free, n_all))
+    joined = joined.where((F.col("_has_done") == 0) | (F.col("_n_free") == 0))
     slots = F.when(F.col("_done") <= target, F.lit(target) - F.col("_done")).otherwise(
         F.raise_error(F.lit("more completed rows than the pilot holds"))
     )

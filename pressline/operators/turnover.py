@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..conf import SECOND, EpisodeConfig
 from ..functions import ordered
 from ..functions.columns import bucket_of, count_where, share, truth
+from ..session import stage
 
 PERIOD = ["match_id", "period_id"]
 FRAME_ORDER = ["t_us", "frame_id"]
@@ -41,18 +42,17 @@ def quick_regain(changes: DataFrame, cfg: EpisodeConfig) -> DataFrame:
     """
     h = cfg.regain_horizon_us
     bucket = bucket_of("t_us", h)
-    gain = F.struct("t_us", "frame_id")
-    gains = changes.select(
-        *PERIOD,
-        F.col("owner").alias("team"),
-        "t_us",
-        "frame_id",
-        F.explode(F.array(bucket, bucket - 1)).alias("_bucket"),
-        gain.alias("_gain"),
-    )
-    losses = changes.select(
-        *PERIOD, F.col("prev_owner").alias("team"), "t_us", "frame_id", bucket.alias("_bucket"), F.col("owner")
-    )
+
+    def row(team, bucket, gain):
+        nothing = F.lit(None).cast("struct<t_us:bigint,frame_id:bigint>")
+        return F.struct(
+            F.col(team).alias("team"),
+            bucket.alias("_bucket"),
+            (F.struct("t_us", "frame_id") if gain else nothing).alias("_gain"),
+        )
+
+    # One change is a loss of one team and a gain of the other, so each row is read once.
+    roles = F.array(row("prev_owner", bucket, False), row("owner", bucket, True), row("owner", bucket - 1, True))
     back = (
         Window.partitionBy(*PERIOD, "team", "_bucket")
         .orderBy(F.desc("t_us"), F.desc("frame_id"))
@@ -60,7 +60,7 @@ def quick_regain(changes: DataFrame, cfg: EpisodeConfig) -> DataFrame:
     )
     found = truth((F.col("_next.t_us") - F.col("t_us")) <= h)
     scanned = (
-        losses.unionByName(gains, allowMissingColumns=True)
+        changes.select(*PERIOD, "t_us", "frame_id", "owner", F.inline(roles))
         .withColumn("_next", F.last("_gain", ignorenulls=True).over(back))
         .where(F.col("_gain").isNull())
     )
@@ -93,7 +93,11 @@ def change_gap(candidates: DataFrame, cfg: EpisodeConfig) -> DataFrame:
 
 
 def gap_stats(gaps: DataFrame, value: str, thresholds: dict[str, float]) -> DataFrame:
-    """One row: count, mean, std, exact quantiles and counts up to each threshold."""
+    """One row: count, mean, std, exact quantiles and counts up to each threshold.
+
+    The values feed two scans, so they are written once instead of computed twice.
+    """
+    gaps = stage(gaps.select(value), "gaps")
     probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95}
     stats = gaps.agg(
         F.count(value).alias("n"),
@@ -103,8 +107,7 @@ def gap_stats(gaps: DataFrame, value: str, thresholds: dict[str, float]) -> Data
         F.max(value).alias("max"),
         *[count_where(F.col(value) <= limit).alias(name) for name, limit in thresholds.items()],
     )
-    # Both sides are one row by construction.
-    return stats.join(F.broadcast(ordered.exact_quantiles(gaps, [], value, probs)), F.lit(True))
+    return ordered.with_scalars(stats, ordered.exact_quantiles(gaps, [], value, probs))
 
 
 def regain_distribution(candidates: DataFrame) -> DataFrame:

@@ -56,18 +56,17 @@ def with_class_weights(df: DataFrame, train: DataFrame, label: str = LABEL) -> D
 
 
 def train_medians(train: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row of exact medians; a feature without any value gets 0."""
-    per_feature = [
-        ordered.exact_quantiles(train.select(F.col(c).cast("double").alias(c)), [], c, {f"med_{c}": 0.5})
-        for c in names
-    ]
-    return keys.one_row(*per_feature).withColumns({f"med_{c}": F.coalesce(f"med_{c}", F.lit(0.0)) for c in names})
+    """One row of exact medians, all features in one pass; a feature without any value gets 0."""
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], list(names), "feature", "value")
+    medians = ordered.exact_quantiles(long, ["feature"], "value", {"median": 0.5})
+    return medians.agg(
+        *[F.coalesce(F.max(F.when(F.col("feature") == c, F.col("median"))), F.lit(0.0)).alias(f"med_{c}") for c in names]
+    )
 
 
 def impute(df: DataFrame, train: DataFrame, names: Sequence[str]) -> DataFrame:
-    medians = train_medians(train, names)
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"med_{c}")) for c in names}
-    return df.join(F.broadcast(medians), F.lit(True)).withColumns(filled).select(*df.columns)
+    return ordered.with_scalars(df, train_medians(train, names)).withColumns(filled).select(*df.columns)
 
 
 def impute_scale(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -79,7 +78,7 @@ def impute_scale(df: DataFrame, names: Sequence[str]) -> DataFrame:
     scaled = {
         c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in names
     }
-    return filled.join(F.broadcast(stats), F.lit(True)).withColumns(scaled).select(*df.columns)
+    return ordered.with_scalars(filled, stats).withColumns(scaled).select(*df.columns)
 
 
 def baseline_dataset(features: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -119,7 +118,7 @@ def fit_logistic(rows: DataFrame, iterations: int = 2000) -> object:
     """L2 with unit strength against the summed loss: the penalty of the mean loss is 1/n."""
     n = max(rows.count(), 1)
     return LogisticRegression(
-        maxIter=iterations, regParam=1.0 / n, standardization=False, weightCol="weight", tol=1e-8
+        maxIter=iterations, regParam=1.0 / n, standardization=False, weightCol="weight", tol=1e-6
     ).fit(rows)
 
 
@@ -176,7 +175,7 @@ def evaluate(preds: DataFrame) -> DataFrame:
     flag = checks.select(passed.alias("_passed"))
     by_split = metrics.classification_metrics(preds, ["model", "split"]).withColumn("match_id", F.lit("ALL"))
     by_match = metrics.classification_metrics(preds, ["model", "split", "match_id"])
-    both = by_split.unionByName(by_match).join(F.broadcast(flag), F.lit(True))
+    both = ordered.with_scalars(by_split.unionByName(by_match), flag)
     model = F.when(F.col("_passed"), F.col("model")).otherwise(F.raise_error(F.lit("predictions failed the checks")))
     return both.withColumn("model", model).drop("_passed")
 
