@@ -23,7 +23,7 @@ EVENT_CFG = EpisodeConfig(
     post_us=24 * HOUR,
     regain_horizon_us=24 * HOUR,
     frame_step_us=3 * HOUR,
-    slices=TimeSlices(fine=HOUR, coarse=128 * HOUR),
+    slices=TimeSlices(fine=HOUR),  # at most 16 days, 384 slices, per period
 )
 # Embeddings give 32 frames per episode, the turnover in frame 15.
 TRACK_CFG = EpisodeConfig(pre_us=600_000, post_us=640_000)

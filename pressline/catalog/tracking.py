@@ -267,14 +267,14 @@ def _(s):
     return gates.crop_checks(graph.crop(_nodes(s), 0.0, 0.64), 17, 40_000)
 
 
-view("fx_train_nodes", "SELECT * FROM fx_nodes WHERE CAST(substr(match_id, 2) AS INT) % 3 <> 2")
+view("fx_train_nodes", "SELECT * FROM (SELECT *, CASE CAST(regexp_extract(match_id, '\\d+') AS INT) % 5 WHEN 3 THEN 'validation' WHEN 4 THEN 'test' ELSE 'train' END AS split FROM fx_nodes) WHERE split = 'train'")
 view("fx_norm", """
 SELECT avg(x) AS mean_x, avg(y) AS mean_y, avg(speed) AS mean_speed, greatest(stddev_pop(x), 1e-6) AS std_x, greatest(stddev_pop(y), 1e-6) AS std_y,
        greatest(stddev_pop(speed), 1e-6) AS std_speed FROM fx_train_nodes WHERE valid""")
 
 
 def _norm(s):
-    return graph.feature_normalizer(s.graph_nodes.where(F.substring("match_id", 2, 9).cast("int") % 3 != 2))
+    return graph.feature_normalizer(s.graph_nodes.where(s.split_of_source() == "train"))
 
 
 @query("feature_normalizer", "SELECT round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y, round(mean_speed, 6) AS mean_speed, round(std_x, 6) AS std_x, round(std_y, 6) AS std_y, round(std_speed, 6) AS std_speed FROM fx_norm")

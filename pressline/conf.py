@@ -10,17 +10,18 @@ HOUR = 3_600 * SECOND
 
 @dataclass(frozen=True)
 class TimeSlices:
-    """Widths that cut a long time axis into pieces, finest first.
+    """Widths that cut the time axis of a period into slices.
 
-    ``fine`` bounds what one task sorts; ``coarse`` bounds the second level, so
-    that carrying state across slices never gathers all slices of a hot group.
+    ``fine`` bounds what one task sorts. The slices of one period are then
+    scanned in one task: a period of hours has a few hundred of them. A time
+    axis without such a bound takes ``coarse`` slices as a second level.
     """
 
     fine: int = 60 * SECOND
-    coarse: int = 60 * 256 * SECOND
+    coarse: int | None = None
 
     def widths(self) -> list[int]:
-        return [self.fine, self.coarse]
+        return [self.fine] if self.coarse is None else [self.fine, self.coarse]
 
 
 @dataclass(frozen=True)

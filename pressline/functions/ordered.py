@@ -113,6 +113,33 @@ def running_sums(
     return out.select(*df.columns, *[F.col(f"_r_{n}").alias(n) for n in sums])
 
 
+def _seen(rows: DataFrame, keys: list[str], order: list[str], slices: list[Column]) -> DataFrame:
+    """Adds ``_seen``, the last non-null ``_mark`` strictly before the row."""
+    if not slices:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("_seen", F.last("_mark", ignorenulls=True).over(w))
+    levels = [f"_s{i}" for i in range(len(slices))]
+    placed = rows.withColumns(dict(zip(levels, slices)))
+    newest = F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.struct(*order)))
+    tails = placed.groupBy(*keys, *levels).agg(newest.alias("_mark"))
+    carry = _seen(tails, keys, levels[:1], [F.col(c) for c in levels[1:]]).select(
+        *keys, F.col("_s0").alias("_slice"), F.col("_seen").alias("_mark"), F.lit(0).alias("_real")
+    )
+    here = rows.withColumns({"_slice": slices[0], "_real": F.lit(1)})
+    both = here.unionByName(carry.where(F.col("_mark").isNotNull()), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_slice").orderBy("_real", *order).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_seen", F.last("_mark", ignorenulls=True).over(w))
+    return found.where(F.col("_real") == 1).drop("_real", "_slice")
+
+
+def last_seen(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: Sequence[Column], mark: Column, name: str
+) -> DataFrame:
+    """Last non-null value of ``mark`` strictly before each row, in ascending ``order``."""
+    out = _seen(df.withColumn("_mark", mark), list(keys), list(order), list(slices))
+    return out.select(*df.columns, F.col("_seen").alias(name))
+
+
 def row_numbers(df, keys, order, slices, name="rn") -> DataFrame:
     return running_sums(df, keys, order, slices, {name: F.lit(1).cast("bigint")})
 
@@ -211,6 +238,6 @@ def text_slices(c: Column | str) -> list[Column]:
     ]
 
 
-def number_slices(c: Column | str, fine: int = 1 << 14, coarse: int = 1 << 24) -> list[Column]:
-    """Slices of an integer order with roughly one row per value."""
-    return time_slices(c, [fine, coarse])
+def number_slices(c: Column | str, width: int = 1 << 20) -> list[Column]:
+    """Slices of an integer order with about one row per value, such as a row number."""
+    return time_slices(c, [width])

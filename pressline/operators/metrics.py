@@ -41,7 +41,8 @@ def rank_scores(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def confusion(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
+def confusion(preds: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Confusion counts per group, with any further aggregates from the same pass."""
     y, p = F.col("y_true"), F.col("y_pred")
     return preds.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -49,6 +50,7 @@ def confusion(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
         count_where((y == 0) & (p == 1)).alias("fp"),
         count_where((y == 1) & (p == 0)).alias("fn"),
         count_where((y == 1) & (p == 1)).alias("tp"),
+        *more,
     )
 
 
@@ -90,8 +92,7 @@ def extended_rates() -> dict[str, Column]:
 
 def classification_metrics(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All metrics per group; a group scored with two thresholds is an error."""
-    grouped = confusion(preds, keys)
-    limits = preds.groupBy(*keys).agg(F.min("threshold").alias("_low"), F.max("threshold").alias("threshold"))
+    limits = [F.min("threshold").alias("_low"), F.max("threshold").alias("threshold")]
     checked = F.when(
         truth(F.col("_low") == F.col("threshold")), F.col("threshold")
     ).otherwise(F.raise_error(F.lit("one evaluation group has no single threshold")))
@@ -102,7 +103,7 @@ def classification_metrics(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
     )
     return (
-        grouped.join(limits, list(keys))
+        confusion(preds, keys, *limits)
         .withColumns({**rates(), "threshold": checked, "confusion_matrix": matrix})
         .drop("_low")
         .join(rank_scores(preds, keys), list(keys))

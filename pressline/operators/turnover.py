@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import SECOND, EpisodeConfig
 from ..functions import ordered
-from ..functions.columns import bucket_of, count_where, share, truth
+from ..functions.columns import count_where, share, truth
 from ..session import stage
 
 PERIOD = ["match_id", "period_id"]
@@ -36,34 +36,29 @@ def alive_changes(frames: DataFrame, cfg: EpisodeConfig) -> DataFrame:
 def quick_regain(changes: DataFrame, cfg: EpisodeConfig) -> DataFrame:
     """First later change that gives the ball back to the losing team.
 
-    Forward as-of over a union of loss rows and gain rows of each team, scanned
-    backwards in time. The horizon bounds the search, so rows are cut into
-    buckets of one horizon and gains are also offered to the bucket before.
+    A forward as-of join without a join: each change is a loss of one team and
+    a gain of the other, and a scan backwards in time carries the nearest gain
+    to each loss. The scan is sliced, so neither a hot period nor a long
+    horizon gathers in one task.
     """
-    h = cfg.regain_horizon_us
-    bucket = bucket_of("t_us", h)
 
-    def row(team, bucket, gain):
+    def role(team, gain):
         nothing = F.lit(None).cast("struct<t_us:bigint,frame_id:bigint>")
-        return F.struct(
-            F.col(team).alias("team"),
-            bucket.alias("_bucket"),
-            (F.struct("t_us", "frame_id") if gain else nothing).alias("_gain"),
-        )
+        return F.struct(F.col(team).alias("team"), (F.struct("t_us", "frame_id") if gain else nothing).alias("_gain"))
 
-    # One change is a loss of one team and a gain of the other, so each row is read once.
-    roles = F.array(row("prev_owner", bucket, False), row("owner", bucket, True), row("owner", bucket - 1, True))
-    back = (
-        Window.partitionBy(*PERIOD, "team", "_bucket")
-        .orderBy(F.desc("t_us"), F.desc("frame_id"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    found = truth((F.col("_next.t_us") - F.col("t_us")) <= h)
-    scanned = (
-        changes.select(*PERIOD, "t_us", "frame_id", "owner", F.inline(roles))
-        .withColumn("_next", F.last("_gain", ignorenulls=True).over(back))
-        .where(F.col("_gain").isNull())
+    roles = changes.select(
+        *PERIOD,
+        *FRAME_ORDER,
+        "owner",
+        (-F.col("t_us")).alias("_back_t"),
+        (-F.col("frame_id")).alias("_back_f"),
+        F.inline(F.array(role("prev_owner", False), role("owner", True))),
     )
+    slices = ordered.time_slices("_back_t", cfg.slices.widths())
+    scanned = ordered.last_seen(
+        roles, [*PERIOD, "team"], ["_back_t", "_back_f"], slices, F.col("_gain"), "_next"
+    ).where(F.col("_gain").isNull())
+    found = truth((F.col("_next.t_us") - F.col("t_us")) <= cfg.regain_horizon_us)
     return scanned.select(
         candidate_key().alias("candidate_id"),
         *PERIOD,
@@ -80,7 +75,10 @@ def quick_regain(changes: DataFrame, cfg: EpisodeConfig) -> DataFrame:
 
 
 def turnover_candidates(frames: DataFrame, cfg: EpisodeConfig) -> DataFrame:
-    return quick_regain(alive_changes(frames, cfg), cfg)
+    """Changes are a small fraction of the frames and feed several branches of the
+    regain scan: they are written once, so the frames are sorted once."""
+    changes = alive_changes(frames, cfg).select(*PERIOD, *FRAME_ORDER, "owner", "prev_owner")
+    return quick_regain(stage(changes, "changes"), cfg)
 
 
 def change_gap(candidates: DataFrame, cfg: EpisodeConfig) -> DataFrame:

@@ -38,6 +38,14 @@ def test_running_sums_and_row_numbers(spark):
     assert sorted(r.rn for r in no_key.collect()) == list(range(1, df.count() + 1))
 
 
+def test_last_seen(spark):
+    df = make(spark)
+    mark = F.when(F.col("n") == 3, F.col("f"))
+    got = ordered.last_seen(df, ["k"], ["t", "f"], ordered.time_slices("t", [300, 6000]), mark, "s")
+    w = Window.partitionBy("k").orderBy("t", "f").rowsBetween(Window.unboundedPreceding, -1)
+    same(got, df.withColumn("s", F.last(mark, ignorenulls=True).over(w)))
+
+
 def test_recent_rows(spark):
     df = make(spark)
     aggs = {"c": F.count_if(F.col("v") == "x"), "m": F.max("n")}
