@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def with_scalars(df: DataFrame, single: DataFrame) -> DataFrame:
-    """Columns of a one-row aggregate on every row, as a scalar subquery: no join."""
+    """Columns of a one-row aggregate on every row, as one scalar subquery: no join."""
     names = single.columns
     row = single.select(F.struct(*names)).scalar()
-    return df.withColumns({n: row[n] for n in names})
+    return df.withColumn("_single", row).select(*df.columns, *[F.col(f"_single.{n}").alias(n) for n in names])
 
 
 def time_slices(t: Column | str, widths: Sequence[int]) -> list[Column]:
