@@ -350,7 +350,7 @@ class Tables:
 
         window = windows.episode_window(self.track_candidates, self.track_frames, TRACK_CFG)
         seats = roster.active_roster(self.track_candidates, self.positions, roster.player_team(self.track_events))
-        return stage(roster.node_table(window, seats, self.positions), "nodes")
+        return stage(roster.node_table(self.track_candidates, window, seats, self.positions), "nodes")
 
     @cached_property
     def graph_edges(self) -> DataFrame:

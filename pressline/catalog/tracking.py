@@ -110,7 +110,7 @@ def _roster(s):
 
 
 def _nodes(s):
-    return roster.node_table(_window(s), _roster(s), s.positions)
+    return roster.node_table(s.track_candidates, _window(s), _roster(s), s.positions)
 
 
 def _distances(s):
@@ -290,7 +290,7 @@ SELECT candidate_id, frame_id, node_idx, valid, CASE WHEN valid THEN (x - mean_x
 
 @query("normalize_nodes", "SELECT candidate_id, frame_id, node_idx, valid, round(x, 5) AS x, round(y, 5) AS y, round(speed, 5) AS speed, is_ball, is_losing, is_opponent FROM fx_normed")
 def _(s):
-    out = graph.normalize_nodes(s.graph_nodes, _norm(s)).drop("match_id", "relative_time_s", "player_id")
+    out = graph.normalize_nodes(s.graph_nodes, _norm(s)).drop("match_id", "relative_time_s", "player_id", "t_us")
     return out.withColumns({c: F.round(c, 5) for c in ("x", "y", "speed")})
 
 

@@ -17,13 +17,15 @@ def episode_audit(
     """Counts, validity flags and the failed checks of every candidate."""
     window = windows.episode_window(candidates, frames, cfg)
     active = rosters.active_roster(candidates, positions, teams)
-    steps = windows.contiguity(window, cfg)
-    nodes = rosters.node_table(window, active, positions)
-    per_frame = nodes.groupBy("candidate_id", "frame_id").agg(
+    nodes = rosters.node_table(candidates, window, active, positions)
+    # Every frame has at least its ball node, so the frame checks read the same pass.
+    per_frame = nodes.groupBy("candidate_id", "frame_id", "t_us").agg(
         count_where(~F.col("valid")).alias("_bad"),
         count_where(~F.col("valid") & (F.col("is_ball") == 1)).alias("_bad_ball"),
     )
-    invalid = per_frame.groupBy("candidate_id").agg(
+    checked = windows.contiguity(
+        per_frame,
+        cfg,
         F.sum("_bad").alias("invalid_node_observations"),
         F.max("_bad").alias("max_invalid_nodes_per_frame"),
         F.sum("_bad_ball").alias("ball_invalid_frames"),
@@ -47,7 +49,7 @@ def episode_audit(
     joined = candidates.select(
         "candidate_id", "match_id", "period_id", "loss_frame", "loss_t_us", "label_regain_5s"
     )
-    for part in (steps, sizes, invalid, found.drop("loss_rows")):
+    for part in (checked, sizes, found.drop("loss_rows")):
         joined = joined.join(part, "candidate_id", "left")
     filled = joined.withColumns(
         {

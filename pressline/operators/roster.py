@@ -39,51 +39,54 @@ def active_roster(candidates: DataFrame, positions: DataFrame, teams: DataFrame)
     )
 
 
-def node_table(window: DataFrame, roster: DataFrame, positions: DataFrame) -> DataFrame:
+def node_table(candidates: DataFrame, window: DataFrame, roster: DataFrame, positions: DataFrame) -> DataFrame:
     """One row per (candidate, frame, node): roster order, the ball last.
 
     A missing position keeps speed and team flags but sets x = y = 0 and
-    ``valid`` to false.
+    ``valid`` to false. The ball takes a seat like a player, so the window is
+    read once; a candidate without roster still has its ball.
     """
-    frame = window.select("candidate_id", *PERIOD, "frame_id", "t_us", "relative_time_s")
-    seats = roster.select("candidate_id", "player_id", "is_losing", "node_idx")
+    size = roster.groupBy("candidate_id").agg(F.count(F.lit(1)).cast("int").alias("_seats"))
+    ball = candidates.select("candidate_id").join(size, "candidate_id", "left")
+    seats = roster.select("candidate_id", "player_id", "is_losing", "node_idx").unionByName(
+        ball.select(
+            "candidate_id",
+            F.lit("BALL").alias("player_id"),
+            F.lit(None).cast("boolean").alias("is_losing"),
+            F.coalesce("_seats", F.lit(0)).alias("node_idx"),
+        )
+    )
+    frame = window.select(
+        "candidate_id", *PERIOD, "frame_id", "t_us", "relative_time_s", "ball_x", "ball_y", "ball_speed"
+    )
     tracks = positions.select(*PERIOD, "frame_id", "player_id", "x", "y", "speed")
-    valid = F.col("x").isNotNull() & F.col("y").isNotNull()
-    zero, one = F.lit(0), F.lit(1)
-    players = (
+    is_ball = F.col("is_losing").isNull()
+
+    def either(ball_column, player_column):
+        return F.when(is_ball, F.col(ball_column)).otherwise(F.col(player_column))
+
+    def flag(c):
+        return F.when(c, 1).otherwise(0)
+
+    x, y = either("ball_x", "x"), either("ball_y", "y")
+    valid = x.isNotNull() & y.isNotNull()
+    return (
         frame.join(seats, "candidate_id")
         .join(tracks, [*PERIOD, "frame_id", "player_id"], "left")
         .select(
             "candidate_id",
             "match_id",
             "frame_id",
+            "t_us",
             "relative_time_s",
             "node_idx",
             "player_id",
-            F.when(valid, F.col("x")).otherwise(0.0).alias("x"),
-            F.when(valid, F.col("y")).otherwise(0.0).alias("y"),
-            F.coalesce("speed", F.lit(0.0)).alias("speed"),
-            zero.alias("is_ball"),
-            F.when(F.col("is_losing"), one).otherwise(zero).alias("is_losing"),
-            F.when(F.col("is_losing"), zero).otherwise(one).alias("is_opponent"),
+            F.when(valid, x).otherwise(0.0).alias("x"),
+            F.when(valid, y).otherwise(0.0).alias("y"),
+            F.coalesce(either("ball_speed", "speed"), F.lit(0.0)).alias("speed"),
+            flag(is_ball).alias("is_ball"),
+            flag(F.col("is_losing")).alias("is_losing"),
+            flag(~F.col("is_losing")).alias("is_opponent"),
             valid.alias("valid"),
         )
     )
-    size = roster.groupBy("candidate_id").agg(F.count(F.lit(1)).cast("int").alias("_seats"))
-    ball_valid = F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull()
-    ball = window.join(size, "candidate_id", "left").select(
-        "candidate_id",
-        "match_id",
-        "frame_id",
-        "relative_time_s",
-        F.coalesce("_seats", F.lit(0)).alias("node_idx"),
-        F.lit("BALL").alias("player_id"),
-        F.when(ball_valid, F.col("ball_x")).otherwise(0.0).alias("x"),
-        F.when(ball_valid, F.col("ball_y")).otherwise(0.0).alias("y"),
-        F.coalesce("ball_speed", F.lit(0.0)).alias("speed"),
-        one.alias("is_ball"),
-        zero.alias("is_losing"),
-        zero.alias("is_opponent"),
-        ball_valid.alias("valid"),
-    )
-    return players.unionByName(ball)

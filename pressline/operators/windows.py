@@ -117,13 +117,17 @@ def lookback_state(candidates: DataFrame, frames: DataFrame, cfg: EpisodeConfig,
     return candidates.select("candidate_id", *PERIOD, "loss_frame").join(before, [*PERIOD, "loss_frame"])
 
 
-def contiguity(window: DataFrame, cfg: EpisodeConfig) -> DataFrame:
-    """Per candidate: are all frame steps 1 and all time steps regular; false below two rows."""
+def contiguity(window: DataFrame, cfg: EpisodeConfig, *more: Column) -> DataFrame:
+    """Per candidate: are all frame steps 1 and all time steps regular; false below two rows.
+
+    ``more`` adds aggregates over the same rows.
+    """
     w = Window.partitionBy("candidate_id").orderBy("t_us", "frame_id")
-    steps = window.select(
-        "candidate_id",
-        (F.col("frame_id") - F.lag("frame_id").over(w)).alias("_df"),
-        (F.col("t_us") - F.lag("t_us").over(w)).alias("_dt"),
+    steps = window.withColumns(
+        {
+            "_df": F.col("frame_id") - F.lag("frame_id").over(w),
+            "_dt": F.col("t_us") - F.lag("t_us").over(w),
+        }
     )
     some = F.count("_df") > 0
     regular = F.abs(F.col("_dt") - cfg.frame_step_us) <= cfg.step_tolerance_us
@@ -131,6 +135,7 @@ def contiguity(window: DataFrame, cfg: EpisodeConfig) -> DataFrame:
         F.count(F.lit(1)).alias("frame_count"),
         (some & F.coalesce(F.bool_and(F.col("_df") == 1), F.lit(False))).alias("continuous_frames"),
         (some & F.coalesce(F.bool_and(regular), F.lit(False))).alias("regular_25hz"),
+        *more,
     )
 
 
