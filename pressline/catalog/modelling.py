@@ -2,13 +2,11 @@
 
 # ruff: noqa: E501
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import graph, labels
 from ..plans import models
-from ..session import shared_folder, stage
+from ..session import stage
 from .bindings import doc_id_key
 from .registry import query, view
 from .scoring import R9
@@ -118,10 +116,9 @@ def _(s):
     annotations = s.annotations.where(label.isNotNull()).withColumn("annotation_notes", noted)
     annotations = annotations.join(s.manifest.select("candidate_id"), "candidate_id", "left_semi")
     manifest = labels.model_manifest(s.episodes, annotations, s.split_table)
-    out = f"{shared_folder(s.spark)}/final-{uuid.uuid4().hex}"
-    return models.final_run(
-        annotations, manifest, _doc_features(s), ["n_chars", "n_words"], out, SHORT, minimum_per_class=1
-    )
-
-
-
+    names = ["n_chars", "n_words"]
+    trainers = {
+        "logistic_regression": lambda rows: models.train_logistic(rows, names),
+        "boosted_trees": lambda rows: models.train_boosted(rows, names, SHORT),
+    }
+    return models.final_run(annotations, manifest, _doc_features(s), trainers, minimum_per_class=1)

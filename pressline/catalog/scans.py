@@ -114,11 +114,13 @@ def _(s):
     manifest = inventory.select(F.create_map("path", "sha256").alias("artifact_sha256"))
     usable = s.annotations.where(F.col("is_gegenpressing").isNotNull())
     flags = usable.agg(C.all_true(F.col("is_gegenpressing").isin(-1, 0, 1)).cast("string").alias("ok"))
-    names = ["baseline.final_run", "temporal_gnn.final_run", "evaluation.final_run", "check.labels_valid"]
+    names = ["baseline.final_run", "temporal_gnn.final_run", "evaluation.final_run", "check.annotation.labels_valid", "check.evaluation.labels_valid"]
     rows = [F.struct(F.lit(n).alias("name"), F.col("ok").alias("value")) for n in names]
-    fixed = [F.struct(F.lit("status").alias("name"), F.lit("final_training_complete").alias("value")), F.struct(F.lit("summary.status").alias("name"), F.lit("FINAL").alias("value"))]
-    metadata = flags.select(F.inline(F.array(*rows, *fixed)))
-    return gates.artifact_checks(inventory, tables.listed_hashes(manifest), ["documents.parquet", "labels.parquet"], metadata, usable)
+    fixed = [("status", "final_training_complete"), ("summary.status", "FINAL"), ("model", "m1"), ("model", "m2")]
+    rows += [F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in fixed]
+    metadata = flags.select(F.inline(F.array(*rows)))
+    files = ["documents.parquet", "labels.parquet", "events.parquet"]
+    return gates.artifact_checks(inventory, tables.listed_hashes(manifest), metadata, usable, files, files[:2], ["m1", "m2"])
 
 
 @query("require_columns", "SELECT match_id, period_id, t_us, frame_id, owner FROM fx_frames")

@@ -7,6 +7,7 @@ holds a distinct set in one task. Empty input passes, as ``all()`` would.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,10 @@ def _any(c: Column) -> Column:
     return F.coalesce(F.bool_or(truth(c)), F.lit(False))
 
 
+def _all_of(flags: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, flags, F.lit(True))
+
+
 def annotation_checks(annotations: DataFrame) -> DataFrame:
     require_columns(
         annotations, "candidate_id", "match_id", "is_gegenpressing", "annotation_confidence", "annotation_notes", "annotator"
@@ -52,9 +57,7 @@ def manifest_checks(manifest: DataFrame) -> DataFrame:
         *[_any(F.col("split") == s).alias(f"_{s}") for s in SPLITS],
         all_true(F.col("split").isin(*SPLITS)).alias("_known"),
     )
-    present = F.col("_known")
-    for s in SPLITS:
-        present = present & F.col(f"_{s}")
+    present = _all_of([F.col("_known"), *[F.col(f"_{s}") for s in SPLITS]])
     per_match = manifest.groupBy("match_id").agg(F.min("split").alias("_a"), F.max("split").alias("_b"))
     one_split = per_match.agg(all_true(F.col("_a") == F.col("_b")).alias("all_matches_have_one_split"))
     return one_row(
@@ -106,9 +109,7 @@ def prediction_checks(preds: DataFrame) -> DataFrame:
         all_true(F.col("split").isin(*SPLITS)).alias("_known"),
     )
     single = ((F.col("_some") == 0) & (F.col("_none") > 0)) | ((F.col("_none") == 0) & (F.col("_low") == F.col("_high")))
-    splits = F.col("_known")
-    for s in SPLITS:
-        splits = splits & F.col(f"_{s}")
+    splits = _all_of([F.col("_known"), *[F.col(f"_{s}") for s in SPLITS]])
     models = per_model.agg(
         (F.count(F.lit(1)) >= 2).alias("at_least_two_models"),
         all_true(single).alias("one_threshold_per_model"),
@@ -305,18 +306,32 @@ def complete_prediction_checks(preds: DataFrame, expected: DataFrame) -> DataFra
 
 
 def artifact_checks(
-    inventory: DataFrame, listed: DataFrame, critical: Sequence[str], metadata: DataFrame, annotations: DataFrame
+    inventory: DataFrame,
+    listed: DataFrame,
+    metadata: DataFrame,
+    annotations: DataFrame,
+    expected_files: Sequence[str],
+    critical: Sequence[str],
+    expected_models: Sequence[str],
 ) -> DataFrame:
-    """Files of a finished run against its manifest.
+    """Twelve checks of a finished run.
 
-    ``inventory`` (path, sha256, bytes), ``listed`` (path, sha256) from the run
-    manifest, ``metadata`` (name, value) with the final flags as text.
+    ``inventory`` (path, sha256, bytes) of the run folder, ``listed`` (path,
+    sha256) from its manifest, ``metadata`` (name, value) as text: the final
+    flags, one ``model`` row per evaluated model, and ``check.evaluation.*`` /
+    ``check.annotation.*`` results.
     """
-    joined = listed.select("path", F.col("sha256").alias("_want")).join(inventory, "path", "left")
-    values = metadata.agg(
+    name, value = F.col("name"), F.lower("value")
+
+    def passed(prefix):
+        of = name.startswith(prefix)
+        return _any(of) & all_true(~of | (value == "true"))
+
+    is_model = name == "model"
+    flags = metadata.agg(
         *[
-            _any((F.col("name") == name) & (F.lower("value") == want)).alias(flag)
-            for flag, name, want in (
+            _any((name == key) & (value == want)).alias(flag)
+            for flag, key, want in (
                 ("baseline_marked_final", "baseline.final_run", "true"),
                 ("graph_model_marked_final", "temporal_gnn.final_run", "true"),
                 ("evaluation_marked_final", "evaluation.final_run", "true"),
@@ -324,15 +339,20 @@ def artifact_checks(
                 ("summary_marked_final", "summary.status", "final"),
             )
         ],
-        all_true(~F.col("name").startswith("check.") | (F.lower("value") == "true")).alias("checks_passed"),
-        _any(F.col("name").startswith("check.")).alias("_has_checks"),
+        passed("check.evaluation.").alias("evaluation_checks_passed"),
+        passed("check.annotation.").alias("annotation_checks_passed"),
+        (
+            all_true(~is_model | F.col("value").isin(*expected_models))
+            & _all_of([_any(is_model & (F.col("value") == m)) for m in expected_models])
+        ).alias("expected_models_present"),
     )
-    need = len(set(critical))
+    files = inventory.where(F.col("path").isin(*expected_files) & (F.col("bytes") > 0))
+    joined = listed.select("path", F.col("sha256").alias("_want")).join(inventory, "path", "left")
     return one_row(
-        inventory.agg(all_true(F.col("bytes") > 0).alias("all_files_nonempty")),
-        values.withColumn("checks_passed", F.col("checks_passed") & F.col("_has_checks")).drop("_has_checks"),
+        files.agg((F.count(F.lit(1)) == len(set(expected_files))).alias("all_expected_files_nonempty")),
+        flags,
         listed.where(F.col("path").isin(*critical)).agg(
-            (F.count(F.lit(1)) >= need).alias("critical_hashes_listed")
+            (F.count(F.lit(1)) >= len(set(critical))).alias("critical_hashes_listed")
         ),
         joined.agg(
             (all_true(F.col("sha256") == F.col("_want")) & (F.count(F.lit(1)) > 0)).alias("artifact_hashes_match")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..conf import MATCH_SPLIT
 from ..functions import ordered
 from ..functions.columns import coerce_int, count_where, seeded_key, share, strict_bool, truth
 from . import keys
@@ -61,6 +62,16 @@ def assign_split(df: DataFrame, split_table: DataFrame) -> DataFrame:
     return df.join(known, "match_id", "left").withColumn("split", split).drop("_split")
 
 
+def assign_fixed_split(df: DataFrame, mapping: dict[str, str] = MATCH_SPLIT) -> DataFrame:
+    """Split by a fixed map, as a literal lookup: no join."""
+    lookup = F.create_map(*[F.lit(v) for pair in mapping.items() for v in pair])
+    split = F.coalesce(
+        F.try_element_at(lookup, F.col("match_id")),
+        F.raise_error(F.concat(F.lit("match without split: "), F.coalesce("match_id", F.lit("null")))),
+    )
+    return df.withColumn("split", split)
+
+
 def attach_annotations(episodes: DataFrame, annotations: DataFrame) -> DataFrame:
     available = [c for c in MANIFEST_ANNOTATIONS if c in annotations.columns]
     return keys.one_to_one_join(episodes, annotations.select(*available), ["candidate_id"], "left")

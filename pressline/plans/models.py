@@ -7,6 +7,7 @@ executor costs a re-read. Fits loop on the driver; rows never leave the cluster.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -217,32 +218,69 @@ def leave_one_match_out(
     return reduce(DataFrame.unionByName, held_out)
 
 
+def _as_rows(checks: DataFrame, prefix: str) -> DataFrame:
+    """One-row gate as (name, value) rows."""
+    entries = [F.struct(F.lit(f"{prefix}{c}").alias("name"), F.col(c).cast("string").alias("value")) for c in checks.columns]
+    return checks.select(F.inline(F.array(*entries)))
+
+
+def _require(checks: DataFrame, what: str) -> None:
+    """Stop the run on a failed gate; reads its single row."""
+    row = checks.first().asDict()
+    if not all(row.values()):
+        raise ValueError(f"{what}: {sorted(k for k, v in row.items() if not v)}")
+
+
 def final_run(
     annotations: DataFrame,
     manifest: DataFrame,
     features: DataFrame,
-    names: Sequence[str],
+    trainers: dict[str, Callable[[DataFrame], DataFrame]],
     folder: str | None = None,
-    boost: BoostConfig = BoostConfig(),
     minimum_per_class: int = 5,
 ) -> DataFrame:
-    """Gate, freeze, audit, train, evaluate, and return the hashed inventory of the run folder."""
+    """Gate, freeze, audit, train, evaluate, hash, and audit the run folder.
+
+    ``trainers`` maps a model name to dataset -> predictions. Returns the hashed
+    inventory of the run; a failed gate stops it.
+    """
     spark = annotations.sparkSession
     dataset = baseline_dataset(features, manifest)
-    gate = gates.readiness(annotations, dataset, minimum_per_class).first().asDict()
-    if not all(gate.values()):
-        raise ValueError(f"not ready for final training: {sorted(k for k, v in gate.items() if not v)}")
-    out = folder or f"{shared_folder(spark)}/final_run"
-    manifest.write.parquet(f"{out}/frozen_model_manifest")
-    annotations.write.parquet(f"{out}/frozen_annotations")
-    frozen = spark.read.parquet(f"{out}/frozen_annotations")
-    labels.annotation_summary(frozen, manifest).write.parquet(f"{out}/annotation_audit_summary")
-    labels.review_queue(frozen, manifest).write.parquet(f"{out}/annotation_review_queue")
-    for name, preds in {
-        "logistic": train_logistic(dataset, names),
-        "boosted": train_boosted(dataset, names, boost),
-    }.items():
-        preds.write.parquet(f"{out}/predictions/{name}")
-    combined = spark.read.parquet(f"{out}/predictions/logistic", f"{out}/predictions/boosted")
-    evaluate(combined).write.parquet(f"{out}/evaluation")
-    return tables.file_inventory(spark, out, "*.parquet")
+    _require(gates.readiness(annotations, dataset, minimum_per_class), "not ready for final training")
+    out = folder or f"{shared_folder(spark)}/final_run-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{out}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}/{name}")
+
+    frozen = keep(annotations, "frozen_annotations")
+    frozen_manifest = keep(manifest, "frozen_model_manifest")
+    keep(labels.annotation_summary(frozen, frozen_manifest), "annotation_audit_summary")
+    keep(labels.review_queue(frozen, frozen_manifest), "annotation_review_queue")
+    rows = stage(dataset, "dataset")
+    preds = [keep(train(rows), f"predictions/{name}") for name, train in trainers.items()]
+    combined = reduce(DataFrame.unionByName, preds)
+    keep(evaluate(combined), "evaluation")
+    fixed = [("status", "final_training_complete"), ("summary.status", "FINAL")]
+    fixed += [(f"{part}.final_run", "true") for part in ("baseline", "temporal_gnn", "evaluation")]
+    fixed += [("model", name) for name in trainers]
+    metadata = keep(
+        spark.createDataFrame(fixed, "name string, value string")
+        .unionByName(_as_rows(gates.prediction_checks(combined), "check.evaluation."))
+        .unionByName(_as_rows(gates.annotation_checks(frozen), "check.annotation.")),
+        "metadata",
+    )
+    inventory = tables.file_inventory(spark, out, "*.parquet").withColumn("part", F.substring_index("path", "/", 1))
+    listed = keep(inventory.select("path", "sha256"), "run_manifest")
+    parts = inventory.groupBy(F.col("part").alias("path")).agg(F.sum("bytes").alias("bytes"))
+    wanted = ["frozen_annotations", "frozen_model_manifest", "predictions", "evaluation", "metadata"]
+    _require(
+        parts.where(F.col("path").isin(*wanted) & (F.col("bytes") > 0)).agg(
+            (F.count(F.lit(1)) == len(wanted)).alias("run_folder_complete")
+        ),
+        "run folder",
+    )
+    _require(
+        gates.artifact_checks(inventory.drop("part"), listed, metadata, frozen, [], [], list(trainers)), "artifact audit"
+    )
+    return inventory

@@ -112,6 +112,10 @@ def test_unknown_match_is_an_error(spark):
     table = spark.createDataFrame([("y", "train")], "match_id string, split string")
     with pytest.raises(Exception, match="match without split"):
         labels.assign_split(df, table).collect()
+    with pytest.raises(Exception, match="match without split"):
+        labels.assign_fixed_split(df).collect()
+    known = spark.createDataFrame([("J03WQQ",), ("J03WPY",), ("J03WMX",)], "match_id string")
+    assert [r.split for r in labels.assign_fixed_split(known).collect()] == ["validation", "test", "train"]
 
 
 def test_duplicate_key_is_an_error(spark):

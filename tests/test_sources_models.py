@@ -48,14 +48,15 @@ def test_file_hashes_and_artifact_gate(spark, tmp_path):
     inventory = tables.file_inventory(spark, str(tmp_path))
     got = {r.path: (r.bytes, r.sha256) for r in inventory.collect()}
     assert got == {"sub/a.txt": (3, hashlib.sha256(b"abc").hexdigest()), "b.txt": (3, hashlib.sha256(b"xyz").hexdigest())}
-    names = ["baseline.final_run", "temporal_gnn.final_run", "evaluation.final_run", "check.x"]
-    meta = spark.createDataFrame([(n, "true") for n in names] + [("status", "final_training_complete"), ("summary.status", "FINAL")], "name string, value string")
+    names = ["baseline.final_run", "temporal_gnn.final_run", "evaluation.final_run", "check.annotation.x", "check.evaluation.y"]
+    meta = spark.createDataFrame([(n, "true") for n in names] + [("status", "final_training_complete"), ("summary.status", "FINAL"), ("model", "m")], "name string, value string")
     ann = spark.createDataFrame([(1,)], "is_gegenpressing int")
     good = spark.createDataFrame([({"sub\\a.txt": got["sub/a.txt"][1]},)], "artifact_sha256 map<string,string>")
-    assert all(gates.artifact_checks(inventory, tables.listed_hashes(good), ["sub/a.txt"], meta, ann).first().asDict().values())
+    assert all(gates.artifact_checks(inventory, tables.listed_hashes(good), meta, ann, ["b.txt"], ["sub/a.txt"], ["m"]).first().asDict().values())
     bad = spark.createDataFrame([({"b.txt": "0"},)], "artifact_sha256 map<string,string>")
-    row = gates.artifact_checks(inventory, tables.listed_hashes(bad), ["sub/a.txt"], meta, ann).first()
+    row = gates.artifact_checks(inventory, tables.listed_hashes(bad), meta, ann, ["b.txt", "gone.txt"], ["sub/a.txt"], ["m", "n"]).first()
     assert not row.artifact_hashes_match and not row.critical_hashes_listed
+    assert not row.all_expected_files_nonempty and not row.expected_models_present and row.summary_marked_final
 
 
 def test_partitioned_sink_round_trip(spark, tmp_path):
