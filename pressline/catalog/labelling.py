@@ -13,6 +13,11 @@ from .scoring import R9
 SPACING = EVENT_CFG.regain_horizon_us // 12  # 2 hours
 
 
+def _in_manifest(s):
+    """Annotations of strict-valid candidates."""
+    return keys.semi_filter(s.annotations, s.manifest, ["candidate_id"])
+
+
 # --- projections ------------------------------------------------------
 @query("strict_bool", "SELECT candidate_id, lower(strict_valid) = 'true' AS strict_valid, pilot_selected IN ('True', 'true', '1') AS pilot_selected FROM fx_episodes JOIN fx_annotations USING (candidate_id)")
 def _(s):
@@ -65,7 +70,7 @@ SELECT a.candidate_id, a.match_id, m.split, a.is_gegenpressing, a.annotation_con
 FROM fx_annotations a JOIN (SELECT candidate_id, split FROM fx_manifest) m USING (candidate_id) JOIN fx_reason r USING (candidate_id)
 WHERE r.review_reason IS NOT NULL""")
 def _(s):
-    return labels.review_queue(s.annotations, s.manifest)
+    return labels.review_queue(_in_manifest(s), s.manifest)
 
 
 # --- joins ------------------------------------------------------------
@@ -206,7 +211,7 @@ SELECT split, a.match_id, count(*) AS queue, count(a.is_gegenpressing) AS comple
        count(*) FILTER (WHERE a.is_gegenpressing = -1) AS uncertain, count(*) FILTER (WHERE a.annotation_confidence = 1) AS low_confidence
 FROM fx_annotations a JOIN (SELECT candidate_id, split FROM fx_manifest) m USING (candidate_id) GROUP BY split, a.match_id""")
 def _(s):
-    return labels.annotation_summary(s.annotations, s.manifest)
+    return labels.annotation_summary(_in_manifest(s), s.manifest)
 
 
 @query("annotation_progress", """

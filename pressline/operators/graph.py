@@ -71,6 +71,15 @@ def only_valid(nodes: DataFrame, audit: DataFrame) -> DataFrame:
     return nodes.join(audit.where("strict_valid").select("candidate_id"), "candidate_id", "left_semi")
 
 
+def require_valid(nodes: DataFrame, audit: DataFrame) -> DataFrame:
+    """The same nodes; a candidate that is not strict-valid stops the job."""
+    flags = audit.select("candidate_id", F.col("strict_valid").alias("_ok"))
+    checked = F.when(F.col("_ok"), F.col("candidate_id")).otherwise(
+        F.raise_error(F.concat(F.lit("candidate is not strict-valid: "), F.col("candidate_id")))
+    )
+    return nodes.join(flags, "candidate_id", "left").withColumn("candidate_id", checked).drop("_ok")
+
+
 def crop(rows: DataFrame, start_s: float = 0.0, end_s: float = 2.0, tol: float = 1e-5) -> DataFrame:
     """Frames from the turnover to the end of the decision window."""
     return rows.where(F.col("relative_time_s").between(start_s - tol, end_s + tol))

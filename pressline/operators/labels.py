@@ -103,8 +103,12 @@ def split_manifest(manifest: DataFrame) -> DataFrame:
 
 
 def _with_split(annotations: DataFrame, manifest: DataFrame) -> DataFrame:
-    split_map = manifest.select("candidate_id", "split").distinct()
-    return annotations.join(split_map, "candidate_id", "inner")
+    """Annotations with the split of their candidate; one without is an error."""
+    split_map = manifest.select("candidate_id", F.col("split").alias("_split")).distinct()
+    split = F.when(F.col("_split").isNotNull(), F.col("_split")).otherwise(
+        F.raise_error(F.concat(F.lit("annotation without split: "), F.col("candidate_id")))
+    )
+    return annotations.join(split_map, "candidate_id", "left").withColumn("split", split).drop("_split")
 
 
 def annotation_summary(annotations: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -49,6 +49,15 @@ def decision_window(candidates: DataFrame, frames: DataFrame, cfg: EpisodeConfig
     return joined.withColumn("relative_time_s", relative_seconds())
 
 
+def require_frames(candidates: DataFrame, window: DataFrame) -> DataFrame:
+    """Candidates with their frame count; an empty window stops the job."""
+    counts = window.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("frame_count"))
+    checked = F.when(F.col("frame_count") > 0, F.col("candidate_id")).otherwise(
+        F.raise_error(F.concat(F.lit("empty window: "), F.col("candidate_id")))
+    )
+    return candidates.join(counts, "candidate_id", "left").withColumn("candidate_id", checked)
+
+
 def outcome_window(candidates: DataFrame, frames: DataFrame, cfg: EpisodeConfig, pre_us: int = 0) -> DataFrame:
     """Frames from ``pre`` before the turnover to the regain; only candidates with one."""
     found = candidates.where(F.col("regain_found"))

@@ -40,6 +40,14 @@ def test_knn_equals_brute_force_in_a_crowded_frame(spark):
     assert {(r.src, r.dst) for r in graph.knn_edges(nodes(spark, points), 4).collect()} == want
 
 
+def test_invalid_candidate_stops_the_graph(spark):
+    df = nodes(spark, [(0, 0), (1, 1)])
+    audit = spark.createDataFrame([("c", False)], "candidate_id string, strict_valid boolean")
+    assert graph.only_valid(df, audit).count() == 0
+    with pytest.raises(Exception, match="not strict-valid"):
+        graph.require_valid(df, audit).collect()
+
+
 def test_normalizer_values(spark):
     df = spark.createDataFrame(
         [("c", 1, 0, 1.0, 2.0, 3.0, 0, 1, 0, True), ("c", 1, 1, 3.0, 4.0, 7.0, 0, 0, 1, True), ("c", 1, 2, 9.0, 9.0, 9.0, 1, 0, 0, False)],

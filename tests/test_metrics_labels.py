@@ -97,6 +97,13 @@ def test_review_queue_is_blinded(spark):
     assert not set(out.columns) & set(labels.OUTCOME_COLUMNS)
 
 
+def test_annotation_outside_the_manifest_is_an_error(spark):
+    ann = annotations(spark, [(-1, 2, "n", "a")])
+    manifest = spark.createDataFrame([("other", "train")], "candidate_id string, split string")
+    with pytest.raises(Exception, match="annotation without split"):
+        labels.annotation_summary(ann, manifest).collect()
+
+
 def test_prediction_gate(spark):
     a = preds(spark, [(0, 0.2), (1, 0.8)], "a")
     checks = gates.prediction_checks(a.unionByName(preds(spark, [(0, 0.2)], "b"))).first()

@@ -1,5 +1,6 @@
 """Micro cases of turnover detection, elapsed times and event windows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pressline.conf import EpisodeConfig, TimeSlices
@@ -92,6 +93,13 @@ def test_full_window_at_a_power_of_two(spark):
     assert c.continuous_frames and c.regular_25hz and c.frame_count == 101
 
 
+def test_empty_window_is_an_error(spark):
+    df = frames(spark, [(1, "A", "alive")])
+    cand = spark.createDataFrame([("c", "m", 1, 900_000_000)], "candidate_id string, match_id string, period_id int, loss_t_us long")
+    with pytest.raises(Exception, match="empty window"):
+        windows.require_frames(cand, windows.decision_window(cand, df, CFG)).collect()
+
+
 def test_interval_join_equals_plain_join(spark):
     df = frames(spark, [(f * 0.37, "A", "alive") for f in range(200)])
     cand = df.where(F.col("frame_id") % 30 < 9).select(
