@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import gates, keys, labels, sampling
+from ..session import shared_file
+from ..sources import tables
 from .bindings import EVENT_CFG, doc_id_key
 from .registry import query, view
 from .scoring import R9
@@ -29,13 +31,14 @@ def _(s):
     )
 
 
-RAW_NUMBER = "CASE WHEN doc_id % 7 = 0 THEN 'n/a' WHEN doc_id % 7 = 1 THEN ' ' ELSE CAST(doc_id % 3 AS VARCHAR) || '.0' END"
+RAW_NUMBER = "CASE WHEN doc_id % 7 = 0 THEN 'n/a' WHEN doc_id % 7 = 1 THEN ' ' WHEN doc_id % 7 = 2 THEN '0.5' ELSE CAST(doc_id % 3 AS VARCHAR) || '.0' END"
+WHOLE = f"try_cast({RAW_NUMBER} AS DOUBLE)"
 
 
-@query("coerce_numeric", f"SELECT 'D' || doc_id AS candidate_id, CAST(try_cast({RAW_NUMBER} AS DOUBLE) AS INT) AS value FROM documents")
+@query("coerce_numeric", f"SELECT 'D' || doc_id AS candidate_id, CAST(CASE WHEN {WHOLE} = floor({WHOLE}) THEN {WHOLE} END AS INT) AS value FROM documents")
 def _(s):
     doc = F.col("doc_id")
-    raw = F.when(doc % 7 == 0, "n/a").when(doc % 7 == 1, " ").otherwise(F.concat((doc % 3).cast("string"), F.lit(".0")))
+    raw = F.when(doc % 7 == 0, "n/a").when(doc % 7 == 1, " ").when(doc % 7 == 2, "0.5").otherwise(F.concat((doc % 3).cast("string"), F.lit(".0")))
     return s.table("documents").select(doc_id_key().alias("candidate_id"), C.coerce_int(raw).alias("value"))
 
 
@@ -94,8 +97,7 @@ SELECT e.candidate_id, e.match_id, a.is_gegenpressing, a.annotator,
          row_number() OVER (PARTITION BY a.annotation_order IS NULL ORDER BY e.match_id, e.period_id, e.loss_t_us, e.loss_frame) END) AS annotation_order
 FROM fx_episodes e LEFT JOIN fx_annotations a USING (candidate_id)""")
 def _(s):
-    existing = s.annotations.where(F.col("annotation_order").isNotNull())
-    return labels.preserve_upsert(s.episodes, existing).select(
+    return labels.preserve_upsert(s.episodes, s.annotations).select(
         "candidate_id", "match_id", "is_gegenpressing", "annotator", "annotation_order"
     )
 
@@ -310,14 +312,20 @@ def _(s):
     )
 
 
-view("fx_spaced", f"""
-SELECT * FROM (SELECT *, md5(candidate_id || '-42') || candidate_id AS d,
-  min(md5(candidate_id || '-42') || candidate_id) OVER (PARTITION BY match_id, period_id ORDER BY loss_t_us
-    RANGE BETWEEN {SPACING - 1} PRECEDING AND {SPACING - 1} FOLLOWING) AS least FROM fx_candidates) WHERE d = least""")
+# Rounds of picking the least digest within the spacing, until no row is open (0 open, 1 picked, 2 near a pick).
+NEAR = f"(PARTITION BY match_id, period_id ORDER BY loss_t_us RANGE BETWEEN {SPACING - 1} PRECEDING AND {SPACING - 1} FOLLOWING)"
+SPACED = f"""
+WITH RECURSIVE spaced AS (
+  SELECT candidate_id, match_id, period_id, loss_t_us, label_regain_5s, md5(candidate_id || '-42') || candidate_id AS d, 0 AS state FROM fx_candidates
+  UNION ALL
+  SELECT candidate_id, match_id, period_id, loss_t_us, label_regain_5s, d, CASE WHEN state > 0 THEN state WHEN pick THEN 1 WHEN near THEN 2 ELSE 0 END
+  FROM (SELECT *, bool_or(pick) OVER {NEAR} AS near FROM (
+    SELECT *, state = 0 AND d = min(CASE WHEN state = 0 THEN d END) OVER {NEAR} AS pick, count(*) FILTER (WHERE state = 0) OVER () AS open FROM spaced))
+  WHERE open > 0)"""
 
 
-@query("spaced_sample", """
-WITH p AS (SELECT *, row_number() OVER (PARTITION BY match_id, label_regain_5s ORDER BY md5(candidate_id || '-42'), candidate_id) AS r FROM fx_spaced),
+@query("spaced_sample", SPACED + """,
+     p AS (SELECT *, row_number() OVER (PARTITION BY match_id, label_regain_5s ORDER BY d) AS r FROM (SELECT DISTINCT * FROM spaced WHERE state = 1)),
      q AS (SELECT *, least(count(*) FILTER (WHERE label_regain_5s = 0) OVER (PARTITION BY match_id), count(*) FILTER (WHERE label_regain_5s = 1) OVER (PARTITION BY match_id)) AS quota FROM p WHERE r <= 3)
 SELECT candidate_id, match_id, label_regain_5s, quota AS sample_target_per_outcome FROM q WHERE r <= quota""")
 def _(s):
@@ -360,9 +368,12 @@ def _(s):
 
 
 # --- pipelines --------------------------------------------------------
-@query("explode_answers", "SELECT * FROM fx_answers")
+@query("explode_answers", "SELECT hash, role, candidate_id, person, label, confidence, notes, utc FROM fx_answers")
 def _(s):
-    return labels.explode_answers(s.answer_sheets)
+    """Sheets written as JSON files and read again."""
+    path = shared_file(s.spark, "answers")
+    s.answer_sheets.drop("sheet_id").write.json(path)
+    return labels.explode_answers(tables.read_answer_sheets(s.spark, [path], lines=True).drop("person"))
 
 
 @query("model_manifest", "SELECT * FROM fx_manifest")
@@ -381,20 +392,41 @@ def _(s):
 
 
 @query("label_finalize", """
-SELECT a.candidate_id, a.match_id, a.is_gegenpressing, coalesce(l.label_akhir, a.is_gegenpressing) AS label_final, l.keputusan
-FROM fx_annotations a LEFT JOIN fx_log l USING (candidate_id)""")
+SELECT a.candidate_id, a.match_id, a.is_gegenpressing AS label_original, CASE WHEN c.candidate_id IS NOT NULL THEN c.label ELSE a.is_gegenpressing END AS is_gegenpressing,
+       CASE WHEN c.candidate_id IS NOT NULL THEN 2 ELSE a.annotation_confidence END AS annotation_confidence,
+       coalesce(c.person, a.annotator) AS annotator, CASE WHEN c.candidate_id IS NOT NULL THEN '2024-03-01T00:00:00Z' ELSE a.annotated_at_utc END AS annotated_at_utc,
+       coalesce(c.notes, a.annotation_notes) AS annotation_notes, l.keputusan
+FROM fx_annotations a LEFT JOIN fx_log l USING (candidate_id) LEFT JOIN (
+  SELECT candidate_id, label_akhir AS label, CASE WHEN label_utama <> label_kedua THEN 'both' ELSE 'first' END AS person,
+         CASE WHEN label_utama <> label_kedua THEN 'agreed ' ELSE 'own ' END || candidate_id AS notes
+  FROM fx_log WHERE kelompok = 'prioritas' OR label_utama <> label_kedua) c USING (candidate_id)""")
 def _(s):
-    return labels.finalize_labels(s.annotations, _log(s))
+    log = _log(s)
+
+    def answers(person, label, note, rows):
+        return rows.select(
+            "candidate_id", label.alias("label"), F.lit(2).alias("confidence"), F.lit(person).alias("person"),
+            F.lit("2024-03-01T00:00:00Z").alias("utc"), F.concat(F.lit(note), "candidate_id").alias("notes"),
+        )
+
+    first = answers("first", F.col("label_utama"), "own ", log.where(F.col("kelompok") == "prioritas"))
+    consensus = answers("both", F.col("label_akhir"), "agreed ", log)
+    return labels.finalize_labels(s.annotations, log, labels.final_choices(first, consensus, log))
 
 
 @query("decision_summary", """
+WITH k AS (SELECT label_utama, label_kedua FROM fx_log WHERE kelompok = 'sampel')
 SELECT count(*) AS n, count(*) FILTER (WHERE kelompok = 'prioritas') AS n_prioritas, count(*) FILTER (WHERE kelompok = 'sampel') AS n_sampel,
        count(*) FILTER (WHERE label_utama <> label_kedua) AS n_perbedaan, count(*) FILTER (WHERE keputusan = 'diubah') AS diubah,
        count(*) FILTER (WHERE keputusan = 'dikeluarkan_ragu') AS dikeluarkan_ragu,
-       round(count(*) FILTER (WHERE kelompok = 'sampel' AND label_utama = label_kedua)::DOUBLE / count(*) FILTER (WHERE kelompok = 'sampel'), 9) AS kesepakatan_sampel
+       round(count(*) FILTER (WHERE kelompok = 'sampel' AND label_utama = label_kedua)::DOUBLE / count(*) FILTER (WHERE kelompok = 'sampel'), 9) AS kesepakatan_sampel,
+       count(*) FILTER (WHERE label_akhir = -1) AS label_uncertain, count(*) FILTER (WHERE label_akhir = 0) AS label_0, count(*) FILTER (WHERE label_akhir = 1) AS label_1,
+       (SELECT round((po - pe) / (1 - pe), 9) FROM (SELECT (SELECT avg(CASE WHEN label_utama = label_kedua THEN 1.0 ELSE 0.0 END) FROM k) AS po,
+          sum(CAST(a AS DOUBLE) * b) / pow((SELECT count(*) FROM k), 2) AS pe
+          FROM (SELECT v, (SELECT count(*) FROM k WHERE label_utama = v) AS a, (SELECT count(*) FROM k WHERE label_kedua = v) AS b FROM (VALUES (-1), (0), (1)) t(v)))) AS kappa_sampel
 FROM fx_log""")
 def _(s):
-    return R9(labels.decision_summary(_log(s)), "kesepakatan_sampel")
+    return R9(labels.decision_summary(_log(s)), "kesepakatan_sampel", "kappa_sampel")
 
 
 @query("decision_log_latest", """
@@ -481,21 +513,23 @@ def _(s):
 
 @query("gate_protocol", """
 WITH e AS (SELECT * FROM fx_manifest WHERE eligible_for_detection_training)
-SELECT (SELECT count(DISTINCT match_id) FROM e) = 20 AS expected_matches,
+SELECT (SELECT count(*) FROM ((SELECT match_id FROM e EXCEPT SELECT match_id FROM fx_split) UNION ALL (SELECT match_id FROM fx_split EXCEPT SELECT match_id FROM e))) = 0 AS expected_matches,
        (SELECT bool_and(a > 0 AND b > 0) FROM (SELECT count(*) FILTER (WHERE gegenpressing_label = 0) AS a, count(*) FILTER (WHERE gegenpressing_label = 1) AS b FROM e GROUP BY match_id)) AS both_classes_per_match,
        (SELECT count(*) FROM ((SELECT candidate_id FROM e EXCEPT SELECT candidate_id FROM fx_raters) UNION ALL (SELECT candidate_id FROM fx_raters EXCEPT SELECT candidate_id FROM e))) = 0 AS baseline_coverage_identical,
-       true AS graph_coverage_identical""")
+       (SELECT count(*) FROM ((SELECT candidate_id FROM e EXCEPT SELECT candidate_id FROM fx_annotations WHERE is_gegenpressing IN (0, 1))
+         UNION ALL (SELECT candidate_id FROM fx_annotations WHERE is_gegenpressing IN (0, 1) EXCEPT SELECT candidate_id FROM e))) = 0 AS graph_coverage_identical""")
 def _(s):
     e = s.manifest.where("eligible_for_detection_training")
-    return gates.protocol_checks(e, s.raters, e, 20)
+    return gates.protocol_checks(e, s.raters, s.annotations.where(F.col("is_gegenpressing").isin(0, 1)), s.split_table)
 
 
 @query("gate_answers", """
 SELECT bool_and(label IN (-1, 0, 1)) AS labels_valid, bool_and(confidence IN (1, 2, 3)) AS confidence_valid, bool_and(trim(notes) <> '') AS notes_present,
        bool_and(trim(person) <> '') AS person_present, bool_and(try_cast(utc AS TIMESTAMPTZ) IS NOT NULL) AS utc_valid,
-       count(DISTINCT lower(trim(person))) = 1 AS single_person, bool_and(role = 'second') AS role_matches, true AS ids_complete FROM fx_answers""")
+       count(DISTINCT lower(trim(person))) = 1 AS single_person, bool_and(role = 'second') AS role_matches, bool_and(hash = 'v1') AS hash_matches,
+       (SELECT count(*) FROM ((SELECT candidate_id FROM fx_answers EXCEPT SELECT candidate_id FROM fx_annotations) UNION ALL (SELECT candidate_id FROM fx_annotations EXCEPT SELECT candidate_id FROM fx_answers))) = 0 AS ids_complete FROM fx_answers""")
 def _(s):
-    return gates.answer_checks(labels.explode_answers(s.answer_sheets), s.raters, "second")
+    return gates.answer_checks(labels.explode_answers(s.answer_sheets), s.annotations, "second", "v1")
 
 
 @query("gate_raters", """

@@ -4,7 +4,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, labels
+from ..functions import ordered
+from ..functions.columns import seeded_key, strict_bool
+from ..operators import labels
 from ..plans import models
 from ..session import stage
 from .bindings import doc_id_key
@@ -12,8 +14,6 @@ from .registry import query, view
 from .scoring import R9
 
 FEATURES = ["f1", "f2", "f3"]
-# A short run for the registered queries; the library default is 200 rounds.
-SHORT = models.BoostConfig(iterations=10)
 
 view("fx_rows", """
 SELECT 'V' || vec_id AS candidate_id, 'G' || (vec_id % 7) AS match_id, CASE WHEN vec_id % 19 <> 0 THEN list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE)) END AS f1,
@@ -58,13 +58,20 @@ def _(s):
 
 
 @query("graph_dataset", """
-SELECT candidate_id, match_id, split, gegenpressing_label, 'g/' || candidate_id AS cache_file FROM fx_manifest WHERE candidate_id IN (SELECT candidate_id FROM fx_raters)""")
+SELECT candidate_id, match_id, split, gegenpressing_label, 'g/' || candidate_id AS cache_file FROM fx_manifest""")
 def _(s):
-    graphs = s.episodes.join(s.raters.select("candidate_id"), "candidate_id", "left_semi").select(
-        "candidate_id", "match_id", F.concat(F.lit("g/"), "candidate_id").alias("cache_file")
-    )
-    manifest = s.manifest.select("candidate_id", "match_id", "split", "gegenpressing_label")
-    return models.graph_dataset(manifest, graphs.join(manifest.select("candidate_id"), "candidate_id", "left_semi"))
+    """Graphs of strict-valid episodes against the whole manifest."""
+    valid = s.episodes.where(strict_bool("strict_valid", accept=("true",)))
+    graphs = valid.select("candidate_id", "match_id", F.concat(F.lit("g/"), "candidate_id").alias("cache_file"))
+    return models.graph_dataset(s.manifest.select("candidate_id", "match_id", "split", "gegenpressing_label"), graphs)
+
+
+def _graph_rows(s):
+    """Candidates of the tracks with a split that leaves every part both classes."""
+    rows = s.track_candidates.select("candidate_id", "match_id", F.col("label_regain_5s").alias("gegenpressing_label"), seeded_key("candidate_id", 42).alias("_digest"))
+    numbered = ordered.row_numbers(rows, ["gegenpressing_label"], ["_digest", "candidate_id"], ordered.digest_slices("_digest"), "_n")
+    place = F.col("_n") % 5
+    return numbered.withColumn("split", F.when(place == 1, "validation").when(place == 2, "test").otherwise("train")).drop("_n", "_digest")
 
 
 @query("train_logistic")
@@ -74,19 +81,12 @@ def _(s):
 
 @query("train_boosted")
 def _(s):
-    return models.train_boosted(s.feature_rows, FEATURES, SHORT)
+    return models.train_boosted(s.feature_rows, FEATURES)
 
 
 @query("train_graph_model")
 def _(s):
-    pooled = graph.temporal_pooling(graph.frame_embedding(graph.propagate(s.graph_nodes, s.graph_edges)))
-    frame = F.col("loss_frame")
-    rows = s.track_candidates.select(
-        "candidate_id", "match_id", F.col("label_regain_5s").alias("gegenpressing_label"),
-        F.when(frame % 500 == 215, "validation").when(frame % 500 == 415, "test").otherwise("train").alias("split"),
-    )
-    names = [f"{c}_{p}" for c in ("x", "y", "speed") for p in ("mean", "last", "slope", "max")]
-    return models.train_logistic(stage(pooled.join(rows, "candidate_id"), "pooled"), names, name="graph_model")
+    return models.train_graph_model(s.graph_nodes, s.graph_edges, _graph_rows(s))
 
 
 view("fx_eval", """
@@ -104,21 +104,21 @@ def _(s):
 @query("leave_one_match_out")
 def _(s):
     rows = stage(s.feature_rows, "rotation")
-    trainers = {"logistic": lambda df: models.train_logistic(df, FEATURES, models.macro_selector)}
+    trainers = {
+        "logistic": lambda df: models.train_logistic(df, FEATURES, models.macro_selector, "logistic"),
+        "boosted": lambda df: models.train_boosted(df, FEATURES, selector=models.macro_selector, name="boosted"),
+    }
     return models.leave_one_match_out(rows, trainers)
 
 
 @query("final_run")
 def _(s):
-    """Rows that a reviewer completed: every label has confidence, and uncertain ones a note."""
-    label = F.col("is_gegenpressing")
-    noted = F.when(label == -1, F.concat(F.lit("note "), "candidate_id")).otherwise(F.col("annotation_notes"))
-    annotations = s.annotations.where(label.isNotNull()).withColumn("annotation_notes", noted)
-    annotations = annotations.join(s.manifest.select("candidate_id"), "candidate_id", "left_semi")
+    """A run over the finished annotation of every strict-valid document; nothing is left out before the gate."""
+    annotations = s.finished_annotations
     manifest = labels.model_manifest(s.episodes, annotations, s.split_table)
     names = ["n_chars", "n_words"]
     trainers = {
         "logistic_regression": lambda rows: models.train_logistic(rows, names),
-        "boosted_trees": lambda rows: models.train_boosted(rows, names, SHORT),
+        "boosted_trees": lambda rows: models.train_boosted(rows, names),
     }
-    return models.final_run(annotations, manifest, _doc_features(s), trainers, minimum_per_class=1)
+    return models.final_run(annotations, manifest, _doc_features(s), trainers, lambda _: models.train_graph_model(s.graph_nodes, s.graph_edges, _graph_rows(s)))

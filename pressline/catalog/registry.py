@@ -37,8 +37,8 @@ def expand(sql: str) -> str:
     _closure(sql, seen)
     parts = [f"{n} AS (\n{_unsigned_zero(VIEWS[n])}\n)" for n in seen]
     sql = _unsigned_zero(sql)
-    if re.match(r"(?i)with\s", sql):
-        return "WITH " + ",\n".join([*parts, sql[4:].strip()]) if parts else sql
+    if head := re.match(r"(?i)with\s+(recursive\s+)?", sql):
+        return f"WITH {head[1] or ''}" + ",\n".join([*parts, sql[head.end() :].strip()]) if parts else sql
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
 
 

@@ -2,13 +2,11 @@
 
 # ruff: noqa: E501
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import gates, profile
-from ..session import shared_folder
+from ..session import shared_file
 from ..sources import tables, tracking
 from .bindings import EVENT_CFG
 from .registry import query, view
@@ -18,7 +16,7 @@ DAY = 86_400_000_000
 
 
 def _folder(s, name):
-    return f"{shared_folder(s.spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_file(s.spark, name)
 
 
 def elapsed_text(t):
@@ -33,8 +31,8 @@ def elapsed_text(t):
     )
 
 
-def _wide(s, slots=4):
-    """First players of each episode as columns, the way raw tracking files hold them."""
+def _wide(s, slots=22):
+    """All players of each episode as columns, the way raw tracking files hold them."""
     points = s._points.where(F.col("node") < slots)
     by = points.groupBy("match_id", "period_id", "frame_id", "t_us").agg(
         *[
@@ -56,7 +54,7 @@ def _(s):
 
 @query("unpivot_tracks", """
 SELECT match_id, period_id, frame_id, t_us, 'DFL-OBJ-' || lpad(CAST(node AS VARCHAR), 4, '0') AS player_id, x, y, speed FROM fx_points
-WHERE node < 4 AND coalesce(x, y, speed) IS NOT NULL AND episode IN (SELECT vec_id // 23 FROM embeddings WHERE vec_id % 23 = 22)""")
+WHERE node < 22 AND coalesce(x, y, speed) IS NOT NULL AND episode IN (SELECT vec_id // 23 FROM embeddings WHERE vec_id % 23 = 22)""")
 def _(s):
     return tracking.unpivot_tracks(_wide(s))
 

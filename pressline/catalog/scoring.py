@@ -5,6 +5,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from ..session import shared_file
+from ..sources import tables
 from .registry import query, view
 
 R9 = lambda df, *cols: df.withColumns({c: F.round(c, 9) for c in cols})
@@ -59,8 +61,12 @@ FROM fx_macro""")
 
 @query("union_predictions", "SELECT model, candidate_id, split, probability FROM fx_scores")
 def _(s):
-    parts = [s.scores.where(F.col("model") == m) for m in ("m1", "m2")]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True).select("model", "candidate_id", "split", "probability")
+    # written as one folder of files per model, with columns in different orders, and read as one table
+    paths = []
+    for model, cols in (("m1", ["model", "candidate_id", "split", "probability"]), ("m2", ["probability", "split", "model", "candidate_id", "match_id"])):
+        paths.append(shared_file(s.spark, "predictions"))
+        tables.write_csv(s.scores.where(F.col("model") == model).select(*cols), paths[-1])
+    return tables.read_predictions(s.spark, paths).select("model", "candidate_id", "split", "probability")
 
 
 @query("threshold_f1", "SELECT model, threshold FROM fx_threshold")

@@ -392,10 +392,11 @@ def _(s):
 
 
 view("fx_features", f"""
-SELECT c.*, {RUNS} FROM (SELECT candidate_id, max(total_pressers) AS max_total_pressers, max(direct_pressers) AS max_direct_pressers, max(approaching_pressers) AS max_approaching_pressers,
+SELECT t.candidate_id, c.* EXCLUDE (candidate_id), {RUNS} FROM (SELECT candidate_id, max(total_pressers) AS max_total_pressers, max(direct_pressers) AS max_direct_pressers, max(approaching_pressers) AS max_approaching_pressers,
   min(minimum_losing_distance_m) AS minimum_losing_distance_m, max(maximum_approach_rate_mps) AS maximum_approach_rate_mps,
   max(losing_players_within_10m) AS max_losing_players_within_10m, avg(local_compactness_m) AS mean_local_compactness_m,
-  arg_max_null(team_stretch_m, frame_id) - arg_min_null(team_stretch_m, frame_id) AS team_stretch_change_m FROM fx_cues GROUP BY candidate_id) c JOIN fx_islands USING (candidate_id)""")
+  arg_max_null(team_stretch_m, frame_id) - arg_min_null(team_stretch_m, frame_id) AS team_stretch_change_m FROM fx_cues GROUP BY candidate_id) c
+RIGHT JOIN (SELECT candidate_id FROM fx_tcand) t USING (candidate_id) LEFT JOIN fx_islands USING (candidate_id)""")
 REAL_FEATS = [c for c in pressure.FEATURES if c.endswith(("_m", "_mps", "_s"))]
 REAL_FEATS = [c for c in REAL_FEATS if c != "max_losing_players_within_10m"]
 FEAT_SQL = ", ".join(f"round({c}, 6) AS {c}" if c in REAL_FEATS else c for c in pressure.FEATURES)
@@ -403,10 +404,10 @@ FEAT_SQL = ", ".join(f"round({c}, 6) AS {c}" if c in REAL_FEATS else c for c in
 
 @query("pressure_features", f"SELECT candidate_id, {FEAT_SQL} FROM fx_features")
 def _(s):
-    return R6(pressure.pressure_features(_cues(s), CFG), *REAL_FEATS)
+    return R6(pressure.pressure_features(_cues(s), CFG, s.track_candidates), *REAL_FEATS)
 
 
-@query("stretch_change", "SELECT candidate_id, round(team_stretch_change_m, 6) AS team_stretch_change_m FROM fx_features")
+@query("stretch_change", "SELECT candidate_id, round(team_stretch_change_m, 6) AS team_stretch_change_m FROM fx_features WHERE candidate_id IN (SELECT candidate_id FROM fx_cues)")
 def _(s):
     return R6(pressure.stretch_change(_cues(s)), "team_stretch_change_m")
 
@@ -522,10 +523,10 @@ def _(s):
 # --- screening --------------------------------------------------------
 view("fx_screen", """
 SELECT f.*, t.label_regain_5s AS label_original, i.first_cue_s, i.dead_frames, i.frames, i.ball_z_max_raw, o.own AS max_own_approach_within_10m_mps, b.d0 AS distance_at_0_m, b.d1 AS distance_at_end_m, b.move AS ball_xy_displacement_m,
-       CASE WHEN max_total_pressers = 0 THEN 'prioritas_tanpa_cue_bola' WHEN pressure_duration_s < 0.4 THEN 'prioritas_cue_singkat'
+       CASE WHEN max_total_pressers IS NULL THEN 'tanpa_data' WHEN max_total_pressers = 0 THEN 'prioritas_tanpa_cue_bola' WHEN pressure_duration_s < 0.4 THEN 'prioritas_cue_singkat'
             WHEN t.label_regain_5s <> 1 THEN 'review_label_negatif_atau_ragu' ELSE 'belum_ditinjau_visual' END AS screening
-FROM fx_features f JOIN fx_tcand t USING (candidate_id) JOIN fx_first i USING (candidate_id)
-JOIN (SELECT candidate_id, arg_min_null(minimum_losing_distance_m, frame_id) AS d0, arg_max_null(minimum_losing_distance_m, frame_id) AS d1,
+FROM fx_tcand t LEFT JOIN fx_features f USING (candidate_id) LEFT JOIN fx_first i USING (candidate_id)
+LEFT JOIN (SELECT candidate_id, arg_min_null(minimum_losing_distance_m, frame_id) AS d0, arg_max_null(minimum_losing_distance_m, frame_id) AS d1,
         sqrt((arg_max_null(bx, frame_id) - arg_min_null(bx, frame_id)) ** 2 + (arg_max_null(by_, frame_id) - arg_min_null(by_, frame_id)) ** 2) AS move FROM fx_cues GROUP BY candidate_id) b USING (candidate_id)
 LEFT JOIN (SELECT candidate_id, max(own_approach) AS own FROM fx_own WHERE is_losing AND distance <= 10 GROUP BY candidate_id) o USING (candidate_id)""")
 
@@ -570,7 +571,7 @@ SELECT count(*) = count(DISTINCT candidate_id) AS candidate_id_unique,
   (SELECT count(*) FROM ((SELECT candidate_id FROM fx_features EXCEPT SELECT candidate_id FROM fx_tcand) UNION ALL (SELECT candidate_id FROM fx_tcand EXCEPT SELECT candidate_id FROM fx_features))) = 0 AS candidate_ids_complete,
   true AS no_infinite_values, true AS feature_columns_present, true AS outcome_not_a_feature FROM fx_features""")
 def _(s):
-    feats = pressure.pressure_features(_cues(s), CFG)
+    feats = pressure.pressure_features(_cues(s), CFG, s.track_candidates)
     return gates.feature_checks(feats, s.track_candidates, pressure.FEATURES, ["label_regain_5s", "gegenpressing_label"])
 
 

@@ -179,7 +179,7 @@ SELECT 'D' || doc_id AS candidate_id, quality AS rater_1, CASE WHEN doc_id % 50
 FROM labels""")
 
 view("fx_answers", """
-SELECT doc_id // 20 AS sheet_id, 'second' AS role, 'D' || doc_id AS candidate_id, 'r' || ((doc_id // 20) % 3) AS person,
+SELECT doc_id // 20 AS sheet_id, CASE WHEN doc_id // 20 % 50 = 49 THEN 'v0' ELSE 'v1' END AS hash, 'second' AS role, 'D' || doc_id AS candidate_id, 'r' || ((doc_id // 20) % 3) AS person,
        quality AS label, CAST(doc_id % 3 + 1 AS INT) AS confidence, 'note ' || doc_id AS notes,
        CASE WHEN doc_id % 37 = 0 THEN 'bad' ELSE '2024-02-01T10:00:00Z' END AS utc
 FROM labels""")

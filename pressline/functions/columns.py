@@ -39,9 +39,9 @@ def strict_bool(c: Column | str, accept=("true", "1")) -> Column:
 
 
 def coerce_int(c: Column | str) -> Column:
-    """Nullable integer: text that is no number becomes null, as does NaN."""
-    number = F.trim(col(c).cast("string")).try_cast("double")
-    return F.when(~F.isnan(number), number).try_cast("int")
+    """Nullable integer: text that is no whole number becomes null, as does NaN."""
+    number = coerce_double(c)
+    return F.when(number == F.floor(number), number).try_cast("int")
 
 
 def coerce_double(c: Column | str) -> Column:

@@ -150,11 +150,6 @@ def digest_slices(digest: Column | str) -> list[Column]:
     return [F.conv(F.substring(c, 1, 5), 16, 10).cast("bigint")]
 
 
-def unit_slices(v: Column | str) -> list[Column]:
-    """Slices of numbers in [-1, 1]: at most 2^17."""
-    return [F.floor((F.col(v) if isinstance(v, str) else v) * (1 << 16)).cast("bigint")]
-
-
 def recent_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -189,14 +184,34 @@ def recent_rows(
     )
 
 
-def magnitude_slices(v: Column | str) -> list[Column]:
-    """Order-preserving slices of any finite number: signed logarithmic bins.
+#: Boundaries taken from the data, and equal steps between two of them.
+BOUNDS, STEPS = 64, 256
+
+
+def with_value_slice(df: DataFrame, keys: Sequence[str], value: str, name: str = "_slice") -> DataFrame:
+    """Adds an integer slice of ``value``, monotone in it, that follows the data of each group.
 
-    64 bins per power of two; a double has fewer than 2^18 of them in all.
+    Approximate percentiles of the group's rows are the boundaries, and the range
+    between two of them is cut in equal steps: a narrow distribution fills as
+    many slices as a wide one, and far outliers leave the rest alone. Best on
+    distinct values.
     """
-    c = (F.col(v) if isinstance(v, str) else v).cast("double")
-    size = F.floor(F.log2(F.abs(c)) * 64).cast("bigint") + F.lit(100_000)
-    return [F.when(c == 0, F.lit(0)).when(c > 0, size).otherwise(-size).cast("bigint")]
+    keys = list(keys)
+    shares = F.array(*[F.lit(i / BOUNDS) for i in range(BOUNDS + 1)])
+    v = F.col(value).cast("double")
+    bounds = F.percentile_approx(v, shares, 20 * BOUNDS)
+    if keys:
+        # null-safe, so that no null filter is pushed into one side and the input is shared
+        names = {k: f"_of_{k}" for k in keys}
+        found = df.groupBy(*keys).agg(bounds.alias("_bounds")).withColumnsRenamed(names)
+        placed = df.join(found, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    else:
+        placed = with_scalars(df, df.agg(bounds.alias("_bounds")))
+    inner = F.slice("_bounds", 2, BOUNDS - 1)
+    part = F.size(F.filter(inner, lambda b: b <= v))
+    low, high = F.element_at("_bounds", part + 1), F.element_at("_bounds", part + 2)
+    step = F.when(high > low, F.least(F.greatest((v - low) / (high - low) * STEPS, F.lit(0.0)), F.lit(STEPS - 1.0))).otherwise(0.0)
+    return placed.withColumn(name, part.cast("bigint") * STEPS + F.floor(step).cast("bigint")).select(*df.columns, name)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -208,7 +223,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     keys = list(keys)
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     total = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = running_sums(hist, keys, [value], magnitude_slices(value), {"_upto": F.col("_n")})
+    placed = with_value_slice(hist, keys, value, "_value_slice")
+    ranked = running_sums(placed, keys, [value], [F.col("_value_slice")], {"_upto": F.col("_n")}).drop("_value_slice")
     if keys:
         # Null-safe, so no null filter is pushed into one side and the count is shared.
         names = {k: f"_total_{k}" for k in keys}

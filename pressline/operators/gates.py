@@ -35,7 +35,8 @@ def annotation_checks(annotations: DataFrame) -> DataFrame:
     require_columns(
         annotations, "candidate_id", "match_id", "is_gegenpressing", "annotation_confidence", "annotation_notes", "annotator"
     )
-    label, confidence = coerce_int("is_gegenpressing"), coerce_int("annotation_confidence")
+    # as doubles: a fractional label is there, and wrong
+    label, confidence = coerce_double("is_gegenpressing"), coerce_double("annotation_confidence")
     blank = label.isNull()
     rows = annotations.agg(
         all_true(~blank).alias("all_annotations_completed"),
@@ -227,15 +228,16 @@ def report_checks(preds: DataFrame, manifest: DataFrame, annotations: DataFrame)
     return both.withColumn("episodes_complete", complete).drop("_rows", "_all_known", "_episodes", "_models")
 
 
-def protocol_checks(manifest: DataFrame, baseline: DataFrame, graphs: DataFrame, n_matches: int) -> DataFrame:
+def protocol_checks(manifest: DataFrame, baseline: DataFrame, graphs: DataFrame, matches: DataFrame) -> DataFrame:
+    """``matches`` holds the match_id of every match of the protocol."""
     per_match = manifest.groupBy("match_id").agg(
         count_where(F.col("gegenpressing_label") == 0).alias("_0"), count_where(F.col("gegenpressing_label") == 1).alias("_1")
     )
     return one_row(
         per_match.agg(
-            (F.count(F.lit(1)) == n_matches).alias("expected_matches"),
             all_true((F.col("_0") > 0) & (F.col("_1") > 0)).alias("both_classes_per_match"),
         ),
+        set_compare(manifest, matches, ["match_id"]).select(F.col("equal").alias("expected_matches")),
         set_compare(baseline, manifest, ["candidate_id"]).select(F.col("equal").alias("baseline_coverage_identical")),
         set_compare(graphs, manifest, ["candidate_id"]).select(F.col("equal").alias("graph_coverage_identical")),
     )
@@ -263,7 +265,8 @@ def crop_checks(nodes: DataFrame, frames: int, step_us: int) -> DataFrame:
     )
 
 
-def answer_checks(answers: DataFrame, expected: DataFrame, role: str) -> DataFrame:
+def answer_checks(answers: DataFrame, expected: DataFrame, role: str, digest: str) -> DataFrame:
+    """Answers of one role: complete, valid and given for the source of this digest."""
     person = F.lower(F.trim("person"))
     rows = answers.agg(
         all_true(F.col("label").isin(-1, 0, 1)).alias("labels_valid"),
@@ -273,6 +276,7 @@ def answer_checks(answers: DataFrame, expected: DataFrame, role: str) -> DataFra
         all_true(F.try_to_timestamp("utc").isNotNull()).alias("utc_valid"),
         (F.min(person) == F.max(person)).alias("single_person"),
         all_true(F.col("role") == role).alias("role_matches"),
+        all_true(F.col("hash") == digest).alias("hash_matches"),
     )
     return one_row(rows, set_compare(answers, expected, ["candidate_id"]).select(F.col("equal").alias("ids_complete")))
 
@@ -344,15 +348,16 @@ def artifact_checks(
         (
             all_true(~is_model | F.col("value").isin(*expected_models))
             & _all_of([_any(is_model & (F.col("value") == m)) for m in expected_models])
+            & F.lit(len(expected_models) > 0)
         ).alias("expected_models_present"),
     )
     files = inventory.where(F.col("path").isin(*expected_files) & (F.col("bytes") > 0))
     joined = listed.select("path", F.col("sha256").alias("_want")).join(inventory, "path", "left")
     return one_row(
-        files.agg((F.count(F.lit(1)) == len(set(expected_files))).alias("all_expected_files_nonempty")),
+        files.agg(((F.count(F.lit(1)) == len(set(expected_files))) & F.lit(len(expected_files) > 0)).alias("all_expected_files_nonempty")),
         flags,
         listed.where(F.col("path").isin(*critical)).agg(
-            (F.count(F.lit(1)) >= len(set(critical))).alias("critical_hashes_listed")
+            ((F.count(F.lit(1)) >= len(set(critical))) & F.lit(len(critical) > 0)).alias("critical_hashes_listed")
         ),
         joined.agg(
             (all_true(F.col("sha256") == F.col("_want")) & (F.count(F.lit(1)) > 0)).alias("artifact_hashes_match")

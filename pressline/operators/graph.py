@@ -106,32 +106,37 @@ def propagate(nodes: DataFrame, edges: DataFrame, features: Sequence[str] = NODE
     """Features after ``hops`` steps of D^-1/2 (A + I) D^-1/2, degrees counted at the target.
 
     Each edge carries features from ``src`` to ``dst``; each node also keeps
-    itself. The link table knows the degree of its target, so one hop is one
-    join and one aggregate on the target.
+    itself. A frame's nodes and links are small arrays of one row, so both
+    inputs are shuffled once, by frame, for any number of hops.
     """
-    target = Window.partitionBy(*FRAME, "dst")
-    loops = nodes.select(*FRAME, F.col("node_idx").alias("src"), F.col("node_idx").alias("dst"))
-    links = edges.select(*FRAME, "src", "dst").unionByName(loops).withColumn("_deg_dst", F.count(F.lit(1)).over(target))
-    own = links.where(F.col("src") == F.col("dst")).select(*FRAME, F.col("dst").alias("node_idx"), F.col("_deg_dst").alias("_deg"))
-    state = nodes.select(*FRAME, "node_idx", "valid", *features).join(own, [*FRAME, "node_idx"])
+    node = F.struct("node_idx", "valid", F.array(*[F.col(c).cast("double") for c in features]).alias("f"))
+    at = nodes.groupBy(*FRAME).agg(F.sort_array(F.collect_list(node)).alias("_nodes"))
+    by = edges.groupBy(*FRAME).agg(F.collect_list(F.struct("src", "dst")).alias("_links"))
+    rows = at.join(by, FRAME, "left")
+    rows = rows.withColumn("_links", F.coalesce("_links", F.array().cast("array<struct<src:int,dst:int>>")))
+    # per node: the sources it hears from, the square root of its degree, its features
+    heard = F.transform(
+        "_nodes",
+        lambda n: F.transform(F.filter("_links", lambda e: e["dst"] == n["node_idx"]), lambda e: e["src"]),
+    )
+    rows = rows.withColumn("_from", heard).withColumns(
+        {"_root": F.transform("_from", lambda x: F.sqrt(F.size(x) + 1.0)), "_f": F.transform("_nodes", lambda n: n["f"])}
+    )
+    ids = F.transform("_nodes", lambda n: n["node_idx"])
+    zero = F.array(*[F.lit(0.0)] * len(features))
+
+    def add(x, y):
+        return F.zip_with(x, y, lambda a, b: a + b)
+
     for _ in range(hops):
-        out = state.select(
-            *FRAME,
-            F.col("node_idx").alias("src"),
-            "valid",
-            *[(F.col(c) / F.sqrt("_deg")).alias(c) for c in features],
-        )
-        scale = F.sqrt(F.max("_deg_dst"))
-        state = (
-            links.join(out, [*FRAME, "src"])
-            .groupBy(*FRAME, F.col("dst").alias("node_idx"))
-            .agg(
-                F.bool_or((F.col("src") == F.col("dst")) & F.col("valid")).alias("valid"),
-                F.max("_deg_dst").alias("_deg"),
-                *[(F.sum(c) / scale).alias(c) for c in features],
-            )
+        scaled = F.zip_with("_f", "_root", lambda f, r: F.transform(f, lambda v: v / r))
+        rows = rows.withColumn("_out", scaled).withColumn("_map", F.map_from_arrays(ids, F.col("_out")))
+        total = F.zip_with(
+            "_out", "_from", lambda own, src: F.aggregate(src, own, lambda acc, i: add(acc, F.coalesce(F.col("_map")[i], zero)))
         )
-    return state.drop("_deg")
+        rows = rows.withColumn("_f", F.zip_with(total, "_root", lambda f, r: F.transform(f, lambda v: v / r)))
+    out = rows.select(*FRAME, F.inline(F.zip_with("_nodes", "_f", lambda n, f: F.struct(n["node_idx"].alias("node_idx"), n["valid"].alias("valid"), f.alias("f")))))
+    return out.select(*FRAME, "node_idx", "valid", *[F.col("f")[i].alias(c) for i, c in enumerate(features)])
 
 
 def frame_embedding(state: DataFrame, features: Sequence[str] = NODE_FEATURES) -> DataFrame:

@@ -11,6 +11,7 @@ from ..conf import MATCH_SPLIT
 from ..functions import ordered
 from ..functions.columns import coerce_int, count_where, seeded_key, share, strict_bool, truth
 from . import keys
+from .metrics import rater_agreement
 
 # Annotation columns, review columns and decision names of the data set.
 ANNOTATION_COLUMNS = (
@@ -34,7 +35,7 @@ REVIEW_COLUMNS = (
     "match_id",
     "split",
     "period_id",
-    "loss_timestamp",
+    "loss_t_us",
     "loss_frame",
     "is_gegenpressing",
     "annotation_confidence",
@@ -43,6 +44,8 @@ REVIEW_COLUMNS = (
     "annotator",
     "review_reason",
 )
+# Columns that place a row in the queue, its sample and its pilot.
+QUEUE_COLUMNS = ("pilot_selected", "pilot_order", "sample_target_per_outcome", "within_match_order")
 OUTCOME_COLUMNS = ("label_regain_5s", "quick_regain_success", "regain_found", "regain_gap_seconds", "regain_frame")
 CANONICAL = ["split", "match_id", "period_id", "loss_frame"]
 
@@ -172,11 +175,14 @@ def class_per_match(annotations: DataFrame, label: str = "is_gegenpressing") ->
 def preserve_upsert(source: DataFrame, existing: DataFrame) -> DataFrame:
     """Full queue that keeps earlier labels and order; new rows are appended in canonical order.
 
-    Ids that left the source and repeated order numbers are errors.
+    Ids that left the source and repeated ids or order numbers are errors. A row
+    of ``existing`` without an order number keeps everything else and is numbered
+    like a new one.
     """
     order = F.col("annotation_order")
-    kept = [c for c in ("annotation_order", *ANNOTATION_COLUMNS) if c in existing.columns]
-    old = keys.checked_unique(existing.where(order.isNotNull()), ["annotation_order"])
+    kept = [c for c in ("annotation_order", *ANNOTATION_COLUMNS, *QUEUE_COLUMNS) if c in existing.columns]
+    numbered = keys.checked_unique(existing.where(order.isNotNull()), ["annotation_order"])
+    old = numbered.unionByName(existing.where(order.isNull()))
     old = keys.checked_unique(old, ["candidate_id"]).select("candidate_id", *kept, F.lit(True).alias("_old"))
     source_cols = source.columns
     joined = source.withColumn("_known", F.lit(True)).join(old, "candidate_id", "full_outer")
@@ -186,12 +192,13 @@ def preserve_upsert(source: DataFrame, existing: DataFrame) -> DataFrame:
             F.raise_error(F.concat(F.lit("no longer in the source: "), F.col("candidate_id")))
         ),
     )
-    fresh = source.join(old.select("candidate_id"), "candidate_id", "left_anti")
+    fresh = source.join(old.where(order.isNotNull()).select("candidate_id"), "candidate_id", "left_anti")
     numbers = number_in_matches(
         fresh.select("candidate_id", "match_id", "period_id", "loss_t_us", "loss_frame"),
-        ["period_id", "loss_t_us", "loss_frame"],
-        [F.col("period_id").cast("bigint") * (1 << 20) + F.floor(F.col("loss_t_us") / 60_000_000).cast("bigint"), "period_id"],
+        ["loss_t_us", "loss_frame"],
+        [F.floor(F.col("loss_t_us") / 60_000_000).cast("bigint")],
         "_n",
+        parts=["period_id"],
     )
     top = old.agg(F.coalesce(F.max("annotation_order"), F.lit(0)).alias("_top"))
     appended = ordered.with_scalars(numbers.select("candidate_id", "_n"), top)
@@ -203,16 +210,19 @@ def preserve_upsert(source: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def number_in_matches(df, order: Sequence[str], slices, name: str, inner: str | None = None) -> DataFrame:
-    """Consecutive numbers over (match_id, order): within-match numbers plus match offsets."""
+def number_in_matches(
+    df, order: Sequence[str], slices, name: str, inner: str | None = None, parts: Sequence[str] = ()
+) -> DataFrame:
+    """Consecutive numbers over (match_id, parts, order): numbers within a part plus offsets counted from the parts' sizes."""
     inner = inner or "_within"
+    group = ["match_id", *parts]
     cols = [F.col(c).cast("bigint") if isinstance(c, str) else c for c in slices]
-    within = ordered.row_numbers(df, ["match_id"], order, cols, inner)
-    sizes = df.groupBy("match_id").agg(F.count(F.lit(1)).alias("_size"))
+    within = ordered.row_numbers(df, group, order, cols, inner)
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     offsets = ordered.running_sums(
-        sizes, [], ["match_id"], ordered.text_slices("match_id"), {"_upto": F.col("_size")}
-    ).select("match_id", (F.col("_upto") - F.col("_size")).alias("_offset"))
-    out = within.join(offsets, "match_id").withColumn(name, F.col("_offset") + F.col(inner)).drop("_offset")
+        sizes, [], group, ordered.text_slices("match_id"), {"_upto": F.col("_size")}
+    ).select(*group, (F.col("_upto") - F.col("_size")).alias("_offset"))
+    out = within.join(offsets, group).withColumn(name, F.col("_offset") + F.col(inner)).drop("_offset")
     return out if inner != "_within" else out.drop("_within")
 
 
@@ -265,7 +275,7 @@ def adjudicate(cohort: DataFrame, first: DataFrame, second: DataFrame, consensus
     """Final label per reviewed candidate: consensus before primary before original.
 
     ``cohort`` holds candidate_id, kelompok and label_asal. A consensus counts
-    only where the two raters differ.
+    only where the two raters differ; a difference without one is an error.
     """
 
     def side(df, name):
@@ -278,7 +288,10 @@ def adjudicate(cohort: DataFrame, first: DataFrame, second: DataFrame, consensus
     )
     primary = F.coalesce("_first", "label_asal")
     conflict = truth(F.col("label_utama") != F.col("label_kedua"))
-    final = F.when(conflict, F.coalesce("_both", "label_utama")).otherwise(F.col("label_utama"))
+    settled = F.when(F.col("_both").isNotNull(), F.col("_both")).otherwise(
+        F.raise_error(F.concat(F.lit("no consensus for the conflict: "), F.col("candidate_id")))
+    )
+    final = F.when(conflict, settled).otherwise(F.col("label_utama"))
     return (
         joined.withColumn("label_utama", primary)
         .withColumn("label_akhir", final)
@@ -287,21 +300,37 @@ def adjudicate(cohort: DataFrame, first: DataFrame, second: DataFrame, consensus
     )
 
 
+EXPECTED = "expected_label"
+
+
 def apply_revisions(annotations: DataFrame, revisions: DataFrame) -> DataFrame:
     """Keyed updates of the annotation columns with ``old_`` values and a change flag.
 
-    Only the five annotation columns can change; anything else in ``revisions`` is refused.
+    Only the five annotation columns can change; anything else in ``revisions`` is refused. A null clears
+    a value. Ids that are not annotated are errors, and so is a label other than the one that an
+    ``expected_label`` column names.
     """
-    extra = set(revisions.columns) - {"candidate_id", *ANNOTATION_COLUMNS}
+    extra = set(revisions.columns) - {"candidate_id", EXPECTED, *ANNOTATION_COLUMNS}
     if extra:
         raise ValueError(f"revision of protected columns: {sorted(extra)}")
-    changed = [c for c in revisions.columns if c != "candidate_id"]
+    changed = [c for c in revisions.columns if c in ANNOTATION_COLUMNS]
+    checked = EXPECTED in revisions.columns
     new = keys.checked_unique(revisions, ["candidate_id"]).select(
-        "candidate_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in changed]
+        "candidate_id",
+        F.lit(True).alias("_hit"),
+        *[F.col(c).alias(f"_new_{c}") for c in changed],
+        *([F.col(EXPECTED).alias("_expected")] if checked else []),
+    )
+    joined = annotations.withColumn("_here", F.lit(True)).join(new, "candidate_id", "full_outer")
+    wrong = ~F.col("is_gegenpressing").eqNullSafe(F.col("_expected")) if checked else F.lit(False)
+    known = (
+        F.when(F.col("_here").isNull(), F.raise_error(F.concat(F.lit("revision of an unknown id: "), F.col("candidate_id"))))
+        .when(truth(F.col("_hit")) & wrong, F.raise_error(F.concat(F.lit("another label than expected: "), F.col("candidate_id"))))
+        .otherwise(F.col("candidate_id"))
     )
-    joined = annotations.join(new, "candidate_id", "left")
+    joined = joined.withColumn("candidate_id", known)
     keep = [c for c in annotations.columns if c not in changed]
-    value = {c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in changed}
+    value = {c: F.when(truth(F.col("_hit")), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in changed}
     differs = F.lit(False)
     for c in changed:
         differs = differs | ~F.col(c).eqNullSafe(value[c])
@@ -385,21 +414,37 @@ def label_audit(annotations: DataFrame, cohort: DataFrame) -> DataFrame:
     )
 
 
-def finalize_labels(annotations: DataFrame, log: DataFrame) -> DataFrame:
-    """Annotations with the decided labels written over the originals."""
-    final = log.select("candidate_id", "label_akhir", "keputusan")
-    return (
-        annotations.join(final, "candidate_id", "left")
-        .withColumn("label_final", F.coalesce("label_akhir", "is_gegenpressing"))
-        .select("candidate_id", "match_id", "is_gegenpressing", "label_final", "keputusan")
+def final_choices(first: DataFrame, consensus: DataFrame, log: DataFrame) -> DataFrame:
+    """The answer that decides each reviewed row: the consensus on a conflict, else the primary rater's own."""
+    conflicts = log.where(F.col("label_utama") != F.col("label_kedua")).select("candidate_id")
+    settled = keys.semi_filter(consensus, conflicts, ["candidate_id"])
+    return first.join(conflicts, "candidate_id", "left_anti").unionByName(settled)
+
+
+def finalize_labels(annotations: DataFrame, log: DataFrame, choices: DataFrame) -> DataFrame:
+    """Annotations with the five columns of every deciding answer written over the originals.
+
+    ``choices``: candidate_id, label, confidence, person, utc, notes. A result
+    that does not pass the annotation checks of :mod:`gates` must not be used;
+    :func:`pressline.plans.models.finalize_review` stops there.
+    """
+    answer = {"is_gegenpressing": "label", "annotation_confidence": "confidence", "annotator": "person", "annotated_at_utc": "utc", "annotation_notes": "notes"}
+    new = keys.checked_unique(choices, ["candidate_id"]).select(
+        "candidate_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in answer.values()]
+    )
+    joined = annotations.join(new, "candidate_id", "left").join(log.select("candidate_id", "keputusan"), "candidate_id", "left")
+    old = {c: F.col(c) if c in annotations.columns else F.lit(None) for c in answer}
+    value = {c: F.when(F.col("_hit"), F.col(f"_{a}")).otherwise(old[c]) for c, a in answer.items()}
+    return joined.select(
+        "candidate_id", "match_id", F.col("is_gegenpressing").alias("label_original"), *[v.alias(c) for c, v in value.items()], "keputusan"
     )
 
 
 def decision_summary(log: DataFrame) -> DataFrame:
-    """Counts of the decision log and agreement on the controls before discussion."""
+    """Counts of the decision log and of final labels, agreement and kappa on the controls before discussion."""
     control = F.col("kelompok") == "sampel"
     same = F.col("label_utama") == F.col("label_kedua")
-    return log.agg(
+    counts = log.agg(
         F.count(F.lit(1)).alias("n"),
         count_where(~control).alias("n_prioritas"),
         count_where(control).alias("n_sampel"),
@@ -407,4 +452,7 @@ def decision_summary(log: DataFrame) -> DataFrame:
         count_where(F.col("keputusan") == "diubah").alias("diubah"),
         count_where(F.col("keputusan") == "dikeluarkan_ragu").alias("dikeluarkan_ragu"),
         share(count_where(control & same), count_where(control)).alias("kesepakatan_sampel"),
+        *[count_where(F.col("label_akhir") == v).alias(f"label_{n}") for n, v in (("uncertain", -1), ("0", 0), ("1", 1))],
     )
+    kappa = rater_agreement(log.where(control), "label_utama", "label_kedua").select(F.col("kappa").alias("kappa_sampel"))
+    return keys.one_row(counts, kappa)

@@ -26,13 +26,16 @@ def score_curve(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
         .agg(count_where(y).alias("pos"), count_where(~y).alias("neg"))
         .withColumn("_down", -F.col("probability"))
     )
-    return ordered.running_sums(hist, keys, ["_down"], ordered.unit_slices("_down"), {"tp": F.col("pos"), "fp": F.col("neg")}).drop("_down")
+    placed = ordered.with_value_slice(hist, keys, "_down", "_score_slice")
+    sums = {"tp": F.col("pos"), "fp": F.col("neg")}
+    return ordered.running_sums(placed, keys, ["_down"], [F.col("_score_slice")], sums).drop("_down", "_score_slice")
 
 
 def rank_scores(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tie-aware ROC AUC and step-wise average precision; null without both classes."""
     p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
-    below = p * n - F.sum(F.col("pos") * F.col("fp")) + F.sum(F.col("pos") * F.col("neg")) / F.lit(2.0)
+    pos = F.col("pos").cast("double")  # products of counts pass 64-bit integers
+    below = p * n - F.sum(pos * F.col("fp")) + F.sum(pos * F.col("neg")) / F.lit(2.0)
     steps = F.sum(F.col("pos") * share(F.col("tp"), F.col("tp") + F.col("fp")))
     return (
         score_curve(preds, keys)
@@ -200,7 +203,11 @@ def macro_f1_threshold(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def predict(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
-    return scores.join(thresholds, "model").withColumn(
+    """Predictions at each model's threshold; a model without one is an error, not a lost model."""
+    threshold = F.when(F.col("threshold").isNotNull(), F.col("threshold")).otherwise(
+        F.raise_error(F.concat(F.lit("no threshold for the model: "), F.col("model")))
+    )
+    return scores.join(thresholds, "model", "left").withColumn("threshold", threshold).withColumn(
         "y_pred", (F.col("probability") >= F.col("threshold")).cast("int")
     )
 

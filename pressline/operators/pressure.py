@@ -98,13 +98,14 @@ def stretch_columns(rows: DataFrame, cfg: PressureConfig) -> DataFrame:
     return rows.withColumns({"_team": F.when(losing, team), "_near": F.when(local, near)})
 
 
-def frame_pressure(distances: DataFrame, cfg: PressureConfig) -> DataFrame:
-    """Eleven cues per (candidate, frame)."""
+def frame_pressure(distances: DataFrame, cfg: PressureConfig, with_own: bool = False) -> DataFrame:
+    """Eleven cues per (candidate, frame); ``with_own`` adds the largest own approach of a losing player within reach."""
     d, rate, losing = F.col("distance_m"), F.col("approach_rate"), F.col("is_losing")
     direct = losing & truth(d <= cfg.direct_radius_m)
     within_10 = losing & truth(d <= cfg.approach_radius_m)
     within_15 = losing & truth(d <= cfg.local_radius_m)
     approaching = within_10 & truth(rate >= cfg.min_approach_rate_mps)
+    own = [F.max(F.when(within_10, F.col("own_approach"))).alias("max_own_approach")] if with_own else []
     return (
         stretch_columns(with_approach(distances, cfg), cfg)
         .groupBy(*FRAME)
@@ -125,10 +126,12 @@ def frame_pressure(distances: DataFrame, cfg: PressureConfig) -> DataFrame:
             F.min(F.when(~losing, d)).alias("nearest_opponent_to_ball_m"),
             F.avg("_team").alias("team_stretch_m"),
             F.when(F.count("_near") >= 2, F.avg("_near")).alias("local_compactness_m"),
+            *own,
         )
     )
 
 
+# Names of the cue columns.
 CUES = [
     "relative_time_s",
     "direct_pressers",
@@ -176,9 +179,8 @@ def _stretch_change() -> Column:
     return F.max_by("team_stretch_m", "t_us") - F.min_by("team_stretch_m", "t_us")
 
 
-def pressure_features(cues: DataFrame, cfg: PressureConfig) -> DataFrame:
-    """The twelve features of an episode."""
-    return with_runs(cues).groupBy("candidate_id").agg(
+def _feature_columns(cfg: PressureConfig) -> list[Column]:
+    return [
         F.max("total_pressers").alias("max_total_pressers"),
         F.max("direct_pressers").alias("max_direct_pressers"),
         F.max("approaching_pressers").alias("max_approaching_pressers"),
@@ -188,9 +190,16 @@ def pressure_features(cues: DataFrame, cfg: PressureConfig) -> DataFrame:
         F.max("losing_players_within_10m").alias("max_losing_players_within_10m"),
         F.avg("local_compactness_m").alias("mean_local_compactness_m"),
         _stretch_change().alias("team_stretch_change_m"),
-    )
+    ]
+
+
+def pressure_features(cues: DataFrame, cfg: PressureConfig, candidates: DataFrame | None = None) -> DataFrame:
+    """The twelve features of an episode; with ``candidates``, one without frames or roster keeps a row of nulls."""
+    found = with_runs(cues).groupBy("candidate_id").agg(*_feature_columns(cfg))
+    return found if candidates is None else candidates.select("candidate_id").join(found, "candidate_id", "left")
 
 
+# Names of the feature columns.
 FEATURES = [
     "max_total_pressers",
     "max_direct_pressers",
@@ -211,12 +220,13 @@ def stretch_change(cues: DataFrame) -> DataFrame:
     return cues.groupBy("candidate_id").agg(_stretch_change().alias("team_stretch_change_m"))
 
 
+def _first_cue() -> Column:
+    return F.min(F.when(F.col("total_pressers") >= 1, F.col("relative_time_s"))).alias("first_cue_s")
+
+
 def first_cue(cues: DataFrame) -> DataFrame:
-    rel = F.col("relative_time_s")
-    return cues.groupBy("candidate_id").agg(
-        F.min(F.when(F.col("total_pressers") >= 1, rel)).alias("first_cue_s"),
-        F.min(F.when(F.col("ball_state") != "alive", rel)).alias("first_dead_after_s"),
-    )
+    dead = F.min(F.when(F.col("ball_state") != "alive", F.col("relative_time_s")))
+    return cues.groupBy("candidate_id").agg(_first_cue(), dead.alias("first_dead_after_s"))
 
 
 def carrier_proxy(distances: DataFrame) -> DataFrame:
@@ -344,12 +354,14 @@ NO_CUE = "prioritas_tanpa_cue_bola"
 SHORT_CUE = "prioritas_cue_singkat"
 NOT_POSITIVE = "review_label_negatif_atau_ragu"
 UNSEEN = "belum_ditinjau_visual"
+NO_DATA = "tanpa_data"
 SHORT_PRESSURE_S = 0.4
 
 
 def screening_class() -> Column:
     return (
-        F.when(F.col("max_total_pressers") == 0, NO_CUE)
+        F.when(F.col("max_total_pressers").isNull(), NO_DATA)
+        .when(F.col("max_total_pressers") == 0, NO_CUE)
         .when(F.col("pressure_duration_s") < SHORT_PRESSURE_S, SHORT_CUE)
         .when(~F.col("label_original").eqNullSafe(F.lit(1)), NOT_POSITIVE)
         .otherwise(UNSEEN)
@@ -357,15 +369,19 @@ def screening_class() -> Column:
 
 
 def cue_screening(distances: DataFrame, labels: DataFrame, cfg: PressureConfig) -> DataFrame:
-    """Review table: features, first cue, own approach, dead frames, ball path and class."""
-    cues = frame_pressure(distances, cfg)
-    own = own_approach(distances, cfg).where(F.col("is_losing") & truth(F.col("distance_m") <= cfg.approach_radius_m))
-    own_max = own.groupBy("candidate_id").agg(F.max("own_approach").alias("max_own_approach_within_10m_mps"))
+    """Review table: features, first cue, own approach, dead frames, ball path and class.
+
+    One aggregate per frame and one per candidate. A labelled candidate without
+    frames or roster stays, with nulls and the class ``NO_DATA``.
+    """
+    cues = frame_pressure(own_approach(distances, cfg), cfg, with_own=True)
 
     def end(c, pick):
         return pick(c, "t_us")
 
-    path = cues.groupBy("candidate_id").agg(
+    found = with_runs(cues).groupBy("candidate_id").agg(
+        *_feature_columns(cfg),
+        _first_cue(),
         F.count(F.lit(1)).alias("frames"),
         count_where(F.col("ball_state") != "alive").alias("dead_frames"),
         F.max("ball_z").alias("ball_z_max_raw"),
@@ -374,11 +390,10 @@ def cue_screening(distances: DataFrame, labels: DataFrame, cfg: PressureConfig)
         distance(
             end("ball_x_m", F.max_by), end("ball_y_m", F.max_by), end("ball_x_m", F.min_by), end("ball_y_m", F.min_by)
         ).alias("ball_xy_displacement_m"),
+        F.max("max_own_approach").alias("max_own_approach_within_10m_mps"),
     )
     out = labels.select("candidate_id", F.col("label").alias("label_original"))
-    for part in (pressure_features(cues, cfg), first_cue(cues).drop("first_dead_after_s"), path):
-        out = out.join(part, "candidate_id")
-    return out.join(own_max, "candidate_id", "left").withColumn("screening", screening_class())
+    return out.join(found, "candidate_id", "left").withColumn("screening", screening_class())
 
 
 def restart_flags(screened: DataFrame, lookback: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from .turnover import PERIOD
 
 
 def player_team(events: DataFrame) -> DataFrame:
-    """Team of a player: the one named by the player's first event of the match."""
+    """Team of a player: the one named by the player's first event of the match; times restart per period."""
     known = events.where(F.col("player_id").isNotNull() & F.col("team_id").isNotNull())
     return known.groupBy("match_id", "player_id").agg(
-        F.min_by("team_id", F.struct("t_us", "event_id")).alias("team_id")
+        F.min_by("team_id", F.struct("period_id", "t_us", "event_id")).alias("team_id")
     )
 
 

@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.columns import bucket_of, count_where, seeded_key, truth
+from ..functions.columns import bucket_of, count_where, seeded_key, strict_bool, truth
+from ..session import stage
 from . import keys
 
+# Fixed value: name of the machine annotator in the data set.
+MACHINE = "codex_ai_review"
+
 
 def seeded_top(df: DataFrame, strata: Sequence[str], n: int, seed: int, name: str = "pick") -> DataFrame:
     """First ``n`` rows per stratum in seeded order, numbered from 1."""
@@ -22,7 +26,7 @@ def seeded_top(df: DataFrame, strata: Sequence[str], n: int, seed: int, name: st
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
-def priority(machine: str = "codex_ai_review") -> Column:
+def priority(machine: str = MACHINE) -> Column:
     """Low confidence, uncertain, or labelled by the machine annotator."""
     return truth(F.col("annotation_confidence") == 1) | truth(F.col("is_gegenpressing") == -1) | truth(F.col("annotator") == machine)
 
@@ -56,9 +60,29 @@ def seeded_shuffle(df: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def spaced_rows(df: DataFrame, spacing_us: int, seed: int) -> DataFrame:
+    """The rows that picking in the order of digests keeps, each at least ``spacing`` from those picked before.
+
+    A round picks every row whose digest is the least within the spacing on both
+    sides and drops the rows near a pick; rounds repeat until no row is open.
+    Their number grows with the logarithm of the densest stretch.
+    """
+    picked, rest = None, stage(df, "open-rows")
+    while not rest.isEmpty():
+        now = stage(_least_rows(rest, spacing_us, seed), "spaced-rows")
+        picked = now if picked is None else picked.unionByName(now)
+        spots = now.select("match_id", "period_id", F.col("loss_t_us").alias("_t"))
+        spots = spots.withColumn("_bucket", F.explode(F.array(*[bucket_of("_t", spacing_us) + d for d in (-1, 0, 1)])))
+        open_rows = rest.withColumn("_bucket", bucket_of("loss_t_us", spacing_us)).alias("o")
+        near = F.abs(F.col("o.loss_t_us") - F.col("s._t")) < spacing_us
+        same = [F.col(f"o.{c}") == F.col(f"s.{c}") for c in ("match_id", "period_id", "_bucket")]
+        rest = stage(open_rows.join(spots.alias("s"), [*same, near], "left_anti").drop("_bucket"), "open-rows")
+    return df.limit(0) if picked is None else picked
+
+
+def _least_rows(df: DataFrame, spacing_us: int, seed: int) -> DataFrame:
     """Rows whose digest is the smallest within ``spacing`` on both sides.
 
-    Any two kept rows of a period are then at least ``spacing`` apart. Rows of
+    Any two of them in a period are then at least ``spacing`` apart. Rows of
     one bucket (one spacing wide) all rival each other, so only the bucket's
     least digest can stay; it falls if a neighbour bucket holds a nearer rival.
     """
@@ -88,11 +112,22 @@ def spaced_rows(df: DataFrame, spacing_us: int, seed: int) -> DataFrame:
 def spaced_sample(candidates: DataFrame, per_match: int, spacing_us: int, seed: int = 42) -> DataFrame:
     """Per match the same number of both outcomes, never closer than the spacing.
 
-    The quota per outcome is half of ``per_match`` or the rarer outcome's count.
+    Only strict-valid rows count where that is known. The quota per outcome is
+    half of ``per_match`` or the rarer outcome's count among spaced rows. An odd
+    ``per_match`` is an error, and so is a match without one of the outcomes.
     """
+    if per_match % 2:
+        raise ValueError("per_match must be even, so that outcomes can be balanced")
     half = per_match // 2
+    if "strict_valid" in candidates.columns:
+        candidates = candidates.where(strict_bool("strict_valid"))
+    outcomes = candidates.groupBy("match_id").agg(F.min("label_regain_5s").alias("_low"), F.max("label_regain_5s").alias("_high"))
+    both = F.when((F.col("_low") == 0) & (F.col("_high") == 1), F.col("match_id")).otherwise(
+        F.raise_error(F.concat(F.lit("match without both outcomes: "), F.col("match_id")))
+    )
+    sampled = candidates.join(outcomes.select(both.alias("match_id")), "match_id")
     picked = seeded_top(
-        spaced_rows(candidates, spacing_us, seed), ["match_id", "label_regain_5s"], half, seed, "outcome_rank"
+        spaced_rows(sampled.select(*candidates.columns), spacing_us, seed), ["match_id", "label_regain_5s"], half, seed, "outcome_rank"
     )
     # At most 2 * half rows per match reach this point.
     per = Window.partitionBy("match_id")
@@ -110,8 +145,14 @@ def pilot_selection(queue: DataFrame, target: int = 28, seed: int = 42) -> DataF
     Open slots go to the matches without completed rows (all matches if there
     are none), as evenly as possible in match order; half of all picks are
     positive, odd quotas take the extra positive first. A quota that can not be
-    met, or outcomes that can not be balanced, are errors.
+    met, or outcomes that can not be balanced, are errors. A queue that holds a
+    pilot already is returned with that pilot.
     """
+    if {"pilot_selected", "pilot_order"} <= set(queue.columns):
+        chosen = queue.where(strict_bool("pilot_selected"))
+        if not chosen.isEmpty():
+            return chosen
+        queue = queue.drop("pilot_selected", "pilot_order")
     done = F.col("is_gegenpressing").isNotNull()
     completed = queue.where(done)
     totals = completed.agg(

@@ -7,7 +7,6 @@ executor costs a re-read. Fits loop on the driver; rows never leave the cluster.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -18,10 +17,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..conf import SPLITS
 from ..functions import ordered
-from ..functions.columns import count_where
-from ..operators import gates, keys, labels, metrics
-from ..session import shared_folder, stage
+from ..functions.columns import count_where, strict_bool
+from ..operators import gates, graph, keys, labels, metrics
+from ..session import shared_file, stage
 from ..sources import tables
 
 LABEL = "gegenpressing_label"
@@ -34,6 +34,8 @@ class BoostConfig:
     depth: int = 3
     step: float = 0.05
     rows: float = 0.8
+    #: Share of the features that each node of a tree may split on.
+    columns: float = 0.8
 
 
 def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
@@ -94,8 +96,32 @@ def baseline_dataset(features: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def graph_dataset(manifest: DataFrame, graphs: DataFrame) -> DataFrame:
-    """Manifest rows of the candidates that have a graph."""
-    return keys.one_to_one_join(keys.semi_filter(manifest, graphs, ["candidate_id"]), graphs, ["candidate_id", "match_id"])
+    """Manifest rows with their graphs; either side without the other is an error."""
+    left = keys.checked_unique(manifest, ["candidate_id"]).withColumn("_row", F.lit(True))
+    right = keys.checked_unique(graphs, ["candidate_id"]).withColumn("_graph", F.lit(True))
+    joined = left.join(right, ["candidate_id", "match_id"], "full_outer")
+    both = F.when(F.col("_row") & F.col("_graph"), F.col("candidate_id")).otherwise(
+        F.raise_error(F.concat(F.lit("graph and manifest do not match: "), F.col("candidate_id")))
+    )
+    return joined.withColumn("candidate_id", both).drop("_row", "_graph")
+
+
+def usable_rows(dataset: DataFrame, label: str = LABEL) -> DataFrame:
+    """Rows to train on: eligible ones where that is known, else those with a binary label.
+
+    Every split must hold usable rows of both classes; reads one row per split.
+    """
+    eligible = "eligible_for_detection_training"
+    usable = dataset.where(F.col(label).isin(0, 1))
+    if eligible in dataset.columns:
+        usable = usable.where(eligible)
+    found = {r["split"]: r["classes"] for r in usable.groupBy("split").agg((F.max(label) - F.min(label) + 1).alias("classes")).collect()}
+    for split in SPLITS:
+        if split not in found:
+            raise ValueError(f"no usable labels in the {split} split")
+        if found[split] < 2:
+            raise ValueError(f"one class only in the {split} split")
+    return usable
 
 
 def _assembled(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -129,6 +155,7 @@ def fit_boosted(rows: DataFrame, cfg: BoostConfig, seed: int = 42) -> object:
         maxDepth=cfg.depth,
         stepSize=cfg.step,
         subsamplingRate=cfg.rows,
+        featureSubsetStrategy=str(cfg.columns),
         weightCol="weight",
         seed=seed,
     ).fit(rows)
@@ -143,7 +170,7 @@ def _finish(scores: DataFrame, selector: Callable[[DataFrame], DataFrame]) -> Da
 def train_logistic(
     dataset: DataFrame, names: Sequence[str], selector=metrics.validation_threshold, name: str = "logistic_regression"
 ) -> DataFrame:
-    usable = dataset.where(F.col(LABEL).isin(0, 1))
+    usable = usable_rows(dataset)
     ready = with_class_weights(impute_scale(usable, names), usable.where(F.col("split") == "train"))
     rows = stage(_assembled(ready, names), "logistic")
     model = fit_logistic(rows.where(F.col("split") == "train"))
@@ -157,13 +184,40 @@ def train_boosted(
     selector=metrics.validation_threshold,
     name: str = "boosted_trees",
 ) -> DataFrame:
-    usable = dataset.where(F.col(LABEL).isin(0, 1))
+    usable = usable_rows(dataset)
     train = usable.where(F.col("split") == "train")
     rows = stage(_assembled(with_class_weights(impute(usable, train, names), train), names), "boosted")
     model = fit_boosted(rows.where(F.col("split") == "train"), cfg)
     return _finish(_scored(model, rows, name), selector)
 
 
+#: Pooled node features of a graph.
+POOLED = [f"{c}_{p}" for c in graph.NODE_FEATURES for p in ("mean", "last", "slope", "max")]
+
+
+def train_graph_model(
+    nodes: DataFrame,
+    edges: DataFrame,
+    rows: DataFrame,
+    until_s: float = 2.0,
+    selector=metrics.validation_threshold,
+    name: str = "graph_model",
+) -> DataFrame:
+    """Crop, normalise by train rows, propagate twice, pool over time, classify.
+
+    ``rows``: candidate_id, match_id, split, label and, if known, strict_valid;
+    graphs of other candidates and of invalid ones are not used.
+    """
+    if "strict_valid" in rows.columns:
+        rows = rows.where(strict_bool("strict_valid"))
+    nodes = graph.crop(keys.semi_filter(nodes, rows, ["candidate_id"]), end_s=until_s)
+    edges = keys.semi_filter(edges, nodes.select("candidate_id", "frame_id").distinct(), ["candidate_id", "frame_id"])
+    train = keys.semi_filter(nodes, rows.where(F.col("split") == "train"), ["candidate_id"])
+    scaled = stage(graph.normalize_nodes(nodes, graph.feature_normalizer(train)), "scaled-nodes")
+    pooled = graph.temporal_pooling(graph.frame_embedding(graph.propagate(scaled, edges)))
+    return train_logistic(stage(pooled.join(rows, "candidate_id"), "pooled"), POOLED, selector, name)
+
+
 def macro_selector(scores: DataFrame) -> DataFrame:
     """Threshold per model by macro-F1 on validation rows."""
     return metrics.macro_f1_threshold(scores.where(F.col("split") == "validation"), ["model"])
@@ -194,19 +248,14 @@ def rotations(dataset: DataFrame) -> DataFrame:
     )
 
 
-def leave_one_match_out(
-    dataset: DataFrame, trainers: dict[str, Callable[[DataFrame], DataFrame]], max_matches: int = 64
-) -> DataFrame:
-    """Held-out predictions of every trainer over all rotations.
+def leave_one_match_out(dataset: DataFrame, trainers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Held-out predictions of every trainer over all rotations, appended to one table.
 
-    One fit per match and trainer: a protocol with more than ``max_matches``
-    rotations is refused rather than cut short.
+    One fit per match and trainer, a match at a time; the driver holds one row
+    of the protocol. Every usable row must be predicted once by every model.
     """
-    plan = rotations(dataset).limit(max_matches + 1).collect()
-    if len(plan) > max_matches:
-        raise ValueError(f"more than {max_matches} matches: one fit per match is not feasible")
-    held_out = []
-    for turn in plan:
+    path = shared_file(dataset.sparkSession, "held_out")
+    for turn in rotations(dataset).toLocalIterator():
         split = (
             F.when(F.col("match_id") == turn.test_match, "test")
             .when(F.col("match_id") == turn.validation_match, "validation")
@@ -214,8 +263,20 @@ def leave_one_match_out(
         )
         rows = dataset.withColumn("split", split)
         for train in trainers.values():
-            held_out.append(train(rows).where(F.col("split") == "test"))
-    return reduce(DataFrame.unionByName, held_out)
+            train(rows).where(F.col("split") == "test").write.mode("append").parquet(path)
+    held_out = dataset.sparkSession.read.parquet(path)
+    expected = dataset.where(F.col(LABEL).isin(0, 1)).select("candidate_id")
+    for row in gates.complete_prediction_checks(held_out, expected).collect():
+        if not (row["unique"] and row["complete"]):
+            raise ValueError(f"held-out predictions are not complete: {row['model']}")
+    return held_out
+
+
+def finalize_review(annotations: DataFrame, log: DataFrame, choices: DataFrame) -> DataFrame:
+    """Labels after the review; stops where they fail the annotation checks."""
+    final = stage(labels.finalize_labels(annotations, log, choices), "final-labels")
+    _require(gates.annotation_checks(final), "labels after the review")
+    return final
 
 
 def _as_rows(checks: DataFrame, prefix: str) -> DataFrame:
@@ -231,23 +292,42 @@ def _require(checks: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {sorted(k for k, v in row.items() if not v)}")
 
 
+#: Parts of a run that are frozen before training.
+FOLDERS = ("frozen_annotations", "frozen_model_manifest")
+
+
+def _part():
+    """Folder of a run's file."""
+    return F.regexp_replace("path", r"/[^/]*$", "")
+
+
+def _by_part(files: DataFrame) -> DataFrame:
+    """One row per folder: bytes, and a hash over its files' paths and hashes (few files a folder)."""
+    size = F.sum("bytes") if "bytes" in files.columns else F.lit(None).cast("bigint")
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256"))), ","), 256)
+    return files.groupBy(_part().alias("path")).agg(size.alias("bytes"), digest.alias("sha256"))
+
+
 def final_run(
     annotations: DataFrame,
     manifest: DataFrame,
     features: DataFrame,
     trainers: dict[str, Callable[[DataFrame], DataFrame]],
+    graph_trainer: Callable[[DataFrame], DataFrame],
     folder: str | None = None,
     minimum_per_class: int = 5,
 ) -> DataFrame:
     """Gate, freeze, audit, train, evaluate, hash, and audit the run folder.
 
-    ``trainers`` maps a model name to dataset -> predictions. Returns the hashed
-    inventory of the run; a failed gate stops it.
+    ``trainers`` maps a name to dataset -> predictions; ``graph_trainer`` trains
+    the graph model. Every flag of the metadata says what this run did. Hashes
+    are listed from the files as written, and checked against the folder as it
+    is at the end. Returns the hashed inventory; a failed gate stops the run.
     """
     spark = annotations.sparkSession
     dataset = baseline_dataset(features, manifest)
     _require(gates.readiness(annotations, dataset, minimum_per_class), "not ready for final training")
-    out = folder or f"{shared_folder(spark)}/final_run-{uuid.uuid4().hex}"
+    out = folder or shared_file(spark, "final_run")
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{out}/{name}")
@@ -258,29 +338,36 @@ def final_run(
     keep(labels.annotation_summary(frozen, frozen_manifest), "annotation_audit_summary")
     keep(labels.review_queue(frozen, frozen_manifest), "annotation_review_queue")
     rows = stage(dataset, "dataset")
-    preds = [keep(train(rows), f"predictions/{name}") for name, train in trainers.items()]
-    combined = reduce(DataFrame.unionByName, preds)
-    keep(evaluate(combined), "evaluation")
-    fixed = [("status", "final_training_complete"), ("summary.status", "FINAL")]
-    fixed += [(f"{part}.final_run", "true") for part in ("baseline", "temporal_gnn", "evaluation")]
-    fixed += [("model", name) for name in trainers]
+    done: list[tuple[str, str]] = []
+    preds = []
+    for name, train in {**trainers, "temporal_gnn": graph_trainer}.items():
+        preds.append(keep(train(rows).withColumn("model", F.lit(name)), f"predictions/{name}"))
+        done.append(("model", name))
+    done.append(("baseline.final_run", str(bool(trainers)).lower()))
+    done.append(("temporal_gnn.final_run", str(not preds[-1].isEmpty()).lower()))
+    # the graph model covers the episodes that have a graph, so both families are checked and scored on their own
+    families = {"baseline": reduce(DataFrame.unionByName, preds[:-1]), "graph": preds[-1]}
+    scores = keep(reduce(DataFrame.unionByName, [evaluate(p) for p in families.values()]), "evaluation")
+    done.append(("evaluation.final_run", str(not scores.isEmpty()).lower()))
+    summary = keep(scores.where(F.col("match_id") == "ALL").withColumn("status", F.lit("FINAL")), "summary")
+    status = summary.agg(F.when(F.count_if(F.col("status") != "FINAL") == 0, "FINAL").otherwise("DRAFT").alias("value"))
+    parts = [FOLDERS[0], FOLDERS[1], "annotation_audit_summary", "annotation_review_queue", *[f"predictions/{n}" for _, n in done if _ == "model"], "evaluation", "summary"]
+    written = tables.file_inventory(spark, out, "*.parquet")
+    listed = keep(written.select("path", "sha256"), "run_manifest")
+    missing = set(parts) - {r["part"] for r in written.select(_part().alias("part")).distinct().collect()}
+    done.append(("status", "incomplete" if missing else "final_training_complete"))
     metadata = keep(
-        spark.createDataFrame(fixed, "name string, value string")
-        .unionByName(_as_rows(gates.prediction_checks(combined), "check.evaluation."))
+        spark.createDataFrame(done, "name string, value string")
+        .unionByName(status.select(F.lit("summary.status").alias("name"), "value"))
+        .unionByName(_as_rows(gates.prediction_checks(families["baseline"]), "check.evaluation.baseline."))
+        .unionByName(_as_rows(gates.prediction_checks(families["graph"]), "check.evaluation.graph."))
         .unionByName(_as_rows(gates.annotation_checks(frozen), "check.annotation.")),
         "metadata",
     )
-    inventory = tables.file_inventory(spark, out, "*.parquet").withColumn("part", F.substring_index("path", "/", 1))
-    listed = keep(inventory.select("path", "sha256"), "run_manifest")
-    parts = inventory.groupBy(F.col("part").alias("path")).agg(F.sum("bytes").alias("bytes"))
-    wanted = ["frozen_annotations", "frozen_model_manifest", "predictions", "evaluation", "metadata"]
-    _require(
-        parts.where(F.col("path").isin(*wanted) & (F.col("bytes") > 0)).agg(
-            (F.count(F.lit(1)) == len(wanted)).alias("run_folder_complete")
-        ),
-        "run folder",
-    )
+    inventory = tables.file_inventory(spark, out, "*.parquet")
+    models_run = [n for k, n in done if k == "model"]
     _require(
-        gates.artifact_checks(inventory.drop("part"), listed, metadata, frozen, [], [], list(trainers)), "artifact audit"
+        gates.artifact_checks(_by_part(inventory), _by_part(listed), metadata, frozen, [*parts, "metadata"], [*FOLDERS, "evaluation"], models_run),
+        "artifact audit",
     )
     return inventory

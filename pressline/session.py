@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folder of each local application.
+_LOCAL: dict[str, str] = {}
+
+
 def local_session(cores: str = "8", partitions: int = 8, app: str = "pressline") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
     spark = (
@@ -30,12 +35,23 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "pressline")
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the setting is missing, as in tests.
+    Where it is missing, a local master gets one temporary folder per session;
+    a cluster has no folder that all its executors see, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[app]
+
+
+def shared_file(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +61,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executor then costs a re-read and never a recomputation of the whole plan.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_file(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import coerce_double, coerce_int
+from ..functions.columns import coerce_double, coerce_int, truth
 from .tracking import read_csv
 
 ANSWER = T.StructType(
@@ -28,6 +28,10 @@ SHEET = T.StructType(
         T.StructField("answers", T.MapType(T.StringType(), ANSWER)),
     ]
 )
+# Columns of a prediction file.
+PREDICTION_COLUMNS = ("model", "split", "candidate_id", "match_id", "y_true", "probability", "threshold", "y_pred")
+#: Most columns of a prediction file that are looked at.
+PREDICTION_WIDTH = 64
 MANIFEST_INTS = ("is_gegenpressing", "annotation_confidence", "annotation_order", "pilot_order")
 
 
@@ -41,8 +45,20 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Prediction files of several models as one table."""
-    raw = read_csv(spark, paths)
+    """Prediction files of several models as one table, columns by name.
+
+    Files may hold their columns in different orders, or lack some. One scan
+    reads the lines; the header of a file is its line with the header names, a
+    small table that meets the lines by file.
+    """
+    lines = spark.read.text(list(paths)).select(F.input_file_name().alias("_file"), F.col("value").alias("_line"))
+    cells = F.from_csv("_line", ", ".join(f"c{i} string" for i in range(PREDICTION_WIDTH)))
+    parsed = lines.select("_file", F.array(*[cells[f"c{i}"] for i in range(PREDICTION_WIDTH)]).alias("_cells"))
+    is_header = truth(F.array_contains("_cells", "candidate_id") & F.array_contains("_cells", "model"))
+    headers = parsed.where(is_header).groupBy("_file").agg(F.first("_cells").alias("_names"))
+    rows = parsed.where(~is_header).join(headers, "_file")
+    place = {c: F.array_position("_names", c).cast("int") for c in PREDICTION_COLUMNS}
+    raw = rows.select(*[F.when(p > 0, F.nullif(F.try_element_at("_cells", p), F.lit(""))).alias(c) for c, p in place.items()])
     return raw.withColumns(
         {
             **{c: coerce_int(c) for c in ("y_true", "y_pred") if c in raw.columns},
@@ -51,8 +67,9 @@ def read_predictions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def read_answer_sheets(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(SHEET).json(list(paths))
+def read_answer_sheets(spark: SparkSession, paths: Sequence[str], lines: bool = False) -> DataFrame:
+    """Answer sheets, one per file or, with ``lines``, one per line."""
+    return spark.read.option("multiLine", not lines).schema(SHEET).json(list(paths))
 
 
 def write_partitioned(df: DataFrame, path: str, key: str = "match_id", order: Sequence[str] = ()) -> None:

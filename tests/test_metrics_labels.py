@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pressline.operators import gates, keys, labels, metrics, sampling
 
@@ -164,10 +165,26 @@ def test_spaced_sample_keeps_distance_and_balance(spark):
     times = sorted(r.loss_t_us for r in kept)
     assert len(times) > 5 and min(b - a for a, b in zip(times, times[1:])) >= 2_000_000
     digest = {r[0]: __import__("hashlib").md5(f"{r[0]}-42".encode()).hexdigest() + r[0] for r in rows}
-    want = {a[0] for a in rows if all(digest[a[0]] <= digest[b[0]] for b in rows if abs(a[3] - b[3]) < 2_000_000)}
-    assert {r.candidate_id for r in kept} == want
+    want = {}
+    for a in sorted(rows, key=lambda r: digest[r[0]]):
+        if all(abs(a[3] - t) >= 2_000_000 for t in want.values()):
+            want[a[0]] = a[3]
+    assert {r.candidate_id for r in kept} == set(want)
     sample = sampling.spaced_sample(df, 6, 2_000_000).collect()
     assert sum(r.label_regain_5s for r in sample) * 2 == len(sample)
+    with pytest.raises(ValueError, match="even"):
+        sampling.spaced_sample(df, 5, 2_000_000)
+    with pytest.raises(Exception, match="both outcomes"):
+        sampling.spaced_sample(df.where("label_regain_5s = 1"), 6, 2_000_000).collect()
+
+
+def test_dense_rows_fill_the_quota(spark):
+    rows = [(f"c{i}", "g", 1, i * 1_000_000, i, i // 2 % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "candidate_id string, match_id string, period_id int, loss_t_us long, loss_frame long, label_regain_5s int")
+    sample = sampling.spaced_sample(df, 80, 1_000_000).collect()
+    assert len(sample) == 80 and sum(r.label_regain_5s for r in sample) == 40
+    spaced = sampling.spaced_sample(df, 60, 2_000_000).collect()
+    assert len(spaced) == 60
 
 
 def test_pilot_that_can_not_balance_is_an_error(spark):
@@ -188,3 +205,86 @@ def test_order_numbers_run_through_matches(spark):
     rows = labels.order_numbers(df).collect()
     assert sorted(r.annotation_order for r in rows) == list(range(1, 51))
     assert max(r.annotation_order for r in rows if r.match_id == "g") == sum(r.match_id == "g" for r in rows)
+
+
+def test_fractional_labels_are_not_labels(spark):
+    df = spark.createDataFrame([(v,) for v in ("0.5", "1.7", "-0.4", "1.0", " -1 ", "x", None)], "v string")
+    from pressline.functions import columns as C
+
+    assert [r[0] for r in df.select(C.coerce_int("v")).collect()] == [None, None, None, 1, -1, None, None]
+    ann = annotations(spark, [(1, 3, "", "a"), (0, 3, "", "a")]).withColumn(
+        "is_gegenpressing", F.when(F.col("is_gegenpressing") == 1, "0.5").otherwise("0")
+    )
+    row = gates.annotation_checks(ann).first()
+    assert row.all_annotations_completed and not row.all_labels_valid
+
+
+def test_upsert_over_long_periods_and_rows_without_order(spark):
+    minute = 60_000_000
+    far = (1 << 21) * minute
+    source = spark.createDataFrame(
+        [(f"p{p}_{i}", "g", p, far * (2 - p) + i * minute * 3000, i) for p in (1, 2) for i in range(4)],
+        "candidate_id string, match_id string, period_id int, loss_t_us long, loss_frame long",
+    )
+    old = spark.createDataFrame([("p2_3", None, 0, True)], "candidate_id string, annotation_order long, is_gegenpressing int, pilot_selected boolean")
+    got = {r.candidate_id: (r.annotation_order, r.is_gegenpressing, r.pilot_selected) for r in labels.preserve_upsert(source, old).collect()}
+    assert [got[f"p{p}_{i}"][0] for p in (1, 2) for i in range(4)] == list(range(1, 9))
+    assert got["p2_3"] == (8, 0, True)
+
+
+def test_conflict_without_consensus_stops(spark):
+    cohort = spark.createDataFrame([("p", "prioritas", 1)], "candidate_id string, kelompok string, label_asal int")
+    side = lambda rows: spark.createDataFrame(rows, "candidate_id string, label int")
+    with pytest.raises(Exception, match="no consensus"):
+        labels.adjudicate(cohort, side([("p", 0)]), side([("p", 1)]), side([])).collect()
+
+
+def test_revisions_check_ids_and_old_labels(spark):
+    ann = spark.createDataFrame([("a", 1, "n"), ("b", 0, "m")], "candidate_id string, is_gegenpressing int, annotation_notes string")
+    rev = lambda rows: spark.createDataFrame(rows, "candidate_id string, is_gegenpressing int, annotation_notes string, expected_label int")
+    got = {r.candidate_id: (r.is_gegenpressing, r.annotation_notes, r.revised) for r in labels.apply_revisions(ann, rev([("a", 0, None, 1)])).collect()}
+    assert got == {"a": (0, None, True), "b": (0, "m", False)}
+    with pytest.raises(Exception, match="unknown id"):
+        labels.apply_revisions(ann, rev([("z", 0, "", 1)])).collect()
+    with pytest.raises(Exception, match="another label"):
+        labels.apply_revisions(ann, rev([("a", 0, "", 0)])).collect()
+
+
+def test_final_labels_take_five_columns(spark):
+    ann = spark.createDataFrame([("a", "m", 1, 1, "old", "t0", "x"), ("b", "m", 0, 3, "keep", "t0", "x")],
+                                "candidate_id string, match_id string, is_gegenpressing int, annotation_confidence int, annotation_notes string, annotated_at_utc string, annotator string")
+    log = spark.createDataFrame([("a", 1, 0, "diubah")], "candidate_id string, label_utama int, label_kedua int, keputusan string")
+    answer = "candidate_id string, label int, confidence int, person string, utc string, notes string"
+    first = spark.createDataFrame([("a", 1, 2, "p", "t1", "mine")], answer)
+    both = spark.createDataFrame([("a", 0, 3, "both", "t2", "agreed"), ("b", 1, 3, "both", "t2", "unused")], answer)
+    rows = {r.candidate_id: r for r in labels.finalize_labels(ann, log, labels.final_choices(first, both, log)).collect()}
+    a = rows["a"]
+    assert (a.is_gegenpressing, a.annotation_confidence, a.annotator, a.annotated_at_utc, a.annotation_notes) == (0, 3, "both", "t2", "agreed")
+    assert rows["b"].annotation_notes == "keep"
+
+
+def test_model_without_threshold_is_an_error(spark):
+    scores = spark.createDataFrame([("m", 0.5), ("n", 0.4)], "model string, probability double")
+    with pytest.raises(Exception, match="no threshold"):
+        metrics.predict(scores, spark.createDataFrame([("m", 0.5)], "model string, threshold double")).collect()
+
+
+def test_pilot_is_returned_once_chosen(spark):
+    queue = spark.createDataFrame([("a", "g", 1, None, "True", 1), ("b", "g", 0, None, "False", None)],
+                                  "candidate_id string, match_id string, quick_regain_success int, is_gegenpressing int, pilot_selected string, pilot_order int")
+    assert [r.candidate_id for r in sampling.pilot_selection(queue).collect()] == ["a"]
+
+
+def test_team_of_a_player_over_periods(spark):
+    from pressline.operators import roster
+
+    ev = spark.createDataFrame([("m", 1, 5_000_000, 9, "p", "A"), ("m", 2, 1_000_000, 3, "p", "B")],
+                               "match_id string, period_id int, t_us long, event_id long, player_id string, team_id string")
+    assert roster.player_team(ev).first().team_id == "A"
+
+
+def test_answer_hash_is_checked(spark):
+    answers = spark.createDataFrame([("c", 1, 3, "n", "p", "2024-01-01T00:00:00Z", "r", "old")],
+                                    "candidate_id string, label int, confidence int, notes string, person string, utc string, role string, hash string")
+    row = gates.answer_checks(answers, answers, "r", "new").first()
+    assert not row.hash_matches and row.role_matches and row.ids_complete

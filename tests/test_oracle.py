@@ -1,9 +1,5 @@
-"""Registered queries against their oracle SQL on the smallest tables.
+"""Every registered query against its oracle SQL on the smallest tables."""
 
-A cross-section runs by default; ORACLE_KEYS=all runs every key.
-"""
-
-import os
 from pathlib import Path
 
 import pytest
@@ -12,12 +8,7 @@ import __spark_entry__ as contract
 from tools import check
 
 SF = "/root/testdata/sf0.001"
-SOME = (
-    "possession_changes quick_regain match_summary gap_stats event_context lookback_state episode_audit knn_edges "
-    "pressure_features team_response cue_screening model_manifest preserve_upsert label_finalize spaced_sample "
-    "pilot_selection threshold_f1 match_metrics gate_annotations unpivot_tracks"
-).split()
-KEYS = sorted(contract.oracle_sql()) if os.environ.get("ORACLE_KEYS") == "all" else SOME
+KEYS = sorted(contract.oracle_sql())
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 

@@ -61,3 +61,19 @@ def test_exact_quantiles(spark):
     for r in df.groupBy("k").agg(*[F.percentile("x", F.lit(p)).alias(n) for n, p in probs.items()]).collect():
         for n in probs:
             assert abs(got[r.k][n] - r[n]) < 1e-9
+
+
+def test_value_slices_follow_the_data(spark):
+    n = 20_000
+    narrow = spark.range(n).select(F.lit("a").alias("k"), (1000 + F.col("id") * 10 / n).alias("v"))
+    scores = spark.range(n).select(F.lit("b").alias("k"), (0.001 + F.col("id") * 1e-9).alias("v"))
+    far = spark.createDataFrame([("c", 1e12), ("c", -1e12), (None, 1.0)], "k string, v double")
+    df = narrow.unionByName(scores).unionByName(narrow.withColumn("k", F.lit("c"))).unionByName(far)
+    out = ordered.with_value_slice(df, ["k"], "v", "s")
+    sizes = out.groupBy("k", "s").count().groupBy("k").agg(F.max("count").alias("most"), F.avg("count").alias("mean"))
+    found = {r["k"]: r for r in sizes.collect()}
+    assert len(found) == 4 and all(found[k]["most"] <= 2 * found[k]["mean"] + 1 for k in "ab")
+    assert found["c"]["most"] <= n / 32  # beside far outliers only the outermost part is one slice
+    assert out.count() == df.count()
+    w = Window.partitionBy("k").orderBy("v")
+    assert out.withColumn("back", F.lag("s").over(w) > F.col("s")).where("back").isEmpty()

@@ -36,7 +36,7 @@ def test_answer_sheet_and_gate(spark, tmp_path):
 
     rows = labels.explode_answers(tables.read_answer_sheets(spark, [str(tmp_path / "s.json")]).drop("person"))
     expected = spark.createDataFrame([("c1",), ("c2",)], "candidate_id string")
-    assert all(gates.answer_checks(rows, expected, "second").first().asDict().values())
+    assert all(gates.answer_checks(rows, expected, "second", "h").first().asDict().values())
     earlier = spark.createDataFrame([(" ANN ",)], "person string")
     assert not gates.rater_checks(rows, earlier).first().second_rater_differs
 
@@ -104,3 +104,63 @@ def test_feature_row_without_manifest_is_an_error(spark):
                                      f"candidate_id string, match_id string, split string, {models.LABEL} int, label_status string, eligible_for_detection_training boolean")
     with pytest.raises(Exception, match="feature row without manifest"):
         models.baseline_dataset(features, manifest).collect()
+
+
+def test_predictions_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("model,candidate_id,y_true,probability,threshold\nm1,c1,1,0.9,0.5\n")
+    (tmp_path / "b.csv").write_text("threshold,probability,candidate_id,model,extra\n0.4,0.2,\"c,2\",m2,x\n")
+    rows = {r.candidate_id: r for r in tables.read_predictions(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()}
+    assert (rows["c1"].model, rows["c1"].y_true, rows["c1"].probability, rows["c1"].threshold) == ("m1", 1, 0.9, 0.5)
+    assert (rows["c,2"].model, rows["c,2"].y_true, rows["c,2"].probability, rows["c,2"].threshold) == ("m2", None, 0.2, 0.4)
+
+
+def test_training_needs_both_classes_in_every_split(spark):
+    with pytest.raises(ValueError, match="no usable labels in the train"):
+        models.train_logistic(toy(spark).where("split <> 'train'"), ["f1"])
+    with pytest.raises(ValueError, match="one class only in the validation"):
+        models.train_logistic(toy(spark), ["f1"])
+    with pytest.raises(ValueError, match="no usable labels in the train"):
+        models.usable_rows(toy(spark).withColumn("eligible_for_detection_training", F.lit(False)))
+
+
+def test_graph_without_manifest_row_is_an_error(spark):
+    a = spark.createDataFrame([("c1", "m")], "candidate_id string, match_id string")
+    b = spark.createDataFrame([("c2", "m")], "candidate_id string, match_id string")
+    with pytest.raises(Exception, match="do not match"):
+        models.graph_dataset(a, b).collect()
+
+
+def test_every_artifact_flag_turns_false_on_its_own(spark):
+    files = spark.createDataFrame([("a", 5, "h1"), ("b", 5, "h2")], "path string, bytes long, sha256 string")
+    listed = files.select("path", "sha256")
+    good = {"baseline.final_run": "true", "temporal_gnn.final_run": "true", "evaluation.final_run": "true", "status": "final_training_complete",
+            "summary.status": "FINAL", "check.evaluation.x": "true", "check.annotation.x": "true", "model": "m"}
+    ann = spark.createDataFrame([(1,)], "is_gegenpressing int")
+    meta = lambda d: spark.createDataFrame(list(d.items()), "name string, value string")
+
+    def wrong(metadata=good, inventory=files, hashes=listed, labels=ann, expected=("a", "b"), critical=("a",), models_=("m",)):
+        row = gates.artifact_checks(inventory, hashes, meta(metadata), labels, expected, critical, models_).first().asDict()
+        return {k for k, v in row.items() if not v}
+
+    assert wrong() == set()
+    for name, flag in (
+        ("baseline.final_run", "baseline_marked_final"), ("temporal_gnn.final_run", "graph_model_marked_final"),
+        ("evaluation.final_run", "evaluation_marked_final"), ("status", "run_manifest_complete"), ("summary.status", "summary_marked_final"),
+        ("check.evaluation.x", "evaluation_checks_passed"), ("check.annotation.x", "annotation_checks_passed"), ("model", "expected_models_present"),
+    ):
+        assert wrong(metadata={**good, name: "no"}) == {flag}
+    assert wrong(expected=("a", "c")) == {"all_expected_files_nonempty"} == wrong(expected=())
+    assert wrong(critical=("c",)) == {"critical_hashes_listed"} == wrong(critical=())
+    assert wrong(models_=()) == {"expected_models_present"}
+    assert wrong(hashes=listed.withColumn("sha256", F.lit("other"))) == {"artifact_hashes_match"}
+    assert wrong(labels=spark.createDataFrame([(None,)], "is_gegenpressing int")) == {"frozen_annotations_complete"}
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from pressline import session
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    assert session.shared_folder(spark) == session.shared_folder(spark)
+    monkeypatch.setattr(spark.sparkContext, "master", "yarn")
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        session.shared_folder(spark)
