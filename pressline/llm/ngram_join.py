@@ -34,6 +34,9 @@ BLOCK_ENTRIES = 1_500_000
 #: Rows of a column that one window task sorts; longer columns are salted.
 COLUMN_ROWS = 20_000
 
+#: Passes over neighbours before all pairs that are left are taken.
+NEIGHBOUR_ROUNDS = 2
+
 BLOCK = "bucket int, sig binary, n binary, size binary, gram binary"
 ROWS = "bucket int, sig binary, n binary, size binary, gram binary, df binary"
 
@@ -216,21 +219,18 @@ def link_classes(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
 
     plain = columns.withColumn("class", F.col("sig"))
     tested = [staged(_linked(_neighbours(plain, [F.col("n"), F.col("sig")], F.lit(True)), vectors), "links")]
-    classes = components(tested[0].where("linked"))
-    while True:
-        # pairs that neither chains of links nor earlier tests have settled: first neighbours again, then all
-        known = columns.join(classes.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("component", "sig")).drop("component")
+    classes = staged(components(tested[0].where("linked")), "components")
+    for _ in range(NEIGHBOUR_ROUNDS):
+        # neighbours again, in another order, where chains of links have not settled a column
         done = reduce(DataFrame.unionByName, tested).select("a", "b")
-        open_columns = known.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("gram")
-        known = staged(known.join(open_columns, "gram", "left_semi"), "open-columns")
+        known = _open(columns, classes)
         mixed = F.xxhash64("sig", F.lit(len(tested)))
         near = _neighbours(known, [F.col("class"), mixed], F.col("x.class") != F.col("y.class")).join(done, ["a", "b"], "left_anti")
         fresh = staged(_linked(near, vectors), "links")
-        if fresh.where("linked").isEmpty():
-            tested.append(fresh)
-            break
         tested.append(fresh)
         classes = _merged(classes, fresh)
+    # every pair that is left, whatever the rounds have found
+    known = _open(columns, classes)
     done = reduce(DataFrame.unionByName, tested).select("a", "b")
     side = known.select("gram", F.struct(*ENTRY, "class").alias("entry"))
     x, y = side.withColumnRenamed("entry", "x"), side.withColumnRenamed("entry", "y")
@@ -239,12 +239,19 @@ def link_classes(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     return _merged(classes, last)
 
 
+def _open(columns: DataFrame, classes: DataFrame) -> DataFrame:
+    """Entries of the columns that hold more than one component, with their component."""
+    known = columns.join(classes.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("component", "sig")).drop("component")
+    mixed = known.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("gram")
+    return staged(known.join(mixed, "gram", "left_semi"), "open-columns")
+
+
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: the links between components are contracted first."""
     of = lambda name: classes.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
     edges = links.where("linked").join(of("a"), "a", "left").join(of("b"), "b", "left")
     edges = edges.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    joined = components(edges)
+    joined = staged(components(edges), "components")
     moved = classes.join(joined.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     single = joined.join(classes, "node", "left_anti")
     return staged(moved.unionByName(single), "components")

@@ -50,11 +50,11 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``SLICE_BYTES`` of text, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, one row at least."""
     for batch in batches:
-        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-        part = np.cumsum(size) // SLICE_BYTES
+        length = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        part = np.cumsum(length) // size
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if b > a:
@@ -145,28 +145,33 @@ def dealt(df: DataFrame, buckets: int, *then: str) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node that each node of ``links`` reaches.
-
-    Alternates two steps until nothing changes: every node's larger neighbours,
-    then its smaller ones, are tied to the smallest neighbour. Each round is a
-    few joins of edge-sized tables, written to the shared folder; the number of
-    rounds grows with the logarithm of the longest path.
+    """(node, component): one node of all that each node of ``links`` reaches.
+
+    Contracts edges until none is left: every node points to its smallest
+    neighbour, if that is smaller, and pointers are followed once more; edges
+    then join what their ends point to. A round is a few joins of edge-sized
+    tables and writes the remaining edges to the shared folder. With node
+    numbers in random order, such as hashes, a round leaves a fraction of the
+    nodes, and a star of any size one.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    edges = staged(edges, "edges")
-    seen = None
+    edges = staged(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    steps = [_pointers(edges)]
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = staged(large.distinct(), "edges")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = staged(small.where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        to = lambda end, step=steps[-1]: step.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}"))
+        moved = edges.join(to("u"), "u").join(to("v"), "v").select(F.col("to_u").alias("u"), F.col("to_v").alias("v"))
+        edges = staged(moved.where("u <> v").distinct(), "edges")
+        if edges.isEmpty():
             break
-        seen = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        steps.append(_pointers(edges))
+    out = steps[0].withColumnRenamed("to", "component")
+    for step in steps[1:]:
+        out = out.join(step.withColumnRenamed("node", "component"), "component", "left")
+        out = out.select("node", F.coalesce("to", "component").alias("component"))
+    return out
+
+
+def _pointers(edges: DataFrame) -> DataFrame:
+    """(node, to) of every node of ``edges``, two steps down."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("to"))
+    return least.join(least.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
