@@ -31,7 +31,10 @@ TRUSTED = 5
 #: Bigrams seen fewer times are left to the lower order; all their probability is freed.
 LEAST_COUNT = 2
 #: Distinct keys of a count block and of a look-up block, on average.
-COUNT_KEYS, LOOKUP_KEYS = 2_000_000, 4_000_000
+COUNT_KEYS, LOOKUP_KEYS = 1_000_000, 4_000_000
+
+#: Bytes of text that a task sends the keys of at a time.
+SCORE_BYTES = 4 << 20
 
 COUNTS = "bucket int, h binary, h_size binary, w binary, n binary"
 GRAMS = "h long, w long, n long, types long"
@@ -55,28 +58,34 @@ def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return history, out, starts
 
 
+def _grams(batch: pa.RecordBatch):
+    """Bigrams, then unigrams, of a slice: history, word and row of every token."""
+    h, w, starts = _tokens(batch.column("text"))
+    row = np.repeat(np.arange(batch.num_rows, dtype=np.uint32), np.diff(starts))
+    yield h, w, row
+    h[:] = NO_HISTORY
+    yield h, w, row
+
+
 def _count_blocks(buckets: int):
     def run(batches):
         for batch in slices(batches):
-            h, w, _ = _tokens(batch.column("text"))
-            if not len(w):
-                continue
-            key = np.concatenate([pair_key(h, w), pair_key(np.full(1, NO_HISTORY), w)])
-            h, w = np.concatenate([h, np.full(len(w), NO_HISTORY)]), np.concatenate([w, w])
-            order = np.argsort(key)
-            key = key[order]
-            first = runs(key)
-            n = np.diff(np.append(first, len(key))).astype(np.uint32)
-            key, h, w = key[first], h[order[first]], w[order[first]]
-            cuts = bucket_cuts(key, buckets)
-            out = []
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a < b:
-                    o = a + np.argsort(h[a:b], kind="stable")
-                    heads = runs(h[o])
-                    sizes = np.diff(np.append(heads, len(o))).astype(np.uint32)
-                    out.append((k, h[o][heads].tobytes(), sizes.tobytes(), w[o].tobytes(), n[o].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], [c.split()[0] for c in COUNTS.split(", ")])
+            for h, w, _ in _grams(batch):
+                key = pair_key(h, w)
+                order = np.argsort(key)
+                key = key[order]
+                first = runs(key)
+                n = np.diff(np.append(first, len(key))).astype(np.uint32)
+                at = order[first]
+                cuts = bucket_cuts(key[first], buckets)
+                out = []
+                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if a < b:
+                        o = np.argsort(h[at[a:b]], kind="stable")
+                        heads = runs(h[at[a:b]][o])
+                        sizes = np.diff(np.append(heads, len(o))).astype(np.uint32)
+                        out.append({"bucket": k, "h": h[at[a:b]][o][heads].tobytes(), "h_size": sizes.tobytes(), "w": w[at[a:b]][o].tobytes(), "n": n[a:b][o].tobytes()})
+                yield _rows(COUNTS, out)
 
     return run
 
@@ -212,22 +221,23 @@ def _text_blocks(buckets: int):
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            h, w, starts = _tokens(batch.column("text"))
-            n = batch.num_rows
-            row = np.repeat(np.arange(n, dtype=np.uint32), np.diff(starts))
-            key = np.concatenate([pair_key(h, w), pair_key(np.zeros(1, np.uint64), w)])
-            order = np.argsort(key, kind="stable")
-            key, row = key[order], np.concatenate([row, row])[order]
-            first = runs(key)
-            uses = np.diff(np.append(first, len(key))).astype(np.uint32)
-            cuts = bucket_cuts(key[first], buckets)
+        for batch in slices(batches, size=SCORE_BYTES):
             number = (part << 24) + made
             made += 1
-            ends = np.append(first, len(key))
-            out = [{"bucket": k, "kind": 1, "slice": number, "key": key[first[a:b]].tobytes(), "uses": uses[a:b].tobytes(), "row": row[ends[a] : ends[b]].tobytes()} for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            own = {"doc_id": batch.column("doc_id").to_pylist(), "held_out": batch.column("held_out").to_pylist(), "n_tokens": np.diff(starts).tolist()}
-            yield _rows(BLOCKS, [*out, {"bucket": number % buckets, "kind": 2, "slice": number, **own}])
+            tokens = np.zeros(batch.num_rows, np.int64)
+            for h, w, row in _grams(batch):
+                tokens = np.bincount(row, minlength=batch.num_rows)
+                key = pair_key(h, w)
+                order = np.argsort(key, kind="stable")
+                key, row = key[order], row[order]
+                first = runs(key)
+                ends = np.append(first, len(key))
+                uses = np.diff(ends).astype(np.uint32)
+                key = key[first]
+                cuts = bucket_cuts(key, buckets)
+                yield _rows(BLOCKS, [{"bucket": k, "kind": 1, "slice": number, "key": key[a:b].tobytes(), "uses": uses[a:b].tobytes(), "row": row[ends[a] : ends[b]].tobytes()} for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b])
+            own = {"doc_id": batch.column("doc_id").to_pylist(), "held_out": batch.column("held_out").to_pylist(), "n_tokens": tokens.tolist()}
+            yield _rows(BLOCKS, [{"bucket": number % buckets, "kind": 2, "slice": number, **own}])
 
     return run
 
