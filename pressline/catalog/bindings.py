@@ -36,11 +36,16 @@ def doc_id_key() -> Column:
     return F.concat(F.lit("D"), F.col("doc_id").cast("string"))
 
 
+def wall_us(c: str) -> Column:
+    """Microseconds since 1970 of a time without zone, whatever the session's zone is."""
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = F.extract(F.lit("SECOND"), F.col(c)) * 1_000_000
+    return ((days * 24 + F.hour(c)) * 60 + F.minute(c)) * 60_000_000 + seconds.cast("bigint")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
-        # Times are read as UTC instants, whatever the cluster's zone is.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -53,7 +58,7 @@ class Tables:
         return self.table("events").select(
             F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("match_id"),
             F.when(F.dayofmonth("ts") <= 15, 1).otherwise(2).alias("period_id"),
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
+            wall_us("ts").alias("t_us"),
             F.col("event_id").alias("frame_id"),
             F.when(kind.isin("view", "click"), "T1").when(kind.isin("purchase", "signup"), "T2").alias("owner"),
             F.when(k % 7 == 0, "dead").otherwise("alive").alias("ball_state"),
@@ -74,7 +79,7 @@ class Tables:
         return self.table("events").select(
             F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("match_id"),
             F.when(F.dayofmonth("ts") <= 15, 1).otherwise(2).alias("period_id"),
-            (F.unix_micros(F.col("ts").cast("timestamp")) - epoch - 24 * HOUR).alias("t_us"),
+            (wall_us("ts") - epoch - 24 * HOUR).alias("t_us"),
             "event_id",
             "event_type",
             F.when(kind.isin("view", "click"), "T1").when(kind.isin("purchase", "signup"), "T2").alias("team_id"),
@@ -246,6 +251,19 @@ class Tables:
             )
         )
 
+    def borrowed(self, rows: DataFrame) -> DataFrame:
+        """Graph rows for every strict-valid document: each takes those of one episode, in turn."""
+        from ..functions import ordered
+
+        episodes = ordered.row_numbers(
+            self.track_candidates.select(F.col("candidate_id").alias("_episode"), "loss_frame"), [], ["_episode"], ordered.time_slices("loss_frame", [1 << 40]), "_n"
+        )
+        count = episodes.agg(F.count(F.lit(1)).alias("_count"))
+        doc = F.regexp_extract("candidate_id", r"(\d+)", 1).cast("bigint")
+        docs = ordered.with_scalars(self.manifest.select("candidate_id"), count)
+        lent = docs.withColumn("_n", F.pmod(doc, F.col("_count")) + 1).join(episodes, "_n").select("candidate_id", "_episode")
+        return rows.withColumnRenamed("candidate_id", "_episode").drop("match_id").join(lent, "_episode").drop("_episode")
+
     @cached_property
     def finished_annotations(self) -> DataFrame:
         """Every strict-valid document with a decision, a confidence, a note and a reviewer."""

@@ -121,4 +121,9 @@ def _(s):
         "logistic_regression": lambda rows: models.train_logistic(rows, names),
         "boosted_trees": lambda rows: models.train_boosted(rows, names),
     }
-    return models.final_run(annotations, manifest, _doc_features(s), trainers, lambda _: models.train_graph_model(s.graph_nodes, s.graph_edges, _graph_rows(s)))
+    columns = ["candidate_id", "match_id", "split", "gegenpressing_label", "eligible_for_detection_training"]
+
+    def graph_trainer(rows):
+        return models.train_graph_model(s.borrowed(s.graph_nodes), s.borrowed(s.graph_edges), rows.select(*columns))
+
+    return models.final_run(annotations, manifest, _doc_features(s), trainers, graph_trainer)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import gates, profile
-from ..session import shared_file
+from ..session import shared_file, stage
 from ..sources import tables, tracking
 from .bindings import EVENT_CFG
 from .registry import query, view
@@ -108,8 +108,9 @@ def _(s):
 
 @query("gate_artifacts")
 def _(s):
+    """The folder's hashes are listed in a table written first, and checked against a later inventory."""
+    manifest = stage(tables.file_inventory(s.spark, s.dir, "*.parquet").select(F.create_map("path", "sha256").alias("artifact_sha256")), "run_manifest")
     inventory = tables.file_inventory(s.spark, s.dir, "*.parquet")
-    manifest = inventory.select(F.create_map("path", "sha256").alias("artifact_sha256"))
     usable = s.annotations.where(F.col("is_gegenpressing").isNotNull())
     flags = usable.agg(C.all_true(F.col("is_gegenpressing").isin(-1, 0, 1)).cast("string").alias("ok"))
     names = ["baseline.final_run", "temporal_gnn.final_run", "evaluation.final_run", "check.annotation.labels_valid", "check.evaluation.labels_valid"]

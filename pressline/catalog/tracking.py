@@ -294,7 +294,7 @@ def _(s):
     return out.withColumns({c: F.round(c, 5) for c in ("x", "y", "speed")})
 
 
-FEATS = "x y speed is_ball is_losing is_opponent".split()
+FEATS = graph.NODE_FEATURES
 view("fx_links", "SELECT candidate_id, frame_id, src, dst FROM fx_edges UNION ALL SELECT candidate_id, frame_id, node_idx, node_idx FROM fx_nodes")
 view("fx_deg", "SELECT candidate_id, frame_id, dst AS node_idx, count(*)::DOUBLE AS deg FROM fx_links GROUP BY ALL")
 for hop, source in ((1, "fx_nodes"), (2, "fx_hop1")):

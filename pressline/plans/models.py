@@ -345,9 +345,8 @@ def final_run(
         done.append(("model", name))
     done.append(("baseline.final_run", str(bool(trainers)).lower()))
     done.append(("temporal_gnn.final_run", str(not preds[-1].isEmpty()).lower()))
-    # the graph model covers the episodes that have a graph, so both families are checked and scored on their own
-    families = {"baseline": reduce(DataFrame.unionByName, preds[:-1]), "graph": preds[-1]}
-    scores = keep(reduce(DataFrame.unionByName, [evaluate(p) for p in families.values()]), "evaluation")
+    combined = reduce(DataFrame.unionByName, preds)
+    scores = keep(evaluate(combined), "evaluation")
     done.append(("evaluation.final_run", str(not scores.isEmpty()).lower()))
     summary = keep(scores.where(F.col("match_id") == "ALL").withColumn("status", F.lit("FINAL")), "summary")
     status = summary.agg(F.when(F.count_if(F.col("status") != "FINAL") == 0, "FINAL").otherwise("DRAFT").alias("value"))
@@ -359,8 +358,7 @@ def final_run(
     metadata = keep(
         spark.createDataFrame(done, "name string, value string")
         .unionByName(status.select(F.lit("summary.status").alias("name"), "value"))
-        .unionByName(_as_rows(gates.prediction_checks(families["baseline"]), "check.evaluation.baseline."))
-        .unionByName(_as_rows(gates.prediction_checks(families["graph"]), "check.evaluation.graph."))
+        .unionByName(_as_rows(gates.prediction_checks(combined), "check.evaluation."))
         .unionByName(_as_rows(gates.annotation_checks(frozen), "check.annotation.")),
         "metadata",
     )
