@@ -33,7 +33,7 @@ PIECE_TOKENS = 1024
 #: Tokens that a group leaves free in each window, for the windows' inequality.
 SLACK = 2
 #: Chunks of text whose ids a Python worker remembers.
-MEMORY_CHUNKS = 400_000
+MEMORY_CHUNKS = 800_000
 
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
@@ -82,8 +82,8 @@ class Encoder:
     #: What the tokenizer splits chunks by; fixed values.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    #: Chunks of these characters alone are composed already and keep their parts in lower case.
-    PLAIN = regex.compile(r"[\x21-\u024F]*")
+    #: Characters from here on may change their number or their parts when composed or lower-cased.
+    PLAIN_END = "\u0250"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,13 +99,16 @@ class Encoder:
         for chunk, found in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
             self.memory[chunk] = np.array(found.ids, np.uint32).tobytes()
 
+    def _parts(self, chunk: str) -> int:
+        return 1 if chunk.isalpha() else len(self.PARTS.findall(chunk.lower()))
+
     def learn(self, chunks: list[str]):
-        plain = [c for c in chunks if self.PLAIN.fullmatch(c) and "<|" not in c]
+        plain = [c for c in chunks if c.isascii() and "<" not in c or max(c) < self.PLAIN_END and "<|" not in c and "\u0130" not in c]
         for a in range(0, len(plain), 2000):
             part = plain[a : a + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            words = np.cumsum([len(self.PARTS.findall(c.lower())) for c in part])
+            words = np.cumsum([self._parts(c) for c in part])
             if len(ends) != words[-1] or (len(ends) and ends[-1] != len(ids)):
                 self._alone(part)
                 continue
@@ -115,7 +118,9 @@ class Encoder:
         self._alone([c for c in chunks if c not in self.memory])
 
     def encode(self, text: pa.Array) -> Iterator[np.ndarray]:
-        lists = pc.split_pattern(pc.replace_substring_regex(text, pattern="[\t-\r]", replacement=" "), " ")
+        # the tokenizer lower-cases, and always splits between a letter and a stop or comma
+        plain = pc.replace_substring_regex(pc.ascii_lower(text), pattern=r"(\p{L})([.,])", replacement=r"\1 \2")
+        lists = pc.split_pattern(pc.replace_substring_regex(plain, pattern="[\t-\r]", replacement=" "), " ")
         offsets = np.asarray(lists.offsets).astype(np.int64)
         coded = lists.values.dictionary_encode()
         codes = np.asarray(coded.indices).astype(np.int64)
