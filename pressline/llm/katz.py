@@ -7,8 +7,9 @@ token's probability backs off from bigram to unigram to the unknown word.
 
 With p(w | h) = p(w) a(h) for bigrams that the model does not hold, a text's log
 probability is a sum over its words of log p(w) + log a(w), plus a gain for each
-bigram that the model holds. Words and bigrams are thus looked up alike, in one
-exchange: texts send the keys of each slice once, with the rows that use them.
+bigram that the model holds. Both are looked up in one exchange: texts send each
+slice's distinct bigrams once, by history, with the rows that use them. The few
+histories with a large share of all tokens are spread by their bigrams instead.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import MULTIPLIERS, bucket_cuts, by_bucket, dealt, id_text, mix, remainder, rows_of, runs, slices, split_words, staged, word_hashes
+from .shared import MULTIPLIERS, bucket_cuts, by_bucket, dealt, id_text, mix, release, remainder, rows_of, runs, slices, split_words, staged, word_hashes
 
 #: Keys of the end token and of the history before the first word, and the mark of a unigram.
 END, BEGIN, NO_HISTORY = np.uint64(1), np.uint64(2), np.uint64(0)
@@ -33,8 +34,8 @@ LEAST_COUNT = 2
 #: Distinct keys of a count block and of a look-up block, on average.
 COUNT_KEYS, LOOKUP_KEYS = 1_000_000, 4_000_000
 
-#: Bytes of text that a task sends the keys of at a time.
-SCORE_BYTES = 4 << 20
+#: Histories with more than this share of all tokens are spread by their bigrams.
+HOT_SHARE = 0.001
 
 COUNTS = "bucket int, h binary, h_size binary, w binary, n binary"
 GRAMS = "h long, w long, n long, types long"
@@ -138,6 +139,8 @@ class Katz:
     log_unknown: float
     log_begin: float
     keys: int
+    #: Words with more than ``HOT_SHARE`` of all tokens: w -> (n, log_p, log_a). At most 1 / HOT_SHARE of them.
+    hot: dict[int, tuple[int, float, float]]
 
 
 def _factor(factors: list[float], count):
@@ -170,7 +173,7 @@ def fit(docs: DataFrame) -> Katz:
         words, freed = words.withColumn("p", F.col("p") * tokens / (tokens + 1)), 1 / (tokens + 1)
     unknown = math.log10(freed) if tokens else 0.0
     if not tokens:
-        return Katz(words.selectExpr("w", "n", "p as log_p", "p as log_a"), words.selectExpr("w as h", "w", "p as gain"), 0, 0, 0.0, 0.0, 0)
+        return Katz(words.selectExpr("w", "n", "p as log_p", "p as log_a"), words.selectExpr("w as h", "w", "p as gain"), 0, 0, 0.0, 0.0, 0, {})
     begins = F.lit(grams.where((F.col("h") == 0) & (F.col("w") == 1)).agg(F.sum("n")).first()[0])
     pairs = grams.where("h <> 0").select("h", "w", "n").join(words.select("w", F.col("p").alias("p_low")), "w")
     uses = words.select(F.col("w").alias("h"), F.col("n").alias("n_h")).unionByName(words.sparkSession.range(1).select(F.lit(int(BEGIN)).cast("long").alias("h"), begins.cast("long").alias("n_h")))
@@ -183,14 +186,20 @@ def fit(docs: DataFrame) -> Katz:
     back = back.select("h", "scale", F.log10((1 - F.col("high") * F.col("scale")) / F.greatest(1 - F.col("low"), F.lit(1e-15))).alias("log_a"))
     back = staged(back, "backoff-weights")
     gain = F.log10(F.col("p_high") * F.col("scale")) - F.col("log_a") - F.log10("p_low")
-    bigrams = pairs.join(back, "h").select("h", "w", gain.alias("gain"))
+    bigrams = staged(pairs.join(back, "h").select("h", "w", gain.alias("gain")), "bigram-table")
+    release(pairs)
     begin = back.where(F.col("h") == int(BEGIN)).agg(F.max("log_a")).first()[0] or 0.0
     words = words.join(back.select(F.col("h").alias("w"), "log_a"), "w", "left").select("w", "n", F.log10("p").alias("log_p"), F.coalesce("log_a", F.lit(0.0)).alias("log_a"))
-    return Katz(staged(words, "word-table"), staged(bigrams, "bigram-table"), tokens, types, unknown, begin, size // 6)
+    words = staged(words, "word-table")
+    release(grams)
+    hot = {r["w"]: (r["n"], r["log_p"], r["log_a"]) for r in words.where(F.col("n") > HOT_SHARE * tokens).collect()}
+    return Katz(words, bigrams, tokens, types, unknown, begin, size // 6, hot)
 
 
-BLOCKS = "bucket int, kind int, slice long, key binary, gain binary, base binary, known binary, uses binary, row binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>"
+BLOCKS = "bucket int, kind int, slice long, word binary, pairs binary, key binary, uses binary, row binary, gain binary, base binary, known binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>"
 SUMS = "kind int, slice long, row binary, gain binary, base binary, known binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>"
+#: Kinds of blocks: the model's words and bigrams; a slice's bigrams by history, and those of hot histories; its documents.
+WORDS, BIGRAMS, TEXTS, HOT_TEXTS, DOCUMENTS = range(5)
 
 
 def _rows(schema: str, rows: list[dict]):
@@ -199,79 +208,131 @@ def _rows(schema: str, rows: list[dict]):
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[t]) for n, t in columns], [n for n, _ in columns])
 
 
-def _model_blocks(buckets: int):
-    """Rows (key parts h and w, gain, base, known) as look-up blocks, kind 0."""
+def _hot_mask(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether each history is hot; ``hot`` is sorted."""
+    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    return hot[at] == h
+
+
+def _parts(keys: np.ndarray, buckets: int):
+    cuts = bucket_cuts(keys, buckets)
+    return [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+
+
+def _model_blocks(buckets: int, hot: np.ndarray):
+    """Words (h = 0) and bigrams of the model as blocks; bigrams lie with their history, those of hot ones by themselves."""
 
     def run(batches):
         for batch in batches:
             h, w = (np.asarray(batch.column(c)).astype(np.uint64) for c in ("h", "w"))
-            key = np.where(h == NO_HISTORY, pair_key(np.zeros(1, np.uint64), w), pair_key(h, w))
-            order = np.argsort(key)
-            key = key[order]
-            cuts = bucket_cuts(key, buckets)
-            value = {c: np.asarray(batch.column(c), dtype=float)[order] for c in ("gain", "base")}
-            known = (h == NO_HISTORY)[order].astype(np.uint8)
-            yield _rows(BLOCKS, [{"bucket": k, "kind": 0, "key": key[a:b].tobytes(), "gain": value["gain"][a:b].tobytes(), "base": value["base"][a:b].tobytes(), "known": known[a:b].tobytes()} for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b])
+            gain, base = (np.asarray(batch.column(c), dtype=float) for c in ("gain", "base"))
+            is_word = h == NO_HISTORY
+            place = np.where(is_word, mix(w), np.where(_hot_mask(h, hot), pair_key(h, w), mix(h)))
+            key = np.where(is_word, w, pair_key(h, w))
+            out = []
+            for kind, of in ((WORDS, is_word), (BIGRAMS, ~is_word)):
+                at = np.flatnonzero(of)
+                at = at[np.argsort(place[at])]
+                out += [{"bucket": k, "kind": kind, "key": key[at[a:b]].tobytes(), "gain": gain[at[a:b]].tobytes(), "base": base[at[a:b]].tobytes()} for k, a, b in _parts(place[at], buckets)]
+            yield _rows(BLOCKS, out)
 
     return run
 
 
-def _text_blocks(buckets: int):
-    """Keys of each slice of texts with the rows that use them, kind 1; and the slice's documents, kind 2."""
+def _text_blocks(buckets: int, hot: np.ndarray, values: np.ndarray):
+    """Bigrams of each slice of texts with the rows that use them; and the slice's documents.
+
+    ``values`` holds gain, base and known of each hot history, which are added up here.
+    """
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, size=SCORE_BYTES):
+        for batch in slices(batches):
             number = (part << 24) + made
             made += 1
-            tokens = np.zeros(batch.num_rows, np.int64)
-            for h, w, row in _grams(batch):
-                tokens = np.bincount(row, minlength=batch.num_rows)
-                key = pair_key(h, w)
-                order = np.argsort(key, kind="stable")
-                key, row = key[order], row[order]
-                first = runs(key)
+            h, w, starts = _tokens(batch.column("text"))
+            n = batch.num_rows
+            row = np.repeat(np.arange(n, dtype=np.uint16), np.diff(starts))
+            warm = _hot_mask(h, hot)
+            sums = [np.bincount(row[warm], v[np.searchsorted(hot, h[warm])], n) for v in values]
+            out = []
+            for kind, of in ((HOT_TEXTS, warm), (TEXTS, ~warm)):
+                own, rows = h[of], row[of]
+                key = pair_key(own, w[of])
+                place = key if kind == HOT_TEXTS else mix(own)
+                order = np.argsort(key, kind="stable") if kind == HOT_TEXTS else np.lexsort((key, place))
+                key, place, own, rows = key[order], place[order], own[order], rows[order]
+                first = runs(key) if kind == HOT_TEXTS else _runs2(place, key)
                 ends = np.append(first, len(key))
                 uses = np.diff(ends).astype(np.uint32)
-                key = key[first]
-                cuts = bucket_cuts(key, buckets)
-                yield _rows(BLOCKS, [{"bucket": k, "kind": 1, "slice": number, "key": key[a:b].tobytes(), "uses": uses[a:b].tobytes(), "row": row[ends[a] : ends[b]].tobytes()} for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b])
-            own = {"doc_id": batch.column("doc_id").to_pylist(), "held_out": batch.column("held_out").to_pylist(), "n_tokens": tokens.tolist()}
-            yield _rows(BLOCKS, [{"bucket": number % buckets, "kind": 2, "slice": number, **own}])
+                key, place, own = key[first], place[first], own[first]
+                for k, a, b in _parts(place, buckets):
+                    block = {"bucket": k, "kind": kind, "slice": number, "key": key[a:b].tobytes(), "uses": uses[a:b].tobytes(), "row": rows[ends[a] : ends[b]].tobytes()}
+                    if kind == TEXTS:
+                        heads = runs(own[a:b])
+                        block |= {"word": own[a:b][heads].tobytes(), "pairs": np.diff(np.append(heads, b - a)).astype(np.uint32).tobytes()}
+                    out.append(block)
+                yield _rows(BLOCKS, out)
+                out = []
+            docs = {"doc_id": batch.column("doc_id").to_pylist(), "held_out": batch.column("held_out").to_pylist(), "n_tokens": np.diff(starts).tolist()}
+            gain, base, known = (x.tobytes() for x in sums)
+            yield _rows(BLOCKS, [{"bucket": number % buckets, "kind": DOCUMENTS, "slice": number, "gain": gain, "base": base, "known": known, **docs}])
 
     return run
 
 
+def _runs2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Start of each run of equal pairs."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    return np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1])
+
+
+def _find(table: tuple, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in a table sorted by key, and whether it is there."""
+    if not len(table[0]):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(table[0], key), len(table[0]) - 1)
+    return at, table[0][at] == key
+
+
+def _table(parts: list[dict]) -> tuple:
+    read = lambda c, t: np.frombuffer(b"".join(p[c] for p in parts), t)
+    key = read("key", np.uint64)
+    order = np.argsort(key)
+    return key[order], read("gain", float)[order], read("base", float)[order]
+
+
 def _look_up(batches):
-    """Sums of gains per row of each slice, from one block of keys."""
-    bucket, table = None, None
-    parts: list[dict] = []
+    """Sums of gains per row of each slice, from one block of the model; its tables are in memory, texts stream by."""
+    bucket, tables = None, None
+    parts: dict[int, list[dict]] = {}
     for r in rows_of(batches):
         if r["bucket"] != bucket:
-            bucket, table, parts = r["bucket"], None, []
-        if r["kind"] == 0:
-            parts.append(r)
+            bucket, tables, parts = r["bucket"], None, {WORDS: [], BIGRAMS: []}
+        if r["kind"] in parts:
+            parts[r["kind"]].append(r)
             continue
-        if r["kind"] == 2:
+        if r["kind"] == DOCUMENTS:
             yield _rows(SUMS, [r | {"kind": 0}])
             continue
-        if table is None:
-            key = np.frombuffer(b"".join(p["key"] for p in parts), np.uint64)
-            order = np.argsort(key)
-            table = (key[order], *(np.frombuffer(b"".join(p[c] for p in parts), t)[order] for c, t in (("gain", float), ("base", float), ("known", np.uint8))))
-            parts = []
-        key, uses, row = np.frombuffer(r["key"], np.uint64), np.frombuffer(r["uses"], np.uint32), np.frombuffer(r["row"], np.uint32)
-        if not len(table[0]):
-            continue
-        at = np.minimum(np.searchsorted(table[0], key), len(table[0]) - 1)
-        hit = table[0][at] == key
-        at, take = np.repeat(at[hit], uses[hit]), np.repeat(hit, uses)
-        row = row[take]
-        if not len(row):
-            continue
+        if tables is None:
+            tables = _table(parts[WORDS]), _table(parts[BIGRAMS])
+            parts = {WORDS: [], BIGRAMS: []}
+        key, uses, row = (np.frombuffer(r[c], t) for c, t in (("key", np.uint64), ("uses", np.uint32), ("row", np.uint16)))
+        at, hit = _find(tables[1], key)
+        gain = np.zeros(len(key))
+        gain[hit] = tables[1][1][at[hit]]
+        base, known = np.zeros(len(key)), np.zeros(len(key))
+        if r["kind"] == TEXTS:
+            at, hit = _find(tables[0], np.frombuffer(r["word"], np.uint64))
+            pairs = np.frombuffer(r["pairs"], np.uint32)
+            own = np.zeros((3, len(at)))
+            own[0, hit], own[1, hit], own[2, hit] = tables[0][1][at[hit]], tables[0][2][at[hit]], 1
+            gain, base, known = gain + np.repeat(own[0], pairs), np.repeat(own[1], pairs), np.repeat(own[2], pairs)
         rows, to = np.unique(row, return_inverse=True)
-        gain, base, known = (np.bincount(to, table[i][at], len(rows)) for i in (1, 2, 3))
-        yield _rows(SUMS, [{"kind": 1, "slice": r["slice"], "row": rows.tobytes(), "gain": gain.tobytes(), "base": base.tobytes(), "known": known.astype(np.uint32).tobytes()}])
+        sums = [np.bincount(to, np.repeat(v, uses), len(rows)) for v in (gain, base, known)]
+        yield _rows(SUMS, [{"kind": 1, "slice": r["slice"], "row": rows.tobytes()} | {c: v.tobytes() for c, v in zip(("gain", "base", "known"), sums, strict=True)}])
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double"
@@ -282,16 +343,15 @@ def _add_up(batches):
 
     def out():
         docs = next(r for r in held if r["kind"] == 0)
-        n = len(docs["doc_id"])
-        gain, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        sums = [np.frombuffer(docs[c], float).copy() for c in ("gain", "base", "known")]
         for r in held:
             if r["kind"] == 1:
-                at = np.frombuffer(r["row"], np.uint32)
-                gain[at] += np.frombuffer(r["gain"], float)
-                base[at] += np.frombuffer(r["base"], float)
-                known[at] += np.frombuffer(r["known"], np.uint32)
+                at = np.frombuffer(r["row"], np.uint16)
+                for total, c in zip(sums, ("gain", "base", "known"), strict=True):
+                    total[at] += np.frombuffer(r[c], float)
+        gain, base, known = sums
         return pa.RecordBatch.from_arrays(
-            [pa.array(docs["doc_id"], pa.int64()), pa.array(docs["held_out"]), pa.array(docs["n_tokens"], pa.int64()), pa.array(known), pa.array(base), pa.array(gain)],
+            [pa.array(docs["doc_id"], pa.int64()), pa.array(docs["held_out"], pa.bool_()), pa.array(docs["n_tokens"], pa.int64()), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(gain)],
             [c.split()[0] for c in SCORED.split(", ")],
         )
 
@@ -315,22 +375,30 @@ def score(docs: DataFrame, model: Katz, modulus: int = 7, rest: int = 2) -> Data
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (remainder("doc_id", modulus) == rest).alias("held_out"))
     buckets = max(4, math.ceil(model.keys / LOOKUP_KEYS))
-    unseen = math.log10(1 / (model.tokens + model.types + 1))
-    base = F.log10((F.col("n") + 1) / F.lit(float(model.tokens + model.types + 1))) - unseen
-    ends = F.when(F.col("w") == int(END), 0.0).otherwise(F.col("log_a"))
-    words = model.words.select(F.lit(0).cast("long").alias("h"), "w", (F.col("log_p") + ends - model.log_unknown).alias("gain"), base.alias("base"))
-    table = words.unionByName(model.bigrams.select("h", "w", "gain", F.lit(0.0).alias("base"))).mapInArrow(_model_blocks(buckets), BLOCKS)
-    sums = dealt(source.mapInArrow(_text_blocks(buckets), BLOCKS).unionByName(table), buckets, "kind").mapInArrow(_look_up, SUMS)
+    size = model.tokens + model.types + 1
+    unseen = math.log10(1 / size)
+    # a word adds its own probability and, as the next token's history, its backoff weight; both relative to an unknown word's
+    value = {int(w): (p + a - model.log_unknown, math.log10((n + 1) / size) - unseen, 1.0) for w, (n, p, a) in model.hot.items() if int(w) != int(END)}
+    value[int(BEGIN)] = (model.log_begin, 0.0, 0.0)
+    keys = np.array([w % (1 << 64) for w in value], np.uint64)
+    order = np.argsort(keys)
+    hot, values = keys[order], np.array(list(value.values())).T[:, order]
+    end = model.words.where(F.col("w") == int(END)).first()
+    end_gain, end_base, end_known = (end["log_p"], math.log10((end["n"] + 1) / size), 1) if end else (model.log_unknown, unseen, 0)
+    base = F.log10((F.col("n") + 1) / F.lit(float(size))) - unseen
+    words = model.words.select(F.lit(0).cast("long").alias("h"), "w", (F.col("log_p") + F.col("log_a") - model.log_unknown).alias("gain"), base.alias("base"))
+    table = words.where(F.col("w") != int(END)).unionByName(model.bigrams.select("h", "w", "gain", F.lit(0.0).alias("base")))
+    blocks = source.mapInArrow(_text_blocks(buckets, hot, values), BLOCKS).unionByName(table.mapInArrow(_model_blocks(buckets, hot), BLOCKS))
+    sums = dealt(blocks, buckets, "kind").mapInArrow(_look_up, SUMS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gathered = sums.repartition(parts, "slice").sortWithinPartitions("slice", "kind")
-    out = gathered.mapInArrow(_add_up, SCORED)
-    known = F.col("n_tokens") * F.lit(model.log_unknown) + F.lit(model.log_begin)
+    out = sums.repartition(parts, "slice").sortWithinPartitions("slice", "kind").mapInArrow(_add_up, SCORED)
+    n_words = F.col("n_tokens") - 1
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        "n_known",
+        (F.col("n_known") + end_known).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("n_tokens") * unseen).alias("base_score"),
-        (F.col("gain") + known).alias("score"),
+        (F.col("base") + n_words * unseen + end_base).alias("base_score"),
+        (F.col("gain") + n_words * F.lit(model.log_unknown) + end_gain).alias("score"),
     )

@@ -24,6 +24,8 @@ from ..session import stage
 HASH_KEY = "pressline-words0"
 #: Text bytes that a task turns into arrays at a time.
 SLICE_BYTES = 8 << 20
+#: Most rows of a slice, so that 16 bits number them.
+SLICE_ROWS = 1 << 16
 #: Odd multipliers of the shingle hash.
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -40,6 +42,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(df: DataFrame) -> None:
+    """Delete the folder of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def remainder(key: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -54,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
     """The same rows in batches of about ``size`` bytes of text, one row at least."""
     for batch in batches:
         length = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-        part = np.cumsum(length) // size
+        part = np.cumsum(length) // size + np.arange(len(length)) // SLICE_ROWS * (1 << 40)
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if b > a:
