@@ -229,12 +229,15 @@ def link_classes(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
         fresh = staged(_linked(near, vectors), "links")
         tested.append(fresh)
         classes = _merged(classes, fresh)
-    # every pair that is left, whatever the rounds have found
+    # every pair that is left, whatever the rounds have found; in the first column that both share
     known = _open(columns, classes)
     done = reduce(DataFrame.unionByName, tested).select("a", "b")
-    side = known.select("gram", F.struct(*ENTRY, "class").alias("entry"))
+    earlier = F.slice("grams", F.lit(1), (F.col("place") - F.col("skipped")).cast("int"))
+    side = known.join(vectors.select("sig", "skipped", "grams"), "sig").withColumn("before", earlier)
+    side = side.select("gram", F.struct(*ENTRY, "class", "before").alias("entry"))
     x, y = side.withColumnRenamed("entry", "x"), side.withColumnRenamed("entry", "y")
-    rest = _pairs(x.join(y, "gram").where("x.sig < y.sig and x.class <> y.class").where(_possible("x", "y")))
+    fresh = "x.sig < y.sig and x.class <> y.class and not arrays_overlap(x.before, y.before)"
+    rest = x.join(y, "gram").where(fresh).where(_possible("x", "y")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
     last = staged(_linked(rest.join(done, ["a", "b"], "left_anti"), vectors), "links")
     return _merged(classes, last)
 
