@@ -329,7 +329,8 @@ WITH RECURSIVE spaced AS (
      q AS (SELECT *, least(count(*) FILTER (WHERE label_regain_5s = 0) OVER (PARTITION BY match_id), count(*) FILTER (WHERE label_regain_5s = 1) OVER (PARTITION BY match_id)) AS quota FROM p WHERE r <= 3)
 SELECT candidate_id, match_id, label_regain_5s, quota AS sample_target_per_outcome FROM q WHERE r <= quota""")
 def _(s):
-    return sampling.spaced_sample(s.candidates, 6, SPACING).select(
+    # large tables hold users with one outcome only
+    return sampling.spaced_sample(s.candidates, 6, SPACING, require_both=False).select(
         "candidate_id", "match_id", "label_regain_5s", "sample_target_per_outcome"
     )
 

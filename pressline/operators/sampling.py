@@ -109,12 +109,13 @@ def _least_rows(df: DataFrame, spacing_us: int, seed: int) -> DataFrame:
     return kept.select("_row.*")
 
 
-def spaced_sample(candidates: DataFrame, per_match: int, spacing_us: int, seed: int = 42) -> DataFrame:
+def spaced_sample(candidates: DataFrame, per_match: int, spacing_us: int, seed: int = 42, require_both: bool = True) -> DataFrame:
     """Per match the same number of both outcomes, never closer than the spacing.
 
     Only strict-valid rows count where that is known. The quota per outcome is
     half of ``per_match`` or the rarer outcome's count among spaced rows. An odd
-    ``per_match`` is an error, and so is a match without one of the outcomes.
+    ``per_match`` is an error, and so is a match without one of the outcomes;
+    without ``require_both`` such a match has the quota 0 instead.
     """
     if per_match % 2:
         raise ValueError("per_match must be even, so that outcomes can be balanced")
@@ -125,7 +126,7 @@ def spaced_sample(candidates: DataFrame, per_match: int, spacing_us: int, seed:
     both = F.when((F.col("_low") == 0) & (F.col("_high") == 1), F.col("match_id")).otherwise(
         F.raise_error(F.concat(F.lit("match without both outcomes: "), F.col("match_id")))
     )
-    sampled = candidates.join(outcomes.select(both.alias("match_id")), "match_id")
+    sampled = candidates.join(outcomes.select(both.alias("match_id")), "match_id") if require_both else candidates
     picked = seeded_top(
         spaced_rows(sampled.select(*candidates.columns), spacing_us, seed), ["match_id", "label_regain_5s"], half, seed, "outcome_rank"
     )
