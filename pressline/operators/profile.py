@@ -89,28 +89,25 @@ def event_team_changes(events: DataFrame, cfg: EpisodeConfig) -> DataFrame:
     return prev.where(truth(F.col("team_id") != F.col("prev_team_id")))
 
 
-def split_summary(manifest: DataFrame, named: int = 100) -> DataFrame:
+def split_summary(manifest: DataFrame) -> DataFrame:
     """Matches, episodes and positives per split with the share of all episodes.
 
     Matches are counted per (split, match) first; only one row per match is left
-    when they are counted. Names are listed up to ``named`` matches a split, in
-    order; ``matches`` counts them all.
+    when they are counted. ``match_names`` lists every match of the split in
+    order; ``split_matches`` gives the same names as rows.
     """
     per_match = manifest.groupBy("split", "match_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("label_regain_5s").alias("_pos"),
         count_where(F.col("eligible_for_detection_training")).alias("_usable"),
     )
-    # a limit of the report: the first names by rank, taken before the shuffle
-    rank = F.row_number().over(Window.partitionBy("split").orderBy("match_id"))
-    first = per_match.select("split", "match_id").withColumn("_rank", rank).where(F.col("_rank") <= named)
-    names = first.groupBy("split").agg(F.array_join(F.sort_array(F.collect_list("match_id")), ", ").alias("match_names"))
     per_split = per_match.groupBy("split").agg(
         F.count(F.lit(1)).alias("matches"),
         F.sum("_n").alias("strict_valid_episodes"),
         F.sum("_pos").alias("quick_regain_positive"),
         F.sum("_usable").alias("annotated_usable"),
-    ).join(names, "split")
+        F.array_join(F.sort_array(F.collect_list("match_id")), ", ").alias("match_names"),
+    )
     whole = F.sum("strict_valid_episodes").over(Window.partitionBy(F.lit(0)))
     return per_split.withColumns(
         {
@@ -120,6 +117,11 @@ def split_summary(manifest: DataFrame, named: int = 100) -> DataFrame:
     )
 
 
+def split_matches(manifest: DataFrame) -> DataFrame:
+    """(split, match_id) of every match, where a split has too many matches for one text."""
+    return manifest.select("split", "match_id").distinct()
+
+
 def feature_profile(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """Describe each feature: count, missing, mean, deviation, exact quartiles, range."""
     long = features.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], list(names), "feature", "value")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pressline.operators import gates, keys, labels, metrics, sampling
+from pressline.operators import gates, keys, labels, metrics, profile, sampling
 
 PRED = "model string, split string, candidate_id string, match_id string, y_true int, probability double, threshold double, y_pred int"
 
@@ -288,3 +288,12 @@ def test_answer_hash_is_checked(spark):
                                     "candidate_id string, label int, confidence int, notes string, person string, utc string, role string, hash string")
     row = gates.answer_checks(answers, answers, "r", "new").first()
     assert not row.hash_matches and row.role_matches and row.ids_complete
+
+
+def test_split_summary_names_every_match(spark):
+    rows = [("train", f"m{i:03}", 1, True) for i in range(250)] + [("test", "t", 0, False)]
+    manifest = spark.createDataFrame(rows + rows[:1], "split string, match_id string, label_regain_5s int, eligible_for_detection_training boolean")
+    out = {r.split: r for r in profile.split_summary(manifest).collect()}
+    assert out["train"].matches == 250 and out["train"].match_names == ", ".join(f"m{i:03}" for i in range(250))
+    assert out["test"].match_names == "t" and out["train"].strict_valid_episodes == 251
+    assert profile.split_matches(manifest).count() == 251
