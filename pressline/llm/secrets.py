@@ -4,7 +4,7 @@ Assignments, access keys and long hexadecimal runs are reported as their
 expressions find them. Access identifiers, weak secret candidates and endpoints
 are intervals within a scope (a paragraph); a weak candidate is reported only
 where an interval join finds an identifier and an endpoint, or an access key,
-within reach of it in the same scope.
+in the same scope, at any distance; the distance lowers its score.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 from itertools import accumulate
-from math import log2
+from math import inf, log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +28,12 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Parts that only count together.
 IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|client_?id|account|access_?key_?id)\x20{0,8}[:=]\x20{0,8}[\"']?([A-Za-z0-9@._-]{3,64})", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9._:/@-]{3,256}")
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "linked")
-#: Characters between parts of one credential.
-REACH = 200
+#: Characters between the parts of a credential that halve its score.
+HALF = 200
 #: Bits per character that a weak candidate has at least.
 ENTROPY = 3.0
 
@@ -43,6 +43,8 @@ class Span:
     kind: str
     start: int
     end: int
+    #: 1 for base kinds; less for a linked candidate the farther its parts lie.
+    score: float = 1.0
 
 
 def _base(text: str) -> list[Span]:
@@ -68,10 +70,10 @@ def _scopes(text: str) -> list[int]:
     return [m.end() for m in re.finditer(r"\n[\x20\t]*\n", text)]
 
 
-def _touches(parts: list[tuple[int, int]], starts: list[int], start: int, end: int, low: int, high: int) -> bool:
-    """Is a part of the scope [low, high) within reach of [start, end)? Parts are sorted and apart."""
+def _distance(parts: list[tuple[int, int]], starts: list[int], start: int, end: int, low: int, high: int) -> float:
+    """Characters from [start, end) to the nearest part of the scope [low, high), infinite without one. Parts are sorted and apart."""
     i = bisect_left(starts, start)
-    return any(low <= a and b <= high and a - end <= REACH and start - b <= REACH for a, b in parts[max(0, i - 1) : i + 1])
+    return min((max(a - end, start - b, 0) for a, b in parts[max(0, i - 1) : i + 1] if low <= a and b <= high), default=inf)
 
 
 def find(text: str) -> list[Span]:
@@ -89,11 +91,12 @@ def find(text: str) -> list[Span]:
         for start, end in _weak(text):
             at = bisect_left(cuts, start + 1)
             low, high = edges[at], edges[at + 1]
-            near = lambda parts, k: _touches(parts, starts[k], start, end, low, high)  # noqa: B023, E731
+            away = lambda parts, k: _distance(parts, starts[k], start, end, low, high)  # noqa: B023, E731
             i = bisect_left(taken_starts, end)
             covered = i > 0 and taken_until[i - 1] > start
-            if not covered and (near(keys, "k") or near(endpoints, "e") and near(identifiers, "i")):
-                spans.append(Span("linked", start, end))
+            distance = min(away(keys, "k"), max(away(endpoints, "e"), away(identifiers, "i")))
+            if not covered and distance < inf:
+                spans.append(Span("linked", start, end, HALF / (HALF + distance)))
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
@@ -105,9 +108,9 @@ def secrets(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in slices(batches):
             spans = [[s.__dict__ for s in find(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return id_text(docs).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,score:double>>")

@@ -115,6 +115,16 @@ def test_linked_credentials():
     assert kinds("") == []
 
 
+def test_linked_credentials_of_any_length_and_distance():
+    linked = lambda t: [(t[s.start : s.end], s.score) for s in secrets.find(t) if s.kind == "linked"]
+    key, session = "AKIA" + "Q7" * 8, "FwoGZXIvYXdzEJr9/x+4" * 20
+    assert linked(f"{key} {session}") == [(session, secrets.HALF / (secrets.HALF + 1))]
+    config = "\n".join(f"option{i} on" for i in range(100))
+    far = linked(f"https://db.example.com/x\n{config}\nlogin: jane\nZx81kQ07bmRt55Wq")
+    assert [w for w, _ in far] == ["Zx81kQ07bmRt55Wq"] and 0 < far[0][1] < 0.5
+    assert linked(f"https://db.example.com/x\nlogin: jane\n{config}\n\nZx81kQ07bmRt55Wq") == []
+
+
 def test_packing_round_trip(frame, rows):
     from tokenizers import Tokenizer
 
