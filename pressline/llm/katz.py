@@ -29,8 +29,6 @@ from .shared import MULTIPLIERS, bucket_cuts, by_bucket, dealt, id_text, mix, re
 END, BEGIN, NO_HISTORY = np.uint64(1), np.uint64(2), np.uint64(0)
 #: Counts above this are not discounted.
 TRUSTED = 5
-#: Bigrams seen fewer times are left to the lower order; all their probability is freed.
-LEAST_COUNT = 2
 #: Distinct keys of a count block and of a look-up block, on average.
 COUNT_KEYS, LOOKUP_KEYS = 1_000_000, 4_000_000
 
@@ -38,7 +36,7 @@ COUNT_KEYS, LOOKUP_KEYS = 1_000_000, 4_000_000
 HOT_SHARE = 0.001
 
 COUNTS = "bucket int, h binary, h_size binary, w binary, n binary"
-GRAMS = "h long, w long, n long, types long"
+GRAMS = "h long, w long, n long"
 
 
 def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -92,22 +90,16 @@ def _count_blocks(buckets: int):
 
 
 def _sum_block(rows):
-    """Counts of a block's n-grams; bigrams below ``LEAST_COUNT`` only as one number."""
+    """Counts of a block's n-grams."""
     part = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
     h, w, n = np.repeat(part("h", np.uint64), part("h_size", np.uint32)), part("w", np.uint64), part("n", np.uint32)
     key = pair_key(h, w)
     order = np.argsort(key)
     first = runs(key[order])
     n = np.add.reduceat(n[order].astype(np.int64), first)
-    h, w = h[order[first]], w[order[first]]
-    keep = (n >= LEAST_COUNT) | (h == NO_HISTORY)
-    for low in range(1, LEAST_COUNT):
-        few = int(((n == low) & (h != NO_HISTORY)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, None, low, few)], ["h", "w", "n", "types"])
-    h, w, n = (x[keep].astype(np.int64) for x in (h, w, n))
+    h, w = (x[order[first]].astype(np.int64) for x in (h, w))
     for a in range(0, len(n), 50_000):
-        part = [pa.array(x[a : a + 50_000]) for x in (h, w, n)]
-        yield pa.RecordBatch.from_arrays([*part, pa.array(np.ones(len(part[0]), np.int64))], ["h", "w", "n", "types"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in (h, w, n)], ["h", "w", "n"])
 
 
 def discounts(types: dict[int, int], tokens: int, k: int = TRUSTED) -> list[float]:
@@ -160,8 +152,8 @@ def fit(docs: DataFrame) -> Katz:
     buckets = max(4, math.ceil(size / 6 * 0.7 / COUNT_KEYS))
     blocks = source.mapInArrow(_count_blocks(buckets), COUNTS)
     grams = staged(dealt(blocks, buckets).mapInArrow(lambda b: by_bucket(b, _sum_block), GRAMS), "ngram-counts")
-    uni = F.coalesce(F.col("h") == 0, F.lit(False))
-    low = grams.where(F.col("n") <= TRUSTED + 1).groupBy(uni.alias("uni"), "n").agg(F.sum("types").alias("types")).collect()
+    uni = F.col("h") == 0
+    low = grams.where(F.col("n") <= TRUSTED + 1).groupBy(uni.alias("uni"), "n").agg(F.count("*").alias("types")).collect()
     kinds = {k: {r["n"]: r["types"] for r in low if r["uni"] == k} for k in (True, False)}
     totals = grams.where("h = 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, types = totals["n"] or 0, totals["v"] or 0

@@ -192,6 +192,15 @@ def test_katz_is_normalised_and_recursive(spark):
     assert abs(score - expect) < 1e-9
 
 
+def test_katz_keeps_bigrams_seen_once(spark):
+    model = katz.fit(spark.createDataFrame([(1, "a b a b a c"), (2, "d e a b")], "doc_id long, text string"))
+    pairs = {("", "a"), ("a", "b"), ("b", "a"), ("a", "c"), ("c", None), ("", "d"), ("d", "e"), ("e", "a"), ("b", None)}
+    words = dict(zip("abcde", katz.word_hashes(__import__("pyarrow").array(list("abcde"))).astype(np.int64).tolist(), strict=True)) | {"": 2, None: 1}
+    assert {(r.h, r.w) for r in model.bigrams.collect()} == {(words[h], words[w]) for h, w in pairs}
+    by_text = {r.doc_id: r.score for r in katz.score(spark.createDataFrame([(1, "d e"), (2, "e d")], "doc_id long, text string"), model).collect()}
+    assert by_text[1] > by_text[2]
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁", "a", "b", "▁a", "ab", "▁ab", "ba"]
     model = lang_id.PieceModel.start(pieces, ["x"], np.zeros(1))
