@@ -1,13 +1,17 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens, each told apart by its path of elements. Tokens
-of a host's pages that share their occurrence vector form an equivalence class;
-valid classes (frequent, as often on every page) nest into the host's template.
-The slots of the template that hold changing text, outside of boilerplate
-elements, are the article; their text is extracted block by block.
+A page is a sequence of tokens, each told apart by its path of elements: the
+elements themselves, the words of a path, and the whole texts of its blocks.
+Tokens of a host's pages with equal occurrence vectors form an equivalence class.
+Classes that are frequent and large enough are valid and make the template; they
+nest by their paths. A word is only a role of the template where its places in
+its blocks are the same on every page. What lies between, outside of boilerplate
+elements, are the slots: their text is extracted block by block.
 
 Occurrence vectors are never gathered: sums of page-wise hashes, added up where
-the pages are read, identify them. A host of any size is a few rows per token.
+the pages are read, identify them. Only tokens that can be frequent are summed: one
+that is on half of a host's pages is on half of them in some slice of the table, so
+a first pass lists what is frequent in slices, and no frequent token is lost.
 """
 
 from __future__ import annotations
@@ -16,17 +20,18 @@ import html
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, staged
+from .shared import MULTIPLIERS, mix, runs, slices, split_words, staged, word_hashes
 
-#: A valid class is on this share of a host's pages at least.
-SUPPORT = 0.5
-#: Share of the changing text that the main container holds at least.
-MAIN_SHARE = 0.95
+#: A valid class is on this share of a host's pages, and on this number of them, at least.
+SUPPORT, LEAST_PAGES = 0.5, 3
+#: Elements and words of a valid class.
+SIZE = 3
 
 #: Elements by role, as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -124,63 +129,154 @@ def parse(page: str) -> tuple[list[Block], dict[str, int]]:
     return [b for b in blocks if not b.dropped and b.text], opened
 
 
-STATS = "host string, path string, pages long, uses long, chars long, vector1 long, vector2 long, low long, high long"
-MASK = (1 << 31) - 1
+CANDIDATES = "host string, token long, excess long, pages long"
+STATS = "host string, all_pages long, token long, kind int, size int, pages long, uses long, vector long, start_low int, start_high int, end_low int, end_high int"
+#: Kinds of tokens.
+ELEMENT, TEXT, WORD = range(3)
+MASK = np.uint64((1 << 31) - 1)
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\0".join(parts))
+
+
+@dataclass
+class Tokens:
+    """Tokens of a slice: arrays of hash, page and kind; words lie after the rest, in page order, with their places."""
+
+    blocks: list[list[Block]]
+    elements: tuple[np.ndarray, np.ndarray, np.ndarray]  # token, page, uses
+    texts: tuple[np.ndarray, np.ndarray, np.ndarray]  # token, page, words
+    words: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # token, page, place from start, from end
+    block_of: np.ndarray  # of each word
+
+
+def _tokens(hosts: list[str], pages: list[str]) -> Tokens:
+    all_blocks, elements, texts, at = [], [], [], []
+    for i, (host, page) in enumerate(zip(hosts, pages, strict=True)):
+        blocks, opened = parse(page)
+        all_blocks.append(blocks)
+        elements += [(_hash(host, path), i, n) for path, n in opened.items()]
+        for b in blocks:
+            text = b.text
+            at.append((_hash(host, b.path, "words"), i))
+            texts.append((_hash(host, b.path, "text", text), text))
+    codes, offsets, dictionary = split_words(pa.array([t for _, t in texts], pa.string()))
+    n = np.diff(offsets)
+    block_of = np.repeat(np.arange(len(n)), n)
+    path, page = (np.array([x[k] for x in at], t) for k, t in ((0, np.uint64), (1, np.int64)))
+    place = np.arange(len(codes)) - np.repeat(offsets[:-1], n)
+    word = word_hashes(dictionary)[codes] if len(codes) else np.zeros(0, np.uint64)
+    own = tuple(np.array([x[k] for x in elements], t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
+    token = mix(path[block_of] * np.uint64(MULTIPLIERS[0]) + word)
+    return Tokens(all_blocks, own, (np.array([t for t, _ in texts], np.uint64), page, n), (token, page[block_of], place, np.repeat(n, n) - place), block_of)
+
+
+def _sums(kind: int, keys: np.ndarray, token: np.ndarray, page: np.ndarray, uses: np.ndarray, size: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """A row per token of one slice; the tokens of a page are next to each other once sorted by token."""
+    order = np.argsort(token, kind="stable")
+    token, page, uses, size, start, end = (x[order] for x in (token, page, uses, size, start, end))
+    if not len(token):
+        return None
+    first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (page[1:] != page[:-1])]))
+    uses, start, end = (np.add.reduceat(x, first) for x in (uses, start, end))
+    token, page, size = token[first], page[first], size[first]
+    vector = mix(keys[page] + uses.astype(np.uint64) * np.uint64(MULTIPLIERS[1])) & MASK
+    heads = runs(token)
+    start, end = ((mix(x) & MASK).astype(np.int32) for x in (start, end))
+    places = [f.reduceat(x, heads) for x in (start, end) for f in (np.minimum, np.maximum)]
+    return (page[heads], token[heads].astype(np.int64), np.full(len(heads), kind, np.int32), size[heads].astype(np.int32), np.diff(np.append(heads, len(token))), np.add.reduceat(uses, heads), np.add.reduceat(vector, heads).astype(np.int64), *places)
+
+
+def _slice_rows(batch: pa.RecordBatch, hosts: list[str]):
+    """Per kind: page that names the host, then token, kind, size, pages, uses, vector and places of a slice's tokens."""
+    keys = np.array([xxhash.xxh64_intdigest(k) for k in batch.column("page").to_pylist()], np.uint64)
+    t = _tokens(hosts, batch.column("html").to_pylist())
+    none = lambda x: np.zeros(len(x), np.uint64)
+    ones = lambda x: np.ones(len(x), np.int64)
+    token, page, start, end = t.words
+    places = [mix(x.astype(np.uint64) + np.uint64(1)) for x in (start, end)]
+    parts = (
+        _sums(ELEMENT, keys, *t.elements, ones(t.elements[0]), none(t.elements[0]), none(t.elements[0])),
+        _sums(TEXT, keys, *t.texts[:2], ones(t.texts[0]), t.texts[2], none(t.texts[0]), none(t.texts[0])),
+        _sums(WORD, keys, token, page, ones(token), ones(token), *places),
+    )
+    return [p for p in parts if p]
+
+
+def _candidate_rows(batches):
+    """Tokens frequent in a slice, with the pages beyond what an infrequent one can have there; and, without token, that number and the pages of each host."""
+    names = [c.split()[0] for c in CANDIDATES.split(", ")]
+    for batch in slices(batches, "html"):
+        hosts = [host_of(u) for u in batch.column("url").to_pylist()]
+        of, at = np.unique(np.array(hosts, object), return_inverse=True)
+        n = np.bincount(at)
+        most = np.ceil(SUPPORT * n).astype(np.int64) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(of.tolist(), pa.string()), pa.nulls(len(of), pa.int64()), pa.array(most), pa.array(n)], names)
+        for page, token, kind, _, pages, _, _, *places in _slice_rows(batch, hosts):
+            fixed = (kind != WORD) | (places[0] == places[1]) | (places[2] == places[3])
+            keep = (pages > most[at[page]]) & fixed
+            page, token, pages = page[keep], token[keep], pages[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()).take(pa.array(page)), *map(pa.array, (token, pages - most[at[page]], pages))], names)
+
+
+def _known(batch: pa.RecordBatch, hosts: list[str], known: dict) -> None:
+    """Remember the tokens of the batch's hosts, None where a host has none."""
+    if len(known) > 10_000:
+        known.clear()
+    tokens = batch.column("tokens")
+    for i, name in enumerate(hosts):
+        if name not in known:
+            known[name] = np.array(tokens[i].as_py(), np.int64) if tokens[i].is_valid else None
+
+
+def _of(hosts: list[str], known: dict) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *(known[h] for h in {*hosts} if known.get(h) is not None)]))
 
 
 def _token_rows(batches):
-    """Per host and path: pages, uses, characters of text, sums of page-wise hashes, least and largest hash of the text."""
+    """Per host and candidate: pages, uses, sum of page-wise hashes, least and largest hash of its places."""
+    known: dict[str, np.ndarray | None] = {}
     for batch in slices(batches, "html"):
-        sums: dict[tuple[str, str], list[int]] = {}
-        for key, url, page in zip(batch.column("page").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            blocks, opened = parse(page)
-            texts: dict[str, list[str]] = {}
-            for b in blocks:
-                texts.setdefault(b.path, []).append(b.text)
-            host = host_of(url)
-            for path in {"", *opened, *texts}:
-                uses = opened.get(path, 1)
-                h = xxhash.xxh64_intdigest(f"{key}:{uses}")
-                said = "\n".join(texts.get(path, ()))
-                t = xxhash.xxh64_intdigest(said) >> 1
-                row = sums.setdefault((host, path), [0, 0, 0, 0, 0, t, t])
-                for i, v in enumerate((1, uses, len(said), h & MASK, (h >> 31) & MASK)):
-                    row[i] += v
-                row[5], row[6] = min(row[5], t), max(row[6], t)
-        if sums:
-            columns = [list(c) for c in zip(*[(*k, *v) for k, v in sums.items()], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in STATS.split(", ")])
+        hosts = batch.column("host").to_pylist()
+        _known(batch, hosts, known)
+        wanted = _of(hosts, known)
+        for part in _slice_rows(batch, hosts):
+            page, *part = (x[np.isin(part[1], wanted)] for x in part)
+            where = pa.array(page)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()).take(where), batch.column("all_pages").take(where), *map(pa.array, part)], [c.split()[0] for c in STATS.split(", ")])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens): the tokens of each host's valid classes with their class, text and whether the text changes."""
-    rows = pages.mapInArrow(_token_rows, STATS).groupBy("host", "path").agg(
-        *[F.sum(c).alias(c) for c in ("pages", "uses", "chars", "vector1", "vector2")], F.min("low").alias("low"), F.max("high").alias("high")
-    )
-    rows = rows.withColumn("all_pages", F.max("pages").over(Window.partitionBy("host")))
-    # a class: equal occurrence vectors. valid: frequent, and evenly used or a slot of repeated records that holds text
-    valid = rows.where((F.col("pages") >= SUPPORT * F.col("all_pages")) & ((F.col("uses") % F.col("pages") == 0) | (F.col("chars") > 0)))
-    token = F.struct(
-        "path",
-        F.xxhash64("pages", "uses", "vector1", "vector2").alias("class"),
-        "chars",
-        ((F.col("low") == F.col("high")) & (F.col("pages") > 1)).alias("constant"),
-    )
-    return valid.groupBy("host").agg(F.collect_list(token).alias("tokens"))
+def _host():
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
 
+def _with_tokens(pages: DataFrame, tokens: DataFrame, how: str) -> DataFrame:
+    return pages.withColumn("host", _host()).join(tokens.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), how).drop("of")
 
-def main_container(tokens: list[dict]) -> str:
-    """Path of the deepest template element whose slots hold nearly all changing text; articles come first."""
-    named = sorted({p for t in tokens for p in [_upto(t["path"], ("article", "main"))] if p}, key=lambda p: (-sum(t["chars"] for t in tokens if _within(t["path"], p)), p))
-    if named:
-        return named[0]
-    changing = [t for t in tokens if t["chars"] and not t["constant"]]
-    total = sum(t["chars"] for t in changing)
-    best = ""
-    for path in sorted({t["path"] for t in tokens}, key=lambda p: (p.count("/"), p)):
-        if total and sum(t["chars"] for t in changing if _within(t["path"], path)) >= MAIN_SHARE * total and path.rpartition("/")[2].split(".")[0] != "p":
-            best = path if _within(path, best) else best
-    return best
+
+def candidates(pages: DataFrame) -> DataFrame:
+    """(host, all_pages, tokens): the tokens that can be on enough of each host's pages."""
+    rows = pages.mapInArrow(_candidate_rows, CANDIDATES).groupBy("host", "token").agg(F.sum("excess").alias("excess"), F.sum("pages").alias("pages"))
+    rows = staged(rows, "slice-tokens")
+    hosts = rows.where("token is null").select(F.col("host").alias("of"), F.col("excess").alias("rest"), F.col("pages").alias("all_pages"))
+    hosts = hosts.where(F.col("all_pages") >= LEAST_PAGES)
+    able = rows.where("token is not null").join(hosts, F.col("host") == F.col("of")).where(F.col("excess") + F.col("rest") >= SUPPORT * F.col("all_pages"))
+    return able.groupBy("host", "all_pages").agg(F.collect_list("token").alias("tokens"))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, tokens): the tokens of each host's valid classes. Hosts without a valid class have no row."""
+    sums = [F.sum(c).alias(c) for c in ("pages", "uses", "vector")]
+    places = [f(f"{c}_{n}").alias(f"{c}_{n}") for c in ("start", "end") for n, f in (("low", F.min), ("high", F.max))]
+    able = _with_tokens(pages, staged(candidates(pages), "page-candidates"), "inner").select("page", "host", "html", "all_pages", "tokens")
+    rows = able.mapInArrow(_token_rows, STATS).groupBy("host", "all_pages", "token", "kind", "size").agg(*sums, *places)
+    fixed = (F.col("start_low") == F.col("start_high")) | (F.col("end_low") == F.col("end_high"))
+    least = F.greatest(F.lit(LEAST_PAGES), SUPPORT * F.col("all_pages"))
+    frequent = rows.where((F.col("pages") >= least) & ((F.col("kind") != WORD) | fixed))
+    # a class: equal occurrence vectors
+    classes = frequent.groupBy("host", "pages", "uses", "vector").agg(F.sum("size").alias("size"), F.collect_list("token").alias("tokens"))
+    return classes.where(F.col("size") >= SIZE).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
 
 def _within(path: str, container: str) -> bool:
@@ -193,41 +289,63 @@ def _upto(path: str, names: tuple[str, ...]) -> str:
     return "/".join(parts[: i + 1]) if i else ""
 
 
-def extract(page: str, container: str, constant: set[str]) -> str:
-    """Text of the page's blocks inside the container; without one, of the blocks that are not the template's own."""
-    blocks, opened = parse(page)
-    if container not in opened:
-        container = next((p for p in map(lambda b: _upto(b.path, ("article", "main")), blocks) if p), "")
-    inside = [b for b in blocks if _within(b.path, container)] if container else [b for b in blocks if b.path not in constant]
-    return "\n\n".join(b.text for b in inside)
+def by_tags(blocks: list[Block]) -> list[str]:
+    """Texts of the page's first article or main element; of all blocks without one."""
+    container = next((p for p in map(lambda b: _upto(b.path, ("article", "main")), blocks) if p), "")
+    return [b.text for b in blocks if _within(b.path, container)] if container else [b.text for b in blocks]
+
+
+def extract(hosts: list[str], pages: list[str], known: dict[str, np.ndarray | None]) -> list[str]:
+    """Text of each page's slots: blocks without the template's texts and words.
+
+    ``known`` has the template of each host that has one. Other pages, and pages
+    without any element of their host's template, are judged by their tags.
+    """
+    t = _tokens(hosts, pages)
+    template = _of(hosts, known)
+    own = lambda x: np.isin(x.astype(np.int64), template)
+    like = np.zeros(len(pages), bool)
+    like[t.elements[1][own(t.elements[0])]] = True
+    whole, word = own(t.texts[0]), own(t.words[0])
+    some = np.bincount(t.block_of[word], minlength=len(whole)) > 0
+    edges = np.append(0, np.cumsum(t.texts[2]))
+    out, k = [], 0
+    for i, blocks in enumerate(t.blocks):
+        if not like[i]:
+            out.append("\n\n".join(by_tags(blocks)))
+            k += len(blocks)
+            continue
+        texts = []
+        for b in blocks:
+            if not whole[k]:
+                text = b.text
+                if some[k]:
+                    text = " ".join(w for w, of in zip(re.split(r"[\t-\r ]+", text), word[edges[k] : edges[k + 1]], strict=True) if not of)
+                texts += [text] if text else []
+            k += 1
+        out.append("\n\n".join(texts))
+    return out
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page.
 
     Null and empty html give an empty text; pages with a null or odd url form
-    the host "". A host with one page, or a page unlike its host's template, is
-    judged by its own elements. Repeated rows give repeated results; an empty
-    table gives none; other columns are ignored.
+    the host "". A host with fewer than ``LEAST_PAGES`` pages, or a page unlike its
+    host's template, is judged by its own elements. Repeated rows give repeated
+    results; an empty table gives none; other columns are ignored.
     """
     source = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keyed = source.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "url", "html")
     found = staged(templates(keyed), "page-templates")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = source.withColumn("host", host).join(found.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left").drop("of")
+    joined = _with_tokens(source, found, "left")
 
     def run(batches):
-        known: dict[str, tuple[str, set[str]]] = {}
+        known: dict[str, np.ndarray | None] = {}
         for batch in slices(batches, "html"):
-            texts = []
-            tokens = batch.column("tokens")
-            for i, (name, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
-                if name not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    own = tokens[i].as_py() or []
-                    known[name] = main_container(own), {t["path"] for t in own if t["constant"] and t["chars"]}
-                texts.append(extract(page, *known[name]))
+            hosts = batch.column("host").to_pylist()
+            _known(batch, hosts, known)
+            texts = extract(hosts, batch.column("html").to_pylist(), known)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = source.schema["page_id"].dataType.simpleString()

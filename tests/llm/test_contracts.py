@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pressline.llm import exact_dedup, katz, lang_id, ngram_join, packing, pii, queries, secrets, toxicity
+from pressline.llm import exact_dedup, html_template, katz, lang_id, ngram_join, packing, pii, queries, secrets, toxicity
 
 from . import brute
 
@@ -201,6 +201,17 @@ def test_katz_keeps_bigrams_seen_once(spark):
     assert by_text[1] > by_text[2]
 
 
+def test_page_templates_decide_beside_tags(spark):
+    notice = "<p>Subscribe to our weekly letter now</p>"
+    body = lambda i: f"<p>Story number{i} tells of thing{i}</p>{notice}<p>By author{i}</p>"
+    page = lambda i: f"<html><body><nav>home</nav><article><h1>Title{i}</h1>{body(i)}</article><div><span>extra{i} words{i}</span></div></body></html>"
+    rows = [(i, "http://a.example/x", page(i)) for i in range(6)] + [(9, "http://b.example/x", page(9)), (10, None, None)]
+    out = {r.page_id: r.text for r in html_template.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert "Subscribe" not in out[i] and f"number{i}" in out[i] and f"extra{i} words{i}" in out[i] and f"author{i}" in out[i] and "home" not in out[i]
+    assert "Subscribe" in out[9] and "extra9" not in out[9] and out[10] == ""
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁", "a", "b", "▁a", "ab", "▁ab", "ba"]
     model = lang_id.PieceModel.start(pieces, ["x"], np.zeros(1))
