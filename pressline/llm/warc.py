@@ -3,8 +3,9 @@
 A page becomes a record in input order: a response with its payload, or a revisit
 where an equal payload is kept elsewhere. Records are written by Spark's own
 text writer, a record per row and the record end as line separator, in segments
-of bounded size. Reading a segment back gives its index entries; a task sorts
-those of its segments, which is one capture run.
+of bounded size, each one gzip stream: a record is reached through its segment.
+Reading a segment back gives its index entries; a task sorts those of its
+segments, which is one capture run.
 
 Runs are merged externally. Splitters sampled from the runs cut the order of (URL
 key, time, page) into ranges; a run sends each range its slice as one block, and
@@ -15,6 +16,7 @@ add up to one position over all captures, so each URL's history is in order.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import re
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import shared_file
 from .shared import by_bucket, dealt, staged
 
-#: Bytes of records in a segment; a longer record has a segment of its own.
+#: Bytes of records in a segment before compression; a longer record has a segment of its own.
 SEGMENT_BYTES = 16 << 20
 #: Sampled keys for each range of the merge, and most entries of a range on average.
 SAMPLE_KEYS, RANGE_ENTRIES = 20, 200_000
@@ -127,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str, captured: Column | None = None
     first = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("least")), F.col("least")).alias("first")
     marked = rows.join(repeated, "key", "left").select("page_id", "url", "seconds", "html", first)
     records = marked.mapInArrow(_records, "value string, segment int")
-    records.write.partitionBy("segment").option("lineSep", RECORD_END).text(folder)
+    records.write.partitionBy("segment").option("lineSep", RECORD_END).option("compression", "gzip").text(folder)
 
 
 def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -165,7 +167,7 @@ def _order(entry: tuple) -> tuple:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for batch in batches:
         for path, content in zip(*batch.columns, strict=True):
-            yield path.as_py(), content.as_py()
+            yield path.as_py(), gzip.decompress(content.as_py())
 
 
 def _table(entries: list[tuple]) -> pa.RecordBatch:
@@ -174,8 +176,8 @@ def _table(entries: list[tuple]) -> pa.RecordBatch:
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of each segment; a segment's size is bounded when it is written."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    """(path, compressed content) of each segment; a segment's size is bounded when it is written."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
