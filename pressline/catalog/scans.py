@@ -59,6 +59,16 @@ def _(s):
     return tracking.unpivot_tracks(_wide(s))
 
 
+@query("load_folder", """
+SELECT match_id, period_id, frame_id, t_us, 'DFL-OBJ-' || lpad(CAST(node AS VARCHAR), 4, '0') AS player_id, x, y, speed FROM fx_points
+WHERE node < 22 AND coalesce(x, y, speed) IS NOT NULL AND episode IN (SELECT vec_id // 23 FROM embeddings WHERE vec_id % 23 = 22)""")
+def _(s):
+    """Positions of a folder of match files, read in one plan."""
+    path = _folder(s, "matches")
+    _wide(s).write.option("header", True).partitionBy("match_id").csv(path)
+    return tracking.load_folder(s.spark, path, tracking="*.csv", events="*.csv", match=r"match_id=([^/]+)/")[1]
+
+
 @query("scan_pruned", "SELECT event_id, event_type, value FROM events")
 def _(s):
     return s.table("events").select("event_id", "event_type", "value")
@@ -106,7 +116,11 @@ def _(s):
     return tables.file_inventory(s.spark, s.dir, "*.parquet")
 
 
-@query("gate_artifacts")
+@query("gate_artifacts", """
+SELECT TRUE AS all_expected_files_nonempty, TRUE AS baseline_marked_final, TRUE AS graph_model_marked_final, TRUE AS evaluation_marked_final,
+       TRUE AS run_manifest_complete, TRUE AS summary_marked_final, ok AS evaluation_checks_passed, ok AS annotation_checks_passed,
+       TRUE AS expected_models_present, TRUE AS critical_hashes_listed, TRUE AS artifact_hashes_match, ok AS frozen_annotations_complete
+FROM (SELECT bool_and(is_gegenpressing IN (-1, 0, 1)) AS ok FROM fx_annotations WHERE is_gegenpressing IS NOT NULL)""")
 def _(s):
     """The folder's hashes are listed in a table written first, and checked against a later inventory."""
     manifest = stage(tables.file_inventory(s.spark, s.dir, "*.parquet").select(F.create_map("path", "sha256").alias("artifact_sha256")), "run_manifest")
@@ -191,9 +205,14 @@ def _(s):
     return profile.event_team_changes(s.match_events, EVENT_CFG).select("match_id", "period_id", "event_id", "team_id", "prev_team_id")
 
 
+@query("split_matches", "SELECT DISTINCT split, match_id FROM fx_manifest")
+def _(s):
+    return profile.split_matches(s.manifest)
+
+
 @query("split_summary", """
 SELECT split, count(DISTINCT match_id) AS matches, count(*) AS strict_valid_episodes, sum(label_regain_5s)::BIGINT AS quick_regain_positive,
-       count(*) FILTER (WHERE eligible_for_detection_training) AS annotated_usable, (SELECT string_agg(match_id, ', ' ORDER BY match_id) FROM (SELECT DISTINCT match_id FROM fx_manifest x WHERE x.split = m.split)) AS match_names,
+       count(*) FILTER (WHERE eligible_for_detection_training) AS annotated_usable, min(match_id) AS first_match, max(match_id) AS last_match,
        (count(*) - sum(label_regain_5s))::BIGINT AS quick_regain_negative, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM fx_manifest), 2) AS episode_share_percent
 FROM fx_manifest m GROUP BY split""")
 def _(s):

@@ -188,11 +188,12 @@ WITH c AS (SELECT sum(CASE WHEN split = 'train' THEN 1 - y ELSE 0 END) AS t0, su
 SELECT guess AS majority_label, round(t1::DOUBLE / (t0 + t1), 9) AS train_positive_rate, n0 + n1 AS n,
        CASE WHEN guess = 0 THEN n0 ELSE 0 END AS tn, CASE WHEN guess = 1 THEN n0 ELSE 0 END AS fp,
        CASE WHEN guess = 0 THEN n1 ELSE 0 END AS fn, CASE WHEN guess = 1 THEN n1 ELSE 0 END AS tp,
-       round(CASE WHEN guess = 1 THEN n1 ELSE n0 END::DOUBLE / (n0 + n1), 9) AS accuracy, 0.5::DOUBLE AS balanced_accuracy
+       round(CASE WHEN guess = 1 THEN n1 ELSE n0 END::DOUBLE / (n0 + n1), 9) AS accuracy, 0.5::DOUBLE AS balanced_accuracy,
+       CASE WHEN n0 > 0 AND n1 > 0 THEN 0.5::DOUBLE END AS roc_auc, CASE WHEN n0 > 0 AND n1 > 0 THEN round(n1::DOUBLE / (n0 + n1), 9) END AS average_precision
 FROM g""")
 def _(s):
     eligible = s.manifest.where("eligible_for_detection_training")
-    names = ["train_positive_rate", "accuracy", "balanced_accuracy"]
+    names = ["train_positive_rate", "accuracy", "balanced_accuracy", "roc_auc", "average_precision"]
     out = metrics.majority_baseline(eligible).select("majority_label", "n", "tn", "fp", "fn", "tp", *names)
     return R9(out, *names)
 

@@ -214,14 +214,17 @@ def with_value_slice(df: DataFrame, keys: Sequence[str], value: str, name: str =
     return placed.withColumn(name, part.cast("bigint") * STEPS + F.floor(step).cast("bigint")).select(*df.columns, name)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per ``keys``.
 
+    ``weight`` names a column that says how often a row counts.
+
     Values are counted first, so equal values travel as one row; positions come
     from running counts, never from one sorted buffer per group.
     """
     keys = list(keys)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("_n"))
     total = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     placed = with_value_slice(hist, keys, value, "_value_slice")
     ranked = running_sums(placed, keys, [value], [F.col("_value_slice")], {"_upto": F.col("_n")}).drop("_value_slice")

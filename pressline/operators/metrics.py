@@ -247,7 +247,12 @@ def error_context(preds: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def majority_baseline(manifest: DataFrame, label="gegenpressing_label") -> DataFrame:
-    """Most frequent train label (lowest on a tie) applied to the test split."""
+    """Most frequent train label (lowest on a tie) applied to the test split.
+
+    As a score it is the train share of positives for every row, so all rows tie:
+    the ROC AUC is one half and the average precision the test share of
+    positives; both are null without both classes in the test split.
+    """
     y, test = F.col(label), F.col("split") == "test"
     train = F.col("split") == "train"
     counts = manifest.agg(
@@ -267,7 +272,10 @@ def majority_baseline(manifest: DataFrame, label="gegenpressing_label") -> DataF
         F.when(guess == 0, F.col("_n1")).otherwise(zero).alias("fn"),
         F.when(guess == 1, F.col("_n1")).otherwise(zero).alias("tp"),
     )
-    return cells.withColumns({**rates(), **extended_rates()}).drop("recall")
+    zeros, ones = F.col("tn") + F.col("fp"), F.col("fn") + F.col("tp")
+    both = (zeros > 0) & (ones > 0)
+    ranks = {"roc_auc": F.when(both, F.lit(0.5)), "average_precision": F.when(both, share(ones, F.col("n")))}
+    return cells.withColumns({**rates(), **extended_rates(), **ranks}).drop("recall")
 
 
 def rater_agreement(pairs: DataFrame, first="rater_1", second="rater_2") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Classifiers on feature tables with spark.ml, and the runs around them.
+"""Classifiers on feature tables and graphs, and the runs around them.
 
 A training table is written once to the shared folder and read back, so the
 iterations of a fit never recompute the plan that produced it, and a lost
@@ -8,36 +8,28 @@ executor costs a re-read. Fits loop on the driver; rows never leave the cluster.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import SPLITS
 from ..functions import ordered
 from ..functions.columns import count_where, strict_bool
 from ..operators import gates, graph, keys, labels, metrics
-from ..session import shared_file, stage
+from ..session import exists, shared_file, stage
 from ..sources import tables
+from . import newton, temporal_graph, trees
+from .parallel import ROLES, TEST, VALIDATION, Turns
 
 LABEL = "gegenpressing_label"
 PREDICTION = ["model", "split", "candidate_id", "match_id", "y_true", "probability", "threshold", "y_pred"]
 
 
-@dataclass(frozen=True)
-class BoostConfig:
-    iterations: int = 200
-    depth: int = 3
-    step: float = 0.05
-    rows: float = 0.8
-    #: Share of the features that each node of a tree may split on.
-    columns: float = 0.8
-
-
 def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
     """Balanced weight n / (2 n_class) per class; an absent class counts as one row."""
     y = F.col(label)
@@ -149,18 +141,6 @@ def fit_logistic(rows: DataFrame, iterations: int = 2000) -> object:
     ).fit(rows)
 
 
-def fit_boosted(rows: DataFrame, cfg: BoostConfig, seed: int = 42) -> object:
-    return GBTClassifier(
-        maxIter=cfg.iterations,
-        maxDepth=cfg.depth,
-        stepSize=cfg.step,
-        subsamplingRate=cfg.rows,
-        featureSubsetStrategy=str(cfg.columns),
-        weightCol="weight",
-        seed=seed,
-    ).fit(rows)
-
-
 def _finish(scores: DataFrame, selector: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Score once, keep the table, and take threshold and predictions from that same table."""
     kept = stage(scores, "scores")
@@ -177,22 +157,42 @@ def train_logistic(
     return _finish(_scored(model, rows, name), selector)
 
 
+def _turn_rows(usable: DataFrame, turns: Turns, column: str, names: Sequence[str]) -> DataFrame:
+    """Rows as the fits of turns read them: group and y beside ids and features."""
+    numbered = turns.numbered(usable.withColumn("candidate_id", F.col("candidate_id").cast("string")), column)
+    return numbered.select("candidate_id", F.col("match_id").cast("string").alias("match_id"), "group", F.col(LABEL).cast("int").alias("y"), *names)
+
+
+def _by_split(scores: DataFrame, name: str) -> DataFrame:
+    split = F.element_at(F.array(*[F.lit(s) for s in ROLES]), F.col("role") + 1)
+    return scores.select(F.lit(name).alias("model"), split.alias("split"), "candidate_id", "match_id", F.col("y").alias("y_true"), "probability")
+
+
 def train_boosted(
     dataset: DataFrame,
     names: Sequence[str],
-    cfg: BoostConfig = BoostConfig(),
+    cfg: trees.TreeConfig = trees.TreeConfig(),
     selector=metrics.validation_threshold,
     name: str = "boosted_trees",
 ) -> DataFrame:
-    usable = usable_rows(dataset)
-    train = usable.where(F.col("split") == "train")
-    rows = stage(_assembled(with_class_weights(impute(usable, train, names), train), names), "boosted")
-    model = fit_boosted(rows.where(F.col("split") == "train"), cfg)
-    return _finish(_scored(model, rows, name), selector)
+    """Boosted trees on the train split; scores of all splits."""
+    turns = Turns.fixed()
+    rows = stage(_turn_rows(usable_rows(dataset), turns, "split", names), "boosted")
+    model = trees.fit(rows, names, turns, cfg)
+    return _finish(_by_split(trees.score(rows, model, turns, tuple(ROLES.values())), name), selector)
+
 
+def graph_rows(nodes: DataFrame, edges: DataFrame, rows: DataFrame, turns: Turns, column: str, until_s: float = 2.0) -> DataFrame:
+    """Staged episodes as the graph network reads them.
 
-#: Pooled node features of a graph.
-POOLED = [f"{c}_{p}" for c in graph.NODE_FEATURES for p in ("mean", "last", "slope", "max")]
+    ``rows``: candidate_id, match_id, label and, if known, strict_valid; graphs of
+    other candidates and of invalid ones are not used. Frames end ``until_s``
+    after the turnover.
+    """
+    if "strict_valid" in rows.columns:
+        rows = rows.where(strict_bool("strict_valid"))
+    nodes = graph.crop(nodes, end_s=until_s)
+    return stage(temporal_graph.episode_rows(nodes, edges, _turn_rows(rows, turns, column, [])), "episodes")
 
 
 def train_graph_model(
@@ -202,20 +202,16 @@ def train_graph_model(
     until_s: float = 2.0,
     selector=metrics.validation_threshold,
     name: str = "graph_model",
+    cfg: temporal_graph.NetworkConfig = temporal_graph.NetworkConfig(),
 ) -> DataFrame:
-    """Crop, normalise by train rows, propagate twice, pool over time, classify.
+    """Crop, normalise by train rows, train the temporal graph network, score all splits.
 
-    ``rows``: candidate_id, match_id, split, label and, if known, strict_valid;
-    graphs of other candidates and of invalid ones are not used.
+    ``rows``: candidate_id, match_id, split, label and, if known, strict_valid.
     """
-    if "strict_valid" in rows.columns:
-        rows = rows.where(strict_bool("strict_valid"))
-    nodes = graph.crop(keys.semi_filter(nodes, rows, ["candidate_id"]), end_s=until_s)
-    edges = keys.semi_filter(edges, nodes.select("candidate_id", "frame_id").distinct(), ["candidate_id", "frame_id"])
-    train = keys.semi_filter(nodes, rows.where(F.col("split") == "train"), ["candidate_id"])
-    scaled = stage(graph.normalize_nodes(nodes, graph.feature_normalizer(train)), "scaled-nodes")
-    pooled = graph.temporal_pooling(graph.frame_embedding(graph.propagate(scaled, edges)))
-    return train_logistic(stage(pooled.join(rows, "candidate_id"), "pooled"), POOLED, selector, name)
+    turns = Turns.fixed()
+    episodes = graph_rows(nodes, edges, usable_rows(rows), turns, "split", until_s)
+    model = temporal_graph.fit(episodes, turns, cfg)
+    return _finish(_by_split(temporal_graph.score(episodes, model, turns, tuple(ROLES.values())), name), selector)
 
 
 def macro_selector(scores: DataFrame) -> DataFrame:
@@ -235,38 +231,81 @@ def evaluate(preds: DataFrame) -> DataFrame:
     return both.withColumn("model", model).drop("_passed")
 
 
-def rotations(dataset: DataFrame) -> DataFrame:
-    """(test_match, validation_match): each match once as test, the next one validates (wraps).
+def rotation(dataset: DataFrame, least_matches: int = 3) -> Turns:
+    """Each match with usable rows once as test, the next one validates (wraps).
 
-    One row per match of the protocol.
+    The driver reads one row per match of the protocol. A turn without both
+    classes among its train, validation or test rows is an error.
     """
-    matches = dataset.select("match_id").distinct()
-    w = Window.partitionBy(F.lit(0)).orderBy("match_id")
-    first = F.min("match_id").over(Window.partitionBy(F.lit(0)))
-    return matches.select(
-        F.col("match_id").alias("test_match"), F.coalesce(F.lead("match_id").over(w), first).alias("validation_match")
-    )
+    found = sorted((r["match_id"], r["zero"], r["one"]) for r in dataset.groupBy(F.col("match_id").cast("string").alias("match_id")).agg(
+        count_where(F.col(LABEL) == 0).alias("zero"), count_where(F.col(LABEL) == 1).alias("one")
+    ).collect())
+    if len(found) < least_matches:
+        raise ValueError(f"a rotation needs {least_matches} matches at least")
+    turns = Turns.rotation([m for m, _, _ in found])
+    counts = np.array([[zero, one] for _, zero, one in found])
+    for turn, roles in enumerate(turns.roles):
+        for split, role in ROLES.items():
+            if not counts[roles == role].sum(axis=0).all():
+                raise ValueError(f"one class only in the {split} rows of the turn of {turns.groups[turn]}")
+    return turns
+
+
+def boosted_turns(names: Sequence[str], cfg: trees.TreeConfig = trees.TreeConfig()):
+    """Boosted trees for :func:`leave_one_match_out`."""
 
+    def scores(dataset: DataFrame, turns: Turns) -> DataFrame:
+        rows = stage(_turn_rows(dataset, turns, "match_id", names), "turns")
+        return trees.score(rows, trees.fit(rows, names, turns, cfg), turns, (VALIDATION, TEST))
 
-def leave_one_match_out(dataset: DataFrame, trainers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Held-out predictions of every trainer over all rotations, appended to one table.
+    return scores
 
-    One fit per match and trainer, a match at a time; the driver holds one row
-    of the protocol. Every usable row must be predicted once by every model.
+
+def logistic_turns(names: Sequence[str]):
+    """Logistic regression for :func:`leave_one_match_out`."""
+
+    def scores(dataset: DataFrame, turns: Turns) -> DataFrame:
+        rows = stage(_turn_rows(dataset, turns, "match_id", names), "turns")
+        return newton.score(rows, newton.fit(rows, names, turns), turns, (VALIDATION, TEST))
+
+    return scores
+
+
+def graph_turns(nodes: DataFrame, edges: DataFrame, cfg: temporal_graph.NetworkConfig = temporal_graph.NetworkConfig(), until_s: float = 2.0):
+    """The temporal graph network for :func:`leave_one_match_out`."""
+
+    def scores(dataset: DataFrame, turns: Turns) -> DataFrame:
+        rows = graph_rows(nodes, edges, dataset, turns, "match_id", until_s)
+        return temporal_graph.score(rows, temporal_graph.fit(rows, turns, cfg), turns, (VALIDATION, TEST))
+
+    return scores
+
+
+def leave_one_match_out(dataset: DataFrame, trainers: dict[str, Callable[[DataFrame, Turns], DataFrame]], selector=metrics.macro_f1_threshold) -> DataFrame:
+    """Held-out predictions of every trainer over all turns, each match once as test.
+
+    A trainer fits all turns together: a step of its fit is one pass over the
+    rows. Thresholds are chosen by turn on its validation match. Every usable row
+    must be predicted once by every model. Adds validation_match to the columns
+    of a prediction.
     """
-    path = shared_file(dataset.sparkSession, "held_out")
-    for turn in rotations(dataset).toLocalIterator():
-        split = (
-            F.when(F.col("match_id") == turn.test_match, "test")
-            .when(F.col("match_id") == turn.validation_match, "validation")
-            .otherwise("train")
-        )
-        rows = dataset.withColumn("split", split)
-        for train in trainers.values():
-            train(rows).where(F.col("split") == "test").write.mode("append").parquet(path)
-    held_out = dataset.sparkSession.read.parquet(path)
-    expected = dataset.where(F.col(LABEL).isin(0, 1)).select("candidate_id")
-    for row in gates.complete_prediction_checks(held_out, expected).collect():
+    usable = dataset.where(F.col(LABEL).isin(0, 1))
+    if "eligible_for_detection_training" in dataset.columns:
+        usable = usable.where("eligible_for_detection_training")
+    turns = rotation(usable)
+    parts = [train(usable, turns).withColumn("model", F.lit(name)) for name, train in trainers.items()]
+    scored = stage(reduce(DataFrame.unionByName, parts).withColumnRenamed("y", "y_true"), "turn-scores")
+    thresholds = selector(scored.where(F.col("role") == VALIDATION), ["model", "turn"])
+    after = F.element_at(F.array(*[F.lit(turns.groups[int(np.flatnonzero(r == VALIDATION)[0])]) for r in turns.roles]), F.col("turn") + 1)
+    # one threshold for each model and turn
+    held_out = stage(
+        scored.where(F.col("role") == TEST)
+        .join(F.broadcast(thresholds), ["model", "turn"], "left")
+        .withColumns({"split": F.lit("test"), "validation_match": after, "y_pred": (F.col("probability") >= F.col("threshold")).cast("int")})
+        .select(*PREDICTION, "validation_match"),
+        "held-out",
+    )
+    for row in gates.complete_prediction_checks(held_out, usable.select("candidate_id")).collect():
         if not (row["unique"] and row["complete"]):
             raise ValueError(f"held-out predictions are not complete: {row['model']}")
     return held_out
@@ -279,6 +318,20 @@ def finalize_review(annotations: DataFrame, log: DataFrame, choices: DataFrame)
     return final
 
 
+def revise_labels(revised: DataFrame, annotations: DataFrame, episodes: DataFrame, split_table: DataFrame) -> DataFrame:
+    """Change log of a revision; stops where the revised labels fail a check.
+
+    ``revised`` is the result of :func:`labels.apply_revisions`. The annotation
+    checks run on the revised table and the manifest checks on the manifest
+    built from it, before the log is given out.
+    """
+    kept = stage(revised, "revised-labels")
+    final = kept.select(*annotations.columns)
+    _require(gates.annotation_checks(final), "labels after the revision")
+    _require(gates.manifest_checks(labels.model_manifest(episodes, final, split_table)), "manifest after the revision")
+    return labels.change_log(kept)
+
+
 def _as_rows(checks: DataFrame, prefix: str) -> DataFrame:
     """One-row gate as (name, value) rows."""
     entries = [F.struct(F.lit(f"{prefix}{c}").alias("name"), F.col(c).cast("string").alias("value")) for c in checks.columns]
@@ -296,6 +349,13 @@ def _require(checks: DataFrame, what: str) -> None:
 FOLDERS = ("frozen_annotations", "frozen_model_manifest")
 
 
+def _digest(df: DataFrame, name: str) -> DataFrame:
+    """One row: rows and a sum of row hashes, whatever the order of the rows."""
+    columns = [F.col(f"`{c}`").cast("string") for c in sorted(df.columns)]
+    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string")
+    return df.agg(F.lit(name).alias("input"), F.count(F.lit(1)).alias("rows"), F.coalesce(total, F.lit("0")).alias("digest"))
+
+
 def _part():
     """Folder of a run's file."""
     return F.regexp_replace("path", r"/[^/]*$", "")
@@ -323,15 +383,27 @@ def final_run(
     the graph model. Every flag of the metadata says what this run did. Hashes
     are listed from the files as written, and checked against the folder as it
     is at the end. Returns the hashed inventory; a failed gate stops the run.
+
+    A part is finished when its writer has committed it. A run into a ``folder``
+    that an earlier run of the same inputs has left unfinished keeps the finished
+    parts and writes the others; other inputs than those are an error.
     """
     spark = annotations.sparkSession
     dataset = baseline_dataset(features, manifest)
     _require(gates.readiness(annotations, dataset, minimum_per_class), "not ready for final training")
     out = folder or shared_file(spark, "final_run")
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{out}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{out}/{name}")
+    def keep(df: DataFrame | Callable[[], DataFrame], name: str) -> DataFrame:
+        path = f"{out}/{name}"
+        if exists(spark, f"{path}/_SUCCESS"):
+            return spark.read.parquet(path)
+        made = df() if callable(df) else df
+        made.write.mode("overwrite").parquet(path)
+        return spark.read.schema(made.schema).parquet(path)
+
+    inputs = reduce(DataFrame.unionByName, [_digest(df, name) for df, name in ((annotations, "annotations"), (manifest, "manifest"), (features, "features"))])
+    if sorted(map(tuple, keep(inputs, "inputs").collect())) != sorted(map(tuple, inputs.collect())):
+        raise ValueError(f"{out} holds a run of other inputs")
 
     frozen = keep(annotations, "frozen_annotations")
     frozen_manifest = keep(manifest, "frozen_model_manifest")
@@ -341,7 +413,7 @@ def final_run(
     done: list[tuple[str, str]] = []
     preds = []
     for name, train in {**trainers, "temporal_gnn": graph_trainer}.items():
-        preds.append(keep(train(rows).withColumn("model", F.lit(name)), f"predictions/{name}"))
+        preds.append(keep(lambda name=name, train=train: train(rows).withColumn("model", F.lit(name)), f"predictions/{name}"))
         done.append(("model", name))
     done.append(("baseline.final_run", str(bool(trainers)).lower()))
     done.append(("temporal_gnn.final_run", str(not preds[-1].isEmpty()).lower()))

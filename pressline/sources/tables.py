@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,20 +88,70 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+#: Files up to this size are hashed as one value; it must stay below 2 GB.
+WHOLE_FILE_BYTES = 256 << 20
+
+
 def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Path below ``folder``, size and SHA-256 of every file; files are hashed in parallel."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(folder)
-    )
+    """Path below ``folder``, size and SHA-256 of every file; files are hashed in parallel.
+
+    A larger file than ``WHOLE_FILE_BYTES`` is read as lines of raw bytes, in
+    splits; one task takes its lines in order and holds one of them at a time. The
+    distance between two line ends must stay below 2 GB, and such a file must not
+    carry the suffix of a compression codec, which Spark would apply.
+    """
+
+    def found(kind: str):
+        return spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+
+    files = found("binaryFile").load(folder)
+    small = files.where(F.col("length") <= WHOLE_FILE_BYTES).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    meta = F.col("_metadata")
+    lines = (
+        found("text").option("lineSep", "\n").load(folder)
+        .where(meta["file_size"] > WHOLE_FILE_BYTES)
+        .select(
+            meta["file_path"].alias("path"),
+            meta["file_size"].alias("bytes"),
+            meta["file_block_start"].alias("block"),
+            F.monotonically_increasing_id().alias("number"),
+            F.col("value").cast("binary").alias("line"),
+        )
+    )
+    # numbers rise within a split, and splits are told apart by their place in the file
+    dealt = lines.repartition("path").sortWithinPartitions("path", "block", "number").select("path", "bytes", "line")
+    large = dealt.mapInArrow(_hashed_lines, "path string, bytes long, sha256 string")
     base = folder.rstrip("/") + "/"
-    return files.select(
-        F.substring_index("path", base, -1).alias("path"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    return small.unionByName(large).withColumn("path", F.substring_index("path", base, -1))
+
+
+def _hashed_lines(batches):
+    """One row per file from its lines in order; the last line has an end only if the size says so."""
+    path, size, digest, read = None, 0, None, 0
+
+    def row():
+        if read == size + 1:
+            whole = before
+        elif read == size:
+            whole = digest
+        else:
+            raise ValueError(f"read {read} of {size} bytes of {path}")
+        return pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "sha256": [whole.hexdigest()]})
+
+    before = None
+    for batch in batches:
+        for name, length, line in zip(*batch.columns, strict=True):
+            if name.as_py() != path:
+                if path is not None:
+                    yield row()
+                path, size, digest, read = name.as_py(), length.as_py(), hashlib.sha256(), 0
+            data = line.as_py()
+            digest.update(data)
+            before = digest.copy()
+            digest.update(b"\n")
+            read += len(data) + 1
+    if path is not None:
+        yield row()
 
 
 def listed_hashes(manifest: DataFrame, column: str = "artifact_sha256") -> DataFrame:

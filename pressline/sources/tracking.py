@@ -10,7 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import coerce_double, coerce_int, elapsed_us, strict_bool
+from ..functions.columns import coerce_double, coerce_int, elapsed_us, strict_bool, truth
+from ..session import stage
 
 FRAME_COLUMNS = {
     "ball_state": "ball_state",
@@ -111,3 +112,97 @@ def load_matches(spark: SparkSession, folder: str, match_ids: Sequence[str]) ->
     loaded = [load_match(spark, folder, m) for m in match_ids]
     frames, positions, events = (union_matches(side) for side in zip(*loaded))
     return frames, positions, events
+
+
+def _cells(line: str = "_line"):
+    """Cells of a line of comma-separated text; quoted cells may hold commas and doubled quotes."""
+    c = F.regexp_replace(line, "^\ufeff", "")
+    quoted = F.transform(
+        F.regexp_extract_all(F.concat(F.lit(","), c), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), 1),
+        lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x),
+    )
+    return F.when(c.contains('"'), quoted).otherwise(F.split(c, ",", -1))
+
+
+def _by_header(spark: SparkSession, folder: str, pattern: str, match: str, known: str, places) -> DataFrame:
+    """Lines of all files of a folder, each with match_id and what ``places`` reads from its file's header.
+
+    A header is the line that names ``period_id`` and ``known``. Headers are one
+    row per file, written as a table, so Spark knows the table's size when it
+    joins it to the lines: the plan is the same for any number of files.
+    """
+    source = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    meta = F.col("_metadata")
+    lines = source.text(folder).select(meta["file_path"].alias("_file"), F.col("value").alias("_line")).where(F.trim("_line") != "")
+    parsed = lines.select("_file", _cells().alias("_cells"))
+    is_header = truth(F.array_contains("_cells", "period_id") & F.array_contains("_cells", known))
+    headers = parsed.where(is_header).groupBy("_file").agg(F.first("_cells").alias("_names"))
+    headers = stage(headers.select("_file", F.regexp_extract("_file", match, 1).alias("match_id"), *places("_names")), "headers")
+    rows = parsed.where(~is_header).join(headers, "_file", "left")
+    named = F.when(F.col("match_id").isNotNull(), F.col("match_id")).otherwise(F.raise_error(F.concat(F.lit("file without header: "), "_file")))
+    return rows.withColumn("match_id", named)
+
+
+def _cell(place):
+    """The cell at a place counted from 1; empty text and a missing place are null."""
+    return F.when(place > 0, F.nullif(F.try_element_at("_cells", place), F.lit("")))
+
+
+def _columns(names: Sequence[str]):
+    return lambda header: [F.array_position(header, c).cast("int").alias(f"_at_{c}") for c in names]
+
+
+def _players(header: str, prefix: str):
+    """(player_id, place of x, y and speed) of the players that a header names with x and y."""
+    of = F.array_distinct(F.filter(F.transform(header, lambda c: F.regexp_extract(c, f"^({re.escape(prefix)}.+)_[xys]$", 1)), lambda c: c != ""))
+    place = lambda p, part: F.array_position(header, F.concat(p, F.lit(part))).cast("int")
+    found = F.transform(of, lambda p: F.struct(p.alias("player_id"), place(p, "_x").alias("x"), place(p, "_y").alias("y"), place(p, "_s").alias("speed")))
+    return F.filter(found, lambda p: (p["x"] > 0) & (p["y"] > 0)).alias("_players")
+
+
+#: Columns of an event file.
+EVENT_COLUMNS = ("period_id", "timestamp", "event_id", "event_type", "team_id", "player_id", "receiver_player_id", "success")
+
+
+def load_folder(
+    spark: SparkSession,
+    folder: str,
+    match_ids: Sequence[str] | None = None,
+    tracking: str = "*_tracking.csv",
+    events: str = "*_events.csv",
+    match: str = r"([^/]+)_(?:tracking|events)\.csv$",
+    prefix: str = "DFL-OBJ-",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames, player positions and events of every match of a folder, or of ``match_ids``.
+
+    Files differ in their columns. They are read as lines, split by position
+    and cut by the places that each file's header gives; the number of matches
+    does not change the plan. A cell must not hold a line end. A missing file of
+    a listed match is an error, as is a tracking file without player columns.
+    """
+    names = ["period_id", "timestamp", "frame_id", *FRAME_COLUMNS, *BALL]
+    wide = _by_header(spark, folder, tracking, match, "frame_id", lambda h: [*_columns(names)(h), _players(h, prefix)])
+    raw = _by_header(spark, folder, events, match, "event_id", _columns(EVENT_COLUMNS))
+    if match_ids is not None:
+        wanted = sorted(set(match_ids))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        for pattern in (tracking, events):
+            there = files.option("pathGlobFilter", pattern).load(folder).select(F.regexp_extract("path", match, 1).alias("match_id"))
+            missing = spark.createDataFrame([(m,) for m in wanted], "match_id string").join(there, "match_id", "left_anti").take(5)
+            if missing:
+                raise FileNotFoundError(f"match files incomplete: {[r['match_id'] for r in missing]}")
+        wide, raw = wide.where(F.col("match_id").isin(wanted)), raw.where(F.col("match_id").isin(wanted))
+    cells = wide.select("match_id", "_cells", "_players", *[_cell(F.col(f"_at_{c}")).alias(c) for c in names])
+    none = F.lit(None).cast("double")
+    number = lambda p: F.when(p > 0, coerce_double(F.try_element_at("_cells", p))).otherwise(none)
+    listed = F.when(F.size("_players") > 0, F.col("_players")).otherwise(F.raise_error(F.concat(F.lit("no player columns: "), "match_id")))
+    rows = F.transform(listed, lambda p: F.struct(p["player_id"].alias("player_id"), number(p["x"]).alias("x"), number(p["y"]).alias("y"), number(p["speed"]).alias("speed")))
+    positions = cells.select(
+        "match_id",
+        coerce_int("period_id").alias("period_id"),
+        F.col("frame_id").try_cast("bigint").alias("frame_id"),
+        elapsed_us("timestamp").alias("t_us"),
+        F.inline(rows),
+    ).where(F.coalesce("x", "y", "speed").isNotNull())
+    happened = raw.select("match_id", *[_cell(F.col(f"_at_{c}")).alias(c) for c in EVENT_COLUMNS])
+    return typed_frames(cells), positions, typed_events(happened)

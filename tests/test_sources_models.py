@@ -3,11 +3,12 @@
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pressline.operators import gates
-from pressline.plans import models
+from pressline.plans import models, newton, parallel, trees
 from pressline.sources import tables, tracking
 
 
@@ -83,7 +84,7 @@ def test_logistic_and_boosted_separate_toy_data(spark):
     df = toy(spark).withColumn("split", F.when(F.col("candidate_id").rlike("[05]$"), "validation").when(F.col("candidate_id").rlike("[27]$"), "test").otherwise("train"))
     for preds in (
         models.train_logistic(df, ["f1", "f2"]),
-        models.train_boosted(df, ["f1", "f2"], models.BoostConfig(iterations=3)),
+        models.train_boosted(df, ["f1", "f2"], trees.TreeConfig(trees=3)),
     ):
         rows = preds.collect()
         assert len(rows) == 240 and all(0 <= r.probability <= 1 for r in rows)
@@ -94,8 +95,27 @@ def test_logistic_and_boosted_separate_toy_data(spark):
 def test_class_weights_and_rotations(spark):
     df = spark.createDataFrame([(0,), (0,), (0,), (1,)], f"{models.LABEL} int")
     assert [(r.label, r.n, round(r.weight, 6)) for r in models.class_weights(df).collect()] == [(0, 3, round(4 / 6, 6)), (1, 1, 2.0)]
-    turns = {r.test_match: r.validation_match for r in models.rotations(toy(spark)).collect()}
-    assert turns == {"g0": "g1", "g1": "g2", "g2": "g3", "g3": "g0"}
+    mixed = toy(spark).withColumn("match_id", F.concat(F.lit("g"), F.pmod(F.hash("candidate_id"), F.lit(4)).cast("string")))
+    turns = models.rotation(mixed)
+    assert turns.groups == ("g0", "g1", "g2", "g3") and turns.roles[3].tolist() == [1, 0, 0, 2]
+    with pytest.raises(ValueError, match="one class only in the validation rows"):
+        models.rotation(toy(spark))
+
+
+def test_every_match_is_held_out_once(spark):
+    df = toy(spark).withColumn("match_id", F.concat(F.lit("g"), F.pmod(F.hash("candidate_id"), F.lit(4)).cast("string")))
+    trainers = {"logistic": models.logistic_turns(["f1", "f2"]), "boosted": models.boosted_turns(["f1", "f2"], trees.TreeConfig(trees=4, step=0.3))}
+    out = models.leave_one_match_out(df, trainers).toPandas()
+    assert out.groupby(["model", "candidate_id"]).size().eq(1).all() and len(out) == 480
+    assert (out.y_pred == (out.probability >= out.threshold)).all() and (out.y_pred == out.y_true).mean() > 0.8
+    assert dict(zip(out.match_id, out.validation_match, strict=True)) == {"g0": "g1", "g1": "g2", "g2": "g3", "g3": "g0"}
+    assert (out.groupby(["model", "match_id"]).threshold.nunique() == 1).all()
+    # by hand: one turn alone has the same numbers
+    turns = parallel.Turns(("g0", "g1", "g2", "g3"), np.array([[2, 1, 0, 0]]))
+    rows = models._turn_rows(df, turns, "match_id", ["f1", "f2"])
+    alone = newton.score(rows, newton.fit(rows, ["f1", "f2"], turns), turns).toPandas().set_index("candidate_id").probability
+    both = out[(out.model == "logistic") & (out.match_id == "g0")].set_index("candidate_id").probability
+    assert np.abs(alone - both.reindex(alone.index)).max() < 1e-6
 
 
 def test_feature_row_without_manifest_is_an_error(spark):
@@ -164,3 +184,112 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "master", "yarn")
     with pytest.raises(ValueError, match="checkpoint.dir"):
         session.shared_folder(spark)
+
+
+def test_files_of_any_size_are_hashed_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "WHOLE_FILE_BYTES", 100)
+    rng = np.random.default_rng(1)
+    files = {
+        "small.bin": b"x" * 100,
+        "ends.bin": b"line\r\n" * 40_000,
+        "open.bin": b"line\n" * 30_000 + b"rest",
+        "sub/random.bin": rng.integers(0, 256, 300_000).astype(np.uint8).tobytes(),
+        "long.bin": b"y" * 70_000,
+        "breaks.bin": b"\n" * 5000,
+    }
+    (tmp_path / "sub").mkdir()
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "empty.bin").write_bytes(b"")  # has no bytes to read and no row
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r.path: (r.bytes, r.sha256) for r in tables.file_inventory(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
+
+
+def test_a_folder_of_matches_is_one_plan(spark, tmp_path):
+    fixed = ["period_id", "timestamp", "frame_id", "ball_state", "ball_owning_team_id", "ball_x", "ball_y", "ball_z", "ball_speed"]
+    rng = np.random.default_rng(2)
+    want_frames, want_positions, want_events = set(), set(), set()
+    for m in range(500):
+        players = [f"DFL-OBJ-{m}{k}" for k in range(1 + m % 4)]
+        head = fixed + [f"{p}_{c}" for p in players for c in ("x", "y", "s")]
+        head = [head[i] for i in rng.permutation(len(head))]
+        lines = [",".join(head)]
+        for f in range(2):
+            cells = {"period_id": "1", "timestamp": f"0 days 00:00:0{f}", "frame_id": str(f), "ball_state": "alive", "ball_owning_team_id": '"T,""1"', "ball_x": "0.5"}
+            for k, p in enumerate(players):
+                if k != 1:
+                    cells |= {f"{p}_x": f"0.{k + 1}", f"{p}_y": "0.5"}
+                    want_positions.add((f"M{m}", f, p, (k + 1) / 10))
+            lines.append(",".join(cells.get(c, "") for c in head))
+            want_frames.add((f"M{m}", f, f * 1_000_000, 'T,"1'))
+        (tmp_path / f"M{m}_tracking.csv").write_text("\r\n".join(lines) + "\r\n")
+        (tmp_path / f"M{m}_events.csv").write_text("success,event_id,period_id,timestamp,event_type,team_id,player_id,receiver_player_id\nTrue,7,1,-1 days +23:59:59,PASS,T,P,\n")
+        want_events.add((f"M{m}", 7, -1_000_000, True))
+    frames, positions, events = tracking.load_folder(spark, str(tmp_path))
+    assert {(r.match_id, r.frame_id, r.t_us, r.owner) for r in frames.collect()} == want_frames
+    assert {(r.match_id, r.frame_id, r.player_id, r.x) for r in positions.collect()} == want_positions
+    assert {(r.match_id, r.event_id, r.t_us, r.success) for r in events.collect()} == want_events
+    assert positions._jdf.queryExecution().optimizedPlan().toString().count("\n") < 25
+    some = tracking.load_folder(spark, str(tmp_path), ["M3", "M499"])[0]
+    assert {r.match_id for r in some.collect()} == {"M3", "M499"}
+    with pytest.raises(FileNotFoundError, match="gone"):
+        tracking.load_folder(spark, str(tmp_path), ["M3", "gone"])
+    (tmp_path / "bad_tracking.csv").write_text("1,2,3\n")
+    with pytest.raises(Exception, match="file without header"):
+        tracking.load_folder(spark, str(tmp_path))[0].collect()
+
+
+def test_revision_that_breaks_a_check_is_stopped(spark):
+    from pressline.operators import labels
+
+    rows = [(f"c{i}", f"m{i % 3}", i % 2, 3, "note", "r1") for i in range(12)]
+    ann = spark.createDataFrame(rows, "candidate_id string, match_id string, is_gegenpressing int, annotation_confidence int, annotation_notes string, annotator string")
+    episodes = ann.select("candidate_id", "match_id", F.lit("True").alias("strict_valid"), F.lit(1).alias("period_id"), F.lit(1).alias("loss_frame"))
+    splits = spark.createDataFrame([("m0", "train"), ("m1", "validation"), ("m2", "test")], "match_id string, split string")
+    fine = spark.createDataFrame([("c1", -1)], "candidate_id string, is_gegenpressing int")
+    log = models.revise_labels(labels.apply_revisions(ann, fine), ann, episodes, splits)
+    assert [(r.candidate_id, r.column, r.old_value, r.new_value) for r in log.collect()] == [("c1", "is_gegenpressing", "1", "-1")]
+    wrong = spark.createDataFrame([("c1", 5)], "candidate_id string, is_gegenpressing int")
+    with pytest.raises(ValueError, match="after the revision"):
+        models.revise_labels(labels.apply_revisions(ann, wrong), ann, episodes, splits)
+
+
+def test_an_unfinished_run_goes_on(spark, tmp_path):
+    n = 60
+    i = F.col("id")
+    ids = F.concat(F.lit("c"), i.cast("string")).alias("candidate_id")
+    match = F.concat(F.lit("m"), (i % 3).cast("string")).alias("match_id")
+    y = (F.floor(i / 3) % 2).cast("int")
+    annotations = spark.range(n).select(ids, match, y.alias("is_gegenpressing"), F.lit(3).alias("annotation_confidence"), F.lit("note").alias("annotation_notes"), F.lit("r").alias("annotator"), F.lit("t").alias("annotated_at_utc"), i.alias("annotation_order"))
+    split = F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (i % 3 + 1).cast("int"))
+    manifest = spark.range(n).select(ids, match, split.alias("split"), y.alias(models.LABEL), F.lit("usable").alias("label_status"), F.lit(True).alias("eligible_for_detection_training"),
+                                     F.lit(1).alias("period_id"), i.alias("loss_frame"), F.lit(1).alias("label_regain_5s"), y.alias("is_gegenpressing"), F.lit(3).alias("annotation_confidence"))
+    features = spark.range(n).select(ids, match, (y + F.rand(1) / 2).alias("f1"))
+    features = spark.createDataFrame(features.collect(), features.schema)
+    calls = []
+
+    def trainer(name, fail=False):
+        def train(rows):
+            calls.append(name)
+            if fail:
+                raise RuntimeError("stopped")
+            return models.train_logistic(rows, ["f1"], name=name)
+
+        return train
+
+    folder = str(tmp_path / "run")
+    with pytest.raises(RuntimeError, match="stopped"):
+        models.final_run(annotations, manifest, features, {"a": trainer("a"), "b": trainer("b")}, trainer("g", fail=True), folder)
+    resumed = models.final_run(annotations, manifest, features, {"a": trainer("a"), "b": trainer("b")}, trainer("g"), folder)
+    assert calls == ["a", "b", "g", "g"]
+    parts = {r.path.rsplit("/", 1)[0] for r in resumed.collect()}
+    whole = models.final_run(annotations, manifest, features, {"a": trainer("a"), "b": trainer("b")}, trainer("g"), str(tmp_path / "other"))
+    assert parts == {r.path.rsplit("/", 1)[0] for r in whole.collect()}
+    a, b = (spark.read.parquet(f"{d}/evaluation").orderBy("model", "split", "match_id").collect() for d in (folder, str(tmp_path / "other")))
+    assert a == b
+    with pytest.raises(ValueError, match="other inputs"):
+        models.final_run(annotations, manifest.limit(30), features.limit(30), {"a": trainer("a")}, trainer("g"), folder)
