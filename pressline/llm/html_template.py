@@ -38,15 +38,34 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style noscript template iframe svg textarea select title".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 DROPPED = frozenset("head nav footer aside form button menu dialog fieldset".split()) | RAW
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|popup|promo|related|share|sidebar|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words of names for what is not the article, words that follow them in such names, and words that name a state of a page.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer masthead menu modal nav navbar navigation newsletter notice notices popup promo related share sidebar social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+PARTS = frozenset("area articles bar block body box button buttons content container form group holder icons inner item items left links list main panel placeholder posts primary right row section slot thread top bottom unit wrap wrapper".split())
+STATES = frozenset("has is no not with without".split())
+KEPT = frozenset("html body main article".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECASE)
 
 
+def named(value: str) -> bool:
+    """Whether a class, id or role names a part beside the article.
+
+    One of its names ends in such a word, or has one and ends in a word for a
+    part: ``cookie-notice``, ``share-buttons``, but not ``has-sidebar``,
+    ``nav-open`` or ``share-price``.
+    """
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        while len(words) > 1 and words[-1].isdigit():
+            words.pop()
+        if words and words[0] not in STATES and (words[-1] in MARKS or words[-1] in PARTS and MARKS.intersection(words)):
+            return True
+    return False
+
+
 @dataclass
 class Block:
     path: str
@@ -67,21 +86,22 @@ def parse(page: str) -> tuple[list[Block], dict[str, int]]:
     """Text blocks in page order and how often each path is opened. Ill-nested markup closes what it must."""
     blocks: list[Block] = []
     opened: dict[str, int] = {}
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
-    current = Block("", False)
+    # name, path, dropped, dropped by a tag, dropped by a name
+    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    current, article = Block("", False), False
 
     def flush():
         nonlocal current
         if current.parts:
             blocks.append(current)
-        name, path, dropped = next((x for x in reversed(stack) if x[0] not in INLINE), stack[0])
+        name, path, dropped, *_ = next((x for x in reversed(stack) if x[0] not in INLINE), stack[0])
         current = Block(path, dropped)
 
     at = 0
     while True:
         m = TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
-        if text and not stack[-1][2]:
+        if text and not stack[-1][3]:
             current.parts.append(text)
         if m is None:
             break
@@ -111,7 +131,12 @@ def parse(page: str) -> tuple[list[Block], dict[str, int]]:
         attributes = [next(filter(None, x), "") for x in ATTRIBUTE.findall(m[3] or "")]
         label = name + "".join(f".{a.split()[0].lower()}" for a in attributes[:1] if a.split())
         inside = any(x[0] in ("article", "main") for x in stack)
-        drop = stack[-1][2] or name in DROPPED or (name == "header" and not inside) or any(MARKED.search(a) for a in attributes)
+        # names speak for block elements only, and not for what holds the page's first article
+        by_tag = stack[-1][3] or name in DROPPED or (name == "header" and not inside)
+        first = name in ("article", "main") and not article
+        article |= first
+        by_name = not first and (stack[-1][4] or name not in INLINE and name not in KEPT and any(map(named, attributes)))
+        drop = by_tag or by_name
         path = f"{stack[-1][1]}/{label}"
         opened[path] = opened.get(path, 0) + 1
         if name in RAW:
@@ -122,11 +147,13 @@ def parse(page: str) -> tuple[list[Block], dict[str, int]]:
             if name not in INLINE:
                 flush()
             continue
-        stack.append((name, path, drop))
+        stack.append((name, path, drop, by_tag, by_name))
         if name not in INLINE or drop != current.dropped:
             flush()
     flush()
-    return [b for b in blocks if not b.dropped and b.text], opened
+    kept = [b for b in blocks if not b.dropped and b.text]
+    # a page of which names leave nothing has them on what holds its text
+    return kept or [b for b in blocks if b.text], opened
 
 
 CANDIDATES = "host string, token long, excess long, pages long"
