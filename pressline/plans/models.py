@@ -192,7 +192,10 @@ def graph_rows(nodes: DataFrame, edges: DataFrame, rows: DataFrame, turns: Turns
     if "strict_valid" in rows.columns:
         rows = rows.where(strict_bool("strict_valid"))
     nodes = graph.crop(nodes, end_s=until_s)
-    return stage(temporal_graph.episode_rows(nodes, edges, _turn_rows(rows, turns, column, [])), "episodes")
+    episodes = temporal_graph.episode_rows(nodes, edges, _turn_rows(rows, turns, column, []))
+    # few bytes but much work a row: adaptive execution must not merge the partitions
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(episodes.repartition(parts, "candidate_id"), "episodes")
 
 
 def train_graph_model(

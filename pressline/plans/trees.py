@@ -23,7 +23,7 @@ from .parallel import TEST, TRAIN, Turns, floats, partitions, summed
 #: Fixed value: bin of a missing value.
 MISSING = 255
 #: Trees between two writes of the margins.
-TREES_HELD = 10
+TREES_HELD = 25
 
 
 @dataclass(frozen=True)
