@@ -118,16 +118,15 @@ class Encoder:
         self._alone([c for c in chunks if c not in self.memory])
 
     def encode(self, text: pa.Array) -> Iterator[np.ndarray]:
-        # the tokenizer always splits between a letter and a stop or comma, but for U+0130, whose lower case ends in a mark
-        plain = pc.replace_substring_regex(text, pattern=r"([^\P{L}\x{0130}])([.,])", replacement=r"\1 \2")
+        # the tokenizer lower-cases, except in its special tokens, which are in lower case only; and it always
+        # splits between a letter and a stop or comma, but for U+0130, whose lower case ends in a mark
+        lowered = pc.if_else(pc.match_substring(text, "<|"), text, pc.ascii_lower(text))
+        plain = pc.replace_substring_regex(lowered, pattern=r"([^\P{L}\x{0130}])([.,])", replacement=r"\1 \2")
         lists = pc.split_pattern(pc.replace_substring_regex(plain, pattern="[\t-\r]", replacement=" "), " ")
         offsets = np.asarray(lists.offsets).astype(np.int64)
         coded = lists.values.dictionary_encode()
-        # it lower-cases too, except in its special tokens, which are in lower case only
-        special = pc.match_substring(coded.dictionary, "<|")
-        lowered = pc.if_else(special, coded.dictionary, pc.ascii_lower(coded.dictionary)).dictionary_encode()
-        codes = np.asarray(lowered.indices).astype(np.int64)[np.asarray(coded.indices)]
-        chunks = lowered.dictionary.to_pylist()
+        codes = np.asarray(coded.indices).astype(np.int64)
+        chunks = coded.dictionary.to_pylist()
         fresh = [c for c in chunks if c not in self.memory]
         if len(self.memory) + len(fresh) > MEMORY_CHUNKS:
             self.memory, fresh = {}, chunks
