@@ -16,6 +16,7 @@ a first pass lists what is frequent in slices, and no frequent token is lost.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from dataclasses import dataclass, field
@@ -50,6 +51,7 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECASE)
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def named(value: str) -> bool:
     """Whether a class, id or role names a part beside the article.
 
