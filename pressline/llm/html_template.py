@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import html
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -158,6 +159,25 @@ def parse(page: str) -> tuple[list[Block], dict[str, int]]:
     return kept or [b for b in blocks if b.text], opened
 
 
+@dataclass
+class Text:
+    """A block of a page that is read back."""
+
+    path: str
+    text: str
+
+
+def dump(page: str) -> str:
+    """Blocks and paths of a page as JSON, so that a page is parsed once."""
+    blocks, opened = parse(page)
+    return json.dumps([[[b.path, b.text] for b in blocks], opened], ensure_ascii=False)
+
+
+def load(parsed: str) -> tuple[list[Text], dict[str, int]]:
+    blocks, opened = json.loads(parsed)
+    return [Text(*b) for b in blocks], opened
+
+
 CANDIDATES = "host string, token long, excess long, pages long"
 STATS = "host string, all_pages long, token long, kind int, size int, pages long, uses long, vector long, start_low int, start_high int, end_low int, end_high int"
 #: Kinds of tokens.
@@ -173,7 +193,7 @@ def _hash(*parts: str) -> int:
 class Tokens:
     """Tokens of a slice: arrays of hash, page and kind; words lie after the rest, in page order, with their places."""
 
-    blocks: list[list[Block]]
+    blocks: list[list[Text]]
     elements: tuple[np.ndarray, np.ndarray, np.ndarray]  # token, page, uses
     texts: tuple[np.ndarray, np.ndarray, np.ndarray]  # token, page, words
     words: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # token, page, place from start, from end
@@ -183,7 +203,7 @@ class Tokens:
 def _tokens(hosts: list[str], pages: list[str]) -> Tokens:
     all_blocks, elements, texts, at = [], [], [], []
     for i, (host, page) in enumerate(zip(hosts, pages, strict=True)):
-        blocks, opened = parse(page)
+        blocks, opened = load(page)
         all_blocks.append(blocks)
         elements += [(_hash(host, path), i, n) for path, n in opened.items()]
         for b in blocks:
@@ -220,7 +240,7 @@ def _sums(kind: int, keys: np.ndarray, token: np.ndarray, page: np.ndarray, uses
 def _slice_rows(batch: pa.RecordBatch, hosts: list[str]):
     """Per kind: page that names the host, then token, kind, size, pages, uses, vector and places of a slice's tokens."""
     keys = np.array([xxhash.xxh64_intdigest(k) for k in batch.column("page").to_pylist()], np.uint64)
-    t = _tokens(hosts, batch.column("html").to_pylist())
+    t = _tokens(hosts, batch.column("parsed").to_pylist())
     none = lambda x: np.zeros(len(x), np.uint64)
     ones = lambda x: np.ones(len(x), np.int64)
     token, page, start, end = t.words
@@ -236,7 +256,7 @@ def _slice_rows(batch: pa.RecordBatch, hosts: list[str]):
 def _candidate_rows(batches):
     """Tokens frequent in a slice, with the pages beyond what an infrequent one can have there; and, without token, that number and the pages of each host."""
     names = [c.split()[0] for c in CANDIDATES.split(", ")]
-    for batch in slices(batches, "html"):
+    for batch in slices(batches, "parsed"):
         hosts = [host_of(u) for u in batch.column("url").to_pylist()]
         of, at = np.unique(np.array(hosts, object), return_inverse=True)
         n = np.bincount(at)
@@ -266,7 +286,7 @@ def _of(hosts: list[str], known: dict) -> np.ndarray:
 def _token_rows(batches):
     """Per host and candidate: pages, uses, sum of page-wise hashes, least and largest hash of its places."""
     known: dict[str, np.ndarray | None] = {}
-    for batch in slices(batches, "html"):
+    for batch in slices(batches, "parsed"):
         hosts = batch.column("host").to_pylist()
         _known(batch, hosts, known)
         wanted = _of(hosts, known)
@@ -298,7 +318,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, tokens): the tokens of each host's valid classes. Hosts without a valid class have no row."""
     sums = [F.sum(c).alias(c) for c in ("pages", "uses", "vector")]
     places = [f(f"{c}_{n}").alias(f"{c}_{n}") for c in ("start", "end") for n, f in (("low", F.min), ("high", F.max))]
-    able = _with_tokens(pages, staged(candidates(pages), "page-candidates"), "inner").select("page", "host", "html", "all_pages", "tokens")
+    able = _with_tokens(pages, staged(candidates(pages), "page-candidates"), "inner").select("page", "host", "parsed", "all_pages", "tokens")
     rows = able.mapInArrow(_token_rows, STATS).groupBy("host", "all_pages", "token", "kind", "size").agg(*sums, *places)
     fixed = (F.col("start_low") == F.col("start_high")) | (F.col("end_low") == F.col("end_high"))
     least = F.greatest(F.lit(LEAST_PAGES), SUPPORT * F.col("all_pages"))
@@ -318,7 +338,7 @@ def _upto(path: str, names: tuple[str, ...]) -> str:
     return "/".join(parts[: i + 1]) if i else ""
 
 
-def by_tags(blocks: list[Block]) -> list[str]:
+def by_tags(blocks: list[Text]) -> list[str]:
     """Texts of the page's first article or main element; of all blocks without one."""
     container = next((p for p in map(lambda b: _upto(b.path, ("article", "main")), blocks) if p), "")
     return [b.text for b in blocks if _within(b.path, container)] if container else [b.text for b in blocks]
@@ -365,17 +385,24 @@ def main_texts(pages: DataFrame) -> DataFrame:
     results; an empty table gives none; other columns are ignored.
     """
     source = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    keyed = source.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "url", "html")
+    kind = source.schema["page_id"].dataType.simpleString()
+
+    def parsing(batches):
+        for batch in slices(batches, "html"):
+            parsed = pa.array([dump(page) for page in batch.column("html").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), parsed], ["page_id", "url", "parsed"])
+
+    source = staged(source.mapInArrow(parsing, f"page_id {kind}, url string, parsed string"), "parsed-pages")
+    keyed = source.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "url", "parsed")
     found = staged(templates(keyed), "page-templates")
     joined = _with_tokens(source, found, "left")
 
     def run(batches):
         known: dict[str, np.ndarray | None] = {}
-        for batch in slices(batches, "html"):
+        for batch in slices(batches, "parsed"):
             hosts = batch.column("host").to_pylist()
             _known(batch, hosts, known)
-            texts = extract(hosts, batch.column("html").to_pylist(), known)
+            texts = extract(hosts, batch.column("parsed").to_pylist(), known)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    kind = source.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "host", "html", "tokens").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return joined.select("page_id", "url", "host", "parsed", "tokens").mapInArrow(run, f"page_id {kind}, url string, text string")
