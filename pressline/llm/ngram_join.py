@@ -8,9 +8,12 @@ frequent shingles. Bounds that follow from the sizes say how many of a row's
 rarest shingles any partner must share one of, and how many that remain; pairs
 below them are dropped before overlaps are accumulated.
 
-Groups of near copies are never expanded into all pairs: neighbours within a
-column are linked first, and later rounds only look at pairs whose classes no
-chain of links joins yet.
+Groups of near copies are never expanded into all pairs. Each class of a column
+is first compared with the class that has the fewest shingles of its own, the
+likeliest to link with all others, and with neighbours; later rounds only look
+at pairs whose classes no chain of links joins yet, and compare the classes
+outside of a column's largest component with the rest of the column. What stays
+quadratic is a column of many classes that pass all bounds and link with none.
 """
 
 from __future__ import annotations
@@ -215,17 +218,19 @@ def link_classes(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     rows = dealt(blocks, buckets).mapInArrow(_count_columns(buckets), ROWS)
     vectors = staged(dealt(rows, buckets).mapInArrow(_rows_again, VECTOR), "shingle-rows")
     columns = vectors.select("sig", "n", "skipped", F.posexplode(F.arrays_zip(F.slice("grams", F.lit(1), F.col("prefix")).alias("gram"), F.col("heads").alias("df"))))
-    columns = columns.select("sig", "n", (F.col("skipped") + F.col("pos")).alias("place"), F.col("col.gram").alias("gram"), F.col("col.df").alias("df"))
+    columns = columns.select("sig", "n", "skipped", (F.col("skipped") + F.col("pos")).alias("place"), F.col("col.gram").alias("gram"), F.col("col.df").alias("df"))
 
     plain = columns.withColumn("class", F.col("sig"))
-    tested = [staged(_linked(_neighbours(plain, [F.col("n"), F.col("sig")], F.lit(True)), vectors), "links")]
+    central = [F.col("skipped"), F.col("n"), F.col("sig")]
+    tested = [staged(_linked(_neighbours(plain, central, F.lit(True)), vectors), "links")]
     classes = staged(components(tested[0].where("linked")), "components")
     for _ in range(NEIGHBOUR_ROUNDS):
         # neighbours again, in another order, where chains of links have not settled a column
         done = reduce(DataFrame.unionByName, tested).select("a", "b")
         known = _open(columns, classes)
         mixed = F.xxhash64("sig", F.lit(len(tested)))
-        near = _neighbours(known, [F.col("class"), mixed], F.col("x.class") != F.col("y.class")).join(done, ["a", "b"], "left_anti")
+        order = [F.col("skipped") if len(tested) % 2 else F.col("class"), mixed]
+        near = _neighbours(known, order, F.col("x.class") != F.col("y.class")).join(done, ["a", "b"], "left_anti")
         fresh = staged(_linked(near, vectors), "links")
         tested.append(fresh)
         classes = _merged(classes, fresh)
@@ -233,20 +238,29 @@ def link_classes(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     known = _open(columns, classes)
     done = reduce(DataFrame.unionByName, tested).select("a", "b")
     earlier = F.slice("grams", F.lit(1), (F.col("place") - F.col("skipped")).cast("int"))
-    side = known.join(vectors.select("sig", "skipped", "grams"), "sig").withColumn("before", earlier)
-    side = side.select("gram", F.struct(*ENTRY, "class", "before").alias("entry"))
-    x, y = side.withColumnRenamed("entry", "x"), side.withColumnRenamed("entry", "y")
-    fresh = "x.sig < y.sig and x.class <> y.class and not arrays_overlap(x.before, y.before)"
-    rest = x.join(y, "gram").where(fresh).where(_possible("x", "y")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+    side = known.join(vectors.select("sig", "grams"), "sig").withColumn("before", earlier)
+    side = side.select("gram", "main", F.ceil(F.col("df") / F.lit(COLUMN_ROWS)).alias("parts"), F.struct(*ENTRY, "class", "before").alias("entry"))
+    # of two components at least one is not the column's largest; long columns are split on that side
+    x = side.where("entry.class <> main").select("gram", "main", F.pmod(F.xxhash64("entry.sig"), "parts").alias("part"), F.col("entry").alias("x"))
+    y = side.select("gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("entry").alias("y"))
+    fresh = "x.class <> y.class and (y.class = main or x.sig < y.sig) and not arrays_overlap(x.before, y.before)"
+    rest = x.join(y, ["gram", "part"]).where(_possible("x", "y")).where(fresh)
+    rest = rest.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
     last = staged(_linked(rest.join(done, ["a", "b"], "left_anti"), vectors), "links")
     return _merged(classes, last)
 
 
 def _open(columns: DataFrame, classes: DataFrame) -> DataFrame:
-    """Entries of the columns that hold more than one component, with their component."""
+    """Entries of the columns that hold more than one component, with their component and the column's largest (main).
+
+    Entries that are too far from the column's smallest set to reach any partner go.
+    """
     known = columns.join(classes.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("component", "sig")).drop("component")
-    mixed = known.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("gram")
-    return staged(known.join(mixed, "gram", "left_semi"), "open-columns")
+    held = known.groupBy("gram", "class").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
+    largest = F.max(F.struct("rows", "class"))["class"].alias("main")
+    mixed = held.groupBy("gram").agg(largest, F.count(F.lit(1)).alias("kinds"), F.min("least").alias("least")).where("kinds > 1")
+    near = (100 + PERCENT) * (F.col("n") - F.col("place")) >= PERCENT * (F.col("n") + F.col("least"))
+    return staged(known.join(mixed.drop("kinds"), "gram").where(near).drop("least"), "open-columns")
 
 
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every contract's columns against plain versions: nasty rows and the smallest tables."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -71,6 +72,31 @@ def test_salted_columns_lose_no_link(spark, monkeypatch):
     assert {r.component_id for r in out} == {0}
 
 
+def _edited_copies(count, seed):
+    rng = random.Random(seed)
+    base = [f"common{i}" for i in range(80)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, count):
+        words = list(base)
+        for at in rng.sample(range(80), rng.choice([1, 2, 3, 3, 4, 5])):
+            words[at] = f"own{i}x{at}" if rng.random() < 0.8 else f"swap{at}"
+        rows.append((i, " ".join(words)))
+    # a passage of most of their shingles, which is not enough to link them
+    rows += [(1000 + i, " ".join(f"passage{j}" for j in range(19)) + "".join(f" rest{i}x{j}" for j in range(5))) for i in range(60)]
+    return rows
+
+
+@pytest.mark.parametrize("column_rows, rounds, whole", [(20_000, 2, True), (7, 2, False), (7, 0, True)])
+def test_jaccard_of_edited_copies_around_a_text(spark, monkeypatch, column_rows, rounds, whole):
+    monkeypatch.setattr(ngram_join, "COLUMN_ROWS", column_rows)
+    monkeypatch.setattr(ngram_join, "NEIGHBOUR_ROUNDS", rounds)
+    rows = _edited_copies(150, column_rows + rounds)
+    if not whole:
+        rows = rows[1:]  # no text in the middle: only the last pass can find some of the links
+    out = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(r) for r in out), key=str) == brute.components(rows)
+
+
 def test_personal_data(spark, frame, rows):
     odd = [(5000, "1.2.3.4.5 +1--2 +49 (0) 30-123456 4111-1111-1111-1111 a@b a@b.c..d x@@y.z 00000000000000"), (5001, "9" * 30_000), (5002, "a" * 30_000 + "@"), (5003, "999.1.1.1 255.255.255.255.1")]
     more = frame.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
