@@ -21,8 +21,6 @@ from .shared import id_text, slices, split_words, staged
 
 #: The fit uses about this many labelled texts of each label, chosen by a hash of the id.
 SAMPLE_TEXTS = 8000
-#: Most words in the learned list of insults.
-LEXICON_WORDS = 4000
 #: A learned insult is in at least this share of the toxic texts and this many of them ...
 LEAST_SHARE, LEAST_TEXTS = 0.002, 4
 #: ... and this much more frequent there than in others (log of the ratio).
@@ -100,7 +98,7 @@ def aims() -> Transducer:
 
 
 GRAMMAR = scopes().then(aims())
-FEATURES = 7
+FEATURES = 9
 
 
 @dataclass
@@ -113,11 +111,18 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _clean(words: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Dictionary words without their edges of signs, and whether each ends a clause."""
-    ends = np.asarray(pc.match_substring_regex(words, pattern=r"[.!?;:|]"))
-    bare = pc.replace_substring_regex(pc.utf8_lower(words), pattern=r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", replacement="")
-    return bare.to_pylist(), ends
+def _clean(words: pa.Array) -> list[str]:
+    """Dictionary words without their edges of signs."""
+    return pc.replace_substring_regex(pc.utf8_lower(words), pattern=r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", replacement="").to_pylist()
+
+
+def _ends(codes: np.ndarray, words: pa.Array, quotes: np.ndarray) -> np.ndarray:
+    """Whether each token ends a clause. A colon after a reporting word opens what is reported, so it does not."""
+    hard = np.asarray(pc.match_substring_regex(words, pattern=r"[.!?;|]"))[codes]
+    colon = np.asarray(pc.match_substring_regex(words, pattern=":"))[codes]
+    alone = np.asarray(pc.match_substring_regex(words, pattern="^:$"))[codes]
+    said = quotes[codes]
+    return hard | colon & ~said & ~(alone & np.r_[False, said[:-1]])
 
 
 def _tokens(text: pa.Array):
@@ -125,14 +130,14 @@ def _tokens(text: pa.Array):
 
 
 def features(text: pa.Array, model: ToxicModel) -> np.ndarray:
-    """Per text: best clause and sum of clauses by kind (insult plain, negated, reported), and threats."""
+    """Per text: best clause and sum of clauses of insults, and sum of threats, each plain, negated and reported."""
     codes, offsets, words = _tokens(text)
-    bare, ends = _clean(words)
+    bare = _clean(words)
     kind = np.array([INSULT if w in model.insults else model.fixed.get(w, OTHER) for w in bare], np.int64).reshape(-1)
     worth = np.array([model.insults.get(w, 1.0) for w in bare]).reshape(-1)
     out = np.zeros((len(text), FEATURES))
     hot = np.flatnonzero((kind[codes] == INSULT) | (kind[codes] == THREATEN))
-    clause = np.concatenate([[0], np.cumsum(ends[codes])]) if len(codes) else np.zeros(1, int)
+    clause = np.concatenate([[0], np.cumsum(_ends(codes, words, kind == QUOTE))]) if len(codes) else np.zeros(1, int)
     done = (-1, -1)
     for t in hot:
         row = int(np.searchsorted(offsets, t, side="right") - 1)
@@ -150,14 +155,14 @@ def features(text: pa.Array, model: ToxicModel) -> np.ndarray:
                 sums[tell // 2] += worth[code] * (TARGET_GAIN if tell % 2 else 1.0)
         out[row, :3] = np.maximum(out[row, :3], sums[:3])
         out[row, 3:6] += sums[:3]
-        out[row, 6] += sums[3:].sum()
+        out[row, 6:] += sums[3:]
     return np.log1p(out)
 
 
 def _word_rows(batches):
     for batch in slices(batches):
         codes, offsets, words = _tokens(batch.column("text"))
-        bare = pa.array(_clean(words)[0], pa.string()).dictionary_encode()
+        bare = pa.array(_clean(words), pa.string()).dictionary_encode()
         to = np.asarray(bare.indices).astype(np.int64)
         toxic = np.asarray(batch.column("toxic")).astype(np.int64)
         size = max(1, len(bare.dictionary))
@@ -172,8 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> Toxic
     """Learn the insults and the weights from labelled texts; the caller leaves out held-out rows.
 
     Only ids of about ``sample`` texts of each label are broadcast, and only the
-    word list (at most ``LEXICON_WORDS``) and seven numbers for each of those
-    texts reach the driver. Equal texts are learned from once.
+    word list (words of at least ``LEAST_SHARE`` of the toxic ones of them) and
+    nine numbers for each of those texts reach the driver. Equal texts are
+    learned from once.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -190,8 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> Toxic
     lift = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     words = texts.mapInArrow(_word_rows, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     words = words.where((F.length("word") > 2) & (F.col("bad") >= max(LEAST_TEXTS, LEAST_SHARE * bad))).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
-    known = words.orderBy(F.desc("bad"), "word").limit(LEXICON_WORDS).collect()
-    model = ToxicModel({r["word"]: float(r["lift"]) for r in known})
+    model = ToxicModel({r["word"]: float(r["lift"]) for r in words.collect()})
 
     def featured(batches):
         for batch in slices(batches):
