@@ -26,8 +26,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Parts that only count together.
-IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|client_?id|account|access_?key_?id)\x20{0,8}[:=]\x20{0,8}[\"']?([A-Za-z0-9@._-]{3,64})", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9._:/@-]{3,256}")
+IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|client_?id|account|access_?key_?id)\x20{0,8}[:=]\x20{0,8}[\"']?([A-Za-z0-9@._-]{3,})", re.IGNORECASE | re.ASCII)
+ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9._:/@-]{3,}")
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -67,7 +67,7 @@ def _weak(text: str):
 
 def _scopes(text: str) -> list[int]:
     """Where each scope but the first begins: after an empty line."""
-    return [m.end() for m in re.finditer(r"\n[\x20\t]*\n", text)]
+    return [m.end() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
 
 
 def _distance(parts: list[tuple[int, int]], starts: list[int], start: int, end: int, low: int, high: int) -> float:
