@@ -7,22 +7,21 @@ but the last return rows of ``documents`` with all their columns.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pressline.llm import decontaminate, exact_dedup, lang_id, ngram_join, queries
-from pressline.llm.shared import remainder, staged, table
+from pressline.llm.shared import remainder, staged, table, without
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter, which no language can claim, go.
 
     The model learns as in the language query: from rows with a language whose
-    id's crc32 leaves no remainder 2 by 4.
+    id's crc32 leaves no remainder 2 by 4. Without such rows nothing is rejected
+    but texts without letters.
     """
     pieces = lang_id.public_pieces(queries.PIECES)
     model = lang_id.fit(docs.where(remainder("doc_id", 4) != 2), pieces)
-    none = lang_id.predict(docs, model).where("lang_pred = 'und' and doc_id is not null").select(F.col("doc_id").alias("_none"))
-    return docs.join(none, F.col("doc_id").cast("long") == F.col("_none"), "left_anti")
+    return without(docs, lang_id.predict(docs, model).where("lang_pred = 'und' and not letters"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lang_id import letter_runs
-from .shared import gram_hashes, slices, word_hashes
+from .shared import gram_hashes, id_text, slices, text_hash, without, word_hashes
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.75
 #: Signature bins for each shingle of a window: many, so that a shared shingle is rarely hidden.
 BINS_PER_SHINGLE = 4
+#: Size classes up to this many shingles match every shingle of a document instead of bins of windows.
+EVERY_SHINGLE = 3
 #: Characters of items that one pass over the documents searches for.
 BLOCK_CHARS = 16 << 20
 
@@ -70,6 +72,10 @@ class Partition:
         if not len(grams) or not len(self.keys):
             return set()
         step, bins = self.upper, np.uint64(self.bins)
+        if step <= EVERY_SHINGLE:
+            # a neighbour's value could hide an only shingle from its bin: all shingles are looked up
+            a, b = (np.searchsorted(self.keys, np.unique(grams), side) for side in ("left", "right"))
+            return {int(i) for x, y in zip(a[a < b], b[a < b], strict=True) for i in self.owner[x:y]}
         # window j covers blocks j and j + 1 of ``step`` shingles: every run of up to ``step`` lies in one
         block = np.arange(len(grams)) // step
         at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
@@ -119,20 +125,20 @@ class Items:
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, item_id, item_shingles, shared, containment) of documents that contain an item.
+    """(doc_id, text_hash, item_id, item_shingles, shared, containment) of documents that contain an item.
 
     Contained means: at least ``threshold`` of the item's distinct ``n``-word
     shingles are in the whole document. An item of fewer words is one shingle of
     that length. Null, empty and wordless texts match nothing. Items with equal
-    texts are reported each; a repeated row gives repeated results. Empty tables
-    give no rows; other columns are ignored.
+    texts are reported each; a repeated row gives repeated results, and
+    ``text_hash`` tells texts of one id apart. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     # dealt to blocks by a hash; each block is bounded and the loop covers all of them
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    source = id_text(docs).withColumn("text_hash", text_hash("text"))
     out = None
     for k in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
@@ -145,18 +151,18 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: in
                 words, offsets = item_words(batch.column("text"))
                 grams = {length: gram_hashes(words, length) for length in lengths}
                 found = []
-                for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
+                for doc, mark, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                     for length in lengths:
                         own = grams[length][a : max(a, b - length + 1)]
                         likely = set().union(*[p.candidates(own) for p in items.partitions if p.shingle == length])
                         for i in sorted(likely):
                             shared = int(np.isin(items.sets[i], own).sum())
                             if shared >= threshold * len(items.sets[i]):
-                                found.append((doc, items.ids[i], len(items.sets[i]), shared, shared / len(items.sets[i])))
+                                found.append((doc, mark, items.ids[i], len(items.sets[i]), shared, shared / len(items.sets[i])))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["doc_id", "item_id", "item_shingles", "shared", "containment"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["doc_id", "text_hash", "item_id", "item_shingles", "shared", "containment"])
 
-        hits = source.mapInArrow(search, "doc_id long, item_id long, item_shingles long, shared long, containment double")
+        hits = source.mapInArrow(search, "doc_id long, text_hash long, item_id long, item_shingles long, shared long, containment double")
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -166,5 +172,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     A row without an id can not be named by a result and stays.
     """
-    bad = leaks(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_leak"), "left_anti")
+    return without(docs, leaks(docs, items))

@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import id_text, slices, staged
@@ -126,7 +126,17 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`exact_duplicates` does not keep; all its columns.
 
-    A row without an id can not be named by a result and stays.
+    Decided by id and text, so another text with the id of a dropped row stays. Of
+    rows that repeat both, one stays. A row without an id can not be named by a
+    result and stays.
     """
-    gone = exact_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), capitals, capitals.lower()), 256)
+    found = exact_duplicates(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_rows"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256"), "_rows")
+    named = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_digest": digest})
+    kept = named.join(found, (F.col("_key") == F.col("_id")) & (F.col("_digest") == F.col("_sha256")), "left")
+    kept = kept.where("_key is null or _rows is not null")
+    # a row that is there once is alone in its window; a key of many rows keeps the first one read
+    first = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy("_rows"))
+    return kept.withColumn("_first", first).where("_key is null or _first = 1").select(*docs.columns)

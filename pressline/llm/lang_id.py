@@ -16,13 +16,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_text, slices, staged
+from .shared import id_text, slices, staged, text_hash
 
 #: The fit uses about this many labelled texts of each language, chosen by a hash of the id.
 SAMPLE_TEXTS = 1500
 ROUNDS = 3
-#: Longer runs of letters are cut; no piece spans a cut.
-WORD_CHARS = 32
+#: Longer words are summed one by one, with rescaled sums; shorter ones of equal length together.
+TOGETHER_CHARS = 32
+#: Ends of pieces that are looked up at a time in a long word.
+LOOK_UP = 4096
 #: Words whose scores a Python worker remembers.
 MEMORY_WORDS = 400_000
 #: Probability of a character that no piece covers, alike in all languages.
@@ -43,9 +45,8 @@ def public_pieces(path: str) -> list[str]:
 
 
 def letter_runs(text: pa.Array, kinds: str = r"\p{L}") -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Lower-case runs of letters (or of ``kinds``): codes, row offsets, dictionary; long runs are cut."""
+    """Lower-case runs of letters (or of ``kinds``): codes, row offsets, dictionary."""
     plain = pc.replace_substring_regex(pc.utf8_lower(text), pattern=f"[^{kinds}]+", replacement=" ")
-    plain = pc.replace_substring_regex(plain, pattern=f"([{kinds}]{{{WORD_CHARS}}})", replacement=r"\1 ")
     lists = pc.split_pattern(plain, " ")
     flat = lists.values
     keep = np.asarray(pc.greater(pc.binary_length(flat), 0))
@@ -100,9 +101,44 @@ class PieceModel:
             alpha[j] += alpha[i] * self.weight(row, j - i == 1)
         return alpha
 
+    def ending(self, word: str):
+        """For each end in a long word, in blocks: (first end, piece row by length - 1 and end); -1 where there is none."""
+        h = _hash(_points([BEGIN + word], len(word) + 1))[0]
+        for a in range(1, len(h), LOOK_UP):
+            ends = np.arange(a, min(a + LOOK_UP, len(h)))
+            rows = np.full((self.longest, len(ends)), -1, np.int64)
+            for d in range(1, min(self.longest, int(ends[-1])) + 1):
+                own = ends >= d
+                key = h[ends[own]] - h[ends[own] - d] * BASE ** np.uint64(d)
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                rows[d - 1, own] = np.where(self.keys[at] == key, self.rows[at], -1)
+            yield a, rows
+
+    def long_forward(self, word: str) -> np.ndarray:
+        """Logs of the forward sums at each end of a word of any length: the last ones are its probability."""
+        log = np.zeros((len(word) + 2, len(self.langs)))
+        for a, rows in self.ending(word):
+            for k in range(rows.shape[1]):
+                log[a + k] = self._step(log, a + k, rows[:, k])[1]
+        return log
+
+    def _step(self, log: np.ndarray, end: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the pieces that end here in the forward sum, by length - 1, and the sum's log."""
+        d = min(self.longest, end)
+        weight = self.prob[rows[:d]]
+        if rows[0] < 0:
+            weight[0] = UNKNOWN
+        before = log[end - d : end][::-1]
+        top = before.max(axis=0)
+        part = np.exp(before - top) * weight
+        total = part.sum(axis=0)
+        return part / total, np.log(total) + top
+
     def log_prob(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, all segmentations summed."""
         out = np.zeros((len(words), len(self.langs)))
+        for i in _long(words):
+            out[i] = self.long_forward(words[i])[-1]
         for at, group, length in _by_length(words):
             arcs = self.arcs(group, length)
             out[at] = np.log(self.forward(arcs, len(group), length)[-1])
@@ -111,6 +147,16 @@ class PieceModel:
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language; ``counts`` is words by languages."""
         total = np.zeros_like(self.prob)
+        for i in _long(words):
+            log = self.long_forward(words[i])
+            # uses of each end, from the last one back: a piece takes its share of its end's
+            use = np.zeros_like(log)
+            use[-1] = counts[i]
+            for a, rows in reversed(list(self.ending(words[i]))):
+                for end in range(a + rows.shape[1] - 1, a - 1, -1):
+                    part = self._step(log, end, rows[:, end - a])[0] * use[end]
+                    use[end - len(part) : end] += part[::-1]
+                    np.add.at(total, rows[: len(part), end - a], part)
         for at, group, length in _by_length(words):
             arcs = self.arcs(group, length)
             alpha = self.forward(arcs, len(group), length)
@@ -138,9 +184,13 @@ def _hash(points: np.ndarray) -> np.ndarray:
     return h
 
 
+def _long(words: list[str]) -> list[int]:
+    return [i for i, w in enumerate(words) if len(w) > TOGETHER_CHARS]
+
+
 def _by_length(words: list[str]):
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for length in np.unique(lengths):
+    for length in np.unique(lengths[lengths <= TOGETHER_CHARS]):
         all_at = np.flatnonzero(lengths == length)
         for c in range(0, len(all_at), 20_000):
             at = all_at[c : c + 20_000]
@@ -201,11 +251,12 @@ def fit(docs: DataFrame, pieces: list[str], rounds: int = ROUNDS, sample: int =
 
 
 def predict(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """(doc_id, lang_pred, score): the likeliest language of each whole text and its posterior.
+    """(doc_id, lang_pred, score, letters, text_hash): the likeliest language of each whole text and its posterior.
 
     ``und`` with score 0 where the text is null or has no letter, or where no
-    language was learned. Ties go to the language that sorts first. Repeated rows
-    give repeated results; an empty table gives none; other columns are ignored.
+    language was learned; ``letters`` says whether there is a letter. Ties go to
+    the language that sorts first. Repeated rows give repeated results, told apart
+    from others with their id by ``text_hash``; an empty table gives none; other columns are ignored.
     """
 
     def run(batches):
@@ -228,6 +279,10 @@ def predict(docs: DataFrame, model: PieceModel) -> DataFrame:
             share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if model.langs else np.zeros(len(some))
             known = some & bool(model.langs)
             lang = [model.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(known, share, 0.0))], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(some), batch.column("text_hash")],
+                ["doc_id", "lang_pred", "score", "letters", "text_hash"],
+            )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = id_text(docs).withColumn("text_hash", text_hash("text"))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, letters boolean, text_hash long")

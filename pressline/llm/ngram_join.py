@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bucket_cuts, by_bucket, components, dealt, id_text, runs, shingle_sets, slices, staged
+from .shared import bucket_cuts, by_bucket, components, dealt, id_text, runs, shingle_sets, slices, staged, text_hash, without
 
 SHINGLE_WORDS = 5
 #: Similarity in hundredths, so that bounds are exact.
@@ -54,12 +54,12 @@ def _sets(batches):
         for grams in shingle_sets(batch.column("text"), SHINGLE_WORDS):
             n.append(len(grams))
             sig.append(np.uint64(signature(grams)).astype(np.int64) if len(grams) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], ["doc_id", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], ["doc_id", "text_hash", "n", "sig"])
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sig): size of the shingle set and its class; no class where the set is empty."""
-    return id_text(docs).mapInArrow(_sets, "doc_id long, n long, sig long")
+    """(doc_id, text_hash, n, sig): size of the shingle set and its class; no class where the set is empty."""
+    return id_text(docs).withColumn("text_hash", text_hash("text")).mapInArrow(_sets, "doc_id long, text_hash long, n long, sig long")
 
 
 def _batch(rows: list[tuple], schema: str):
@@ -274,6 +274,21 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return staged(moved.unionByName(single), "components")
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, component): the last one tells components with one smallest id apart."""
+    sets = staged(document_sets(docs), "shingle-sets")
+    classes = link_classes(docs, sets)
+    least = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    if classes is not None:
+        least = least.join(classes.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        roots = least.groupBy("component").agg(F.min("least").alias("component_id"))
+        least = least.join(roots, "component").select(F.col("sig").alias("of"), "component_id", "component")
+    else:
+        least = least.select(F.col("sig").alias("of"), F.col("least").alias("component_id"), F.col("sig").alias("component"))
+    joined = sets.join(least, F.col("sig") == F.col("of"), "left")
+    return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+
+
 def jaccard_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -285,23 +300,18 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     id unless it has no other. An empty table gives no rows; other columns are
     ignored.
     """
-    sets = staged(document_sets(docs), "shingle-sets")
-    classes = link_classes(docs, sets)
-    least = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    if classes is not None:
-        least = least.join(classes.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        roots = least.groupBy("component").agg(F.min("least").alias("component_id"))
-        least = least.join(roots, "component").select(F.col("sig").alias("of"), "component_id")
-    else:
-        least = least.select(F.col("sig").alias("of"), F.col("least").alias("component_id"))
-    joined = sets.join(least, F.col("sig") == F.col("of"), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with the document of the smallest id of each group; all its columns.
 
-    A row without an id can not be named by a result and stays.
+    Where texts of one group share that id, one of them stays; rows that repeat
+    both id and text share their fate. A row without an id can not be named by a
+    result and stays.
     """
-    gone = jaccard_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    groups = staged(_grouped(docs), "near-groups")
+    roots = groups.where("doc_id = component_id and component is not null")
+    shared = roots.groupBy("component").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most")
+    more = roots.join(shared, "component").where("text_hash <> least")
+    return without(docs, groups.where("doc_id <> component_id").unionByName(more.select(*groups.columns)))

@@ -15,7 +15,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,17 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def text_hash(column: str):
+    """Tells texts of one id apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names by ``doc_id`` and ``text_hash``; rows without an id stay."""
+    names = gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(names, (F.col("doc_id").cast("long") == F.col("_gone")) & (text_hash("text") == F.col("_hash")), "left_anti")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes of text, one row at least."""
     for batch in batches:

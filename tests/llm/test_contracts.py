@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pressline.llm import exact_dedup, html_template, katz, lang_id, ngram_join, packing, pii, queries, secrets, toxicity
+from pressline.llm import decontaminate, exact_dedup, html_template, katz, lang_id, ngram_join, packing, pii, queries, secrets, toxicity
 
 from . import brute
 
@@ -151,6 +151,14 @@ def test_linked_credentials_of_any_length_and_distance():
     assert linked(f"https://db.example.com/x\nlogin: jane\n{config}\n\nZx81kQ07bmRt55Wq") == []
 
 
+def test_scopes_end_at_empty_lines_of_any_kind():
+    parts = ["username: alice_example", "https://host.example/login", "Zk3rT9xQ2mV7bN4cL8"]
+    linked = lambda sep: any(s.kind == "linked" for s in secrets.find(sep.join(parts)))
+    assert linked("\n") and linked("\r\n") and not linked("\n\n") and not linked("\r\n\r\n")
+    long = secrets.find("username: " + "a1" * 60 + " at https://host.example/" + "b2" * 400)
+    assert not [s for s in long if s.kind == "linked"]
+
+
 def test_packing_round_trip(frame, rows):
     from tokenizers import Tokenizer
 
@@ -253,6 +261,24 @@ def test_forward_sums_all_segmentations():
     assert abs((used[model.rows.argsort() * 0 + np.arange(len(model.rows))].sum()) - used.sum()) < 1e-12 and used.sum() > 0
 
 
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    pieces = ["▁", "a", "b", "ab", "ba", "aab", "▁a", "abba", "c"]
+    model = lang_id.PieceModel.start(pieces, ["x", "y"], np.zeros(2))
+    model.prob = np.r_[rng.dirichlet(np.ones(len(pieces)), 2).T, np.zeros((1, 2))]
+    words = ["".join(rng.choice(list("abcd"), n)) for n in (1, 5, 31, 32, 17)]
+    counts = rng.random((len(words), 2))
+    want, uses = model.log_prob(words), model.expected(words, counts)
+    monkeypatch.setattr(lang_id, "TOGETHER_CHARS", 4)
+    monkeypatch.setattr(lang_id, "LOOK_UP", 7)
+    np.testing.assert_allclose(model.log_prob(words), want)
+    np.testing.assert_allclose(model.expected(words, counts), uses)
+    assert np.isfinite(model.log_prob(["ab" * 3000])).all()
+    import pyarrow as pa
+
+    assert len(lang_id.letter_runs(pa.array(["x" * 5000]))[2]) == 1
+
+
 def test_language_and_rejects(spark, docs, empty, texts):
     pieces = lang_id.public_pieces(queries.PIECES)
     model = lang_id.fit(docs, pieces)
@@ -292,10 +318,22 @@ def test_grammar_reads_scopes():
     assert x("you fool.")[0] > x("a fool.")[0] > 0
     assert x("you are not a fool.")[0] == 0 and x("you are not a fool.")[1] > 0
     assert x("someone said a fool came.")[2] > 0 and x("He said. A fool came.")[2] == 0
+    assert x("she wrote: you fool")[2] > 0 and x("she wrote : you fool")[2] > 0 and x("then: you fool")[0] > 0
     assert x("i will kill you")[6] > 0
+    assert x("i will never kill you")[6] == 0 and x("i will never kill you")[7] > 0
+    assert x("he said he would kill you")[6] == 0 and x("he said he would kill you")[8] > 0
     assert not x("").any()
 
 
+def test_short_items_are_never_hidden(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    items = [(i, " ".join(word() for _ in range(3 + i % 5))) for i in range(400)]
+    docs = [(i, f"{t} {' '.join(word() for _ in range(30))}" if i % 2 else f"{' '.join(word() for _ in range(20))} {t} {word()}") for i, t in items]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(400)}
+
+
 def test_leaks(spark, sf_dir, texts):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = sorted(((r.doc_id, r.item_id, r.shared) for r in queries.op1_decontamination(spark, sf_dir).collect()), key=str)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from pressline.llm import queries
+from pressline.llm import decontaminate, exact_dedup, ngram_join, queries
 
 from . import brute
 
@@ -24,6 +24,7 @@ def plain(rows, items):
         groups[brute.lower(t)].append(d)
     best = {max(v, key=lambda d: -1 if d is None else d) for v in groups.values()}
     kept = [(d, t) for d, t in kept if d is None or d in best]
+    kept = [row for k, row in enumerate(kept) if row[0] is None or row not in kept[:k]]  # one of full repeats
     out.append([d for d, _ in kept])
     component = {d: c for d, _, c in brute.components(kept)}
     kept = [(d, t) for d, t in kept if d is None or component[d] == d]
@@ -60,6 +61,30 @@ def test_empty_documents(spark, sf_dir, empty):
         assert out.count() == 0, name
 
 
+def test_decisions_are_by_row(spark):
+    rows = [(1, "a b"), (2, "A b"), (1, "c d"), (3, "e f"), (3, "e f"), (None, "a b"), (None, "a b")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _key int").repartition(3)
+    out = exact_dedup.drop_exact_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(2, "A b"), (1, "c d"), (3, "e f"), *rows[5:]]))
+
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(1, long), (2, long + " more"), (2, "another text"), (1, long + " end"), (1, "alone here"), (1, None), (5, "x y z"), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(docs).collect()]
+    assert sorted(map(str, (r for r in kept if r not in (rows[0], rows[3])))) == sorted(map(str, [rows[2], *rows[4:]]))
+    assert (rows[0] in kept) != (rows[3] in kept)  # both have the group's smallest id
+
+    docs = spark.createDataFrame([(1, "zz alpha beta gamma"), (1, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    assert [(r.doc_id, r.text) for r in decontaminate.drop_contaminated(docs, items).collect()] == [(1, "clean")]
+
+
+def test_nothing_learned_rejects_only_texts_without_letters(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (1, "12 34", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.language(spark, docs, "").collect()] == [(1, "some words")]
+
+
 def test_queries_are_registered(sf):
     import __spark_entry__ as contract
 
