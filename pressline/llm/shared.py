@@ -161,7 +161,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch], reduce: Callable[[list[dict]],
         yield from reduce(held)
 
 
-def dealt(df: DataFrame, buckets: int, *then: str) -> DataFrame:
+def dealt(df: DataFrame, buckets: int, *then) -> DataFrame:
     """Blocks of a bucket into one partition, next to each other."""
     return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", *then)
 
