@@ -44,6 +44,8 @@ COUNT_KEYS, LOOKUP_KEYS = 1_000_000, 4_000_000
 HOT_SHARE = 0.001
 #: Words with more than this share of all tokens have a number: at most 1 / FREQUENT_SHARE (500,000) of them.
 FREQUENT_SHARE = 2e-6
+#: Text bytes whose bigrams a task sorts at a time.
+TEXT_BYTES = 4 << 20
 #: Fixed value: stands for a word without number.
 RARE = np.uint32(0xFFFFFFFF)
 
@@ -202,7 +204,7 @@ def _sum_words(rows):
 
 def _count_blocks(buckets: int, vocabulary: Vocabulary):
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, size=TEXT_BYTES):
             h, w, _ = _tokens(batch.column("text"))
             out = []
             for kind, k, at, ends in vocabulary.deal(h, w, buckets):
@@ -265,7 +267,8 @@ class Katz:
     """Tables of a fitted model and its few totals."""
 
     counts: DataFrame  # w, n
-    pairs: DataFrame  # h, code, w (null where there is a code), n, n_low: count of the word
+    known: DataFrame  # h, code, n of bigrams that end in a numbered word
+    rare: DataFrame  # h, w, n, n_low (count of the word) of the others
     vocabulary: Vocabulary
     first: list[float]
     second: list[float]
@@ -284,6 +287,12 @@ class Katz:
     def log_begin(self) -> float:
         return float(self.hot_log_a[np.searchsorted(self.vocabulary.hot, BEGIN)]) if self.tokens else 0.0
 
+    @property
+    def pairs(self) -> DataFrame:
+        """h, code, w (null where there is a code), n, n_low of all bigrams."""
+        known = self.known.mapInArrow(_counts_of(self.vocabulary.n), "h long, code int, n long, n_low long")
+        return known.unionByName(self.rare, allowMissingColumns=True)
+
     def _weighted(self, pairs: DataFrame) -> DataFrame:
         """Sums per history: h, log10 scale, log10 backoff weight."""
         n = F.col("n")
@@ -339,12 +348,10 @@ def fit(docs: DataFrame) -> Katz:
         shrink, freed = tokens / (tokens + 1), 1 / (tokens + 1)
     low = counts.where(F.col("n") <= FREQUENT_SHARE * tokens).select("w", F.col("n").alias("n_low"))
     rare = staged(grams.where("code is null").drop("code").join(low, "w"), "rare-bigrams")
-    by_number = _counts_of(vocabulary.n)
-    known = grams.where("code is not null").mapInArrow(by_number, f"{GRAMS}, n_low long")
-    pairs = known.unionByName(rare.withColumn("code", F.lit(None).cast("int")))
-    model = Katz(counts, pairs, vocabulary, first, second, tokens, types, totals["docs"] or 0, shrink, math.log10(freed) if tokens else 0.0, size // 6, np.zeros(0), np.zeros(0))
+    known = grams.where("code is not null").drop("w")
+    model = Katz(counts, known, rare, vocabulary, first, second, tokens, types, totals["docs"] or 0, shrink, math.log10(freed) if tokens else 0.0, size // 6, np.zeros(0), np.zeros(0))
     hot = vocabulary.hot.astype(np.int64).tolist()
-    back = {r["h"]: r for r in model._weighted(pairs.where(F.col("h").isin(hot))).collect()} if tokens else {}
+    back = {r["h"]: r for r in model._weighted(model.pairs.where(F.col("h").isin(hot))).collect()} if tokens else {}
     model.hot_scale, model.hot_log_a = (np.array([back[h][c] if h in back else 0.0 for h in hot]) for c in ("log_scale", "log_a"))
     return model
 
@@ -360,7 +367,7 @@ def _counts_of(n: np.ndarray):
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
@@ -376,15 +383,15 @@ def _model_blocks(buckets: int, vocabulary: Vocabulary):
 
     def run(batches):
         for batch in _gathered(batches):
-            h, n, n_low = (np.asarray(batch.column(c)) for c in ("h", "n", "n_low"))
-            h, rare = h.astype(np.uint64), np.asarray(batch.column("code").is_null())
+            h, n, rare = np.asarray(batch.column("h")).astype(np.uint64), np.asarray(batch.column("n")), np.asarray(batch.column("code").is_null())
+            n_low = np.zeros(len(h), np.uint32)
+            n_low[rare] = np.asarray(batch.column("n_low").drop_null())
             w = np.empty(len(h), np.uint64)
             w[rare] = np.asarray(batch.column("w").drop_null()).astype(np.uint64)
             w[~rare] = vocabulary.by_number[np.asarray(batch.column("code").drop_null())]
             out = []
             for kind, k, at, _ in vocabulary.deal(h, w, buckets):
-                own = n_low[at][rare[at]].astype(np.uint32)
-                out.append({"bucket": k, "model": True, "n": _pack(n[at]), "n_low": _pack(own)} | vocabulary.encode(kind, h[at], w[at]))
+                out.append({"bucket": k, "model": True, "n": _pack(n[at]), "n_low": _pack(n_low[at][rare[at]])} | vocabulary.encode(kind, h[at], w[at]))
             yield _rows(BLOCKS, out)
 
     return run
@@ -398,7 +405,7 @@ def _text_blocks(buckets: int, vocabulary: Vocabulary, hot_gain: np.ndarray, wor
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, size=TEXT_BYTES):
             number = (part << 24) + made
             made += 1
             h, w, starts = _tokens(batch.column("text"))
@@ -573,7 +580,8 @@ def score(docs: DataFrame, model: Katz, modulus: int = 7, rest: int = 2) -> Data
     rule = _Rule(vocabulary, model.first, model.second, model.tokens, model.shrink, model.log_unknown, size, hot_n, model.hot_scale - model.hot_log_a)
     blocks = source.mapInArrow(_text_blocks(buckets, vocabulary, hot_gain, np.log10((vocabulary.n + 1) / size) - unseen), BLOCKS)
     if model.tokens:
-        blocks = blocks.unionByName(model.pairs.mapInArrow(_model_blocks(buckets, vocabulary), BLOCKS))
+        pairs = model.known.unionByName(model.rare, allowMissingColumns=True)
+        blocks = blocks.unionByName(pairs.mapInArrow(_model_blocks(buckets, vocabulary), BLOCKS))
     sums = dealt(blocks, buckets, F.col("model").desc()).mapInArrow(_look_up(rule), SUMS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = sums.repartition(parts, "slice").sortWithinPartitions("slice", "kind").mapInArrow(_add_up, SCORED)
