@@ -251,18 +251,17 @@ class Tables:
             )
         )
 
-    def borrowed(self, rows: DataFrame) -> DataFrame:
-        """Graph rows for every strict-valid document: each takes those of one episode, in turn."""
+    def borrowing(self, rows: DataFrame) -> DataFrame:
+        """Rows of strict-valid documents with ``graph_id``, the episode whose graph each borrows, in turn."""
         from ..functions import ordered
 
         episodes = ordered.row_numbers(
-            self.track_candidates.select(F.col("candidate_id").alias("_episode"), "loss_frame"), [], ["_episode"], ordered.time_slices("loss_frame", [1 << 40]), "_n"
+            self.track_candidates.select(F.col("candidate_id").alias("graph_id"), "loss_frame"), [], ["graph_id"], ordered.time_slices("loss_frame", [1 << 40]), "_n"
         )
         count = episodes.agg(F.count(F.lit(1)).alias("_count"))
         doc = F.regexp_extract("candidate_id", r"(\d+)", 1).cast("bigint")
-        docs = ordered.with_scalars(self.manifest.select("candidate_id"), count)
-        lent = docs.withColumn("_n", F.pmod(doc, F.col("_count")) + 1).join(episodes, "_n").select("candidate_id", "_episode")
-        return rows.withColumnRenamed("candidate_id", "_episode").drop("match_id").join(lent, "_episode").drop("_episode")
+        docs = ordered.with_scalars(rows, count)
+        return docs.withColumn("_n", F.pmod(doc, F.col("_count")) + 1).join(episodes.select("_n", "graph_id"), "_n").drop("_n", "_count")
 
     @cached_property
     def finished_annotations(self) -> DataFrame:

@@ -170,7 +170,7 @@ def _(s):
     columns = ["candidate_id", "match_id", "split", "gegenpressing_label", "eligible_for_detection_training"]
 
     def graph_trainer(rows):
-        return models.train_graph_model(s.borrowed(s.graph_nodes), s.borrowed(s.graph_edges), rows.select(*columns), cfg=network)
+        return models.train_graph_model(s.graph_nodes, s.graph_edges, s.borrowing(rows.select(*columns)), cfg=network)
 
     folder = shared_file(s.spark, "final_run")
     inventory = models.final_run(annotations, manifest, _doc_features(s), trainers, graph_trainer, folder)

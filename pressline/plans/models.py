@@ -187,13 +187,13 @@ def graph_rows(nodes: DataFrame, edges: DataFrame, rows: DataFrame, turns: Turns
 
     ``rows``: candidate_id, match_id, label and, if known, strict_valid; graphs of
     other candidates and of invalid ones are not used. Frames end ``until_s``
-    after the turnover.
+    after the turnover. With graph_id, a candidate uses the graph of that name.
     """
     if "strict_valid" in rows.columns:
         rows = rows.where(strict_bool("strict_valid"))
     nodes = graph.crop(nodes, end_s=until_s)
-    episodes = temporal_graph.episode_rows(nodes, edges, _turn_rows(rows, turns, column, []))
-    # few bytes but much work a row: adaptive execution must not merge the partitions
+    episodes = temporal_graph.episode_rows(nodes, edges, _turn_rows(rows, turns, column, [c for c in rows.columns if c == "graph_id"]))
+    # much work a row: adaptive execution must not merge the partitions
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return stage(episodes.repartition(parts, "candidate_id"), "episodes")
 
@@ -209,7 +209,7 @@ def train_graph_model(
 ) -> DataFrame:
     """Crop, normalise by train rows, train the temporal graph network, score all splits.
 
-    ``rows``: candidate_id, match_id, split, label and, if known, strict_valid.
+    ``rows``: candidate_id, match_id, split, label and, if known, strict_valid and graph_id.
     """
     turns = Turns.fixed()
     episodes = graph_rows(nodes, edges, usable_rows(rows), turns, "split", until_s)

@@ -175,12 +175,17 @@ class Network:
         du = dnode * p["gain"]
         dh2 = k["scale"] * (du - du.mean(axis=-1, keepdims=True) - k["unit"] * (du * k["unit"]).mean(axis=-1, keepdims=True))
         da2 = dh2 * (k["a2"] > 0)
-        g["w2"][:], g["b2"][:] = np.einsum("fni,fnj->ij", k["mixed2"], da2), da2.sum(axis=(0, 1))
+        g["w2"][:], g["b2"][:] = _flat(k["mixed2"]).T @ _flat(da2), da2.sum(axis=(0, 1))
         da1 = (e.mix.transpose(0, 2, 1) @ (da2 @ p["w2"].T)) * (k["a1"] > 0)
-        g["w1"][:], g["b1"][:] = np.einsum("fni,fnj->ij", k["mixed1"], da1), da1.sum(axis=(0, 1))
+        g["w1"][:], g["b1"][:] = _flat(k["mixed1"]).T @ _flat(da1), da1.sum(axis=(0, 1))
         return float(loss), total
 
 
+def _flat(a: np.ndarray) -> np.ndarray:
+    """A row per node of all frames."""
+    return a.reshape(-1, a.shape[-1])
+
+
 def _uniform(keys: np.ndarray, epoch: int, width: int) -> np.ndarray:
     """Numbers in [0, 1) from key, epoch and unit: the same however rows are dealt."""
     with np.errstate(over="ignore"):
@@ -191,17 +196,54 @@ def _uniform(keys: np.ndarray, epoch: int, width: int) -> np.ndarray:
 
 
 def episode_rows(nodes: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row per candidate: its columns of ``rows``, its nodes by frame and its links.
+    """One row per candidate: its columns of ``rows`` and its graph, packed once.
 
-    ``nodes`` and ``edges`` are shuffled once, by candidate. An episode is a
-    bounded number of frames of one roster.
+    ``nodes`` and ``edges`` are shuffled once, by candidate, and packed before they
+    meet ``rows``: several candidates may share the graph that ``graph_id`` of
+    ``rows`` names; without that column each has its own. An episode is a bounded
+    number of frames of one roster.
     """
     values = F.array(*[F.col(c).cast("double") for c in NODE_FEATURES])
     by_node = nodes.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("frame_id", "node_idx", "valid", values.alias("f")))).alias("nodes"))
     by_link = edges.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("frame_id", "src", "dst"))).alias("links"))
     none = F.array().cast(by_link.schema["links"].dataType)
-    joined = rows.join(by_node, "candidate_id").join(by_link, "candidate_id", "left")
-    return joined.withColumns({"links": F.coalesce("links", none), "key": F.xxhash64("candidate_id")})
+    lists = by_node.join(by_link, "candidate_id", "left").withColumn("links", F.coalesce("links", none))
+    graphs = lists.select(F.col("candidate_id").alias("graph_id"), "nodes", "links").mapInArrow(_pack, PACKED)
+    named = rows if "graph_id" in rows.columns else rows.withColumn("graph_id", F.col("candidate_id"))
+    return named.join(graphs, "graph_id").drop("graph_id").withColumn("key", F.xxhash64("candidate_id"))
+
+
+#: Features (doubles) and validity (bytes) by frame and node; links as places (frame, target, source) in the adjacency.
+PACKED = "graph_id string, frames int, width int, x binary, valid binary, links binary"
+
+
+def _number(a: pa.Array) -> np.ndarray:
+    return np.asarray(a.to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Graphs as lists of nodes and links to dense bytes; a link of an unknown frame or node is left out."""
+    for batch in _batches(batches):
+        node, link = batch["nodes"].flatten(), batch["links"].flatten()
+        node_ends, link_ends = (np.cumsum(np.asarray(pc.list_value_length(batch[c])))[:-1] for c in ("nodes", "links"))
+        features = np.asarray(node.field("f").flatten(), dtype=float).reshape(len(node), len(NODE_FEATURES))
+        columns = [_number(node.field("frame_id")), _number(node.field("node_idx")), np.asarray(node.field("valid").to_numpy(zero_copy_only=False)).astype(bool), features]
+        split = [np.split(c, node_ends) for c in columns] + [np.split(_number(link.field(c)), link_ends) for c in ("frame_id", "src", "dst")]
+        out = []
+        for graph_id, frame, index, valid, values, *ends in zip(batch["graph_id"].to_pylist(), *split, strict=True):
+            frames, at = np.unique(frame, return_inverse=True)
+            slots, slot = np.unique(index, return_inverse=True)
+            x = np.zeros((len(frames), len(slots), len(NODE_FEATURES)))
+            x[at, slot] = values
+            usable = np.zeros((len(frames), len(slots)), bool)
+            usable[at, slot] = valid
+            found = [np.minimum(np.searchsorted(known, v), len(known) - 1) for known, v in zip((frames, slots, slots), ends, strict=True)]
+            there = np.all([known[f] == v for known, f, v in zip((frames, slots, slots), found, ends, strict=True)], axis=0)
+            of, src, dst = (f[there] for f in found)
+            places = (of * len(slots) + dst) * len(slots) + src
+            out.append((graph_id, len(frames), len(slots), x.astype("<f8").tobytes(), usable.tobytes(), places.astype("<u4").tobytes()))
+        types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["graph_id", "frames", "width", "x", "valid", "links"])
 
 
 def unpack(batch: pa.RecordBatch) -> Episodes:
@@ -210,35 +252,21 @@ def unpack(batch: pa.RecordBatch) -> Episodes:
     A link brings the source's features to its target; sums are divided by the
     roots of both in-degrees, each counting the node itself.
     """
-    lists, links = batch["nodes"], batch["links"]
-    node, link = lists.flatten(), links.flatten()
-    of_node = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists)))
-    of_link = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(links)))
-    number = lambda a: np.asarray(a.to_numpy(zero_copy_only=False)).astype(np.int64)
-    frame, index = number(node.field("frame_id")), number(node.field("node_idx"))
-    # nodes are sorted by frame within an episode, so a frame begins where either changes
-    fresh = np.concatenate([[True], (of_node[1:] != of_node[:-1]) | (frame[1:] != frame[:-1])]) if len(frame) else np.zeros(0, bool)
-    at = np.cumsum(fresh) - 1
-    place, frames = of_node[fresh], int(fresh.sum())
-    slots, slot = np.unique(index, return_inverse=True)
-    width = max(len(slots), 1)
+    length, widths = _number(batch["frames"]), _number(batch["width"])
+    frames, width = int(length.sum()), int(widths.max(initial=1))
     x = np.zeros((frames, width, len(NODE_FEATURES)))
-    x[at, slot] = np.asarray(node.field("f").flatten(), dtype=float).reshape(len(frame), -1)
     valid = np.zeros((frames, width), bool)
-    valid[at, slot] = np.asarray(node.field("valid").to_numpy(zero_copy_only=False)).astype(bool)
     mix = np.zeros((frames, width, width))
-    mix[:, np.arange(width), np.arange(width)] = 1
-    if len(link):
-        codes = {k: i for i, k in enumerate(zip(place.tolist(), frame[fresh].tolist(), strict=True))}
-        which = np.array([codes.get(k, -1) for k in zip(of_link.tolist(), number(link.field("frame_id")).tolist(), strict=True)])
-        src, dst = (np.searchsorted(slots, number(link.field(c))) for c in ("src", "dst"))
-        known = which >= 0
-        np.add.at(mix, (which[known], dst[known], src[known]), 1)
+    begins = np.cumsum(length) - length
+    for a, n, w, *packed in zip(begins.tolist(), length.tolist(), widths.tolist(), *[batch[c].to_pylist() for c in ("x", "valid", "links")], strict=True):
+        x[a : a + n, :w] = np.frombuffer(packed[0], "<f8").reshape(n, w, -1)
+        valid[a : a + n, :w] = np.frombuffer(packed[1], bool).reshape(n, w)
+        mix[a : a + n, :w, :w] = np.bincount(np.frombuffer(packed[2], "<u4"), minlength=n * w * w).reshape(n, w, w)
+    mix[:, np.arange(width), np.arange(width)] += 1
     root = np.sqrt(mix.sum(axis=2))
     mix /= root[:, :, None] * root[:, None, :]
-    length = np.bincount(place, minlength=batch.num_rows)
-    step = np.arange(frames) - np.repeat(np.cumsum(length) - length, length)
-    return Episodes(x, mix, valid, place, step, length, number(batch["key"]), number(batch["y"]))
+    place = np.repeat(np.arange(batch.num_rows), length)
+    return Episodes(x, mix, valid, place, np.arange(frames) - begins[place], length, _number(batch["key"]), _number(batch["y"]))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +361,7 @@ def fit(rows: DataFrame, turns: Turns, cfg: NetworkConfig = NetworkConfig()) ->
 def score(rows: DataFrame, model: GraphModel, turns: Turns, roles: Sequence[int] = (TEST,)) -> DataFrame:
     """(turn, role, candidate_id, match_id, y, probability) of the rows that have one of ``roles`` in a turn."""
     net = Network(model.cfg)
-    data = rows.select("candidate_id", "match_id", "group", "y", "nodes", "links", "key")
+    data = rows.select("candidate_id", "match_id", "group", "y", "frames", "width", "x", "valid", "links", "key")
 
     def run(batches):
         for batch in _batches(batches):

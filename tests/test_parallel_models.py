@@ -211,3 +211,15 @@ def test_training_learns_a_planted_signal(spark):
     # parameters that are kept are those of the best epoch, not of the last one
     again = temporal_graph.fit(rows, turns, temporal_graph.NetworkConfig(hidden=8, state=8, epochs=model.history[0].best + 1, patience=6, dropout=0.0))
     assert np.allclose(again.parameters[0], model.parameters[0])
+
+
+def test_candidates_share_the_graph_they_name(spark):
+    """A borrowed graph is packed once and equals one of the candidate's own."""
+    nodes, edges, rows = graphs(spark, episodes=4)
+    lent = rows.select("candidate_id", F.concat(F.lit("d"), "candidate_id").alias("own")).unionByName(rows.select("candidate_id", F.concat(F.lit("e"), "candidate_id").alias("own")))
+    shared = rows.join(lent, "candidate_id").withColumnRenamed("candidate_id", "graph_id").withColumnRenamed("own", "candidate_id")
+    copies = [t.join(lent, "candidate_id").drop("candidate_id").withColumnRenamed("own", "candidate_id") for t in (nodes, edges, rows)]
+    got, want = (temporal_graph.episode_rows(*t).orderBy("candidate_id").toArrow().combine_chunks().to_batches()[0] for t in ((nodes, edges, shared), copies))
+    assert got["candidate_id"].to_pylist() == want["candidate_id"].to_pylist() and got.num_rows == 8
+    got, want = temporal_graph.unpack(got), temporal_graph.unpack(want)
+    assert all(np.array_equal(getattr(got, f), getattr(want, f)) for f in ("x", "mix", "valid", "place", "step", "length", "key", "y"))
