@@ -212,7 +212,8 @@ def _(s):
 
 @query("split_summary", """
 SELECT split, count(DISTINCT match_id) AS matches, count(*) AS strict_valid_episodes, sum(label_regain_5s)::BIGINT AS quick_regain_positive,
-       count(*) FILTER (WHERE eligible_for_detection_training) AS annotated_usable, min(match_id) AS first_match, max(match_id) AS last_match,
+       count(*) FILTER (WHERE eligible_for_detection_training) AS annotated_usable, (SELECT string_agg(match_id, ', ' ORDER BY match_id) FROM (SELECT DISTINCT match_id FROM fx_manifest x WHERE x.split = m.split)) AS match_names,
+       min(match_id) AS first_match, max(match_id) AS last_match,
        (count(*) - sum(label_regain_5s))::BIGINT AS quick_regain_negative, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM fx_manifest), 2) AS episode_share_percent
 FROM fx_manifest m GROUP BY split""")
 def _(s):

@@ -93,8 +93,8 @@ def split_summary(manifest: DataFrame) -> DataFrame:
     """Matches, episodes and positives per split with the share of all episodes.
 
     Matches are counted per (split, match) first; only one row per match is left
-    when they are counted. Their names are the rows of :func:`split_matches`; here
-    are the first and the last one.
+    when they are counted. ``match_names`` lists every match of the split in order;
+    the names are also the rows of :func:`split_matches`.
     """
     per_match = manifest.groupBy("split", "match_id").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -106,6 +106,7 @@ def split_summary(manifest: DataFrame) -> DataFrame:
         F.sum("_n").alias("strict_valid_episodes"),
         F.sum("_pos").alias("quick_regain_positive"),
         F.sum("_usable").alias("annotated_usable"),
+        F.array_join(F.sort_array(F.collect_list("match_id")), ", ").alias("match_names"),
         F.min("match_id").alias("first_match"),
         F.max("match_id").alias("last_match"),
     )

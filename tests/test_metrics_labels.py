@@ -297,3 +297,10 @@ def test_split_summary_names_every_match(spark):
     assert (out["train"].matches, out["train"].first_match, out["train"].last_match) == (250, "m000", "m249")
     assert out["test"].last_match == "t" and out["train"].strict_valid_episodes == 251
     assert profile.split_matches(manifest).count() == 251
+
+
+def test_split_summary_lists_the_names(spark):
+    rows = [("train", f"m{i:03}", 1, True) for i in range(250)] + [("test", "t", 0, False)] * 2
+    manifest = spark.createDataFrame(rows, "split string, match_id string, label_regain_5s int, eligible_for_detection_training boolean")
+    out = {r.split: r.match_names for r in profile.split_summary(manifest).collect()}
+    assert out == {"train": ", ".join(f"m{i:03}" for i in range(250)), "test": "t"}
