@@ -122,9 +122,13 @@ SELECT TRUE AS all_expected_files_nonempty, TRUE AS baseline_marked_final, TRUE
        TRUE AS expected_models_present, TRUE AS critical_hashes_listed, TRUE AS artifact_hashes_match, ok AS frozen_annotations_complete
 FROM (SELECT bool_and(is_gegenpressing IN (-1, 0, 1)) AS ok FROM fx_annotations WHERE is_gegenpressing IS NOT NULL)""")
 def _(s):
-    """The folder's hashes are listed in a table written first, and checked against a later inventory."""
-    manifest = stage(tables.file_inventory(s.spark, s.dir, "*.parquet").select(F.create_map("path", "sha256").alias("artifact_sha256")), "run_manifest")
-    inventory = tables.file_inventory(s.spark, s.dir, "*.parquet")
+    """The folder's hashes are listed in a table written first, and checked against a later inventory.
+
+    A table is one file or a folder of files; either is one artifact.
+    """
+    table = F.substring_index("path", "/", 1)
+    manifest = stage(tables.by_artifact(tables.file_inventory(s.spark, s.dir, "*.parquet"), table).select(F.create_map("path", "sha256").alias("artifact_sha256")), "run_manifest")
+    inventory = tables.by_artifact(tables.file_inventory(s.spark, s.dir, "*.parquet"), table)
     usable = s.annotations.where(F.col("is_gegenpressing").isNotNull())
     flags = usable.agg(C.all_true(F.col("is_gegenpressing").isin(-1, 0, 1)).cast("string").alias("ok"))
     names = ["baseline.final_run", "temporal_gnn.final_run", "evaluation.final_run", "check.annotation.labels_valid", "check.evaluation.labels_valid"]

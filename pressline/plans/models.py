@@ -364,13 +364,6 @@ def _part():
     return F.regexp_replace("path", r"/[^/]*$", "")
 
 
-def _by_part(files: DataFrame) -> DataFrame:
-    """One row per folder: bytes, and a hash over its files' paths and hashes (few files a folder)."""
-    size = F.sum("bytes") if "bytes" in files.columns else F.lit(None).cast("bigint")
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256"))), ","), 256)
-    return files.groupBy(_part().alias("path")).agg(size.alias("bytes"), digest.alias("sha256"))
-
-
 def final_run(
     annotations: DataFrame,
     manifest: DataFrame,
@@ -440,7 +433,7 @@ def final_run(
     inventory = tables.file_inventory(spark, out, "*.parquet")
     models_run = [n for k, n in done if k == "model"]
     _require(
-        gates.artifact_checks(_by_part(inventory), _by_part(listed), metadata, frozen, [*parts, "metadata"], [*FOLDERS, "evaluation"], models_run),
+        gates.artifact_checks(tables.by_artifact(inventory, _part()), tables.by_artifact(listed, _part()), metadata, frozen, [*parts, "metadata"], [*FOLDERS, "evaluation"], models_run),
         "artifact audit",
     )
     return inventory

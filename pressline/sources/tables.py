@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +154,19 @@ def _hashed_lines(batches):
         yield row()
 
 
+def by_artifact(files: DataFrame, name: Column) -> DataFrame:
+    """One row per artifact ``name`` of an inventory: bytes, and a hash over its files' paths and hashes.
+
+    One file that is an artifact of its own keeps its hash. An artifact's list of
+    files meets in one row, 64 bytes and a path for each.
+    """
+    size = F.sum("bytes") if "bytes" in files.columns else F.lit(None).cast("bigint")
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256"))), ","), 256)
+    single = (F.count(F.lit(1)) == 1) & (F.min("path") == F.min("_name"))
+    per_name = files.withColumn("_name", name).groupBy("_name").agg(size.alias("bytes"), F.when(single, F.min("sha256")).otherwise(digest).alias("sha256"))
+    return per_name.withColumnRenamed("_name", "path")
+
+
 def listed_hashes(manifest: DataFrame, column: str = "artifact_sha256") -> DataFrame:
     """Map column path -> hash of a run manifest to rows; paths in forward slashes."""
     return manifest.select(F.explode(column).alias("path", "sha256")).withColumn(

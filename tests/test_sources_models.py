@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -293,3 +294,16 @@ def test_an_unfinished_run_goes_on(spark, tmp_path):
     assert a == b
     with pytest.raises(ValueError, match="other inputs"):
         models.final_run(annotations, manifest.limit(30), features.limit(30), {"a": trainer("a")}, trainer("g"), folder)
+
+
+def test_artifact_gate_takes_tables_of_many_files(spark, tmp_path):
+    """Every table of the smallest folder as a folder of two files: the gate's flags stay as they are."""
+    import __spark_entry__ as contract
+
+    for table in sorted(Path("/root/testdata/sf0.001").glob("*.parquet")):
+        spark.read.parquet(str(table)).repartition(2).write.parquet(f"{tmp_path}/{table.name}")
+    row = contract.queries()["gate_artifacts"](spark, str(tmp_path)).first().asDict()
+    assert all(row.values()), row
+    files = tables.file_inventory(spark, str(tmp_path), "*.parquet")
+    by_table = {r.path: r.bytes for r in tables.by_artifact(files, F.substring_index("path", "/", 1)).collect()}
+    assert by_table["documents.parquet"] == sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("*.parquet"))
