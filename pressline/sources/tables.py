@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,68 +92,75 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-#: Files up to this size are hashed as one value; it must stay below 2 GB.
-WHOLE_FILE_BYTES = 256 << 20
+#: Files up to this size are hashed as one value.
+WHOLE_FILE_BYTES = 16 << 20
+#: The end of a name that Hadoop takes for a codec's, and a byte order mark, which its line reader drops.
+SUFFIX, MARK = r"(\.[A-Za-z0-9_-]+)$", b"\xef\xbb\xbf"
 
 
 def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Path below ``folder``, size and SHA-256 of every file; files are hashed in parallel.
 
-    A larger file than ``WHOLE_FILE_BYTES`` is read as lines of raw bytes, in
-    splits; one task takes its lines in order and holds one of them at a time. The
-    distance between two line ends must stay below 2 GB, and such a file must not
-    carry the suffix of a compression codec, which Spark would apply.
+    A larger file than ``WHOLE_FILE_BYTES`` is read as lines of raw bytes by one
+    task, from its begin to its end, and that task holds one batch of them. The codec that
+    passes bytes through is declared for the file's suffix, so Spark neither
+    splits the file nor unpacks it. Only large files without a suffix are read in splits
+    and their lines sorted. The distance between two line ends must stay below 2 GB.
     """
 
     def found(kind: str):
         return spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
 
     files = found("binaryFile").load(folder)
-    small = files.where(F.col("length") <= WHOLE_FILE_BYTES).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    parts = [files.where(F.col("length") <= WHOLE_FILE_BYTES).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))]
     meta = F.col("_metadata")
-    lines = (
-        found("text").option("lineSep", "\n").load(folder)
-        .where(meta["file_size"] > WHOLE_FILE_BYTES)
-        .select(
-            meta["file_path"].alias("path"),
-            meta["file_size"].alias("bytes"),
-            meta["file_block_start"].alias("block"),
-            F.monotonically_increasing_id().alias("number"),
-            F.col("value").cast("binary").alias("line"),
-        )
-    )
-    # numbers rise within a split, and splits are told apart by their place in the file
-    dealt = lines.repartition("path").sortWithinPartitions("path", "block", "number").select("path", "bytes", "line")
-    large = dealt.mapInArrow(_hashed_lines, "path string, bytes long, sha256 string")
+    large = files.where(F.col("length") > WHOLE_FILE_BYTES).select(F.regexp_extract("path", SUFFIX, 1).alias("suffix")).distinct()
+    for suffix in sorted(r["suffix"] for r in large.collect()):
+        source = found("text").option("lineSep", "\n")
+        if suffix:
+            source = source.option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
+            for name in ("io.compress.passthrough.extension", "org.apache.hadoop.shaded.io.compress.passthrough.extension"):
+                source = source.option(name, suffix)
+        named = source.load(folder).where((meta["file_size"] > WHOLE_FILE_BYTES) & (F.regexp_extract(meta["file_path"], SUFFIX, 1) == suffix))
+        line = F.concat("value", F.lit("\n")).cast("binary").alias("line")
+        lines = named.select(meta["file_path"].alias("path"), meta["file_size"].alias("bytes"), line, meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("number"))
+        if not suffix:  # numbers rise within a split, and splits are told apart by their place in the file
+            lines = lines.repartition("path").sortWithinPartitions("path", "block", "number")
+        parts.append(lines.select("path", "bytes", "line").mapInArrow(_hashed_lines, "path string, bytes long, sha256 string"))
     base = folder.rstrip("/") + "/"
-    return small.unionByName(large).withColumn("path", F.substring_index("path", base, -1))
+    return reduce(DataFrame.unionByName, parts).withColumn("path", F.substring_index("path", base, -1))
 
 
 def _hashed_lines(batches):
-    """One row per file from its lines in order; the last line has an end only if the size says so."""
-    path, size, digest, read = None, 0, None, 0
+    """One row per file from its lines in order; a first mark and a last line end count if the size says so."""
+    path, size, read, hashes = None, 0, 0, ()
 
     def row():
-        if read == size + 1:
-            whole = before
-        elif read == size:
-            whole = digest
-        else:
+        left = size - read
+        if left not in (-1, 0, len(MARK) - 1, len(MARK)):
             raise ValueError(f"read {read} of {size} bytes of {path}")
-        return pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "sha256": [whole.hexdigest()]})
+        whole = hashes[left > 0]
+        if left in (0, len(MARK)):
+            whole.update(b"\n")
+        return pa.RecordBatch.from_pydict({"path": [unquote(path)], "bytes": [size], "sha256": [whole.hexdigest()]})
 
-    before = None
     for batch in batches:
-        for name, length, line in zip(*batch.columns, strict=True):
-            if name.as_py() != path:
+        if not batch.num_rows:
+            continue
+        names, lines = batch["path"], batch["line"].cast(pa.large_binary())
+        at = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset :]
+        data = memoryview(lines.buffers()[2])
+        changes = np.flatnonzero(np.asarray(pc.not_equal(names[1:], names[:-1]))) + 1
+        for a, b in zip([0, *changes], [*changes, batch.num_rows], strict=True):
+            if names[a].as_py() != path:
                 if path is not None:
                     yield row()
-                path, size, digest, read = name.as_py(), length.as_py(), hashlib.sha256(), 0
-            data = line.as_py()
-            digest.update(data)
-            before = digest.copy()
-            digest.update(b"\n")
-            read += len(data) + 1
+                path, size, read, hashes = names[a].as_py(), batch["bytes"][a].as_py(), 0, (hashlib.sha256(), hashlib.sha256(MARK))
+            for h in hashes:
+                if read:
+                    h.update(b"\n")
+                h.update(data[at[a] : at[b] - 1])
+            read += int(at[b] - at[a])
     if path is not None:
         yield row()
 

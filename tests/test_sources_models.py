@@ -307,3 +307,23 @@ def test_artifact_gate_takes_tables_of_many_files(spark, tmp_path):
     files = tables.file_inventory(spark, str(tmp_path), "*.parquet")
     by_table = {r.path: r.bytes for r in tables.by_artifact(files, F.substring_index("path", "/", 1)).collect()}
     assert by_table["documents.parquet"] == sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("*.parquet"))
+
+
+def test_large_files_are_hashed_in_one_pass(spark, tmp_path, monkeypatch):
+    """No sort and no shuffle, whatever a file's suffix says of its content; names and first bytes of any kind."""
+    monkeypatch.setattr(tables, "WHOLE_FILE_BYTES", 100)
+    noise = np.random.default_rng(2).integers(0, 256, 50_000).astype(np.uint8).tobytes()
+    files = {"a b%20.bin": noise, "packed.gz": noise, "marked.bin": b"\xef\xbb\xbfx\n" * 900, "open.bin": b"\xef\xbb\xbfx\ny" * 900, "marks.bin": b"\xef\xbb\xbf" * 100}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for plain in ({}, {"none": noise, "d.x/no-suffix": b"\n" + noise}):
+            for name, content in plain.items():
+                (tmp_path / name).parent.mkdir(exist_ok=True)
+                (tmp_path / name).write_bytes(content)
+            for name, content in files.items():
+                (tmp_path / name).write_bytes(content)
+            found = tables.file_inventory(spark, str(tmp_path))
+            assert {r.path: (r.bytes, r.sha256) for r in found.collect()} == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in (files | plain).items()}
+            assert ("Exchange" in found._jdf.queryExecution().toString()) == bool(plain)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
