@@ -2,9 +2,10 @@
 
 A fit reads its staged rows once per step: every task adds up what the step needs
 (gradients, curvatures, histograms) for all turns in one pass over its Arrow
-batches and returns one array per turn. Arrays are added in a tree, so neither a
-task nor the driver meets more than ``FAN_IN`` of them for each turn; the driver
-holds one array per turn, whose size depends on the model alone.
+batches and returns one array per turn. Arrays are added in a tree, so no task
+meets more than ``FAN_IN`` of them for each turn, and tasks add up the last ones too:
+the driver gets one array per turn, whose size depends on the model alone, or what a
+task makes of it.
 """
 
 from __future__ import annotations
@@ -72,23 +73,38 @@ def _rows(sums: dict[int, np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([part], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary())], ["turn", "part", "total"])
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for turn, total in zip(batch["turn"].to_pylist(), batch["total"].to_pylist(), strict=True):
-            found = np.frombuffer(total, "<f8")
-            sums[turn] = sums[turn] + found if turn in sums else found
-    yield from _rows(sums, TaskContext.get().partitionId())
+def _adding(finish: Callable[[np.ndarray], np.ndarray] | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            found = sorted(zip(batch["turn"].to_pylist(), batch["part"].to_pylist(), batch["total"].to_pylist(), strict=True))
+            for turn, _, total in found:
+                array = np.frombuffer(total, "<f8")
+                sums[turn] = sums[turn] + array if turn in sums else array
+        if finish is not None:
+            sums = {turn: finish(total) for turn, total in sums.items()}
+        yield from _rows(sums, TaskContext.get().partitionId())
+
+    return run
 
 
 def partitions(rows: DataFrame) -> int:
     return rows.rdd.getNumPartitions()
 
 
-def summed(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]], size: int, turns: int, parts: int | None = None) -> np.ndarray:
+def summed(
+    rows: DataFrame,
+    step: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]],
+    size: int,
+    turns: int,
+    parts: int | None = None,
+    finish: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> np.ndarray:
     """``step`` of every task added up: ``[turn, size]``; a turn that no task met is zero.
 
-    ``parts``: partitions of ``rows``, if known from an earlier step.
+    ``parts``: partitions of ``rows``, if known from an earlier step. With
+    ``finish``, a task applies it to each turn's sum, and ``size`` numbers of a turn
+    are what it returns.
     """
 
     def run(batches):
@@ -98,9 +114,12 @@ def summed(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], dict[int,
     sums = rows.mapInArrow(run, SUMS)
     while parts > FAN_IN:
         parts = -(-parts // FAN_IN)
-        sums = sums.repartition(parts, F.col("part") % parts).mapInArrow(_add, SUMS)
+        sums = sums.repartition(parts, F.col("part") % parts).mapInArrow(_adding(), SUMS)
+    if parts > 1 or finish is not None:
+        # adaptive execution merges the partitions of small arrays, so that few tasks add them
+        sums = sums.repartition("turn").mapInArrow(_adding(finish), SUMS)
     out = np.zeros((turns, size))
-    for row in sorted(sums.collect(), key=lambda r: r["part"]):
+    for row in sums.collect():
         out[row["turn"]] += np.frombuffer(row["total"], "<f8")
     return out
 

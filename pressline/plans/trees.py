@@ -2,8 +2,7 @@
 
 Values are cut to at most 255 bins once. A level of a tree is one pass over the
 rows: tasks add up gradients and curvatures by (node, feature, bin) for every turn
-and the driver, which holds only these histograms and the trees, takes the best
-splits. Rows and features are drawn anew for each tree. Margins of finished trees
+and take the best splits of the sums; the driver gets and holds only the trees. Rows and features are drawn anew for each tree. Margins of finished trees
 are written with the rows from time to time, so a pass evaluates few trees.
 """
 
@@ -146,7 +145,7 @@ def _filled(cells: np.ndarray, medians: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, names: Sequence[str], turns: Turns, cfg: TreeConfig = TreeConfig()) -> Boosted:
-    """Train all turns on rows (candidate_id, group, y, features); the driver holds histograms and trees only.
+    """Train all turns on rows (candidate_id, group, y, features); the driver holds trees only.
 
     Missing values take the bin of the median of the turn's train rows; cut
     points are taken from all rows that some turn trains on.
@@ -207,9 +206,12 @@ def fit(rows: DataFrame, names: Sequence[str], turns: Turns, cfg: TreeConfig = T
                         sums[r] = sums[r] + found if r in sums else found
                 return sums
 
-            totals = summed(data, gradients, nodes * width * bins * 2, n, parts).reshape(n, nodes, width, bins, 2)
-            for tree, total in zip(trees, totals, strict=True):
-                feature, at, children = best_splits(total, allowed, cfg)
+            def splits(total, nodes=nodes, allowed=allowed):
+                feature, at, children = best_splits(total.reshape(nodes, width, bins, 2), allowed, cfg)
+                return np.concatenate([feature + 1, at, children.ravel()]).astype(float)
+
+            for tree, found in zip(trees, summed(data, gradients, 6 * nodes, n, parts, splits), strict=True):
+                feature, at, children = found[:nodes].astype(np.int64) - 1, found[nodes : 2 * nodes].astype(np.int64), found[2 * nodes :].reshape(-1, 2)
                 tree.feature[nodes - 1 : 2 * nodes - 1], tree.bin[nodes - 1 : 2 * nodes - 1] = feature, at
                 tree.leaf[: 2 * nodes] = -cfg.step * children[:, 0] / (children[:, 1] + cfg.penalty)
         for found, tree in zip(model.trees, trees, strict=True):

@@ -223,3 +223,23 @@ def test_candidates_share_the_graph_they_name(spark):
     assert got["candidate_id"].to_pylist() == want["candidate_id"].to_pylist() and got.num_rows == 8
     got, want = temporal_graph.unpack(got), temporal_graph.unpack(want)
     assert all(np.array_equal(getattr(got, f), getattr(want, f)) for f in ("x", "mix", "valid", "place", "step", "length", "key", "y"))
+
+
+def test_the_driver_gets_one_array_of_a_turn(spark, monkeypatch):
+    """However many tasks read the rows: what reaches the driver does not grow with them."""
+    got = []
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 3).cast("int").alias("turn")).repartition(9)
+    collect = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: got.append(collect(self)) or got[-1])
+
+    def step(batches):
+        out = {}
+        for batch in batches:
+            for t in batch["turn"].to_pylist():
+                out[t] = out.get(t, np.zeros(50)) + 1.0
+        return out
+
+    whole = parallel.summed(rows, step, 50, 4)
+    assert whole[:, 7].tolist() == [334, 333, 333, 0] and len(got[-1]) == 3
+    least = parallel.summed(rows, step, 1, 4, finish=lambda total: total[:1] + 1)
+    assert least.tolist() == [[335], [334], [334], [0]] and {len(r["total"]) for r in got[-1]} == {8}
