@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import MULTIPLIERS, bucket_cuts, by_bucket, dealt, id_text, mix, remainder, rows_of, runs, slices, split_words, staged, word_hashes
+from .shared import MULTIPLIERS, bucket_cuts, by_bucket, id_text, let_go, mix, remainder, runs, slices, split_words, staged, word_hashes
 
 #: Keys of the end token and of the history before the first word.
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -46,6 +46,8 @@ HOT_SHARE = 0.001
 FREQUENT_SHARE = 2e-6
 #: Text bytes whose bigrams a task sorts at a time.
 TEXT_BYTES = 4 << 20
+#: Bytes of blocks that a look-up turns into Python objects at a time.
+PIECE_BYTES = 2 << 20
 #: Fixed value: stands for a word without number.
 RARE = np.uint32(0xFFFFFFFF)
 
@@ -177,6 +179,19 @@ def _columns(names: list[str], *columns: np.ndarray | pa.Array) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names)
 
 
+def _dealt(df: DataFrame, buckets: int, *then) -> DataFrame:
+    """Each bucket into a partition of its own; hashed numbers would put several into one task and none into others."""
+    return df.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", *then)
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows, of which a few are made at a time: a batch may hold a whole partition of blocks."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+        for a in range(0, batch.num_rows, step):
+            yield from batch.slice(a, step).to_pylist()
+
+
 def _word_blocks(buckets: int):
     def run(batches):
         for batch in slices(batches):
@@ -219,14 +234,20 @@ def _sum_pairs(vocabulary: Vocabulary):
     """Counts of a block's bigrams, by history."""
 
     def run(rows):
-        parts = [vocabulary.decode(r) for r in rows]
-        h, w, code = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        n = np.concatenate([_unpack(r["n"], np.uint32) for r in rows]).astype(np.int64)
-        del parts
+        n = np.concatenate([_unpack(r["n"], np.uint32) for r in rows])
+        h, w, code = np.empty(len(n), np.uint64), np.empty(len(n), np.uint64), np.empty(len(n), np.uint32)
+        a = 0
+        for r in rows:
+            part = vocabulary.decode(r)
+            b = a + len(part[0])
+            h[a:b], w[a:b], code[a:b] = part
+            a = b
         order = np.lexsort((w, h))
-        first = _runs2(h[order], w[order])
-        n = np.add.reduceat(n[order], first)
-        h, w, code = (x[order[first]] for x in (h, w, code))
+        h, w = h[order], w[order]
+        first = _runs2(h, w)
+        n = np.add.reduceat(n[order], first, dtype=np.int64)
+        h, w, code = h[first], w[first], code[order[first]]
+        del order, first
         rare = code == RARE
         yield from _columns(["h", "code", "w", "n"], h.astype(np.int64), pa.array(code.astype(np.int64).astype(np.int32), mask=rare), pa.array(w.astype(np.int64), mask=~rare), n)
 
@@ -332,14 +353,14 @@ def fit(docs: DataFrame) -> Katz:
     source = id_text(docs)
     size = source.agg(F.sum(F.length("text") + 6)).first()[0] or 0
     buckets = max(4, math.ceil(size / 6 * 0.7 / COUNT_KEYS))
-    counts = staged(dealt(source.mapInArrow(_word_blocks(buckets), WORD_COUNTS), buckets).mapInArrow(lambda b: by_bucket(b, _sum_words), "w long, n long"), "word-counts")
+    counts = staged(_dealt(source.mapInArrow(_word_blocks(buckets), WORD_COUNTS), buckets).mapInArrow(lambda b: by_bucket(b, _sum_words), "w long, n long"), "word-counts")
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("w") == int(END), F.col("n"))).alias("docs")).first()
     tokens, types = totals["n"] or 0, totals["v"] or 0
     frequent = counts.where(F.col("n") > FREQUENT_SHARE * tokens).select("w", "n").toArrow()
     vocabulary = Vocabulary.of(frequent["w"].to_numpy().astype(np.uint64), frequent["n"].to_numpy(), HOT_SHARE * tokens)
     blocks = source.mapInArrow(_count_blocks(buckets, vocabulary), COUNTS)
     sums = _sum_pairs(vocabulary)
-    grams = staged(dealt(blocks, buckets).mapInArrow(lambda b: by_bucket(b, sums), GRAMS), "bigram-counts")
+    grams = staged(_dealt(blocks, buckets).mapInArrow(lambda b: by_bucket(b, sums), GRAMS), "bigram-counts")
     few = lambda t: {r["n"]: r["types"] for r in t.where(F.col("n") <= TRUSTED + 1).groupBy("n").agg(F.count("*").alias("types")).collect()}
     first, second = discounts(few(counts), tokens), discounts(few(grams), tokens)
     freed = 1 - (counts.agg(F.sum(_factor(first, F.col("n")) * F.col("n"))).first()[0] or 0.0) / max(1, tokens)
@@ -353,6 +374,7 @@ def fit(docs: DataFrame) -> Katz:
     hot = vocabulary.hot.astype(np.int64).tolist()
     back = {r["h"]: r for r in model._weighted(model.pairs.where(F.col("h").isin(hot))).collect()} if tokens else {}
     model.hot_scale, model.hot_log_a = (np.array([back[h][c] if h in back else 0.0 for h in hot]) for c in ("log_scale", "log_a"))
+    let_go(docs.sparkSession)  # of the join of rare words, which its own staging still held
     return model
 
 
@@ -481,10 +503,12 @@ class _Rule:
             alone = ~_find(self.vocabulary.keys, own)[1]
             base = np.log10((n + 1) / self.size) - math.log10(1 / self.size)
             words = own, np.log10(p) + log_a - self.log_unknown, base * alone, alone.astype(float), np.log10(scale / n) - log_a
-        key, gain = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (gains, float)))
-        del keys, gains
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        del keys
         order = np.argsort(key)
-        return words, (key[order], gain[order])
+        key = key[order]
+        gain = np.concatenate(gains)[order] if gains else np.zeros(0)
+        return words, (key, gain)
 
 
 def _look_up(rule: _Rule):
@@ -493,7 +517,7 @@ def _look_up(rule: _Rule):
     def run(batches):
         bucket, tables = None, None
         parts: list[dict] = []
-        for r in rows_of(batches):
+        for r in _rows_of(batches):
             if r["bucket"] != bucket:
                 bucket, tables, parts = r["bucket"], None, []
             if r["model"]:
@@ -542,7 +566,7 @@ def _add_up(batches):
             [c.split()[0] for c in SCORED.split(", ")],
         )
 
-    for r in rows_of(batches):
+    for r in _rows_of(batches):
         if held and held[0]["slice"] != r["slice"]:
             yield out()
             held = []
@@ -582,7 +606,7 @@ def score(docs: DataFrame, model: Katz, modulus: int = 7, rest: int = 2) -> Data
     if model.tokens:
         pairs = model.known.unionByName(model.rare, allowMissingColumns=True)
         blocks = blocks.unionByName(pairs.mapInArrow(_model_blocks(buckets, vocabulary), BLOCKS))
-    sums = dealt(blocks, buckets, F.col("model").desc()).mapInArrow(_look_up(rule), SUMS)
+    sums = _dealt(blocks, buckets, F.col("model").desc()).mapInArrow(_look_up(rule), SUMS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = sums.repartition(parts, "slice").sortWithinPartitions("slice", "kind").mapInArrow(_add_up, SCORED)
     n_words = F.col("n_tokens") - 1

@@ -37,11 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder, read it back and let go of the shuffle files behind it."""
     out = stage(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
+    let_go(df.sparkSession)
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that no table needs any more; those of the last query may stay until another has run."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete the folder of a staged table that nothing reads any more."""
     spark = df.sparkSession

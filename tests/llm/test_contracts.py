@@ -1,6 +1,7 @@
 """Every contract's columns against plain versions: nasty rows and the smallest tables."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -235,6 +236,25 @@ def test_katz_keeps_bigrams_seen_once(spark):
     assert by_text[1] > by_text[2]
 
 
+def test_katz_deals_each_bucket_to_a_task_of_its_own(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(50)], "doc_id long, text string")
+    monkeypatch.setattr(katz, "COUNT_KEYS", 200)
+    characters = sum(len(r.text) + 6 for r in docs.collect())
+    model = katz.fit(docs)
+    # a task with rows writes one file
+    assert len(model.counts.inputFiles()) == len(model.known.inputFiles()) == -(-characters * 7 // (10 * 6 * 200)) > 30
+
+
+def test_katz_looks_up_a_large_batch_in_pieces():
+    big = katz._rows(katz.BLOCKS, [{"bucket": 0, "model": False, "kind": katz.DOCUMENTS, "slice": i, "gain": bytes(1 << 20)} for i in range(48)])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in katz._look_up(None)(iter([big]))) == 48
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_page_templates_decide_beside_tags(spark):
     notice = "<p>Subscribe to our weekly letter now</p>"
     body = lambda i: f"<p>Story number{i} tells of thing{i}</p>{notice}<p>By author{i}</p>"
