@@ -48,6 +48,8 @@ FREQUENT_SHARE = 2e-6
 TEXT_BYTES = 4 << 20
 #: Bytes of blocks that a look-up turns into Python objects at a time.
 PIECE_BYTES = 2 << 20
+#: Most bytes of an Arrow batch that Spark hands to a task's Python; a little below 4 * TEXT_BYTES, so that no small slice is left over.
+BATCH_BYTES = 15 << 20
 #: Fixed value: stands for a word without number.
 RARE = np.uint32(0xFFFFFFFF)
 
@@ -179,6 +181,17 @@ def _columns(names: list[str], *columns: np.ndarray | pa.Array) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names)
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """Staged with batches of bounded size, as Spark holds them outside of its heap: while it runs, the session's limit is lower."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, BATCH_BYTES)
+    try:
+        return staged(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def _dealt(df: DataFrame, buckets: int, *then) -> DataFrame:
     """Each bucket into a partition of its own; hashed numbers would put several into one task and none into others."""
     return df.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", *then)
@@ -353,14 +366,14 @@ def fit(docs: DataFrame) -> Katz:
     source = id_text(docs)
     size = source.agg(F.sum(F.length("text") + 6)).first()[0] or 0
     buckets = max(4, math.ceil(size / 6 * 0.7 / COUNT_KEYS))
-    counts = staged(_dealt(source.mapInArrow(_word_blocks(buckets), WORD_COUNTS), buckets).mapInArrow(lambda b: by_bucket(b, _sum_words), "w long, n long"), "word-counts")
+    counts = _staged(_dealt(source.mapInArrow(_word_blocks(buckets), WORD_COUNTS), buckets).mapInArrow(lambda b: by_bucket(b, _sum_words), "w long, n long"), "word-counts")
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("w") == int(END), F.col("n"))).alias("docs")).first()
     tokens, types = totals["n"] or 0, totals["v"] or 0
     frequent = counts.where(F.col("n") > FREQUENT_SHARE * tokens).select("w", "n").toArrow()
     vocabulary = Vocabulary.of(frequent["w"].to_numpy().astype(np.uint64), frequent["n"].to_numpy(), HOT_SHARE * tokens)
     blocks = source.mapInArrow(_count_blocks(buckets, vocabulary), COUNTS)
     sums = _sum_pairs(vocabulary)
-    grams = staged(_dealt(blocks, buckets).mapInArrow(lambda b: by_bucket(b, sums), GRAMS), "bigram-counts")
+    grams = _staged(_dealt(blocks, buckets).mapInArrow(lambda b: by_bucket(b, sums), GRAMS), "bigram-counts")
     few = lambda t: {r["n"]: r["types"] for r in t.where(F.col("n") <= TRUSTED + 1).groupBy("n").agg(F.count("*").alias("types")).collect()}
     first, second = discounts(few(counts), tokens), discounts(few(grams), tokens)
     freed = 1 - (counts.agg(F.sum(_factor(first, F.col("n")) * F.col("n"))).first()[0] or 0.0) / max(1, tokens)
@@ -606,7 +619,7 @@ def score(docs: DataFrame, model: Katz, modulus: int = 7, rest: int = 2) -> Data
     if model.tokens:
         pairs = model.known.unionByName(model.rare, allowMissingColumns=True)
         blocks = blocks.unionByName(pairs.mapInArrow(_model_blocks(buckets, vocabulary), BLOCKS))
-    sums = _dealt(blocks, buckets, F.col("model").desc()).mapInArrow(_look_up(rule), SUMS)
+    sums = _staged(_dealt(blocks, buckets, F.col("model").desc()).mapInArrow(_look_up(rule), SUMS), "look-up-sums")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = sums.repartition(parts, "slice").sortWithinPartitions("slice", "kind").mapInArrow(_add_up, SCORED)
     n_words = F.col("n_tokens") - 1

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from pressline.llm import decontaminate, exact_dedup, html_template, katz, lang_id, ngram_join, packing, pii, queries, secrets, toxicity
@@ -245,6 +246,16 @@ def test_katz_deals_each_bucket_to_a_task_of_its_own(spark, monkeypatch):
     assert len(model.counts.inputFiles()) == len(model.known.inputFiles()) == -(-characters * 7 // (10 * 6 * 200)) > 30
 
 
+def test_katz_bounds_the_batches_of_its_tasks(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat(cast(id % 10 as string), 10000) as text")
+    size = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    sizes = [r.n for r in katz._staged(docs.mapInArrow(size, "n long"), "sizes").collect()]
+    assert len(sizes) > 2 and max(sizes) < katz.BATCH_BYTES * 1.1 and sum(sizes) >= 40_000_000
+    assert spark.conf.get(key) == before
+
+
 def test_katz_looks_up_a_large_batch_in_pieces():
     big = katz._rows(katz.BLOCKS, [{"bucket": 0, "model": False, "kind": katz.DOCUMENTS, "slice": i, "gain": bytes(1 << 20)} for i in range(48)])
     tracemalloc.start()
