@@ -187,12 +187,15 @@ def graph_rows(nodes: DataFrame, edges: DataFrame, rows: DataFrame, turns: Turns
 
     ``rows``: candidate_id, match_id, label and, if known, strict_valid; graphs of
     other candidates and of invalid ones are not used. Frames end ``until_s``
-    after the turnover. With graph_id, a candidate uses the graph of that name.
+    after the turnover. With graph_id, a candidate uses the graph of that name, and
+    candidates of one graph share its rows.
     """
     if "strict_valid" in rows.columns:
         rows = rows.where(strict_bool("strict_valid"))
     nodes = graph.crop(nodes, end_s=until_s)
-    episodes = temporal_graph.episode_rows(nodes, edges, _turn_rows(rows, turns, column, [c for c in rows.columns if c == "graph_id"]))
+    if "graph_id" in rows.columns:
+        return stage(temporal_graph.shared_rows(nodes, edges, _turn_rows(rows, turns, column, ["graph_id"])), "episodes")
+    episodes = temporal_graph.episode_rows(nodes, edges, _turn_rows(rows, turns, column, []))
     # much work a row: adaptive execution must not merge the partitions
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return stage(episodes.repartition(parts, "candidate_id"), "episodes")

@@ -2,7 +2,9 @@
 
 Two graph convolutions and a layer norm encode each frame, the mean over its valid
 nodes enters a gated recurrent unit, and a linear layer classifies the last state.
-An episode is one row (its frames and roster are bounded). An epoch is one pass
+An episode is one row (its frames and roster are bounded). Candidates that share a
+graph share its last state too: a row may list many of them, and the graph is
+written and passed through once for all. An epoch is one pass
 over the rows: tasks add up loss and gradient of the train rows and the loss of
 the validation rows of every turn that is still open; the driver, which holds one
 parameter vector per turn, takes one step of AdamW. The parameters with the least
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from ..operators.graph import CONTINUOUS, NODE_FEATURES
 from .parallel import TEST, TRAIN, VALIDATION, Turns, partitions, summed
 
-#: Episodes that a task evaluates at a time.
-BATCH_EPISODES = 64
+#: Graphs that a task evaluates at a time, and candidates that a row of one lists at most.
+BATCH_EPISODES, MEMBERS = 64, 1024
 #: Least variance of the layer norm, and least deviation of a feature.
 NORM_FLOOR, LEAST_DEVIATION = 1e-5, 1e-6
 
@@ -54,25 +56,27 @@ class History:
 
 @dataclass
 class Episodes:
-    """Episodes as dense arrays: all frames one after the other, padded to the most nodes."""
+    """Graphs as dense arrays: all frames one after the other, padded to the most nodes; then the candidates, by graph."""
 
     x: np.ndarray  # frame, node, feature
     mix: np.ndarray  # frame, target, source: normalised adjacency with self-links
     valid: np.ndarray  # frame, node
-    place: np.ndarray  # frame: its episode
-    step: np.ndarray  # frame: its number within the episode
-    length: np.ndarray  # frames of each episode
+    place: np.ndarray  # frame: its graph
+    step: np.ndarray  # frame: its number within the graph
+    length: np.ndarray  # frames of each graph
+    graph: np.ndarray  # candidate: its graph, in rising order
     key: np.ndarray
     y: np.ndarray
 
     def chosen(self, use: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> Episodes:
-        """Some of the episodes, the continuous features of valid nodes standardised and those of others 0."""
-        frames = use[self.place]
+        """Some of the candidates and their graphs, the continuous features of valid nodes standardised and those of others 0."""
+        needed = np.bincount(self.graph[use], minlength=len(self.length)) > 0
+        frames = needed[self.place]
         x, valid = self.x[frames].copy(), self.valid[frames]
         k = len(mean)
         x[..., :k] = np.where(valid[..., None], (x[..., :k] - mean) / scale, 0.0)
-        number = np.cumsum(use) - 1
-        return Episodes(x, self.mix[frames], valid, number[self.place[frames]], self.step[frames], self.length[use], self.key[use], self.y[use])
+        number = np.cumsum(needed) - 1
+        return Episodes(x, self.mix[frames], valid, number[self.place[frames]], self.step[frames], self.length[needed], number[self.graph[use]], self.key[use], self.y[use])
 
 
 class Network:
@@ -132,6 +136,7 @@ class Network:
             live = (t < e.length)[:, None]
             trace.append((state, r, z, c, own[:, 2 * s :], live))
             state = np.where(live, (1 - z) * c + z * state, state)
+        state = state[e.graph]
         drop = np.ones_like(state)
         if epoch is not None and self.cfg.dropout:
             drop = _uniform(e.key, epoch, s) >= self.cfg.dropout
@@ -153,7 +158,7 @@ class Network:
         dout[np.arange(len(e.y)), e.y] -= 1
         dout *= weight[:, None]
         g["wo"][:], g["bo"][:] = (k["state"] * k["drop"]).T @ dout, dout.sum(axis=0)
-        dstate = (dout @ p["wo"].T) * k["drop"]
+        dstate = np.add.reduceat((dout @ p["wo"].T) * k["drop"], np.searchsorted(e.graph, np.arange(len(e.length))))
         s = self.cfg.state
         dinto = np.zeros((len(e.length), len(k["trace"]), 3 * s))
         for t in range(len(k["trace"]) - 1, -1, -1):
@@ -203,14 +208,53 @@ def episode_rows(nodes: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFra
     ``rows`` names; without that column each has its own. An episode is a bounded
     number of frames of one roster.
     """
+    named = rows if "graph_id" in rows.columns else rows.withColumn("graph_id", F.col("candidate_id"))
+    return named.join(_packed(nodes, edges), "graph_id").drop("graph_id").withColumn("key", F.xxhash64("candidate_id"))
+
+
+#: What a row of a shared graph lists of its candidates.
+LISTED = {"candidate_id": "string", "match_id": "string", "group": "int", "y": "int", "key": "bigint"}
+
+
+def shared_rows(nodes: DataFrame, edges: DataFrame, rows: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """One row per graph and up to ``members`` of the candidates that name it by ``graph_id``, for :func:`fit` and :func:`score`.
+
+    Lists are cut from ranges of candidates in order, so a graph that many
+    candidates name is spread over tasks, and written again only for each full
+    list, each batch of rows and each range of its candidates.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumn("key", F.xxhash64("candidate_id")).select("graph_id", *[F.col(c).cast(t).alias(c) for c, t in LISTED.items()])
+    ranges = keyed.repartitionByRange(parts, "graph_id", "key").sortWithinPartitions("graph_id", "key", "candidate_id")
+    lists = ranges.mapInArrow(_listed(members), "graph_id string, " + ", ".join(f"`{c}` array<{t}>" for c, t in LISTED.items()))
+    # much work a row: adaptive execution must not merge the partitions
+    return lists.join(_packed(nodes, edges), "graph_id").repartition(parts, "graph_id", F.col("key")[0])
+
+
+def _listed(members: int):
+    """Runs of rows of one graph to lists, ``members`` rows each at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch["graph_id"]
+            changes = (np.flatnonzero(np.asarray(pc.not_equal(names[1:], names[:-1]).fill_null(True))) + 1).tolist()
+            starts = [a for begin, end in zip([0, *changes], [*changes, batch.num_rows], strict=True) for a in range(begin, end, members)]
+            offsets = pa.array([*starts, batch.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(starts)), *[pa.ListArray.from_arrays(offsets, batch[c]) for c in LISTED]], ["graph_id", *LISTED])
+
+    return run
+
+
+def _packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Graphs by ``graph_id``, their candidate."""
     values = F.array(*[F.col(c).cast("double") for c in NODE_FEATURES])
     by_node = nodes.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("frame_id", "node_idx", "valid", values.alias("f")))).alias("nodes"))
     by_link = edges.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("frame_id", "src", "dst"))).alias("links"))
     none = F.array().cast(by_link.schema["links"].dataType)
     lists = by_node.join(by_link, "candidate_id", "left").withColumn("links", F.coalesce("links", none))
-    graphs = lists.select(F.col("candidate_id").alias("graph_id"), "nodes", "links").mapInArrow(_pack, PACKED)
-    named = rows if "graph_id" in rows.columns else rows.withColumn("graph_id", F.col("candidate_id"))
-    return named.join(graphs, "graph_id").drop("graph_id").withColumn("key", F.xxhash64("candidate_id"))
+    return lists.select(F.col("candidate_id").alias("graph_id"), "nodes", "links").mapInArrow(_pack, PACKED)
 
 
 #: Features (doubles) and validity (bytes) by frame and node; links as places (frame, target, source) in the adjacency.
@@ -246,8 +290,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["graph_id", "frames", "width", "x", "valid", "links"])
 
 
+def _of_candidates(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A value per candidate, whether a row is one or lists many."""
+    column = batch[name]
+    return column.flatten() if pa.types.is_list(column.type) else column
+
+
 def unpack(batch: pa.RecordBatch) -> Episodes:
-    """Dense arrays of the rows of :func:`episode_rows`.
+    """Dense arrays of the rows of :func:`episode_rows` or :func:`shared_rows`.
 
     A link brings the source's features to its target; sums are divided by the
     roots of both in-degrees, each counting the node itself.
@@ -266,7 +316,10 @@ def unpack(batch: pa.RecordBatch) -> Episodes:
     root = np.sqrt(mix.sum(axis=2))
     mix /= root[:, :, None] * root[:, None, :]
     place = np.repeat(np.arange(batch.num_rows), length)
-    return Episodes(x, mix, valid, place, np.arange(frames) - begins[place], length, _number(batch["key"]), _number(batch["y"]))
+    graph = np.arange(batch.num_rows)
+    if pa.types.is_list(batch["key"].type):
+        graph = np.repeat(graph, np.asarray(pc.list_value_length(batch["key"])))
+    return Episodes(x, mix, valid, place, np.arange(frames) - begins[place], length, graph, _number(_of_candidates(batch, "key")), _number(_of_candidates(batch, "y")))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +340,7 @@ class GraphModel:
 
 
 def fit(rows: DataFrame, turns: Turns, cfg: NetworkConfig = NetworkConfig()) -> GraphModel:
-    """Train all turns on staged rows of :func:`episode_rows` with ``group`` and ``y``."""
+    """Train all turns on staged rows of :func:`episode_rows` or :func:`shared_rows` with ``group`` and ``y``."""
     net, n = Network(cfg), len(turns)
 
     k = len(CONTINUOUS)
@@ -296,11 +349,13 @@ def fit(rows: DataFrame, turns: Turns, cfg: NetworkConfig = NetworkConfig()) ->
         """Rows by class; then number, sums and squares of valid nodes, of each group."""
         out: dict[int, np.ndarray] = {}
         for batch in _batches(batches):
-            group, e = np.asarray(batch["group"]), unpack(batch)
+            group, e = _number(_of_candidates(batch, "group")), unpack(batch)
+            x = np.where(e.valid[..., None], e.x[..., :k], 0.0)
+            by_frame = np.concatenate([e.valid.sum(axis=1)[:, None], x.sum(axis=1), (x**2).sum(axis=1)], axis=1)
+            by_graph = np.stack([np.bincount(e.place, v, minlength=len(e.length)) for v in by_frame.T], axis=1)
             for g in np.unique(group):
                 own = group == g
-                x = e.x[own[e.place]][e.valid[own[e.place]]][:, :k]
-                total = np.concatenate([np.bincount(e.y[own], minlength=2)[:2], [len(x)], x.sum(axis=0), (x**2).sum(axis=0)]).astype(float)
+                total = np.concatenate([np.bincount(e.y[own], minlength=2)[:2], np.bincount(e.graph[own], minlength=len(e.length)) @ by_graph]).astype(float)
                 out[int(g)] = out.get(int(g), 0) + total
         return out
 
@@ -320,7 +375,7 @@ def fit(rows: DataFrame, turns: Turns, cfg: NetworkConfig = NetworkConfig()) ->
         def step(batches, held=held.copy(), active=np.flatnonzero(open_), epoch=epoch):
             sums: dict[int, np.ndarray] = {}
             for batch in _batches(batches):
-                group, whole = np.asarray(batch["group"]), unpack(batch)
+                group, whole = _number(_of_candidates(batch, "group")), unpack(batch)
                 for r in active.tolist():
                     found = np.zeros(4 + net.size)
                     role = turns.roles[r, group]
@@ -365,13 +420,13 @@ def score(rows: DataFrame, model: GraphModel, turns: Turns, roles: Sequence[int]
 
     def run(batches):
         for batch in _batches(batches):
-            group, whole = np.asarray(batch["group"]), unpack(batch)
+            group, whole = _number(_of_candidates(batch, "group")), unpack(batch)
             for r, parameters in enumerate(model.parameters):
                 role = turns.roles[r, group]
                 use = np.isin(role, roles)
                 if not use.any():
                     continue
-                own = batch.filter(pa.array(use))
+                own = {c: _of_candidates(batch, c).filter(pa.array(use)) for c in ("candidate_id", "match_id", "y")}
                 p = np.exp(net.forward(parameters, whole.chosen(use, model.means[r], model.scales[r]))[0][:, 1])
                 values = [pa.array(np.full(len(p), r, np.int32)), pa.array(role[use].astype(np.int32)), own["candidate_id"], own["match_id"], own["y"], pa.array(p)]
                 yield pa.RecordBatch.from_arrays(values, ["turn", "role", "candidate_id", "match_id", "y", "probability"])

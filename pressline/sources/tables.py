@@ -127,8 +127,11 @@ def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> Data
         if not suffix:  # numbers rise within a split, and splits are told apart by their place in the file
             lines = lines.repartition("path").sortWithinPartitions("path", "block", "number")
         parts.append(lines.select("path", "bytes", "line").mapInArrow(_hashed_lines, "path string, bytes long, sha256 string"))
-    base = folder.rstrip("/") + "/"
-    return reduce(DataFrame.unionByName, parts).withColumn("path", F.substring_index("path", base, -1))
+    # a path may name its store otherwise than the folder does (file:/ or file:///)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    whole = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return reduce(DataFrame.unionByName, parts).withColumn("path", F.when(whole.startswith(base), F.substr(whole, F.lit(len(base) + 1))).otherwise(F.col("path")))
 
 
 def _hashed_lines(batches):

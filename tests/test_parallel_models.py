@@ -243,3 +243,26 @@ def test_the_driver_gets_one_array_of_a_turn(spark, monkeypatch):
     assert whole[:, 7].tolist() == [334, 333, 333, 0] and len(got[-1]) == 3
     least = parallel.summed(rows, step, 1, 4, finish=lambda total: total[:1] + 1)
     assert least.tolist() == [[335], [334], [334], [0]] and {len(r["total"]) for r in got[-1]} == {8}
+
+
+def test_a_graph_that_candidates_share_is_stored_and_passed_once(spark):
+    """Rows and sums are those of the candidates, each with a copy of its graph; the graph is there once for all of them."""
+    nodes, edges, rows = graphs(spark, episodes=12)
+    nodes = nodes.withColumn("relative_time_s", F.lit(0.0))
+    lent = rows.select(F.col("candidate_id").alias("graph_id"), F.explode(F.sequence(F.lit(0), F.when(F.col("candidate_id") == "c3", 90).otherwise(9))).alias("n"))
+    named = lent.withColumns({"candidate_id": F.concat("graph_id", F.lit("_"), "n"), "match_id": F.concat(F.lit("m"), F.col("n") % 4), models.LABEL: (F.xxhash64("graph_id", "n") % 2 != 0).cast("int")})
+    named = named.withColumn("split", F.element_at(F.array(*[F.lit(s) for s in parallel.ROLES]), (F.col("n") % 3 + 1).cast("int"))).drop("n").localCheckpoint()
+    turns = parallel.Turns.fixed()
+    staged = models.graph_rows(nodes, edges, named, turns, "split")
+    assert named.count() == 201 and staged.count() <= 12 + 4
+    numbered = models._turn_rows(named, turns, "split", ["graph_id"])
+    copies = temporal_graph.episode_rows(nodes, edges, numbered).localCheckpoint()
+    cfg = temporal_graph.NetworkConfig(hidden=6, state=5, epochs=5)
+    short = temporal_graph.shared_rows(nodes, edges, numbered, members=7).localCheckpoint()
+    assert short.agg(F.max(F.size("key"))).first()[0] == 7 and short.selectExpr("explode(candidate_id) c").distinct().count() == 201
+    got, cut, want = (temporal_graph.fit(r, turns, cfg) for r in (staged, short, copies))
+    for model in (got, cut):
+        assert np.allclose(model.means, want.means) and np.allclose(model.scales, want.scales) and np.allclose(model.parameters, want.parameters)
+        assert np.allclose(model.history[0].train, want.history[0].train) and np.allclose(model.history[0].validation, want.history[0].validation)
+    a, b = (temporal_graph.score(r, want, turns, (0, 1, 2)).toPandas().sort_values("candidate_id").reset_index(drop=True) for r in (short, copies))
+    assert len(a) == 201 and a.drop(columns="probability").equals(b.drop(columns="probability")) and np.allclose(a.probability, b.probability)

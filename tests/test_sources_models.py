@@ -30,6 +30,15 @@ def test_load_match(spark, tmp_path):
         tracking.load_match(spark, str(tmp_path), "C")
 
 
+def test_inventory_of_a_folder_named_with_its_store(spark, tmp_path):
+    """Paths are below the folder however its store is written, also where the folder's name occurs again."""
+    deep = tmp_path / "sub" / str(tmp_path)[1:]
+    deep.mkdir(parents=True)
+    (deep / "a.txt").write_bytes(b"abc")
+    for folder in (f"file://{tmp_path}", f"file:{tmp_path}/", str(tmp_path)):
+        assert [r.path for r in tables.file_inventory(spark, folder).collect()] == [f"sub{tmp_path}/a.txt"]
+
+
 def test_answer_sheet_and_gate(spark, tmp_path):
     answer = {"person": "Ann", "label": 1, "confidence": 3, "notes": "x", "utc": "2024-01-01T00:00:00Z"}
     sheet = {"hash": "h", "role": "second", "person": "Ann", "answers": {"c1": answer, "c2": {**answer, "label": -1}}}
