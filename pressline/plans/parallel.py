@@ -116,8 +116,8 @@ def summed(
         parts = -(-parts // FAN_IN)
         sums = sums.repartition(parts, F.col("part") % parts).mapInArrow(_adding(), SUMS)
     if parts > 1 or finish is not None:
-        # adaptive execution merges the partitions of small arrays, so that few tasks add them
-        sums = sums.repartition("turn").mapInArrow(_adding(finish), SUMS)
+        # adaptive execution merges the partitions of small arrays, so that few tasks add them; one turn needs one
+        sums = (sums.repartition(1) if turns == 1 else sums.repartition("turn")).mapInArrow(_adding(finish), SUMS)
     out = np.zeros((turns, size))
     for row in sums.collect():
         out[row["turn"]] += np.frombuffer(row["total"], "<f8")

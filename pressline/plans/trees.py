@@ -2,7 +2,9 @@
 
 Values are cut to at most 255 bins once. A level of a tree is one pass over the
 rows: tasks add up gradients and curvatures by (node, feature, bin) for every turn
-and take the best splits of the sums; the driver gets and holds only the trees. Rows and features are drawn anew for each tree. Margins of finished trees
+and take the best splits of the sums; the driver gets and holds only the trees. Where
+the features of a tree make few combinations of bins, they are added up by combination,
+and one pass gives all its levels. Rows and features are drawn anew for each tree. Margins of finished trees
 are written with the rows from time to time, so a pass evaluates few trees.
 """
 
@@ -21,8 +23,8 @@ from .parallel import TEST, TRAIN, Turns, floats, partitions, summed
 
 #: Fixed value: bin of a missing value.
 MISSING = 255
-#: Trees between two writes of the margins.
-TREES_HELD = 25
+#: Trees between two writes of the margins, and combinations of bins (of all turns) that a task adds up at most.
+TREES_HELD, COMBINATIONS = 25, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,12 @@ class Tree:
             at = 2 * at + right
         return at
 
+    def split(self, level: int, feature: np.ndarray, at: np.ndarray, children: np.ndarray, cfg: TreeConfig) -> None:
+        """Set the splits of a level, and the leaves as if it were the last one."""
+        nodes = 1 << level
+        self.feature[nodes - 1 : 2 * nodes - 1], self.bin[nodes - 1 : 2 * nodes - 1] = feature, at
+        self.leaf[: 2 * nodes] = -cfg.step * children[:, 0] / (children[:, 1] + cfg.penalty)
+
     def values(self, cells: np.ndarray) -> np.ndarray:
         return self.leaf[self.nodes(cells, len(self.leaf).bit_length() - 1)]
 
@@ -140,6 +148,24 @@ def best_splits(sums: np.ndarray, allowed: np.ndarray, cfg: TreeConfig) -> tuple
     return np.where(split, feature, -1), np.where(split, at, 0), children.reshape(2 * nodes, 2)
 
 
+def histogram(cells: np.ndarray, values: tuple[np.ndarray, ...], tree: Tree, level: int, bins: int) -> np.ndarray:
+    """``sums[node, feature, bin, value]`` of rows in the nodes of a level."""
+    nodes, width = 1 << level, cells.shape[1]
+    at = (tree.nodes(cells, level)[:, None] * width + np.arange(width)) * bins + cells
+    return np.stack([np.bincount(at.ravel(), np.repeat(v, width), minlength=nodes * width * bins) for v in values], axis=-1).reshape(nodes, width, bins, -1)
+
+
+def whole_tree(total: np.ndarray, features: np.ndarray, bins: int, cfg: TreeConfig) -> Tree:
+    """All levels from ``total[combination, (gradient, curvature)]``: a combination of the features' bins is split as its rows are."""
+    total = total.reshape(-1, 2)
+    found = np.flatnonzero(total.any(axis=1))
+    cells, tree = np.stack(np.unravel_index(found, (bins,) * len(features)), axis=1), Tree.of_depth(cfg.depth)
+    for level in range(cfg.depth):
+        tree.split(level, *best_splits(histogram(cells, tuple(total[found].T), tree, level, bins), np.ones(len(features), bool), cfg), cfg)
+    tree.feature = np.where(tree.feature >= 0, features[tree.feature], -1)
+    return tree
+
+
 def _filled(cells: np.ndarray, medians: np.ndarray) -> np.ndarray:
     return np.where(cells == MISSING, medians, cells)
 
@@ -178,17 +204,19 @@ def fit(rows: DataFrame, names: Sequence[str], turns: Turns, cfg: TreeConfig = T
     medians = (upto <= np.floor(upto[:, :, -1:] / 2)).sum(axis=2).clip(max=bins - 1)
     model = Boosted(tuple(names), cuts, medians, [[] for _ in range(n)])
     parts = partitions(data)
+    seen = max(1, int(cfg.columns * width))
+    at_once = n * bins**seen <= COMBINATIONS
     draw = np.random.default_rng(cfg.seed)
     held = 0
     for number in range(cfg.trees):
         allowed = np.zeros(width, bool)
-        allowed[draw.choice(width, max(1, int(cfg.columns * width)), replace=False)] = True
+        allowed[draw.choice(width, seen, replace=False)] = True
         trees = [Tree.of_depth(cfg.depth) for _ in range(n)]
         recent = [trees_of[len(trees_of) - held :] for trees_of in model.trees]
-        for level in range(cfg.depth):
+        for level in range(1 if at_once else cfg.depth):
             nodes = 1 << level
 
-            def gradients(batches, level=level, nodes=nodes, trees=trees, recent=recent, number=number):
+            def gradients(batches, level=level, allowed=allowed, trees=trees, recent=recent, number=number):
                 sums = {}
                 for batch in batches:
                     cells, group, y = _cells(batch, width), np.asarray(batch["group"]), np.asarray(batch["y"])
@@ -200,9 +228,11 @@ def fit(rows: DataFrame, names: Sequence[str], turns: Turns, cfg: TreeConfig = T
                         p = 1 / (1 + np.exp(-(margins[use, r] + sum(t.values(own) for t in recent[r]))))
                         w = weights[r, y[use]]
                         g, h = w * (p - y[use]), w * p * (1 - p)
-                        at = (trees[r].nodes(own, level)[:, None] * width + np.arange(width)) * bins + own
-                        size = nodes * width * bins
-                        found = np.stack([np.bincount(at.ravel(), np.repeat(v, width), minlength=size) for v in (g, h)], axis=-1).ravel()
+                        if at_once:
+                            cell = np.ravel_multi_index(tuple(own[:, allowed].T), (bins,) * seen)
+                            found = np.stack([np.bincount(cell, v, minlength=bins**seen) for v in (g, h)], axis=-1).ravel()
+                        else:
+                            found = histogram(own, (g, h), trees[r], level, bins).ravel()
                         sums[r] = sums[r] + found if r in sums else found
                 return sums
 
@@ -210,10 +240,16 @@ def fit(rows: DataFrame, names: Sequence[str], turns: Turns, cfg: TreeConfig = T
                 feature, at, children = best_splits(total.reshape(nodes, width, bins, 2), allowed, cfg)
                 return np.concatenate([feature + 1, at, children.ravel()]).astype(float)
 
-            for tree, found in zip(trees, summed(data, gradients, 6 * nodes, n, parts, splits), strict=True):
-                feature, at, children = found[:nodes].astype(np.int64) - 1, found[nodes : 2 * nodes].astype(np.int64), found[2 * nodes :].reshape(-1, 2)
-                tree.feature[nodes - 1 : 2 * nodes - 1], tree.bin[nodes - 1 : 2 * nodes - 1] = feature, at
-                tree.leaf[: 2 * nodes] = -cfg.step * children[:, 0] / (children[:, 1] + cfg.penalty)
+            def grown(total, allowed=allowed):
+                tree = whole_tree(total, np.flatnonzero(allowed), bins, cfg)
+                return np.concatenate([tree.feature + 1, tree.bin, tree.leaf]).astype(float)
+
+            inner = (1 << cfg.depth) - 1
+            for tree, found in zip(trees, summed(data, gradients, 3 * inner + 1 if at_once else 6 * nodes, n, parts, grown if at_once else splits), strict=True):
+                if at_once:
+                    tree.feature, tree.bin, tree.leaf = found[:inner].astype(np.int64) - 1, found[inner : 2 * inner].astype(np.int64), found[2 * inner :]
+                else:
+                    tree.split(level, found[:nodes].astype(np.int64) - 1, found[nodes : 2 * nodes].astype(np.int64), found[2 * nodes :].reshape(-1, 2), cfg)
         for found, tree in zip(model.trees, trees, strict=True):
             found.append(tree)
         held += 1

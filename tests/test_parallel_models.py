@@ -104,6 +104,24 @@ def test_boosting_lowers_the_loss_and_survives_new_margins(spark, monkeypatch):
     assert (found[found.role == parallel.TEST].groupby("turn").size() == np.bincount(group)).all()
 
 
+def test_a_tree_from_combinations_equals_one_by_levels(spark, monkeypatch):
+    """Of few combinations of bins, one pass makes the tree that a pass for each level makes."""
+    x, y, group = table(300, matches=3)
+    rows = frame(spark, np.round(x, 1), y, group)
+    turns, cfg = parallel.Turns.fixed(), trees.TreeConfig(trees=5, step=0.3, columns=0.7)
+    passes = []
+    summed = trees.summed
+    monkeypatch.setattr(trees, "summed", lambda *a: passes.append(1) or summed(*a))
+    whole = trees.fit(rows, NAMES, turns, cfg)
+    assert len(passes) == 1 + 5
+    monkeypatch.setattr(trees, "COMBINATIONS", 0)
+    levels = trees.fit(rows, NAMES, turns, cfg)
+    assert len(passes) == 1 + 5 + 1 + 15
+    for a, b in zip(whole.trees[0], levels.trees[0], strict=True):
+        assert a.feature.tolist() == b.feature.tolist() and a.bin.tolist() == b.bin.tolist() and np.allclose(a.leaf, b.leaf)
+    assert any((t.feature >= 0).sum() > 3 for t in whole.trees[0])
+
+
 def test_rows_are_drawn_by_key():
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000)
     a, b = trees.drawn(keys, 1, 0.8), trees.drawn(keys, 2, 0.8)
@@ -266,3 +284,30 @@ def test_a_graph_that_candidates_share_is_stored_and_passed_once(spark):
         assert np.allclose(model.history[0].train, want.history[0].train) and np.allclose(model.history[0].validation, want.history[0].validation)
     a, b = (temporal_graph.score(r, want, turns, (0, 1, 2)).toPandas().sort_values("candidate_id").reset_index(drop=True) for r in (short, copies))
     assert len(a) == 201 and a.drop(columns="probability").equals(b.drop(columns="probability")) and np.allclose(a.probability, b.probability)
+
+
+def test_the_final_run_asks_for_whole_fits(monkeypatch):
+    """All trees, and the epochs and patience of a final run; nothing in the query shortens a fit."""
+    from pressline import catalog
+    from pressline.catalog import modelling
+    from pressline.catalog.bindings import Tables
+
+    asked = {}
+
+    def run(annotations, manifest, features, trainers, graph_trainer, folder):
+        trainers["boosted_trees"](None)
+        graph_trainer(type("Rows", (), {"select": lambda self, *columns: None})())
+        raise InterruptedError
+
+    monkeypatch.setattr(modelling, "shared_file", lambda *a: "")
+    monkeypatch.setattr(modelling, "_doc_features", lambda s: None)
+    monkeypatch.setattr(modelling.labels, "model_manifest", lambda *a: None)
+    monkeypatch.setattr(models, "final_run", run)
+    monkeypatch.setattr(models, "train_boosted", lambda rows, names, cfg=trees.TreeConfig(): asked.update(trees=cfg))
+    monkeypatch.setattr(models, "train_graph_model", lambda nodes, edges, rows, cfg=temporal_graph.NetworkConfig(): asked.update(network=cfg))
+    for name in ("finished_annotations", "episodes", "split_table", "graph_nodes", "graph_edges"):
+        monkeypatch.setattr(Tables, name, None)
+    monkeypatch.setattr(Tables, "borrowing", lambda self, rows: rows)
+    with pytest.raises(InterruptedError):
+        catalog.queries()["final_run"](None, "")
+    assert asked == {"trees": trees.TreeConfig(trees=200), "network": temporal_graph.NetworkConfig(epochs=100, patience=15)}
